@@ -23,9 +23,14 @@ def build_session(master: str = "local[*]", app: str = "fieldscan", **conf) -> S
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings the readers rely on: UTC, and last-key-wins JSON objects."""
+    """Runtime settings the operators rely on: UTC, last-key-wins JSON objects, and a
+    state store that keeps streaming state off the heap."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     return spark
 
 

@@ -1,0 +1,763 @@
+"""The registered queries: one or more per operator, each over whole tables."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldscan.functions.taxonomy import confidence_tier, primary_tag
+from fieldscan.functions.text import match_spans, plain_text, qualified_name, scan_example
+from fieldscan.operators import detect, entities, flatten, registry, review, rollup, routing, scan
+from fieldscan.plans.classify import best_rows, classify, classify_fields, detect_messages
+from fieldscan.session import configure, ensure_checkpoint_dir, spread
+from fieldscan.sources import messages as src
+from fieldscan.sources import synth
+from fieldscan.streaming import routing as stream_routing
+from fieldscan.streaming import scan as stream_scan
+from workload.inputs import messages, order_messages, records, registry as schemas_of, table
+from workload.oracle import (
+    ALERTS,
+    SUMMARY,
+    TAG_FLAGS,
+    det_list,
+    detections,
+    dictionary,
+    example,
+    flat,
+    leaf,
+    many_words,
+    plain,
+    primary,
+    q,
+    recommendations,
+    registry_ctes,
+    stamp,
+    tier,
+    triggers,
+    validated,
+    words,
+)
+
+IDS = ["msg_id", "topic"]
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(fn: Query) -> Query:
+        QUERIES[name or fn.__name__] = fn
+        if sql is not None:
+            ORACLE[name or fn.__name__] = sql
+        return fn
+
+    return keep
+
+
+def when(column: str):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+
+# ---- reading and flattening -------------------------------------------------
+
+_FLAT = "SELECT msg_id, topic, field_path, value FROM ({})"
+
+
+def _flat(kind: str) -> Query:
+    return lambda spark, sf: flatten.flatten_variant(src.decode(messages(spark, sf, kind)), IDS)
+
+
+for _kind in ("events", "customers", "conversations"):
+    query(_FLAT.format(flat(_kind)), f"flatten_{_kind}")(_flat(_kind))
+
+
+@query(_FLAT.format(flat("customers")))
+def flatten_typed_customers(spark, sf):
+    rows = records(spark, sf, "customers").select(*IDS, "rec.*")
+    return flatten.flatten_columns(rows, IDS)
+
+
+@query("""
+SELECT cast(o_orderkey AS VARCHAR) AS msg_id, path AS field_path, value FROM (
+  SELECT o_orderkey, 'o_orderkey' AS path, cast(o_orderkey AS VARCHAR) AS value FROM orders
+  UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders
+  UNION ALL SELECT o_orderkey, 'customer.id', cast(o_custkey AS VARCHAR) FROM orders
+  UNION ALL SELECT o_orderkey, 'customer.name', c_name FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT l_orderkey, 'lines[' || i || '].' || k, v FROM (
+    SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, cast(l_quantity AS INT), l_shipdate, l_tax, l_extendedprice) - 1 AS i,
+           unnest(['n', 'part', 'qty']) AS k,
+           unnest([cast(l_linenumber AS VARCHAR), cast(l_partkey AS VARCHAR), cast(cast(l_quantity AS INT) AS VARCHAR)]) AS v
+    FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey)))
+WHERE o_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey) AND value IS NOT NULL""")
+def flatten_nested_orders(spark, sf):
+    return flatten.flatten_variant(src.decode(order_messages(spark, sf)), ["msg_id"])
+
+
+@query("""
+SELECT cast(doc_id AS VARCHAR) AS msg_id, field_path, coalesce(value, '') AS value FROM (
+  SELECT d.doc_id, unnest(['lang', 'quality']) AS field_path, unnest([lang, cast(quality AS VARCHAR)]) AS value
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
+def flatten_report(spark, sf):
+    configure(spark)
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("msg_id"),
+        F.to_json(F.struct("lang", "quality"), {"ignoreNullFields": "false"}).alias("value"),
+    )
+    return flatten.flatten_variant(src.decode(rows), ["msg_id"], keep_nulls=True)
+
+
+@query("""
+SELECT cast(doc_id AS VARCHAR) AS msg_id, CASE WHEN lang <> 'de' THEN doc_id END AS schema_id,
+       length(lang || source) AS body_chars, lang || source AS body FROM documents""")
+def wire_header(spark, sf):
+    head = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex("doc_id"), 8, "0")))
+    body = F.concat("lang", "source").cast("binary")
+    raw = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("msg_id"),
+        F.when(F.col("lang") != "de", F.concat(head, body)).otherwise(body).alias("value"),
+    )
+    text = src.wire_body(F.col("value")).cast("string")
+    return raw.select("msg_id", src.schema_id(F.col("value")).alias("schema_id"), F.length(text).alias("body_chars"), text.alias("body"))
+
+
+@query("""
+SELECT source, count(*) AS messages, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE readable) AS readable FROM (
+  SELECT 'events' AS source, true AS kept, true AS readable FROM events
+  UNION ALL SELECT 'conversations', length(trim(text)) > 0, false FROM conversations
+  UNION ALL SELECT 'labels', quality = 1, quality = 1 FROM labels) GROUP BY source""")
+def decode_and_set_aside(spark, sf):
+    configure(spark)
+    raw = (
+        table(spark, sf, "events").select(F.lit("events").alias("source"), F.col("props").alias("value"))
+        .unionByName(table(spark, sf, "conversations").select(F.lit("conversations").alias("source"), F.col("text").alias("value")))
+        .unionByName(table(spark, sf, "labels").select(
+            F.lit("labels").alias("source"), F.when(F.col("quality") == 1, F.to_json(F.struct("toxic"))).otherwise(" ").alias("value")))
+    )
+    readable, malformed = src.split_malformed(src.decode(src.drop_tombstones(raw)))
+    return (
+        raw.groupBy("source").agg(F.count(F.lit(1)).alias("messages"))
+        .join(readable.groupBy("source").agg(F.count(F.lit(1)).alias("r")), "source", "left")
+        .join(malformed.groupBy("source").agg(F.count(F.lit(1)).alias("m")), "source", "left")
+        .select("source", "messages", (F.coalesce("r", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("kept"), F.coalesce("r", F.lit(0)).alias("readable"))
+    )
+
+
+@query("SELECT cast(event_id AS VARCHAR) AS msg_id, event_type AS topic FROM events ORDER BY ts, cast(event_id AS VARCHAR) LIMIT 40")
+def bounded_scan(spark, sf):
+    return src.sample_first(messages(spark, sf, "events"), 40).select("msg_id", "topic")
+
+
+@query("""
+SELECT n AS field_path, count(*) FILTER (WHERE ('0x' || substr(md5(cast(c_custkey AS VARCHAR) || '|' || n || '|7|present'), 1, 15))::BIGINT % 2 = 1) AS populated
+FROM customer, (VALUES """ + ", ".join(f"({q(r[0])})" for r in synth.field_rows()) + """) AS f(n) GROUP BY n""")
+def synthetic_profile(spark, sf):
+    made = synth.synthetic_records(table(spark, sf, "customer"), "c_custkey", seed=7)
+    return flatten.flatten_columns(made, ["c_custkey"]).groupBy("field_path").agg(F.count(F.lit(1)).alias("populated"))
+
+
+@query()
+def synthetic_tags(spark, sf):
+    made = spread(synth.synthetic_records(table(spark, sf, "customer"), "c_custkey", seed=7))
+    found = detect.detect(flatten.flatten_columns(made, ["c_custkey"]), 2)
+    return rollup.tag_totals(best_rows(found, ["c_custkey"]))
+
+
+# ---- layer 1 ----------------------------------------------------------------
+
+@query(f"""
+WITH names AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]+')) AS name FROM documents
+               UNION SELECT DISTINCT field_path FROM ({flat('customers')}) UNION SELECT DISTINCT field_path FROM ({flat('events')})),
+     w AS (SELECT name, {words(leaf('name'))} AS words FROM names)
+SELECT name, entity_type, tag, score, min_by(keyword, kw_ord) AS matched_keyword
+FROM w JOIN {dictionary()} ON contains(' ' || words || ' ', ' ' || run || ' ')
+GROUP BY name, entity_type, tag, score""")
+def name_classify_vocabulary(spark, sf):
+    found = spread(table(spark, sf, "documents").select("text")).select(F.explode(F.split("text", "[ \n]+")).alias("name"))
+    for kind in ("customers", "events"):
+        found = found.unionByName(_flat(kind)(spark, sf).select(F.col("field_path").alias("name")))
+    return detect.classify_names(found, "name")
+
+
+@query(f"""WITH {detections('customers', 1)}
+SELECT field_path, entity_type, tag, score, count(*) AS n, max("end") AS longest FROM det GROUP BY ALL""")
+def name_detections(spark, sf):
+    rows = classify(messages(spark, sf, "customers"), IDS, 1)
+    return rows.groupBy("field_path", "entity_type", "tag", "score").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("longest"))
+
+
+@query(f"""
+SELECT source, is_free_text, count(*) AS n FROM (
+  SELECT 'info' AS source, {many_words('text')} AS is_free_text FROM documents
+  UNION ALL SELECT 'remark', true FROM conversations
+  UNION ALL SELECT 'full_name', false FROM customer
+  UNION ALL SELECT 'info', {many_words('text')} FROM conversations) GROUP BY ALL""")
+def free_text_flag(spark, sf):
+    def named(name, column, source):
+        return spread(table(spark, sf, source)).select(F.lit(name).alias("field_path"), F.col(column).alias("value"))
+
+    rows = (
+        named("info", "text", "documents").unionByName(named("meta.remark[0]", "text", "conversations"))
+        .unionByName(named("full_name", "c_name", "customer")).unionByName(named("info", "text", "conversations"))
+    )
+    found = detect.detect(rows, 1)
+    return found.groupBy(F.regexp_replace("field_path", r"^meta\.|\[0\]$", "").alias("source"), "is_free_text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH f AS ({flat('customers')})
+SELECT field_path, {leaf('field_path')} AS leaf, {words(leaf('field_path'))} AS words, count(*) AS n FROM f GROUP BY ALL""")
+def leaf_names(spark, sf):
+    flat_rows = _flat("customers")(spark, sf)
+    return detect.with_name_columns(flat_rows).groupBy("field_path", "leaf", "words").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- layer 2 and 3 ----------------------------------------------------------
+
+_SPAN = ["msg_id", "topic", "field_path", "entity_type", "tag", "score", "span_start", "span_end", "text_snippet", "layer", "source", "rank", "is_free_text"]
+
+
+def _det(kind: str, layers: int, where: str = "true") -> Query:
+    def run(spark, sf):
+        rows = classify(messages(spark, sf, kind), IDS, layers).where(where)
+        return rows.withColumnRenamed("start", "span_start").withColumnRenamed("end", "span_end").select(*_SPAN)
+
+    return run
+
+
+for _kind in ("documents", "pages", "conversations", "customers"):
+    query(det_list(_kind, 2, "layer = 2"), f"pattern_spans_{_kind}")(_det(_kind, 2, "layer = 2"))
+query(det_list("customers", 3), "classify_customers")(_det("customers", 3))
+
+
+@query(f"""WITH {detections('customers', 2)}
+SELECT field_path, entity_type, score, count(*) AS n FROM det
+WHERE entity_type IN ('BANK_ACCOUNT', 'PHONE_NUMBER', 'US_SSN', 'IP_ADDRESS') AND layer = 2 GROUP BY ALL""")
+def context_boost(spark, sf):
+    rows = entities.filter_entities(
+        classify(messages(spark, sf, "customers"), IDS, 2), ["BANK_ACCOUNT", "PHONE_NUMBER", "US_SSN", "IP_ADDRESS"], 0.0
+    )
+    return rows.where("layer = 2").groupBy("field_path", "entity_type", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {detections('customers', 3)}
+SELECT entity_type, count(*) AS n FROM det WHERE layer = 3 AND score >= 0.4 AND entity_type IN ('MEDICATION', 'PERSON') GROUP BY ALL""")
+def entity_filter(spark, sf):
+    rows = classify(messages(spark, sf, "customers"), IDS, 3).where("layer = 3")
+    return entities.filter_entities(rows, ["MEDICATION", "PERSON"]).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _phrases(spark, sf):
+    spans = match_spans("plain", "[A-Za-z0-9]+")
+    firsts = table(spark, sf, "benchmark").select(plain_text(F.col("text")).alias("plain")).select(F.slice(spans, 1, 3).alias("s"))
+    phrase = F.array_join(F.transform("s", lambda s: s["hit"]), " ")
+    return firsts.where(F.size("s") == 3).select(phrase.alias("phrase"), F.lit("disease").alias("label"), F.lit(0.8).alias("score")).distinct()
+
+
+@query(f"""
+WITH phrases AS (SELECT DISTINCT lower(array_to_string(ws[1:3], ' ')) AS run FROM (
+       SELECT regexp_extract_all({plain('text')}, '[A-Za-z0-9]+') AS ws FROM benchmark) WHERE len(ws) >= 3),
+tokens AS (
+  SELECT msg_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM (
+    SELECT cast(doc_id AS VARCHAR) AS msg_id, regexp_extract_all({plain('text')}, '[A-Za-z0-9]+') AS ws FROM documents) WHERE len(ws) >= 3)
+SELECT msg_id, 'comment' AS field_path, 'MEDICAL_CONDITION' AS entity_type, 'PHI' AS tag, run AS text_snippet, count(*) AS n
+FROM tokens JOIN phrases ON run = lower(array_to_string(ws[i:i+2], ' ')) GROUP BY ALL""")
+def gazetteer_entities(spark, sf):
+    flat_rows = spread(table(spark, sf, "documents")).select(
+        F.col("doc_id").cast("string").alias("msg_id"), F.lit("comment").alias("field_path"), F.col("text").alias("value")
+    )
+    hits = entities.gazetteer(flat_rows, _phrases(spark, sf), ["msg_id"], longest=3)
+    return hits.groupBy("msg_id", "field_path", "entity_type", "tag", "text_snippet").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- roll-ups ---------------------------------------------------------------
+
+_BEST = f"""SELECT msg_id, topic, field_path, tag, round(score, 4) AS score, layer, source, {example('text_snippet')} AS sample_value FROM best"""
+
+
+def _fields(kind: str, layers: int = 2) -> Query:
+    return lambda spark, sf: classify_fields(messages(spark, sf, kind), IDS, layers)
+
+
+for _kind in ("documents", "pages"):
+    query(f"WITH {detections(_kind)} {_BEST}", f"classify_fields_{_kind}")(_fields(_kind))
+query(f"WITH {detections('customers', 3)} {_BEST}", "classify_fields_customers")(_fields("customers", 3))
+
+
+@query(f"WITH {detections('customers')} SELECT msg_id, topic, field_path, tag, entity_type, round(score, 4) AS score, layer FROM best")
+def best_per_field_tag(spark, sf):
+    rows = classify(messages(spark, sf, "customers"), IDS, 2)
+    return rollup.best_per_field_tag(rows, IDS).select(*IDS, "field_path", "tag", "entity_type", "score", "layer")
+
+
+@query(f"""WITH {detections('customers')}
+SELECT msg_id, topic, field_path, tag, entity_type, max(round(score, 4)) AS score FROM det GROUP BY ALL""")
+def best_per_entity(spark, sf):
+    found = detect_messages(messages(spark, sf, "customers"), IDS, 2)
+    return found.select(*IDS, "field_path", F.explode(detect.best_per_entity(F.col("detections"))).alias("d")).select(
+        *IDS, "field_path", "d.tag", "d.entity_type", "d.score"
+    )
+
+
+@query(f"""WITH {detections('customers')}, {SUMMARY}
+SELECT msg_id, topic, array_to_string(tags, ',') AS tags, array_to_string(entities, ',') AS entity_types, {primary('tags')} AS primary_tag FROM summary""")
+def message_tags(spark, sf):
+    rows = rollup.message_summary(classify(messages(spark, sf, "customers"), IDS, 2), IDS)
+    return rows.select(*IDS, F.array_join("tags", ",").alias("tags"), F.array_join("entity_types_found", ",").alias("entity_types"), "primary_tag")
+
+
+@query(f"""WITH {detections('documents')}, {SUMMARY}
+SELECT {primary('tags')} AS primary_tag, count(*) AS n FROM summary GROUP BY ALL""", "primary_tag")
+def primary_tags(spark, sf):
+    rows = classify(messages(spark, sf, "documents"), IDS, 2).groupBy(*IDS).agg(F.collect_set("tag").alias("tags"))
+    return rows.groupBy(primary_tag(F.col("tags")).alias("primary_tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_AUDIT = f"""WITH {detections('documents')}, {SUMMARY}
+SELECT d.msg_id, d.topic, coalesce(array_to_string(s.tags, ','), '') AS tags, coalesce(array_to_string(s.entities, ','), '') AS entity_types,
+       CASE WHEN s.msg_id IS NULL THEN 'classified-safe' ELSE 'classified-messages' END AS sink_topic
+FROM (SELECT DISTINCT msg_id, topic FROM flat) d LEFT JOIN summary s ON s.msg_id = d.msg_id"""
+
+
+def _audit(rows):
+    return rows.select(
+        *IDS, F.array_join("tags", ",").alias("tags"), F.array_join("entity_types_found", ",").alias("entity_types"), "sink_topic"
+    )
+
+
+@query(_AUDIT)
+def audit_rows(spark, sf):
+    return _audit(routing.audit_rows(routing.route(messages(spark, sf, "documents"), IDS, 2), IDS))
+
+
+@query(f"SELECT topic, sink_topic, count(*) AS n FROM ({_AUDIT}) GROUP BY ALL")
+def route_counts(spark, sf):
+    return routing.route(messages(spark, sf, "documents"), IDS, 2).groupBy("topic", "sink_topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {detections('customers')}, per AS (SELECT msg_id, list_sort(list_distinct(list(tag))) AS tags, count(*) AS n FROM det GROUP BY msg_id)
+SELECT array_to_string(tags, ',') AS tags, n AS n_detections, 'classified-messages' AS sink, (SELECT first(c_name) FROM customer WHERE cast(c_custkey AS VARCHAR) = msg_id) AS full_name FROM per""")
+def route_envelopes(spark, sf):
+    sent = routing.envelopes(routing.route(messages(spark, sf, "customers"), IDS, 2))
+    body = F.from_json("value", "payload struct<customer:struct<full_name:string>>, classification struct<tags:array<string>,detected_entities:map<string,array<struct<tag:string>>>>")
+    return sent.select(F.col("topic").alias("sink"), body.alias("b")).select(
+        F.array_join("b.classification.tags", ",").alias("tags"),
+        F.size(F.flatten(F.map_values("b.classification.detected_entities"))).alias("n_detections"),
+        "sink",
+        F.col("b.payload.customer.full_name").alias("full_name"),
+    )
+
+
+@query(f"""WITH {detections('customers')} SELECT msg_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM best GROUP BY msg_id""")
+def tag_listagg(spark, sf):
+    return rollup.tag_list(classify_fields(messages(spark, sf, "customers"), IDS, 2), ["msg_id"])
+
+
+@query(f"""WITH {detections('documents')}, keyed AS (SELECT cast(doc_id AS VARCHAR) AS msg_id, lang AS key, doc_id, lang, text FROM documents)
+SELECT k.key, string_agg(b.tag, ',' ORDER BY b.tag) AS tags FROM best b JOIN keyed k USING (msg_id) GROUP BY k.msg_id, k.key""")
+def route_by_map(spark, sf):
+    return routing.route_by_sql_map(messages(spark, sf, "documents"), IDS, 2).select("key", "tags")
+
+
+_PROFILE = """SELECT field_path, tag, count(*) AS detections, round(avg(round(score, 4)), 3) AS avg_confidence, min(layer) AS earliest_layer FROM best GROUP BY ALL"""
+
+
+@query(f"WITH {detections('documents')} {_PROFILE}")
+def field_profile(spark, sf):
+    return rollup.field_profile(classify_fields(messages(spark, sf, "documents"), IDS, 2))
+
+
+@query(f"WITH {detections('customers', 3)} {_PROFILE}")
+def field_profile_customers(spark, sf):
+    return rollup.field_profile(classify_fields(messages(spark, sf, "customers"), IDS, 3))
+
+
+@query(f"WITH {detections('pages')} SELECT tag, count(*) AS n FROM best GROUP BY ALL")
+def tag_totals(spark, sf):
+    return rollup.tag_totals(classify_fields(messages(spark, sf, "pages"), IDS, 2))
+
+
+@query(f"WITH {detections('customers')} SELECT topic, {TAG_FLAGS} FROM best GROUP BY topic")
+def tag_matrix(spark, sf):
+    return rollup.tag_matrix(classify_fields(messages(spark, sf, "customers"), IDS, 2))
+
+
+@query(f"""WITH {detections('customers', source="SELECT * FROM (" + flat('customers') + ") WHERE " + leaf('field_path') + " NOT IN ('holder', 'notes')")}
+SELECT field_path, tag, count(*) AS n, {tier('max(score)')} AS best_tier FROM best GROUP BY ALL""")
+def excluded_names(spark, sf):
+    rows = classify_fields(messages(spark, sf, "customers"), IDS, 2, exclude_names=("holder", "notes"))
+    return rows.groupBy("field_path", "tag").agg(F.count(F.lit(1)).alias("n"), confidence_tier(F.max("score")).alias("best_tier"))
+
+
+_ALERT = f"""SELECT msg_id, topic, field_path, tag, round(score, 2) AS confidence, {example('text_snippet')} AS sample_value
+FROM best WHERE tag IN ({ALERTS}) AND score >= 0.85"""
+
+
+@query(f"WITH {detections('customers')} {_ALERT}")
+def alerts(spark, sf):
+    rows = rollup.alerts(classify_fields(messages(spark, sf, "customers"), IDS, 2))
+    return rows.select(*IDS, "field_path", "tag", F.round("score", 2).alias("confidence"), "sample_value")
+
+
+# ---- scans ------------------------------------------------------------------
+
+def _triggers(spark, sf):
+    m = messages(spark, sf, "events")
+    manual = (
+        table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("triggered_at"))
+        .select(F.lit("manual").alias("trigger_type"), F.lit("click").alias("source_topic"), "triggered_at")
+    )
+    return m, scan.all_triggers(scan.scheduled_triggers(m), manual)
+
+
+@query(f"""SELECT DISTINCT 'scheduled' AS trigger_type, event_type AS source_topic,
+{stamp("time_bucket(INTERVAL '60 minutes', ts) + INTERVAL '60 minutes'")} AS triggered_at FROM events""")
+def scheduled_triggers(spark, sf):
+    return scan.scheduled_triggers(messages(spark, sf, "events")).withColumn("triggered_at", when("triggered_at"))
+
+
+@query(f"WITH {triggers()} SELECT msg_id, topic, trigger_type, {stamp('triggered_at')} AS triggered_at FROM scanned")
+def interval_scan(spark, sf):
+    m, t = _triggers(spark, sf)
+    return scan.interval_scan(t, m).select(*IDS, "trigger_type", when("triggered_at").alias("triggered_at"))
+
+
+_RESULTS = f"""WITH {detections('events')}, {triggers()},
+results AS (SELECT s.msg_id, b.field_path, b.tag, round(b.score, 2) AS confidence, b.layer, b.source, b.text_snippet AS example,
+                   s.source_topic, s.trigger_type, s.triggered_at AS scanned_at FROM scanned s JOIN best b ON b.msg_id = s.msg_id)"""
+
+
+def _results(spark, sf):
+    m, t = _triggers(spark, sf)
+    return scan.scan_results(scan.interval_scan(t, m), ["msg_id"], 2)
+
+
+@query(f"{_RESULTS} SELECT * REPLACE ({stamp('scanned_at')} AS scanned_at) FROM results")
+def scan_results(spark, sf):
+    return _results(spark, sf).withColumn("scanned_at", when("scanned_at"))
+
+
+@query(f"""{_RESULTS}, newest AS (SELECT source_topic, max(scanned_at) AS scanned_at FROM results GROUP BY ALL)
+SELECT source_topic, field_path, tag, max(confidence) AS confidence, {stamp('scanned_at')} AS scanned_at
+FROM results JOIN newest USING (source_topic, scanned_at) GROUP BY ALL""")
+def latest_batch_best(spark, sf):
+    return rollup.latest_best(_results(spark, sf)).select("source_topic", "field_path", "tag", "confidence", when("scanned_at").alias("scanned_at"))
+
+
+@query(f"""{_RESULTS} SELECT source_topic, trigger_type, count(*) AS n FROM results
+WHERE scanned_at::DATE > DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY ALL""")
+def retained_results(spark, sf):
+    return scan.retained(_results(spark, sf), "2024-01-31").groupBy("source_topic", "trigger_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HISTORY = "(event_id // 50 + user_id % 3 + 1)"
+
+
+@query(f"""SELECT 'schema_evolution' AS trigger_type, event_type AS source_topic, {stamp('ts')} AS triggered_at FROM (
+SELECT event_type, ts, version, max(version) OVER (PARTITION BY event_type ORDER BY ts, version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+FROM (SELECT event_type, ts, max({_HISTORY}) AS version FROM events GROUP BY ALL)) WHERE version > before""")
+def schema_change_triggers(spark, sf):
+    return scan.schema_change_triggers(_checks(spark, sf)).withColumn("triggered_at", when("triggered_at"))
+
+
+def _checks(spark, sf):
+    return table(spark, sf, "events").select(
+        F.concat("event_type", F.lit("-value")).alias("subject"),
+        (F.floor(F.col("event_id") / 50) + F.col("user_id") % 3 + 1).cast("int").alias("version"),
+        F.col("ts").cast("timestamp").alias("checked_at"),
+    )
+
+
+# ---- registry ---------------------------------------------------------------
+
+@query(f"WITH {registry_ctes()} SELECT DISTINCT subject, version, field_path FROM fields")
+def schema_field_paths(spark, sf):
+    return registry.schema_fields(schemas_of(spark, sf))
+
+
+@query(f"""WITH {registry_ctes()} SELECT a.subject, a.field_path, 'removed' AS change FROM fields a
+WHERE a.version = 1 AND NOT EXISTS (SELECT 1 FROM fields b WHERE b.subject = a.subject AND b.version = 2 AND b.field_path = a.field_path)""")
+def schema_diff(spark, sf):
+    return registry.schema_diff(registry.schema_fields(schemas_of(spark, sf)), 1, 2)
+
+
+@query(f"""WITH {registry_ctes()} SELECT subject, version, CASE WHEN schema_type = 'JSON' THEN 'schema type not supported: JSON' ELSE '' END AS problem,
+coalesce((SELECT string_agg(field_path, ',' ORDER BY field_path) FROM fields f WHERE f.subject = s.subject AND f.version = s.version AND NOT contains(field_path, '.')), '') AS names,
+'shop.Customer' AS qualifier FROM schemas s""")
+def top_level_fields(spark, sf):
+    s = schemas_of(spark, sf)
+    named = s.select("subject", "version", registry.record_qualifier(F.col("schema")).alias("qualifier"))
+    return registry.top_level_fields(s).join(named, ["subject", "version"]).select(
+        "subject", "version", F.coalesce("problem", F.lit("")).alias("problem"),
+        F.coalesce(F.array_join(F.array_sort("names"), ","), F.lit("")).alias("names"), "qualifier",
+    )
+
+
+@query(f"WITH {registry_ctes()} SELECT subject, max(version) AS version, max(id) AS id FROM schemas GROUP BY subject")
+def latest_schema(spark, sf):
+    return registry.latest_schema(schemas_of(spark, sf)).select("subject", "version", "id")
+
+
+_TAGGED = f"""{detections('customers')}, {registry_ctes()},
+approved AS (SELECT DISTINCT topic || '-value' AS subject, regexp_replace(field_path, '\\[[0-9]+\\]', '', 'g') AS field_path, tag FROM best WHERE score >= 0.85)"""
+
+
+def _approved(spark, sf):
+    rows = classify_fields(messages(spark, sf, "customers"), IDS, 2).where("score >= 0.85")
+    return rows.select(
+        F.concat("topic", F.lit("-value")).alias("subject"), F.regexp_replace("field_path", r"\[[0-9]+\]", "").alias("field_path"), "tag"
+    ).distinct()
+
+
+@query(f"""WITH {_TAGGED}
+SELECT subject, field_path, tag, CASE WHEN EXISTS (SELECT 1 FROM tagged t WHERE t.subject = a.subject AND t.field_path = a.field_path AND t.tag = a.tag)
+THEN 'existing' ELSE 'new' END AS state FROM approved a""")
+def new_vs_existing_tags(spark, sf):
+    tags = registry.field_tags(schemas_of(spark, sf))
+    new, existing = rollup.split_new(_approved(spark, sf), tags, ["subject"])
+    both = new.withColumn("state", F.lit("new")).unionByName(existing.withColumn("state", F.lit("existing")))
+    return both.select("subject", "field_path", "tag", "state")
+
+
+@query(f"""WITH {_TAGGED}, latest AS (SELECT subject, max(version) AS version FROM schemas GROUP BY subject),
+now AS (SELECT DISTINCT f.subject, f.version, f.field_path FROM fields f JOIN latest USING (subject, version)),
+every AS (SELECT subject, field_path, tag FROM tagged UNION SELECT a.subject, a.field_path, a.tag FROM approved a JOIN now USING (subject, field_path)),
+gains AS (SELECT subject, 1 AS gains FROM every e WHERE NOT EXISTS (SELECT 1 FROM tagged t WHERE t.subject = e.subject AND t.field_path = e.field_path AND t.tag = e.tag) GROUP BY subject)
+SELECT subject, version + coalesce(gains, 0) AS version, field_path,
+coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM every e WHERE e.subject = n.subject AND e.field_path = n.field_path), '') AS tags
+FROM now n LEFT JOIN gains USING (subject)""")
+def apply_tags(spark, sf):
+    after = registry.apply_tags(schemas_of(spark, sf), _approved(spark, sf))
+    return after.select("subject", "version", "field_path", F.array_join(F.array_sort("tags"), ",").alias("tags"))
+
+
+@query(f"""WITH {registry_ctes()}, latest AS (SELECT subject, max(id) AS id FROM schemas GROUP BY subject)
+SELECT c_mktsegment AS source_topic, c_mktsegment || '-value' AS subject, coalesce(id, -1) AS schema_id, count(*) AS n
+FROM customer LEFT JOIN latest ON subject = c_mktsegment || '-value' GROUP BY ALL""")
+def stamp_schema(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("source_topic"))
+    stamped = registry.stamp_schema(rows, schemas_of(spark, sf))
+    return stamped.groupBy("source_topic", "subject", F.coalesce("schema_id", F.lit(-1)).alias("schema_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- review -----------------------------------------------------------------
+
+def _now(day: int):
+    return F.lit(f"2024-02-{day:02d} 00:00:00").cast("timestamp")
+
+
+def recs_of(spark, sf):
+    """Store after a layer-1 scan of the customer topics and a layer-2 scan after it."""
+    m = messages(spark, sf, "customers")
+    names = review.from_detections(best_rows(detect_messages(m, IDS, 1), IDS))
+    both = review.from_detections(best_rows(detect_messages(m, IDS, 2), IDS))
+    return review.upsert(review.upsert(None, names, _now(1)), both, _now(2))
+
+
+_REC = ["topic", "field_path", "proposed_tag", "entity_type", "confidence", "confidence_tier", "layer", "source", "status"]
+_REC_SQL = ", ".join(_REC)
+_STAGE = "CASE WHEN confidence >= 0.85 THEN 'STAGED' ELSE status END"
+
+
+@query(f"WITH {recommendations()} SELECT {_REC_SQL} FROM recs")
+def upsert_recommendations(spark, sf):
+    return recs_of(spark, sf).select(*_REC)
+
+
+@query(f"WITH {recommendations()} SELECT * EXCLUDE (subject) REPLACE ({_STAGE} AS status) FROM recs")
+def bulk_stage(spark, sf):
+    return review.bulk_stage(recs_of(spark, sf), _now(3)).select(*_REC)
+
+
+@query(f"""WITH {recommendations()} SELECT * EXCLUDE (subject) REPLACE
+(CASE WHEN confidence >= 0.6 AND topic = 'MACHINERY' AND proposed_tag = 'PCI' THEN 'STAGED' ELSE status END AS status) FROM recs""")
+def bulk_stage_scoped(spark, sf):
+    return review.bulk_stage(recs_of(spark, sf), _now(3), 0.6, "MACHINERY", "PCI").select(*_REC)
+
+
+# approve all; then unstage PII and reject PCI; then approve all again; one unknown id per topic.
+_DECISIONS = """decided AS (
+  SELECT topic, field_path, proposed_tag, action, step,
+         CASE WHEN step = 1 THEN 'ok' WHEN step = 2 THEN 'ok'
+              WHEN proposed_tag = 'PII' THEN 'ok' ELSE 'conflict' END AS outcome
+  FROM recs, (VALUES (1, 'approve', '*'), (2, 'unstage', 'PII'), (2, 'reject', 'PCI'), (3, 'approve', '*')) AS a(step, action, which)
+  WHERE which = '*' OR which = proposed_tag
+  UNION ALL SELECT topic, '', '', 'approve', 4, 'not_found' FROM (SELECT DISTINCT topic FROM recs))"""
+
+
+def _decided(spark, sf):
+    recs = recs_of(spark, sf)
+    steps = F.array(*[
+        F.struct(F.lit(s).alias("step"), F.lit(a).alias("action"), F.lit(w).alias("which"))
+        for s, a, w in [(1, "approve", "*"), (2, "unstage", "PII"), (2, "reject", "PCI"), (3, "approve", "*")]
+    ])
+    known = recs.select("id", "proposed_tag", F.explode(steps).alias("s")).where("s.which = '*' OR s.which = proposed_tag").select("id", "s.step", "s.action")
+    unknown = recs.select("topic").distinct().select(F.concat(F.lit("no such "), "topic").alias("id"), F.lit(4).alias("step"), F.lit("approve").alias("action"))
+    decisions = known.unionByName(unknown).select(
+        F.col("id").alias("rec_id"), "action", F.lit("steward").alias("reviewer"),
+        F.timestamp_seconds(F.lit(1700000000) + F.col("step") * 3600).alias("at"),
+    )
+    return recs, *review.apply_decisions(recs, decisions)
+
+
+@query(f"""WITH {recommendations()}, {_DECISIONS}
+SELECT topic, field_path, proposed_tag, action, step, outcome FROM decided""")
+def decisions(spark, sf):
+    recs, _, outcomes = _decided(spark, sf)
+    named = recs.select(F.col("id").alias("rec_id"), "topic", "field_path", "proposed_tag")
+    return outcomes.join(named, "rec_id", "left").select(
+        F.coalesce("topic", F.regexp_replace("rec_id", "^no such ", "")).alias("topic"),
+        F.coalesce("field_path", F.lit("")).alias("field_path"), F.coalesce("proposed_tag", F.lit("")).alias("proposed_tag"),
+        "action", ((F.unix_seconds("at") - 1700000000) / 3600).cast("int").alias("step"), "outcome",
+    )
+
+
+@query(f"""WITH {recommendations()}
+SELECT topic, field_path, proposed_tag, CASE proposed_tag WHEN 'PCI' THEN 'REJECTED' ELSE 'STAGED' END AS status, 'steward' AS reviewed_by FROM recs""")
+def decided_snapshot(spark, sf):
+    return _decided(spark, sf)[1].select("topic", "field_path", "proposed_tag", "status", "reviewed_by")
+
+
+def _staged(spark, sf):
+    s = schemas_of(spark, sf)
+    return review.bulk_stage(recs_of(spark, sf), _now(3)), s, registry.schema_fields(s)
+
+
+@query(f"WITH {validated()} SELECT topic, field_path, proposed_tag, reason IS NULL AS valid, coalesce(reason, '') AS reason FROM checked")
+def validate_staged(spark, sf):
+    rows = review.validate_staged(*_staged(spark, sf))
+    return rows.select("topic", "field_path", "proposed_tag", "valid", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query(f"""WITH {validated()}
+SELECT r.topic, r.field_path, r.proposed_tag,
+       CASE WHEN r.confidence < 0.85 THEN 'PENDING' WHEN c.reason IS NULL THEN 'APPROVED' ELSE 'REJECTED' END AS status,
+       CASE WHEN r.confidence < 0.85 THEN '' WHEN c.reason IS NULL THEN 'steward' ELSE 'auto: ' || c.reason END AS reviewed_by
+FROM recs r LEFT JOIN checked c USING (topic, field_path, proposed_tag)""")
+def submit_staged(spark, sf):
+    after, _ = review.submit_staged(*_staged(spark, sf), "lsrc-1", _now(4), "steward")
+    return after.select("topic", "field_path", "proposed_tag", "status", F.coalesce("reviewed_by", F.lit("")).alias("reviewed_by"))
+
+
+@query(f"""WITH {validated()} SELECT 'sr_field' AS "entityType", 'lsrc-1:.:' || version_id || ':shop.Customer.' || clean_path AS "entityName",
+proposed_tag AS "typeName" FROM checked WHERE reason IS NULL""")
+def catalog_rows(spark, sf):
+    return review.submit_staged(*_staged(spark, sf), "lsrc-1", _now(4))[1]
+
+
+@query(f"""WITH {validated()}
+SELECT topic, count(*) FILTER (WHERE confidence < 0.85) AS pending, 0 AS staged,
+       count(*) FILTER (WHERE confidence >= 0.85 AND reason IS NULL) AS approved, count(*) FILTER (WHERE confidence >= 0.85 AND reason IS NOT NULL) AS rejected
+FROM (SELECT r.*, c.reason FROM recs r LEFT JOIN checked c USING (topic, field_path, proposed_tag)) GROUP BY topic""")
+def review_summary(spark, sf):
+    s = schemas_of(spark, sf)
+    after, _ = review.bulk_approve(recs_of(spark, sf), s, registry.schema_fields(s), "lsrc-1", _now(4))
+    return review.review_summary(after)
+
+
+@query(f"WITH {recommendations()} SELECT {_REC_SQL} FROM recs WHERE topic = 'BUILDING' AND confidence_tier = 'HIGH' AND status = 'PENDING'")
+def list_filtered(spark, sf):
+    return review.list_recommendations(recs_of(spark, sf), status="PENDING", topic="BUILDING", tier="HIGH").select(*_REC)
+
+
+@query(f"""WITH {recommendations()}, {registry_ctes()}
+SELECT topic, subject, coalesce(max(s.version), -1) AS version, coalesce(max(s.id), -1) AS schema_id, n AS count FROM
+(SELECT topic, subject, count(*) AS n FROM recs GROUP BY ALL) r LEFT JOIN schemas s USING (subject) GROUP BY topic, subject, n""")
+def topic_sources(spark, sf):
+    rows = review.topic_sources(recs_of(spark, sf), schemas_of(spark, sf))
+    return rows.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("version", "schema_id")})
+
+
+@query(f"""WITH {recommendations()} SELECT topic, count(*) AS n, 0 AS deleted FROM recs WHERE topic <> 'MACHINERY' GROUP BY ALL
+UNION ALL SELECT topic, 0, count(*) FROM recs WHERE topic = 'MACHINERY' GROUP BY ALL""")
+def delete_topic(spark, sf):
+    left, gone = review.delete_topic(recs_of(spark, sf), "MACHINERY")
+    kept = left.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).withColumn("deleted", F.lit(0).cast("long"))
+    return kept.unionByName(gone.select("topic", F.lit(0).cast("long").alias("n"), "deleted"))
+
+
+@query(f"""{_RESULTS}, {registry_ctes()}
+SELECT source_topic AS topic, field_path, tag AS proposed_tag, tag AS entity_type, max(confidence) AS confidence, 'PENDING' AS status FROM results
+WHERE (source_topic, scanned_at) IN (SELECT source_topic, max(scanned_at) FROM results GROUP BY ALL) GROUP BY ALL""")
+def bridge_results(spark, sf):
+    stamped = registry.stamp_schema(rollup.latest_best(_results(spark, sf)), schemas_of(spark, sf))
+    recs = review.upsert(None, review.from_results(stamped), _now(5))
+    return recs.select("topic", "field_path", "proposed_tag", "entity_type", "confidence", "status")
+
+
+# ---- streams ----------------------------------------------------------------
+
+def _scratch(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _event_stream(spark, sf):
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    return raw.select(
+        F.col("event_id").cast("string").alias("msg_id"),
+        F.col("event_type").alias("topic"),
+        F.col("user_id").cast("string").alias("key"),
+        F.col("ts").cast("timestamp").alias("event_time"),
+        F.to_json(F.struct(
+            F.col("event_id").cast("string").alias("event_id"),
+            F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_name"),
+            F.struct(F.concat_ws(".", F.lit("10.0"), (F.col("user_id") % 256).cast("string"), (F.col("event_id") % 256).cast("string")).alias("ip")).alias("client"),
+            "event_type",
+        )).alias("value"),
+    )
+
+
+def _finished(spark, rows: DataFrame) -> DataFrame:
+    """Run a stream over what is there and read back what it wrote."""
+    configure(spark)
+    where = _scratch(spark)
+    stream_routing.start_sink(rows, f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{where}/out")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT event_type AS source_topic, time_bucket(INTERVAL '60 minutes', ts) + INTERVAL '60 minutes' AS ends FROM events)
+SELECT 'scheduled' AS trigger_type, source_topic, {stamp('ends')} AS triggered_at FROM t
+WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL '10 seconds'""")
+def stream_scheduled_triggers(spark, sf):
+    rows = _finished(spark, stream_scan.scheduled_trigger_stream(_event_stream(spark, sf)))
+    return rows.withColumn("triggered_at", when("triggered_at"))
+
+
+@query(f"""WITH {detections('events')}
+SELECT msg_id, topic, field_path, tag, round(score, 2) AS confidence, layer FROM best""")
+def stream_detections(spark, sf):
+    rows = _finished(spark, stream_routing.detection_view(_event_stream(spark, sf), IDS, 2))
+    return rows.select(*IDS, "field_path", "tag", "confidence", "layer")
+
+
+@query(f"""WITH {detections('events')}, m AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT 'audit' AS sink, count(*) AS n FROM events
+UNION ALL SELECT 'classified-messages', count(DISTINCT msg_id) FROM det
+UNION ALL SELECT 'classified-safe', count(*) FROM events WHERE cast(event_id AS VARCHAR) NOT IN (SELECT msg_id FROM det) HAVING count(*) > 0""")
+def stream_routing_counts(spark, sf):
+    configure(spark)
+    where = _scratch(spark)
+    stream_routing.start_routing(_event_stream(spark, sf), IDS, where, f"{where}/checkpoint", 2).awaitTermination()
+    routed = spark.read.parquet(f"{where}/routed").groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
+    return routed.unionByName(spark.read.parquet(f"{where}/audit").agg(F.count(F.lit(1)).alias("n")).select(F.lit("audit").alias("sink"), "n"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT event_type AS source_topic, time_bucket(INTERVAL '60 minutes', ts) + INTERVAL '60 minutes' AS ends FROM events)
+SELECT cast(event_id AS VARCHAR) AS msg_id, event_type AS topic, {stamp('ends')} AS triggered_at FROM t JOIN events e ON e.event_type = source_topic
+AND e.ts BETWEEN ends - INTERVAL '2 minutes' AND ends WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL '10 seconds'""")
+def stream_interval_scan(spark, sf):
+    made = stream_scan.scheduled_trigger_stream(_event_stream(spark, sf))
+    rows = stream_scan.interval_scan_stream(made, _event_stream(spark, sf))
+    return _finished(spark, rows.select(*IDS, "triggered_at")).withColumn("triggered_at", when("triggered_at"))
+
+
+@query()
+def stream_schema_watch(spark, sf):
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    checks = raw.select(
+        F.concat("event_type", F.lit("-value")).alias("subject"),
+        (F.floor(F.col("event_id") / 50) + 1).cast("int").alias("version"),
+        F.col("ts").cast("timestamp").alias("checked_at"),
+    )
+    return _finished(spark, stream_scan.schema_change_stream(checks)).withColumn("triggered_at", when("triggered_at"))
