@@ -12,13 +12,14 @@ SCAN_MINUTES, SAMPLE_MINUTES, RETENTION_DAYS = 60, 2, 7
 TRIGGER = ["trigger_type", "source_topic", "triggered_at"]
 
 
-def scheduled_triggers(messages: DataFrame, minutes: int = SCAN_MINUTES) -> DataFrame:
+def scheduled_triggers(messages: DataFrame, minutes: int = SCAN_MINUTES, with_event_time: bool = False) -> DataFrame:
     """One trigger per topic at the end of every window that saw a message."""
     ends = messages.groupBy("topic", F.window("event_time", f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)))
     return ends.select(
         F.lit("scheduled").alias("trigger_type"),
         F.col("topic").alias("source_topic"),
         F.col("w.end").alias("triggered_at"),
+        *([F.window_time("w").alias("closes_at")] if with_event_time else []),
     )
 
 

@@ -21,8 +21,11 @@ def with_event_time(messages: DataFrame, delay: str = TRIGGER_DELAY, column: str
 
 
 def scheduled_trigger_stream(messages: DataFrame, minutes: int = SCAN_MINUTES, delay: str = TRIGGER_DELAY) -> DataFrame:
-    """A trigger as each window closes. The open window waits for the watermark."""
-    return scheduled_triggers(with_event_time(messages, delay), minutes)
+    """A trigger as each window closes. The open window waits for the watermark.
+
+    ``closes_at`` is the window's own event time, which carries the watermark on.
+    """
+    return scheduled_triggers(with_event_time(messages, delay), minutes, with_event_time=True)
 
 
 def interval_scan_stream(
@@ -30,17 +33,16 @@ def interval_scan_stream(
 ) -> DataFrame:
     """Messages of the look-back before each trigger, both sides streaming.
 
-    The time bound lets Spark drop state on both sides as the watermarks pass; a
-    message later than the watermark joins nothing.
+    ``triggers`` carry a watermark already: scheduled ones on ``closes_at``, others on
+    ``triggered_at`` from ``with_event_time(triggers, column="triggered_at")``. The
+    time bound lets Spark drop state on both sides as the watermarks pass; a message
+    later than the watermark joins nothing.
     """
-    t = triggers.withWatermark("triggered_at", delay)
     m = with_event_time(messages, delay)
-    return m.join(
-        t,
-        F.expr(
-            f"topic = source_topic AND event_time >= triggered_at - INTERVAL {minutes} MINUTES AND event_time <= triggered_at"
-        ),
-    )
+    # A window's event time is one microsecond before its end.
+    at = "(closes_at + INTERVAL 1 MICROSECOND)" if "closes_at" in triggers.columns else "triggered_at"
+    bound = f"topic = source_topic AND event_time >= {at} - INTERVAL {minutes} MINUTES AND event_time <= {at}"
+    return m.join(triggers, F.expr(bound))
 
 
 class _VersionWatch(StatefulProcessor):

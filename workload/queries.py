@@ -721,7 +721,7 @@ SELECT 'scheduled' AS trigger_type, source_topic, {stamp('ends')} AS triggered_a
 WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL '10 seconds'""")
 def stream_scheduled_triggers(spark, sf):
     rows = _finished(spark, stream_scan.scheduled_trigger_stream(_event_stream(spark, sf)))
-    return rows.withColumn("triggered_at", when("triggered_at"))
+    return rows.select("trigger_type", "source_topic", when("triggered_at").alias("triggered_at"))
 
 
 @query(f"""WITH {detections('events')}
