@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscan.functions.taxonomy import DEFAULT_TAG, ENTITY_TAG
-from fieldscan.functions.text import quoted, spans_sql
+from fieldscan.functions.text import plain_text, quoted, spans_sql
 
 # Fixed value: ISO country codes accepted in positions 5-6 of a bank code.
 SWIFT_COUNTRIES = """
@@ -31,13 +31,19 @@ CONTEXT_CHARS = 256
 
 @dataclass(frozen=True)
 class Pattern:
-    """One detector row. ``gate`` is a cheap test that must hold before the scan:
-    ``("contains", literal)`` or ``("like", regex)``; ``None`` scans always."""
+    """One detector row.
+
+    ``hint`` and ``gate`` are cheap tests that must hold before the scan. ``hint``
+    reads the original text: ``"digit"`` wants an ASCII digit, ``"capitals"`` six
+    ASCII capitals in a row, ``"A|B"`` one of the literals. ``gate`` is a regex over the plain text. Without them a row scans
+    every text.
+    """
 
     entity_type: str
     regex: str
     score: float
-    gate: tuple[str, str] | None = None
+    hint: str | None = None
+    gate: str | None = None
     context: tuple[str, ...] = ()
     check: str | None = None
     language: str = "en"
@@ -46,37 +52,38 @@ class Pattern:
 
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_DIGITS = ("like", "[0-9]{6}")
+_SIX = "[0-9]{6}"
+_HINT_REGEX = {"digit": "[0-9]", "capitals": "[A-Z]{6}"}
 
 # Detector patterns and scores. Every regex stays inside the
 # subset that java.util.regex and RE2 read alike.
 PATTERNS = [
-    Pattern("IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}([A-Z0-9]?){0,16}\b", 0.95, _DIGITS),
-    Pattern("SWIFT_CODE", r"\b[A-Z]{4}(?:" + "|".join(SWIFT_COUNTRIES) + r")[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", 0.90, ("like", "[A-Z]{6}[A-Z0-9]{2}")),
-    Pattern("CRYPTO_WALLET", r"\b0x[a-fA-F0-9]{40}\b", 0.90, ("like", "[a-zA-Z0-9]{26}")),
-    Pattern("CRYPTO_WALLET", r"\b(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,62}\b", 0.85, ("like", "[a-zA-Z0-9]{26}")),
-    Pattern("NATIONAL_PROVIDER_ID", r"\b[12][0-9]{9}\b", 0.55, _DIGITS),
-    Pattern("DEA_NUMBER", r"\b[A-Z]{2}[0-9]{7}\b", 0.75, _DIGITS),
-    Pattern("HEALTH_INSURANCE", r"\b[1-9][A-Z0-9]{10}\b", 0.65, ("like", "[A-Z0-9]{8}")),
-    Pattern("HEALTH_INSURANCE", r"\b[A-Z]{2,4}[0-9]{6,12}\b", 0.50, ("like", "[A-Z0-9]{8}")),
-    Pattern("BANK_ACCOUNT", r"\b[0-9]{8,17}\b", 0.15, _DIGITS, context=tuple(BANK_WORDS)),
-    Pattern("US_BANK_ROUTING", r"\b0[0-9]{8}\b|\b[1-9][0-9]{8}\b", 0.60, _DIGITS),
+    Pattern("IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}([A-Z0-9]?){0,16}\b", 0.95, "digit", _SIX),
+    Pattern("SWIFT_CODE", r"\b[A-Z]{4}(?:" + "|".join(SWIFT_COUNTRIES) + r")[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", 0.90, "capitals", "[A-Z]{6}[A-Z0-9]{2}"),
+    Pattern("CRYPTO_WALLET", r"\b0x[a-fA-F0-9]{40}\b", 0.90, "digit", "(?:0x|bc1|[13])[a-zA-Z0-9]{25}"),
+    Pattern("CRYPTO_WALLET", r"\b(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,62}\b", 0.85, "digit", "(?:0x|bc1|[13])[a-zA-Z0-9]{25}"),
+    Pattern("NATIONAL_PROVIDER_ID", r"\b[12][0-9]{9}\b", 0.55, "digit", _SIX),
+    Pattern("DEA_NUMBER", r"\b[A-Z]{2}[0-9]{7}\b", 0.75, "digit", _SIX),
+    Pattern("HEALTH_INSURANCE", r"\b[1-9][A-Z0-9]{10}\b", 0.65, "digit", "[1-9][A-Z0-9]{10}|[0-9]{6}"),
+    Pattern("HEALTH_INSURANCE", r"\b[A-Z]{2,4}[0-9]{6,12}\b", 0.50, "digit", "[1-9][A-Z0-9]{10}|[0-9]{6}"),
+    Pattern("BANK_ACCOUNT", r"\b[0-9]{8,17}\b", 0.15, "digit", _SIX, context=tuple(BANK_WORDS)),
+    Pattern("US_BANK_ROUTING", r"\b0[0-9]{8}\b|\b[1-9][0-9]{8}\b", 0.60, "digit", _SIX),
     # Detectors the reference takes from a library: our own specification.
-    Pattern("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b", 1.0, ("contains", "@")),
-    Pattern("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b", 0.40, ("like", "[0-9]{3}[ .-][0-9]{4}"), context=("phone", "telephone", "cell", "mobile", "call", "fax")),
-    Pattern("US_SSN", r"\b[0-9]{3}[- .][0-9]{2}[- .][0-9]{4}\b", 0.50, ("like", "[0-9][- .][0-9]{2}[- .][0-9]{4}"), context=("social", "security", "ssn", "ssns")),
-    Pattern("CREDIT_CARD", r"\b[3-6][0-9]{3}[- ]?[0-9]{3,4}[- ]?[0-9]{3,4}[- ]?[0-9]{3,5}\b", 1.0, ("like", "[0-9]{4}[- ]?[0-9]{3}"), check="luhn"),
-    Pattern("IP_ADDRESS", rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", 0.60, ("like", r"[0-9]\.[0-9]{1,3}\.[0-9]"), context=("ip", "ipv4", "ipv6")),
-    Pattern("AWS_ACCESS_KEY", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", 0.95, ("like", "A[KS]IA[A-Z0-9]{16}")),
-    Pattern("JWT_TOKEN", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{2,}", 0.95, ("contains", "eyJ")),
-    Pattern("PRIVATE_KEY", r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----", 0.95, ("contains", "PRIVATE KEY-----")),
-    Pattern("CONNECTION_STRING", r"\b(?:postgres|postgresql|mysql|mariadb|mongodb|mongodb\+srv|redis|amqp|amqps|sqlserver|oracle)://[^ \t\n\r\"'<>]+", 0.90, ("contains", "://")),
-    Pattern("API_KEY", r"\b(?:sk|pk|rk|ak)[-_](?:live[-_]|test[-_])?[A-Za-z0-9]{16,}\b", 0.90, ("like", "[spra]k[-_][a-zA-Z0-9]{4}")),
-    Pattern("ACCESS_TOKEN", r"\bgh[pousr]_[A-Za-z0-9]{36}\b", 0.95, ("like", "gh[pousr]_|[Bb]earer |token")),
-    Pattern("ACCESS_TOKEN", r"\b[Bb]earer [A-Za-z0-9._~+/-]{20,}", 0.80, ("like", "gh[pousr]_|[Bb]earer |token")),
-    Pattern("ACCESS_TOKEN", r"\b(?:[a-z]+_)?token ?[=:] ?[\"']?[A-Za-z0-9._-]{20,}", 0.75, ("like", "gh[pousr]_|[Bb]earer |token")),
-    Pattern("SECRET_KEY", r"\b(?:[a-z]+_)?secret(?:_key)? ?[=:] ?[\"']?[A-Za-z0-9/+=_-]{16,}", 0.75, ("contains", "secret")),
-    Pattern("PASSWORD", r"\b(?:password|passwd|pwd) ?[=:] ?[\"']?[^ \t\n\r\"']{4,}", 0.75, ("like", "passw|pwd")),
+    Pattern("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b", 1.0, "@"),
+    Pattern("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b", 0.40, "digit", "[0-9]{3}[ .-][0-9]{4}", context=("phone", "telephone", "cell", "mobile", "call", "fax")),
+    Pattern("US_SSN", r"\b[0-9]{3}[- .][0-9]{2}[- .][0-9]{4}\b", 0.50, "digit", "[0-9][- .][0-9]{2}[- .][0-9]{4}", context=("social", "security", "ssn", "ssns")),
+    Pattern("CREDIT_CARD", r"\b[3-6][0-9]{3}[- ]?[0-9]{3,4}[- ]?[0-9]{3,4}[- ]?[0-9]{3,5}\b", 1.0, "digit", "[0-9]{4}[- ]?[0-9]{3}", check="luhn"),
+    Pattern("IP_ADDRESS", rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", 0.60, "digit", r"[0-9]\.[0-9]{1,3}\.[0-9]", context=("ip", "ipv4", "ipv6")),
+    Pattern("AWS_ACCESS_KEY", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", 0.95, "AKIA|ASIA"),
+    Pattern("JWT_TOKEN", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{2,}", 0.95, "eyJ"),
+    Pattern("PRIVATE_KEY", r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----", 0.95, "-----BEGIN"),
+    Pattern("CONNECTION_STRING", r"\b(?:postgres|postgresql|mysql|mariadb|mongodb|mongodb\+srv|redis|amqp|amqps|sqlserver|oracle)://[^ \t\n\r\"'<>]+", 0.90, "://"),
+    Pattern("API_KEY", r"\b(?:sk|pk|rk|ak)[-_](?:live[-_]|test[-_])?[A-Za-z0-9]{16,}\b", 0.90, "sk|pk|rk|ak", "[spra]k[-_][a-zA-Z0-9]{4}"),
+    Pattern("ACCESS_TOKEN", r"\bgh[pousr]_[A-Za-z0-9]{36}\b", 0.95, "ghp|gho|ghu|ghs|ghr|earer|token"),
+    Pattern("ACCESS_TOKEN", r"\b[Bb]earer [A-Za-z0-9._~+/-]{20,}", 0.80, "ghp|gho|ghu|ghs|ghr|earer|token"),
+    Pattern("ACCESS_TOKEN", r"\b(?:[a-z]+_)?token ?[=:] ?[\"']?[A-Za-z0-9._-]{20,}", 0.75, "ghp|gho|ghu|ghs|ghr|earer|token"),
+    Pattern("SECRET_KEY", r"\b(?:[a-z]+_)?secret(?:_key)? ?[=:] ?[\"']?[A-Za-z0-9/+=_-]{16,}", 0.75, "secret"),
+    Pattern("PASSWORD", r"\b(?:password|passwd|pwd) ?[=:] ?[\"']?[^ \t\n\r\"']{4,}", 0.75, "passw|pwd"),
 ]
 
 HIT = "struct<down:double,start:int,ord:int,stop:int,hit:string,entity_type:string,tag:string,score:double,layer:int,source:string>"
@@ -106,9 +113,10 @@ def context_sql(text: str, start: str) -> str:
     return f"lower(substring_index(translate({near}, '\\t\\n\\r', '   '), ' ', -{CONTEXT_WORDS + 1}))"
 
 
-def _gate_sql(text: str, group: list[Pattern]) -> str:
-    kind, what = group[0].gate or ("like", joined_regex(group))
-    return f"contains({text}, {quoted(what)})" if kind == "contains" else f"{text} RLIKE {quoted(what)}"
+def _hint_sql(value: str, hint: str) -> str:
+    if hint in _HINT_REGEX:
+        return f"{value} RLIKE {quoted(_HINT_REGEX[hint])}"
+    return "(" + " OR ".join(f"contains({value}, {quoted(w)})" for w in hint.split("|")) + ")"
 
 
 def _score_sql(text: str, group: list[Pattern]) -> str:
@@ -133,17 +141,52 @@ def group_sql(text: str, group: list[Pattern], order: int, extra_tags=None) -> s
     spans = spans_sql(text, joined_regex(group))
     if any(p.check == "luhn" for p in group):
         spans = f"filter({spans}, m -> luhn_check(regexp_replace(m.hit, '[^0-9]', '')))"
-    hit = f"""struct(-score AS down, m.start AS start, {order} AS ord, m.start + length(m.hit) AS stop,
-        m.hit AS hit, {quoted(entity)} AS entity_type, {quoted(tag)} AS tag, score AS score,
-        {group[0].layer} AS layer, {quoted(group[0].source)} AS source)"""
-    built = f"transform({spans}, m -> transform(array({_score_sql(text, group)}), score -> {hit})[0])"
-    return f"CASE WHEN {_gate_sql(text, group)} THEN {built} ELSE {NO_HITS} END"
+    score = _score_sql(text, group)
+
+    def hit(score: str) -> str:
+        return f"""struct(-{score} AS down, m.start AS start, {order} AS ord, m.start + length(m.hit) AS stop,
+            m.hit AS hit, {quoted(entity)} AS entity_type, {quoted(tag)} AS tag, {score} AS score,
+            {group[0].layer} AS layer, {quoted(group[0].source)} AS source)"""
+
+    if score == f"{group[0].score}D":
+        return f"transform({spans}, m -> {hit(score)})"
+    return f"transform({spans}, m -> transform(array({score}), score -> {hit('score')})[0])"
 
 
-def pattern_hits(text: str, patterns=None, language: str = "en", extra_tags=None) -> Column:
-    """All hits of the plain text column ``text``, best score first, then by position.
+def with_pattern_hits(
+    df: DataFrame, value: str = "value", out: str = "hits", patterns=None, language: str = "en", wanted: Column | None = None, extra_tags=None
+) -> DataFrame:
+    """Add ``out``: all hits of ``value``, best score first, then by position; and
+    ``plain``, the text they were found in (null where no test passed).
 
-    One scan per entity type, behind a cheap test of the whole text."""
+    Tests run from cheap to dear, each its own column: literals and digits in the
+    original text, then one short regex per distinct gate, and only then the scan,
+    one per entity type. Most texts of most tables stop at the first.
+    """
     groups = by_entity(PATTERNS if patterns is None else patterns, language)
-    parts = [NO_HITS, *(group_sql(text, g, i, extra_tags) for i, g in enumerate(groups))]
-    return F.array_sort(F.expr(f"concat({', '.join(parts)})"))
+    if not groups:
+        return df.withColumn("plain", F.lit(None).cast("string")).withColumn(out, F.expr(NO_HITS))
+    keep = [c for c in df.columns if c != "plain"]
+    hints = {h: f"_hint{i}" for i, h in enumerate(dict.fromkeys(g[0].hint for g in groups))}
+    gates = {k: f"_gate{i}" for i, k in enumerate(dict.fromkeys((g[0].hint, g[0].gate) for g in groups))}
+    first = {c: F.expr(_hint_sql(value, h) if h else f"{value} IS NOT NULL") for h, c in hints.items()}
+    if wanted is not None:
+        first = {c: wanted & test for c, test in first.items()}
+    hinted = df.select(*keep, *[test.alias(c) for c, test in first.items()])
+    texts = hinted.select(
+        "*", F.when(F.expr(" OR ".join(hints.values())), plain_text(F.col(value))).alias("plain")
+    )
+    gated = texts.select(
+        *keep,
+        "plain",
+        *[
+            F.expr(f"{hints[h]} AND plain RLIKE {quoted(g)}" if g else hints[h]).alias(c)
+            for (h, g), c in gates.items()
+        ],
+    )
+    parts = [
+        f"CASE WHEN {gates[(g[0].hint, g[0].gate)]} THEN {group_sql('plain', g, i, extra_tags)} ELSE {NO_HITS} END"
+        for i, g in enumerate(groups)
+    ]
+    found = F.expr(f"array_sort(concat({', '.join([NO_HITS, *parts])}))")
+    return gated.select(*keep, "plain", F.when(F.expr(" OR ".join(gates.values())), found).otherwise(F.expr(NO_HITS)).alias(out))

@@ -75,13 +75,11 @@ def spans_sql(text: str, regex: str) -> str:
 
     ``start`` is the running sum of the gaps and matches before it. The sum runs
     over blocks of 64 so that a text with very many matches does not cost the
-    square of their number. Each ``transform(array(x), v -> ...)[0]`` names a
-    value that is used more than once.
+    square of their number; a lone match needs no sum. Each
+    ``transform(array(x), v -> ...)[0]`` names a value that is used more than once.
     """
     rx = quoted(regex)
-    found = f"""struct(
-        regexp_extract_all({text}, {rx}, 0) AS hits,
-        transform(split({text}, {rx}, -1), g -> length(g)) AS gaps)"""
+    gaps = f"transform(split({text}, {rx}, -1), g -> length(g))"
     widths = "transform(s.hits, (h, i) -> s.gaps[i] + length(h))"
     blocks = f"""transform(sequence(0, cast(size(w) div {_BLOCK} AS int)),
         k -> aggregate(slice(w, k * {_BLOCK} + 1, {_BLOCK}), 0, (a, x) -> a + x))"""
@@ -89,10 +87,13 @@ def spans_sql(text: str, regex: str) -> str:
         aggregate(slice(b, 1, cast(i div {_BLOCK} AS int)), 0, (a, x) -> a + x)
         + aggregate(slice(w, cast(i div {_BLOCK} AS int) * {_BLOCK} + 1, i % {_BLOCK}), 0, (a, x) -> a + x)
         + s.gaps[i] AS start, h AS hit))"""
-    return f"""transform(array({found}),
+    many = f"""transform(array(struct(hits, {gaps} AS gaps)),
         s -> transform(array({widths}),
         w -> transform(array({blocks}),
         b -> {place})[0])[0])[0]"""
+    one = f"array(struct(regexp_instr({text}, {rx}) - 1 AS start, hits[0] AS hit))"
+    return f"""transform(array(regexp_extract_all({text}, {rx}, 0)), hits -> CASE size(hits)
+        WHEN 0 THEN cast(array() AS array<struct<start:int,hit:string>>) WHEN 1 THEN {one} ELSE {many} END)[0]"""
 
 
 def match_spans(text: str, regex: str) -> Column:

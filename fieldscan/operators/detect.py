@@ -14,9 +14,9 @@ from fieldscan.functions.names import (
     name_hits,
     word_runs,
 )
-from fieldscan.functions.patterns import NO_HITS, Pattern, pattern_hits
+from fieldscan.functions.patterns import Pattern, with_pattern_hits
 from fieldscan.functions.taxonomy import clamp_layer_value
-from fieldscan.functions.text import leaf_name, name_words, plain_text
+from fieldscan.functions.text import leaf_name, name_words
 
 DETECTION = (
     "struct<entity_type:string,tag:string,score:double,start:int,end:int,"
@@ -92,23 +92,19 @@ def detect(
     rows = with_name_columns(flat, dictionary)
     if exclude_names:
         rows = rows.where(~F.col("leaf").isin(*exclude_names))
-    value, plain = F.col("value"), F.col("plain")
+    value = F.col("value")
     rows = rows.withColumn("is_free_text", free_text(F.col("words"), value, F.col("name_hits")))
     lists = [_from_names(value, F.col("name_hits"))]
     if layers >= 2:
-        rows = rows.withColumn("plain", plain_text(value)).withColumn(
-            "hits2", pattern_hits("plain", patterns, language)
-        )
-        lists.append(_from_patterns(value, plain, F.col("hits2")))
+        rows = with_pattern_hits(rows, "value", "hits2", patterns, language)
+        rows = rows.withColumn("found2", _from_patterns(value, F.col("plain"), F.col("hits2")))
+        lists.append(F.col("found2"))
     if layers >= 3:
         wanted = F.col("is_free_text") if layer3_free_text_only else F.lit(True)
         nothing = F.array().cast(f"array<{DETECTION}>")
         if phrases:
-            rows = rows.withColumn(
-                "hits3",
-                F.when(wanted, pattern_hits("plain", phrases, language)).otherwise(F.expr(NO_HITS)),
-            )
-            lists.append(_from_patterns(value, plain, F.col("hits3")))
+            rows = with_pattern_hits(rows, "value", "hits3", phrases, language, wanted)
+            lists.append(_from_patterns(value, F.col("plain"), F.col("hits3")))
         for recognizer in recognizers or []:
             lists.append(F.coalesce(recognizer(F.when(wanted, value)).cast(f"array<{DETECTION}>"), nothing))
     return rows.select(*keep, "field_path", "value", "is_free_text", F.concat(*lists).alias("detections"))

@@ -41,6 +41,8 @@ def gazetteer_patterns(phrases: list[tuple[str, str]] | None = None, score: floa
             entity,
             r"\b(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in sorted(ps, key=lambda p: (-len(p), p))) + r")\b",
             score,
+            # The longest word of a phrase occurs wherever the phrase does.
+            hint="|".join(dict.fromkeys(max(p.split(), key=len) for p in ps)),
             layer=3,
             source="ai_model",
         )
@@ -48,51 +50,41 @@ def gazetteer_patterns(phrases: list[tuple[str, str]] | None = None, score: floa
     ]
 
 
-def gazetteer(flat: DataFrame, phrases: DataFrame, ids: list[str], longest: int = 4, small_rows: int = 1_000_000) -> DataFrame:
+def gazetteer(flat: DataFrame, phrases: DataFrame, ids: list[str], small_rows: int = 1_000_000) -> DataFrame:
     """Phrase table hits ``ids + (field_path, entity_type, tag, score, start, end, text_snippet)``.
 
-    Every run of up to ``longest`` words of a value is looked up, without regard
-    to case, in ``phrases(phrase, label, score)``. Only ids and word runs travel,
-    never the value. The phrase side is broadcast only after its rows were counted
-    to be few; a larger one is joined by shuffle, where AQE splits hot words.
+    Word runs of a value, of every length the table ``phrases(phrase, label, score)``
+    has, are looked up without regard to case. Only ids and word runs travel, never
+    the value. The phrase side is broadcast only after its rows were counted to be
+    few; a larger one is joined by shuffle, where AQE splits hot words.
     """
     labels = literal_map(ner_labels())
     known = phrases.select(
         F.lower(F.trim(F.regexp_replace("phrase", "[^A-Za-z0-9]+", " "))).alias("run"),
         F.try_element_at(labels, F.col("label")).alias("entity_type"),
         F.col("score"),
-    ).where(F.col("entity_type").isNotNull())
+    ).where(F.col("entity_type").isNotNull() & (F.col("run") != ""))
     known = known.groupBy("run", "entity_type").agg(F.max("score").alias("score"))
-    if known.limit(small_rows + 1).count() <= small_rows:
+    sizes = known.groupBy(F.size(F.split("run", " ")).alias("n")).agg(F.count(F.lit(1)).alias("phrases")).collect()
+    if sum(r["phrases"] for r in sizes) <= small_rows:
         known = F.broadcast(known)
-    words = flat.withColumn("plain", plain_text(F.col("value"))).withColumn(
-        "spans", match_spans("plain", "[A-Za-z0-9]+")
+    lengths = sorted(r["n"] for r in sizes) or [1]
+    words = flat.select(*ids, "field_path", F.lower(plain_text(F.col("value"))).alias("plain")).select(
+        *ids, "field_path", match_spans("plain", "[a-z0-9]+").alias("spans")
     )
-    spans = F.col("spans")
-
-    def run_at(i: Column, n: Column) -> Column:
-        part = F.slice(spans, i + 1, n)
-        last = F.get(spans, i + n - 1)
-        return F.struct(
-            F.lower(F.array_join(F.transform(part, lambda s: s["hit"]), " ")).alias("run"),
-            F.get(spans, i)["start"].alias("start"),
-            (last["start"] + F.length(last["hit"])).alias("end"),
-        )
-
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size(spans) - 1),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.size(spans) - i)), lambda n: run_at(i, n)
-            ),
-        )
+    # Row i holds word i and the words after it, side by side.
+    shifted = [F.slice("spans", k + 1, F.size("spans")).alias(f"w{k}") for k in range(lengths[-1])]
+    rows = words.select(*ids, "field_path", *shifted).select(
+        *ids, "field_path", F.inline(F.arrays_zip(*[f"w{k}" for k in range(lengths[-1])]))
     )
-    rows = (
-        words.where(F.size("spans") > 0)
-        .select(*ids, "field_path", F.explode(runs).alias("r"))
-        .select(*ids, "field_path", "r.*")
-    )
-    return rows.join(known, "run").select(
+
+    def run_of(n: int) -> Column:
+        last = F.col(f"w{n - 1}")
+        run = F.when(last.isNotNull(), F.concat_ws(" ", *[F.col(f"w{k}.hit") for k in range(n)]))
+        return F.struct(run.alias("run"), F.col("w0.start").alias("start"), (last["start"] + F.length(last["hit"])).alias("end"))
+
+    runs = rows.select(*ids, "field_path", F.inline(F.array(*[run_of(n) for n in lengths])))
+    return runs.join(known, "run").select(
         *ids, "field_path", "entity_type", tag_of(F.col("entity_type")).alias("tag"), "score", "start", "end",
         F.col("run").alias("text_snippet"),
     )

@@ -267,7 +267,7 @@ def gazetteer_entities(spark, sf):
     flat_rows = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").cast("string").alias("msg_id"), F.lit("comment").alias("field_path"), F.col("text").alias("value")
     )
-    hits = entities.gazetteer(flat_rows, _phrases(spark, sf), ["msg_id"], longest=3)
+    hits = entities.gazetteer(flat_rows, _phrases(spark, sf), ["msg_id"])
     return hits.groupBy("msg_id", "field_path", "entity_type", "tag", "text_snippet").agg(F.count(F.lit(1)).alias("n"))
 
 
