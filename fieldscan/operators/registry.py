@@ -64,7 +64,7 @@ def _fields_of(text: str | None, kind: str | None) -> list[tuple[str, list[str]]
     merged: dict[str, list[str]] = {}
     try:
         for path, tags in _READERS[(kind or "AVRO").upper()](json.loads(text)):
-            merged[path] = [*merged.get(path, []), *[t for t in tags if t not in merged.get(path, [])]]
+            merged[path] = list(dict.fromkeys([*merged.get(path, []), *tags]))
     except (KeyError, TypeError, ValueError, AttributeError):
         return []
     return list(merged.items())

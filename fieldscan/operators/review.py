@@ -27,6 +27,11 @@ REPLACED = ["confidence", "confidence_tier", "entity_type", "schema_id", "layer"
 BULK_CONFIDENCE = 0.85
 
 
+def _moment(now) -> Column:
+    """A time given as text, datetime or column."""
+    return F.lit(now).cast("timestamp")
+
+
 def rec_id(topic: str = "topic", path: str = "field_path", tag: str = "proposed_tag") -> Column:
     return F.sha2(F.concat_ws("\x1f", topic, path, tag), 256)
 
@@ -64,7 +69,7 @@ def from_results(results: DataFrame) -> DataFrame:
     )
 
 
-def upsert(recs: DataFrame | None, incoming: DataFrame, now: Column) -> DataFrame:
+def upsert(recs: DataFrame | None, incoming: DataFrame, now) -> DataFrame:
     """Next snapshot after a batch of detections.
 
     The batch shrinks to its best row per key first (partial on the map side), so
@@ -80,7 +85,7 @@ def upsert(recs: DataFrame | None, incoming: DataFrame, now: Column) -> DataFram
     new = best.select(
         rec_id().alias("id"), *best.columns,
         confidence_tier(F.col("confidence")).alias("confidence_tier"),
-        F.lit("PENDING").alias("status"), now.cast("timestamp").alias("created_at"),
+        F.lit("PENDING").alias("status"), _moment(now).alias("created_at"),
         F.lit(None).cast("timestamp").alias("reviewed_at"), F.lit(None).cast("string").alias("reviewed_by"),
     ).select(*COLUMNS)
     if recs is None:
@@ -169,14 +174,14 @@ def _bulk(min_confidence: float, topic: str | None, tag: str | None) -> Column:
 
 
 def bulk_stage(
-    recs: DataFrame, now: Column, min_confidence: float = BULK_CONFIDENCE, topic: str | None = None, tag: str | None = None
+    recs: DataFrame, now, min_confidence: float = BULK_CONFIDENCE, topic: str | None = None, tag: str | None = None
 ) -> DataFrame:
     """Stage every pending row at or over a confidence, of one topic or tag if named."""
     hit = _bulk(min_confidence, topic, tag)
     return recs.withColumns(
         {
             "status": F.when(hit, "STAGED").otherwise(F.col("status")),
-            "reviewed_at": F.when(hit, now.cast("timestamp")).otherwise(F.col("reviewed_at")),
+            "reviewed_at": F.when(hit, _moment(now)).otherwise(F.col("reviewed_at")),
         }
     )
 
@@ -192,7 +197,7 @@ def submit_staged(
     schemas: DataFrame,
     fields: DataFrame,
     cluster: str,
-    now: Column,
+    now,
     reviewer: str | None = None,
     pushed: bool = True,
     strict_paths: bool = False,
@@ -216,7 +221,7 @@ def submit_staged(
         *[
             {
                 "status": F.when(out, "REJECTED").when(passed, "APPROVED").otherwise(F.col("status")),
-                "reviewed_at": F.when(out | passed, now.cast("timestamp")).otherwise(F.col("reviewed_at")),
+                "reviewed_at": F.when(out | passed, _moment(now)).otherwise(F.col("reviewed_at")),
                 "reviewed_by": F.when(out, F.concat(F.lit("auto: "), "dropped_for"))
                 .when(passed, F.lit(reviewer))
                 .otherwise(F.col("reviewed_by")),

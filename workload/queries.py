@@ -543,8 +543,8 @@ def stamp_schema(spark, sf):
 
 # ---- review -----------------------------------------------------------------
 
-def _now(day: int):
-    return F.lit(f"2024-02-{day:02d} 00:00:00").cast("timestamp")
+def _now(day: int) -> str:
+    return f"2024-02-{day:02d} 00:00:00"
 
 
 def recs_of(spark, sf):
