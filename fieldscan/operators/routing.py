@@ -6,28 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldscan.operators.rollup import tag_list
-from fieldscan.plans.classify import CLASSIFIER_VERSION, classify, classify_fields
+from fieldscan.plans.classify import CLASSIFIER_VERSION, classify_fields, detect_messages
 
 # Names of the sinks.
 CLASSIFIED, SAFE, AUDIT = "classified-messages", "classified-safe", "classification-audit"
 
 
-def message_classes(detections: DataFrame, ids: list[str]) -> DataFrame:
-    """Per message: sorted tags, entity types and the map of field to detections."""
-    entity = F.struct(
-        "entity_type", "tag", "score", "start", "end", "text_snippet", "layer", "source", "is_free_text"
+def message_classes(detected: DataFrame, ids: list[str]) -> DataFrame:
+    """Per message: sorted tags, entity types and the map of field to detections.
+
+    Takes ``detect``'s rows, lists and all. The leaves of a message lie in one
+    partition, so the partial aggregate leaves one row per message to shuffle.
+    """
+    field = F.struct(
+        "field_path",
+        F.transform("detections", lambda d: d.withField("is_free_text", F.col("is_free_text"))).alias("es"),
     )
-    fields = detections.groupBy(*ids, "field_path").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rank"), entity.alias("e")))).alias("es"),
+    found = F.array_sort(F.collect_list(F.when(F.size("detections") > 0, field)))
+    per_message = detected.groupBy(*ids).agg(found.alias("found"))
+    paths = F.array_distinct(F.transform("found", lambda f: f["field_path"]))
+    # Two spellings can flatten to one path; their lists are then joined.
+    joined = F.map_from_arrays(
+        paths,
+        F.transform(
+            paths, lambda p: F.flatten(F.transform(F.filter("found", lambda f: f["field_path"] == p), lambda f: f["es"]))
+        ),
     )
-    found = F.struct("field_path", F.transform("es", lambda x: x["e"]).alias("es"))
-    per_message = fields.groupBy(*ids).agg(F.map_from_entries(F.array_sort(F.collect_list(found))).alias("detected_entities"))
-    entities = F.flatten(F.map_values("detected_entities"))
+    entities = F.flatten(F.transform("found", lambda f: f["es"]))
     return per_message.select(
         *ids,
         F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["tag"]))).alias("tags"),
         F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["entity_type"]))).alias("entity_types_found"),
-        "detected_entities",
+        F.when(F.size(paths) == F.size("found"), F.map_from_entries("found")).otherwise(joined).alias("detected_entities"),
     )
 
 
@@ -38,7 +48,7 @@ def route(messages: DataFrame, ids: list[str], max_layer: int = 3, **options) ->
     itself moves only for the join back, and not even then where Spark can
     broadcast the classes.
     """
-    classes = message_classes(classify(messages, ids, max_layer, **options), ids)
+    classes = message_classes(detect_messages(messages, ids, max_layer, **options), ids)
     none = F.array().cast("array<string>")
     routed = (
         messages.join(classes, ids, "left")

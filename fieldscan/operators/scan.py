@@ -61,28 +61,46 @@ def all_triggers(*producers: DataFrame) -> DataFrame:
     return first
 
 
-def interval_scan(triggers: DataFrame, messages: DataFrame, minutes: int = SAMPLE_MINUTES, salts: int = 8) -> DataFrame:
-    """Messages of the ``minutes`` before each trigger, both ends included (batch).
+def scan_keys(triggers: DataFrame, messages: DataFrame, minutes: int, salts: int) -> tuple[DataFrame, DataFrame]:
+    """(triggers, messages) with equi-join keys ``bucket`` and ``slot`` for a look-back.
 
     Messages fall into buckets of the look-back length and each trigger visits the
-    two it can reach, so this is an equi join and never a nested loop. Messages of
-    one topic and bucket are dealt over ``salts`` slots, and triggers copied to
-    each, so a topic with a third of all messages does not land in one task.
+    two it can reach. Messages of one topic and bucket are dealt over ``salts``
+    slots, and triggers copied to each, so that a topic with a third of all
+    messages does not land in one task.
     """
     width = minutes * 60 * 1_000_000
+
+    def bucket(column: str):
+        return F.floor(F.unix_micros(column) / F.lit(width))
+
     slot = F.pmod(F.xxhash64(*[c for c, t in messages.dtypes if t != "variant"]), F.lit(salts)).cast("int")
-    m = messages.withColumn("bucket", F.floor(F.unix_micros("event_time") / F.lit(width))).withColumn("slot", slot)
-    at = F.floor(F.unix_micros("triggered_at") / F.lit(width))
-    t = (
-        triggers.select(*TRIGGER)
-        .withColumn("bucket", F.explode(F.array(at, at - 1)))
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    m = messages.withColumn("bucket", bucket("event_time")).withColumn("slot", slot)
+    at = bucket("triggered_at")
+    t = triggers.withColumn("at_bucket", F.explode(F.array(at, at - 1))).withColumn(
+        "at_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
+    return t, m
+
+
+def interval_scan(
+    triggers: DataFrame, messages: DataFrame, minutes: int = SAMPLE_MINUTES, salts: int = 8, small_rows: int = 200_000
+) -> DataFrame:
+    """Messages of the ``minutes`` before each trigger, both ends included (batch).
+
+    Always an equi join, never a nested loop. When the triggers were counted to be
+    few they are broadcast and no message moves; else both sides shuffle by topic,
+    bucket and slot.
+    """
+    triggers = triggers.select(*TRIGGER)
+    few = triggers.limit(small_rows + 1).count() <= small_rows
+    t, m = scan_keys(triggers, messages, minutes, 1 if few else salts)
     near = F.unix_micros("triggered_at") - F.unix_micros("event_time")
+    keys = (F.col("topic") == F.col("source_topic")) & (F.col("bucket") == F.col("at_bucket")) & (F.col("slot") == F.col("at_slot"))
     return (
-        m.join(t, (m["topic"] == t["source_topic"]) & (m["bucket"] == t["bucket"]) & (m["slot"] == t["slot"]))
-        .where(near.between(0, width))
-        .drop("bucket", "slot")
+        m.join(F.broadcast(t) if few else t, keys)
+        .where(near.between(0, minutes * 60 * 1_000_000))
+        .drop("bucket", "slot", "at_bucket", "at_slot")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fieldscan.operators.scan import SAMPLE_MINUTES, SCAN_MINUTES, scheduled_triggers
+from fieldscan.operators.scan import SAMPLE_MINUTES, SCAN_MINUTES, scan_keys, scheduled_triggers
 
 # How late a trigger may come, and the seconds between two checks.
 TRIGGER_DELAY = "10 seconds"
@@ -29,20 +29,21 @@ def scheduled_trigger_stream(messages: DataFrame, minutes: int = SCAN_MINUTES, d
 
 
 def interval_scan_stream(
-    triggers: DataFrame, messages: DataFrame, minutes: int = SAMPLE_MINUTES, delay: str = TRIGGER_DELAY
+    triggers: DataFrame, messages: DataFrame, minutes: int = SAMPLE_MINUTES, delay: str = TRIGGER_DELAY, salts: int = 8
 ) -> DataFrame:
     """Messages of the look-back before each trigger, both sides streaming.
 
     ``triggers`` carry a watermark already: scheduled ones on ``closes_at``, others on
-    ``triggered_at`` from ``with_event_time(triggers, column="triggered_at")``. The
-    time bound lets Spark drop state on both sides as the watermarks pass; a message
-    later than the watermark joins nothing.
+    ``triggered_at`` from ``with_event_time(triggers, column="triggered_at")``. State
+    is spread by topic, time bucket and slot, and the time bound lets Spark drop it
+    as the watermarks pass; a message later than the watermark joins nothing.
     """
-    m = with_event_time(messages, delay)
+    t, m = scan_keys(triggers, with_event_time(messages, delay), minutes, salts)
     # A window's event time is one microsecond before its end.
     at = "(closes_at + INTERVAL 1 MICROSECOND)" if "closes_at" in triggers.columns else "triggered_at"
-    bound = f"topic = source_topic AND event_time >= {at} - INTERVAL {minutes} MINUTES AND event_time <= {at}"
-    return m.join(triggers, F.expr(bound))
+    keys = "topic = source_topic AND bucket = at_bucket AND slot = at_slot"
+    bound = f"event_time >= {at} - INTERVAL {minutes} MINUTES AND event_time <= {at}"
+    return m.join(t, F.expr(f"{keys} AND {bound}")).drop("bucket", "slot", "at_bucket", "at_slot")
 
 
 class _VersionWatch(StatefulProcessor):
@@ -53,16 +54,20 @@ class _VersionWatch(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known, last = self._seen.get() if self._seen.exists() else (None, None)
-        fired = []
+        # A batch's checks shrink to one per second, so memory follows time, not rows.
+        checks: dict[pd.Timestamp, int] = {}
         for batch in rows:
-            for check in batch.sort_values("checked_at").itertuples(index=False):
-                at = pd.Timestamp(check.checked_at)
-                if last is not None and (at - pd.Timestamp(last)).total_seconds() < CHECK_SECONDS:
-                    continue
-                last = at.to_pydatetime()
-                if known is not None and check.version > known:
-                    fired.append((key[0], at))
-                known = check.version if known is None else max(known, int(check.version))
+            top = batch["version"].groupby(batch["checked_at"].dt.floor("s")).max()
+            for at, version in top.items():
+                checks[at] = max(int(version), checks.get(at, 0))
+        fired = []
+        for at in sorted(checks):
+            if last is not None and (at - pd.Timestamp(last)).total_seconds() < CHECK_SECONDS:
+                continue
+            last = at.to_pydatetime()
+            if known is not None and checks[at] > known:
+                fired.append((key[0], at))
+            known = max(checks[at], known or 0)
         if last is not None:
             self._seen.update((int(known), last))
         yield pd.DataFrame(fired, columns=["subject", "triggered_at"])

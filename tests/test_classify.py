@@ -95,6 +95,12 @@ def test_routing_keeps_every_readable_message(spark):
     assert audit["1"] == ["EMAIL_ADDRESS", "US_SSN"] and audit["2"] == []
 
 
+def test_two_spellings_of_one_path(spark):
+    df = spark.createDataFrame([("1", "k", '{"a.email":"x","a":{"email":"b@c.de"}}')], "msg_id string, key string, value string")
+    row = routing.route(df, ["msg_id"], 2).first()
+    assert [e["layer"] for e in row["detected_entities"]["a.email"]].count(1) == 2 and row["tags"] == ["PII"]
+
+
 def test_tag_list_keeps_repeats(spark):
     rows = spark.createDataFrame([("k", "PII")] * 3 + [("k", "PCI"), ("j", "PHI")], "key string, tag string")
     assert {r["key"]: r["tags"] for r in rollup.tag_list(rows, ["key"]).collect()} == {"k": "PCI,PII,PII,PII", "j": "PHI"}
