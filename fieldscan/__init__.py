@@ -1 +1,9 @@
 """fieldscan — finds and labels sensitive fields in tables and streams on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with the plan, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -68,7 +68,7 @@ PATTERNS = [
     Pattern("HEALTH_INSURANCE", r"\b[A-Z]{2,4}[0-9]{6,12}\b", 0.50, "digit", "[1-9][A-Z0-9]{10}|[0-9]{6}"),
     Pattern("BANK_ACCOUNT", r"\b[0-9]{8,17}\b", 0.15, "digit", _SIX, context=tuple(BANK_WORDS)),
     Pattern("US_BANK_ROUTING", r"\b0[0-9]{8}\b|\b[1-9][0-9]{8}\b", 0.60, "digit", _SIX),
-    # Detectors the reference takes from a library: our own specification.
+    # General detectors and secrets: our own specification.
     Pattern("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b", 1.0, "@"),
     Pattern("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b", 0.40, "digit", "[0-9]{3}[ .-][0-9]{4}", context=("phone", "telephone", "cell", "mobile", "call", "fax")),
     Pattern("US_SSN", r"\b[0-9]{3}[- .][0-9]{2}[- .][0-9]{4}\b", 0.50, "digit", "[0-9][- .][0-9]{2}[- .][0-9]{4}", context=("social", "security", "ssn", "ssns")),

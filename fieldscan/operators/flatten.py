@@ -26,16 +26,11 @@ def flatten_variant(
     """
     children = records.sparkSession.tvf.variant_explode_outer(F.col("node").outer()).alias("c")
     rows = records.select(*ids, F.lit("").alias("field_path"), F.col(payload).alias("node"))
-    path, key = F.col("r.field_path"), F.col("c.key")
+    path = """CASE WHEN c.key IS NOT NULL THEN if(r.field_path = '', c.key, concat(r.field_path, '.', c.key))
+        WHEN c.value IS NOT NULL THEN concat(r.field_path, '[', c.pos, ']') ELSE r.field_path END AS field_path"""
+    keep = [f"r.`{c}`" for c in ids]
     for _ in range(depth):
-        rows = rows.alias("r").lateralJoin(children).select(
-            *[f"r.{c}" for c in ids],
-            F.when(key.isNotNull(), F.when(path != "", F.concat(path, F.lit("."), key)).otherwise(key))
-            .when(F.col("c.value").isNotNull(), F.concat(path, F.lit("["), F.col("c.pos").cast("string"), F.lit("]")))
-            .otherwise(path)
-            .alias("field_path"),
-            F.coalesce("c.value", "r.node").alias("node"),
-        )
+        rows = rows.alias("r").lateralJoin(children).selectExpr(*keep, path, "coalesce(c.value, r.node) AS node")
     leaves = rows.select(*ids, "field_path", "node", F.try_variant_get("node", "$", "string").alias("value"))
     empty = F.col("value").isin("{}", "[]") & F.schema_of_variant("node").isin("OBJECT<>", "ARRAY<VOID>")
     value = F.coalesce("value", F.when(F.col("node").isNotNull(), F.lit(""))) if keep_nulls else F.col("value")

@@ -93,4 +93,4 @@ def test_definitions_and_names(spark):
     existing = spark.createDataFrame([("PII",), ("other",)], "name string")
     assert registry.missing_tag_definitions(spark, existing).count() == 10
     df = spark.createDataFrame([(100004, "io.x.Demo", "a.b")], "i int, q string, p string")
-    assert df.select(qualified_name(F.lit("lsrc-9"), F.col("i"), F.col("q"), F.col("p"))).first()[0] == "lsrc-9:.:100004:io.x.Demo.a.b"
+    assert df.select(qualified_name(F.lit("cluster-9"), F.col("i"), F.col("q"), F.col("p"))).first()[0] == "cluster-9:.:100004:io.x.Demo.a.b"

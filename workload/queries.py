@@ -14,7 +14,7 @@ from fieldscan.operators import detect, entities, flatten, registry, review, rol
 from fieldscan.plans.classify import best_rows, classify, classify_fields, detect_messages
 from fieldscan.session import configure, ensure_checkpoint_dir, spread
 from fieldscan.sources import messages as src
-from fieldscan.sources import synth
+from fieldscan.sources import sinks, synth
 from fieldscan.streaming import routing as stream_routing
 from fieldscan.streaming import scan as stream_scan
 from workload.inputs import messages, order_messages, records, registry as schemas_of, table
@@ -543,16 +543,23 @@ def stamp_schema(spark, sf):
 
 # ---- review -----------------------------------------------------------------
 
+def _scratch(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def _now(day: int) -> str:
     return f"2024-02-{day:02d} 00:00:00"
 
 
 def recs_of(spark, sf):
-    """Store after a layer-1 scan of the customer topics and a layer-2 scan after it."""
-    m = messages(spark, sf, "customers")
-    names = review.from_detections(best_rows(detect_messages(m, IDS, 1), IDS))
-    both = review.from_detections(best_rows(detect_messages(m, IDS, 2), IDS))
-    return review.upsert(review.upsert(None, names, _now(1)), both, _now(2))
+    """Store after a layer-1 scan of the customer topics and a layer-2 scan after it,
+    each written as a snapshot the next step reads."""
+    m, store = messages(spark, sf, "customers"), f"{_scratch(spark)}/store"
+    for version, layer in ((1, 1), (2, 2)):
+        scanned = review.from_detections(best_rows(detect_messages(m, IDS, layer), IDS))
+        before = sinks.read_snapshot(spark, store, version - 1) if version > 1 else None
+        sinks.write_snapshot(review.upsert(before, scanned, _now(version)), store, version)
+    return sinks.read_snapshot(spark, store, 2)
 
 
 _REC = ["topic", "field_path", "proposed_tag", "entity_type", "confidence", "confidence_tier", "layer", "source", "status"]
@@ -636,14 +643,14 @@ SELECT r.topic, r.field_path, r.proposed_tag,
        CASE WHEN r.confidence < 0.85 THEN '' WHEN c.reason IS NULL THEN 'steward' ELSE 'auto: ' || c.reason END AS reviewed_by
 FROM recs r LEFT JOIN checked c USING (topic, field_path, proposed_tag)""")
 def submit_staged(spark, sf):
-    after, _ = review.submit_staged(*_staged(spark, sf), "lsrc-1", _now(4), "steward")
+    after, _ = review.submit_staged(*_staged(spark, sf), "cluster-1", _now(4), "steward")
     return after.select("topic", "field_path", "proposed_tag", "status", F.coalesce("reviewed_by", F.lit("")).alias("reviewed_by"))
 
 
-@query(f"""WITH {validated()} SELECT 'sr_field' AS "entityType", 'lsrc-1:.:' || version_id || ':shop.Customer.' || clean_path AS "entityName",
+@query(f"""WITH {validated()} SELECT 'sr_field' AS "entityType", 'cluster-1:.:' || version_id || ':shop.Customer.' || clean_path AS "entityName",
 proposed_tag AS "typeName" FROM checked WHERE reason IS NULL""")
 def catalog_rows(spark, sf):
-    return review.submit_staged(*_staged(spark, sf), "lsrc-1", _now(4))[1]
+    return review.submit_staged(*_staged(spark, sf), "cluster-1", _now(4))[1]
 
 
 @query(f"""WITH {validated()}
@@ -652,7 +659,7 @@ SELECT topic, count(*) FILTER (WHERE confidence < 0.85) AS pending, 0 AS staged,
 FROM (SELECT r.*, c.reason FROM recs r LEFT JOIN checked c USING (topic, field_path, proposed_tag)) GROUP BY topic""")
 def review_summary(spark, sf):
     s = schemas_of(spark, sf)
-    after, _ = review.bulk_approve(recs_of(spark, sf), s, registry.schema_fields(s), "lsrc-1", _now(4))
+    after, _ = review.bulk_approve(recs_of(spark, sf), s, registry.schema_fields(s), "cluster-1", _now(4))
     return review.review_summary(after)
 
 
@@ -688,10 +695,6 @@ def bridge_results(spark, sf):
 
 # ---- streams ----------------------------------------------------------------
 
-def _scratch(spark) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark, sf):
     raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     return raw.select(
