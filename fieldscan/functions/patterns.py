@@ -52,27 +52,26 @@ class Pattern:
 
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_SIX = "[0-9]{6}"
 _HINT_REGEX = {"digit": "[0-9]", "capitals": "[A-Z]{6}"}
 
 # Detector patterns and scores. Every regex stays inside the
 # subset that java.util.regex and RE2 read alike.
 PATTERNS = [
-    Pattern("IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}([A-Z0-9]?){0,16}\b", 0.95, "digit", _SIX),
+    Pattern("IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}([A-Z0-9]?){0,16}\b", 0.95, "digit", "[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}"),
     Pattern("SWIFT_CODE", r"\b[A-Z]{4}(?:" + "|".join(SWIFT_COUNTRIES) + r")[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", 0.90, "capitals", "[A-Z]{6}[A-Z0-9]{2}"),
     Pattern("CRYPTO_WALLET", r"\b0x[a-fA-F0-9]{40}\b", 0.90, "digit", "(?:0x|bc1|[13])[a-zA-Z0-9]{25}"),
     Pattern("CRYPTO_WALLET", r"\b(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,62}\b", 0.85, "digit", "(?:0x|bc1|[13])[a-zA-Z0-9]{25}"),
-    Pattern("NATIONAL_PROVIDER_ID", r"\b[12][0-9]{9}\b", 0.55, "digit", _SIX),
-    Pattern("DEA_NUMBER", r"\b[A-Z]{2}[0-9]{7}\b", 0.75, "digit", _SIX),
-    Pattern("HEALTH_INSURANCE", r"\b[1-9][A-Z0-9]{10}\b", 0.65, "digit", "[1-9][A-Z0-9]{10}|[0-9]{6}"),
-    Pattern("HEALTH_INSURANCE", r"\b[A-Z]{2,4}[0-9]{6,12}\b", 0.50, "digit", "[1-9][A-Z0-9]{10}|[0-9]{6}"),
-    Pattern("BANK_ACCOUNT", r"\b[0-9]{8,17}\b", 0.15, "digit", _SIX, context=tuple(BANK_WORDS)),
-    Pattern("US_BANK_ROUTING", r"\b0[0-9]{8}\b|\b[1-9][0-9]{8}\b", 0.60, "digit", _SIX),
+    Pattern("NATIONAL_PROVIDER_ID", r"\b[12][0-9]{9}\b", 0.55, "digit", "[12][0-9]{9}"),
+    Pattern("DEA_NUMBER", r"\b[A-Z]{2}[0-9]{7}\b", 0.75, "digit", "[A-Z]{2}[0-9]{7}"),
+    Pattern("HEALTH_INSURANCE", r"\b[1-9][A-Z0-9]{10}\b", 0.65, "digit", "[1-9][A-Z0-9]{10}|[A-Z]{2}[0-9]{6}"),
+    Pattern("HEALTH_INSURANCE", r"\b[A-Z]{2,4}[0-9]{6,12}\b", 0.50, "digit", "[1-9][A-Z0-9]{10}|[A-Z]{2}[0-9]{6}"),
+    Pattern("BANK_ACCOUNT", r"\b[0-9]{8,17}\b", 0.15, "digit", "[0-9]{8}", context=tuple(BANK_WORDS)),
+    Pattern("US_BANK_ROUTING", r"\b0[0-9]{8}\b|\b[1-9][0-9]{8}\b", 0.60, "digit", "[0-9]{9}"),
     # General detectors and secrets: our own specification.
     Pattern("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b", 1.0, "@"),
     Pattern("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b", 0.40, "digit", "[0-9]{3}[ .-][0-9]{4}", context=("phone", "telephone", "cell", "mobile", "call", "fax")),
     Pattern("US_SSN", r"\b[0-9]{3}[- .][0-9]{2}[- .][0-9]{4}\b", 0.50, "digit", "[0-9][- .][0-9]{2}[- .][0-9]{4}", context=("social", "security", "ssn", "ssns")),
-    Pattern("CREDIT_CARD", r"\b[3-6][0-9]{3}[- ]?[0-9]{3,4}[- ]?[0-9]{3,4}[- ]?[0-9]{3,5}\b", 1.0, "digit", "[0-9]{4}[- ]?[0-9]{3}", check="luhn"),
+    Pattern("CREDIT_CARD", r"\b[3-6][0-9]{3}[- ]?[0-9]{3,4}[- ]?[0-9]{3,4}[- ]?[0-9]{3,5}\b", 1.0, "digit", "[3-6][0-9]{3}[- ]?[0-9]{3}", check="luhn"),
     Pattern("IP_ADDRESS", rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", 0.60, "digit", r"[0-9]\.[0-9]{1,3}\.[0-9]", context=("ip", "ipv4", "ipv6")),
     Pattern("AWS_ACCESS_KEY", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", 0.95, "AKIA|ASIA"),
     Pattern("JWT_TOKEN", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{2,}", 0.95, "eyJ"),

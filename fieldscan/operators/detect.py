@@ -127,7 +127,8 @@ def best_per_tag(detections: Column) -> Column:
     """Best detection of each tag in one field's list; the first of equals wins."""
     ranked = _ranked(detections)
     tags = F.array_distinct(F.transform(ranked, lambda r: r["d"]["tag"]))
-    return F.transform(tags, lambda t: F.get(F.filter(ranked, lambda r: r["d"]["tag"] == t), F.lit(0))["d"])
+    best = F.transform(tags, lambda t: F.get(F.filter(ranked, lambda r: r["d"]["tag"] == t), F.lit(0))["d"])
+    return F.when(F.size(detections) > 1, best).otherwise(detections)
 
 
 def best_per_entity(detections: Column) -> Column:

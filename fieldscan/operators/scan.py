@@ -72,7 +72,7 @@ def scan_keys(triggers: DataFrame, messages: DataFrame, minutes: int, salts: int
     width = minutes * 60 * 1_000_000
 
     def bucket(column: str):
-        return F.floor(F.unix_micros(column) / F.lit(width))
+        return F.expr(f"unix_micros({column}) div {width}")
 
     slot = F.pmod(F.xxhash64(*[c for c, t in messages.dtypes if t != "variant"]), F.lit(salts)).cast("int")
     m = messages.withColumn("bucket", bucket("event_time")).withColumn("slot", slot)

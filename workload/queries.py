@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -695,6 +696,17 @@ def bridge_results(spark, sf):
 
 # ---- streams ----------------------------------------------------------------
 
+@contextmanager
+def _few_partitions(spark):
+    """State stores no more numerous than cores while a small stream runs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def _event_stream(spark, sf):
     raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     return raw.select(
@@ -715,7 +727,8 @@ def _finished(spark, rows: DataFrame) -> DataFrame:
     """Run a stream over what is there and read back what it wrote."""
     configure(spark)
     where = _scratch(spark)
-    stream_routing.start_sink(rows, f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    with _few_partitions(spark):
+        stream_routing.start_sink(rows, f"{where}/out", f"{where}/checkpoint").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{where}/out")
 
 
