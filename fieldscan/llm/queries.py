@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, tokencounts, topk, warc
+from . import decontaminate, jaccard, linedup, tokencounts, topk, toxicity, warc
 from .common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,17 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup takes out of every text and what it leaves, as size and digest."""
+    found = linedup.dedup_lines(table(spark, sf_dir, "documents"))
+    lines = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    return found.select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_chunks_removed"), lines.alias("n_lines_removed"),
+        F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 @register()
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text, through a digest cache that starts empty."""
@@ -79,6 +90,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), path, new_folder(spark, "token-cache"))
 
 
+@register()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text, learned from the labels of three quarters of the ids."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 
