@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 Labels belong to documents, scores to sentences. A sentence's score is logistic in its
-words and the beginnings of its words, hashed; a document is toxic unless none of its sentences is: p = 1 - (1 - leak) *
+words and the beginnings of its words, by their hash; a document is toxic unless none of its sentences is: p = 1 - (1 - leak) *
 prod(1 - p_s) (noisy-or). The gradient of the document's likelihood reaches the
 sentences through that product, so training on document labels finds the sentences.
 """
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import Words, gather, lengths_to_starts, merged, require, utf8
 
-FEATURES = 1 << 18
 TRAIN_DOCS = 8_000
 STEPS = 200
 # A word's features: its first letters (bytes) up to these lengths, and the word.
@@ -42,7 +41,21 @@ def sentences(text: bytes) -> list[list[bytes]]:
 
 def features(word: bytes) -> list[int]:
     """The features of a word. Beginnings are kept apart from words that are as long."""
-    return [zlib.crc32(word, 1) % FEATURES] + [zlib.crc32(word[:n]) % FEATURES for n in PREFIXES if n <= len(word)]
+    return [zlib.crc32(word, 1)] + [zlib.crc32(word[:n]) for n in PREFIXES if n <= len(word)]
+
+
+class Model:
+    """The features that have a weight, in ascending order, and their weights."""
+
+    def __init__(self, known: np.ndarray, weights: np.ndarray, bias: float, leak: float):
+        self.known, self.weights, self.bias, self.leak = known, weights, bias, leak
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        """The weight of each feature, 0 if it has none."""
+        if not len(self.known):
+            return np.zeros(len(found))
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        return np.where(self.known[at] == found, self.weights[at], 0.0)
 
 
 class Sentences:
@@ -56,13 +69,17 @@ class Sentences:
         self.features_at = lengths_to_starts(np.array([len(x) for x in lists], np.int64))
         self.per_text = np.array([len(t) for t in split], np.int64)
 
-    def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        """The probability of each sentence."""
+    def scores(self, model: Model) -> np.ndarray:
+        """The probability of each sentence; 0 for one without any feature that has a weight.
+
+        What training left to such sentences is the bias; in a text of thousands of them it
+        would add up, and the leak already stands for labels without a reason in the text.
+        """
         if not self.words.lengths.size:
             return np.zeros(0)
-        per_word = np.add.reduceat(weights[self.features], self.features_at[:-1])
+        per_word = np.add.reduceat(model.of(self.features), self.features_at[:-1])
         sums = np.add.reduceat(per_word[self.words.codes], self.words.starts[:-1])
-        return 1 / (1 + np.exp(-np.clip(bias + sums, -30, 30)))
+        return np.where(sums > 0, 1 / (1 + np.exp(-np.clip(model.bias + sums, -30, 30))), 0.0)
 
 
 def noisy_or(p: np.ndarray, per_text: np.ndarray, leak: float) -> np.ndarray:
@@ -76,18 +93,20 @@ def lengths_to_starts_float(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(values)])
 
 
-def informative(of_text: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Features in ``LEAST_TEXTS`` texts or more whose share of toxic texts is far from the mean."""
+def informative(of_text: np.ndarray, feature: np.ndarray, y: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features in ``LEAST_TEXTS`` texts or more whose share of toxic texts is far from the
+    mean, and of all features the log odds of toxic against other texts."""
     pairs = np.unique(feature * len(y) + of_text)
-    texts = np.bincount(pairs // len(y), minlength=FEATURES)
-    toxic = np.bincount(pairs // len(y), weights=y[pairs % len(y)], minlength=FEATURES)
+    texts = np.bincount(pairs // len(y), minlength=n_features)
+    toxic = np.bincount(pairs // len(y), weights=y[pairs % len(y)], minlength=n_features)
     mean = y.mean()
     away = (toxic - texts * mean) / np.sqrt(np.maximum(texts * mean * (1 - mean), 1e-9))
-    return np.flatnonzero((texts >= LEAST_TEXTS) & (np.abs(away) >= LEAST_DEVIATIONS))
+    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((texts - toxic + 0.5) / (len(y) - y.sum() + 1))
+    return (texts >= LEAST_TEXTS) & (np.abs(away) >= LEAST_DEVIATIONS), odds
 
 
-def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, rate: float = 1.0, l1: float = 2e-5) -> tuple[np.ndarray, float, float]:
-    """``weights, bias, leak`` by proximal AdaGrad over all texts at once.
+def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, rate: float = 1.0, l1: float = 1e-6) -> Model:
+    """The model by proximal AdaGrad over all texts at once.
 
     Weights are not negative: no word takes back what another one says. The l1 term keeps
     those of features that labels do not speak of at zero, so that long texts are not
@@ -95,27 +114,30 @@ def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, rate: float = 1.0, l1
     """
     view = Sentences([t for t, _ in rows])
     y = np.array([label for _, label in rows], np.float64)
-    weights, bias, leak_logit = np.zeros(FEATURES), -6.0, -4.0
+    none = np.zeros(0)
     if not view.words.lengths.size or y.min() == y.max():
-        return weights, -30.0, float(y.mean()) if len(y) else 0.0
+        return Model(none, none, -30.0, float(y.mean()) if len(y) else 0.0)
+    known, compact = np.unique(view.features, return_inverse=True)
     text_of = np.repeat(np.arange(len(y)), view.per_text)
     sentence = np.repeat(np.arange(len(view.words.lengths)), view.words.lengths)
     distinct, many = len(view.words.distinct), np.diff(view.features_at)
 
     def spread(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(owner, many[code]), view.features[gather(view.features_at[code], many[code])]
+        return np.repeat(owner, many[code]), compact[gather(view.features_at[code], many[code])]
 
     in_text = np.unique(text_of[sentence] * distinct + view.words.codes)
-    chosen = np.zeros(FEATURES, bool)
-    chosen[informative(*spread(in_text // distinct, in_text % distinct), y)] = True
+    chosen, odds = informative(*spread(in_text // distinct, in_text % distinct), y, len(known))
     # Only words with a chosen feature go on; a word counts once per sentence.
-    speaks = np.add.reduceat(chosen[view.features], view.features_at[:-1]) > 0
+    speaks = np.add.reduceat(chosen[compact], view.features_at[:-1]) > 0
     heard = speaks[view.words.codes]
     once = np.unique(sentence[heard] * distinct + view.words.codes[heard])
     sentence, feature = spread(once // distinct, once % distinct)
-    sentence, feature = sentence[chosen[feature]], feature[chosen[feature]]
+    sentence, feature = sentence[chosen[feature]], (np.cumsum(chosen) - 1)[feature[chosen[feature]]]
+    known = known[chosen]
     n, total = len(y), len(text_of)
-    squares, bias_squares, leak_squares = np.full(FEATURES, 1e-8), 1e-8, 1e-8
+    # Each feature starts with half of what it says alone.
+    weights, bias, leak_logit = np.maximum(odds[chosen] / 2, 0), -6.0, -4.0
+    squares, bias_squares, leak_squares = np.full(len(known), 1e-8), 1e-8, 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sentence, weights=weights[feature], minlength=total), -30, 30)))
         leak = 1 / (1 + np.exp(-leak_logit))
@@ -123,7 +145,7 @@ def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, rate: float = 1.0, l1
         # d(-log likelihood)/dz: p_s for label 0, -p_s (1 - p) / p for label 1.
         pull = np.where(y > 0, -(1 - doc) / doc, 1.0)
         slope = p * pull[text_of] / n
-        gradient = np.bincount(feature, weights=slope[sentence], minlength=FEATURES)
+        gradient = np.bincount(feature, weights=slope[sentence], minlength=len(known))
         squares += gradient**2
         step = rate / np.sqrt(squares)
         weights = np.maximum(weights - step * (gradient + l1), 0)
@@ -132,12 +154,13 @@ def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, rate: float = 1.0, l1
         leak_squares += leak_slope**2
         bias -= 0.3 * bias_slope / np.sqrt(bias_squares)
         leak_logit = np.clip(leak_logit - 0.2 * leak_slope / np.sqrt(leak_squares), -9, 0)
-    return weights, float(bias), float(1 / (1 + np.exp(-leak_logit)))
+    kept = weights > 0
+    return Model(known[kept], weights[kept], float(bias), float(1 / (1 + np.exp(-leak_logit))))
 
 
 def train(
     docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCS
-) -> tuple[np.ndarray, float, float]:
+) -> Model:
     """The model from at most about ``most`` labelled documents, chosen by the hash of their id.
 
     ``learn`` is a condition on ``id_col`` that labels must meet. Labels that are neither 0
@@ -154,19 +177,17 @@ def train(
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("content", "ascending")])
-        weights, bias, leak = fit(list(zip(table.column("content").to_pylist(), table.column("label").to_pylist())))
-        at = np.flatnonzero(weights)
-        return pa.table({"at": [at.astype("<i8").tobytes()], "weights": [weights[at].astype("<f8").tobytes()], "bias": [bias], "leak": [leak]})
+        model = fit(list(zip(table.column("content").to_pylist(), table.column("label").to_pylist())))
+        return pa.table({"known": [model.known.tolist()], "weights": [model.weights.tolist()], "bias": [model.bias], "leak": [model.leak]}, schema=kind)
 
-    found = rows.groupBy("all").applyInArrow(run, "at binary, weights binary, bias double, leak double").collect()
-    weights = np.zeros(FEATURES)
-    if not found:
-        return weights, -30.0, 0.0
-    weights[np.frombuffer(found[0]["at"], "<i8")] = np.frombuffer(found[0]["weights"], "<f8")
-    return weights, found[0]["bias"], found[0]["leak"]
+    kind = pa.schema([("known", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64()), ("leak", pa.float64())])
+    found = rows.groupBy("all").applyInArrow(run, "known array<long>, weights array<double>, bias double, leak double").first()
+    if found is None:
+        return Model(np.zeros(0), np.zeros(0), -30.0, 0.0)
+    return Model(np.array(found["known"], np.int64), np.array(found["weights"], np.float64), found["bias"], found["leak"])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: list[str], text_col: str = "text", spans: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", spans: bool = False) -> DataFrame:
     """The columns ``keep`` as the struct ``row``, and each row's ``score``; null texts count as empty.
 
     With ``spans``, also ``sentences``: number, words and score of the sentences of
@@ -178,12 +199,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: list[st
     found = pa.list_(pa.struct([("number", pa.int64()), ("words", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, leak = shared.value
+        known = shared.value
         for table in merged(batches, "content"):
             texts = table.column("content").to_pylist()
             view = Sentences(texts)
-            p = view.scores(weights, bias)
-            columns = [table.column("row"), pa.array(noisy_or(p, view.per_text, leak))]
+            p = view.scores(known)
+            columns = [table.column("row"), pa.array(noisy_or(p, view.per_text, known.leak))]
             if spans:
                 starts = lengths_to_starts(view.per_text)
                 columns.append(pa.array([
