@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gather, lengths_to_starts, merged, require, rolling, saved, shuffle_parts, utf8, words_of
+from .common import Words, gather, lengths_to_starts, merged, packed, require, rolling, saved, shuffle_parts, unpacked, utf8, words_of
 from .components import components
 
 NGRAM = 5
@@ -62,31 +62,6 @@ def least_overlap(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | i
     return -(-percent * n // 100)
 
 
-def packed(sorted_values: np.ndarray, base: int) -> bytes:
-    """Ascending values from ``base`` on as gaps of two, four or eight bytes.
-
-    In two bytes, 65535 means: go on by 65535 without a value.
-    """
-    gaps = np.diff(sorted_values, prepend=np.uint64(base)).astype(np.uint64)
-    if not len(gaps):
-        return b""
-    steps = gaps // np.uint64(65535)
-    if int(steps.sum()) <= len(gaps):
-        out = np.full(len(gaps) + int(steps.sum()), 65535, np.uint16)
-        out[np.cumsum(steps.astype(np.int64) + 1) - 1] = gaps % np.uint64(65535)
-        return b"\x02" + out.astype("<u2").tobytes()
-    kind = "<u4" if int(gaps.max()) < 2**32 else "<u8"
-    return bytes([int(kind[2])]) + gaps.astype(kind).tobytes()
-
-
-def unpacked(data: bytes, base: int) -> np.ndarray:
-    if not data:
-        return np.zeros(0, np.uint64)
-    gaps = np.frombuffer(data, f"<u{data[0]}", offset=1)
-    values = np.cumsum(gaps.astype(np.uint64)) + np.uint64(base)
-    return values[gaps != 65535] if data[0] == 2 else values
-
-
 class Fragments:
     """Hashes cut to their upper ``bits``, and the ranges of them that make the fragments."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linedup, tokencounts, topk, toxicity, warc
+from . import decontaminate, jaccard, linedup, maxent, tokencounts, topk, toxicity, warc
 from .common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register()
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every text under the maximum-entropy model of nine tenths of them."""
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 
