@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linedup, maxent, tokencounts, topk, toxicity, warc
+from . import decontaminate, jaccard, linedup, maxent, repair, tokencounts, topk, toxicity, warc
 from .common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), path, new_folder(spark, "token-cache"))
 
 
+@register()
+def op5_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, written to files compressed by Re-Pair and read back."""
+    path = new_folder(spark, "ids")
+    repair.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return repair.digests(repair.read_blocks(spark, path))
+
+
 @register()
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every text, learned from the labels of three quarters of the ids."""
