@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, gather, lengths_to_starts, merged, packed, require, rolling, saved, shuffle_parts, unpacked, utf8, words_of
@@ -79,8 +79,8 @@ class Fragments:
         return np.r_[0, np.searchsorted(ascending, np.array(inner, np.uint64)), len(ascending)]
 
 
-FIRST = "fragment int, block long, singles binary, texts binary, several binary, ids array<long>, sizes binary, digests binary"
-COUNTED = "block long, ids array<long>, sizes binary, digests binary, alone binary"
+FIRST = "fragment int, block long, singles binary, texts binary, several binary, ids array<long>, keys array<long>, sizes binary, digests binary"
+COUNTED = "block long, ids array<long>, keys array<long>, sizes binary, digests binary, alone binary"
 
 
 def _sketch(fragments: Fragments, width: int):
@@ -92,7 +92,7 @@ def _sketch(fragments: Fragments, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, number = TaskContext.get().partitionId(), 0
         names = [c.split()[0] for c in FIRST.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for table in merged(batches, "content"):
             for start in range(0, table.num_rows, 65_000):
                 part = table.slice(start, 65_000)
@@ -101,7 +101,7 @@ def _sketch(fragments: Fragments, width: int):
                 hashes, sizes = ngram_sets(part.column("content").to_pylist(), width)
                 ends = lengths_to_starts(sizes)
                 digests = b"".join(hashlib.blake2b(hashes[a:b].tobytes(), digest_size=8).digest() for a, b in zip(ends[:-1], ends[1:]))
-                rows = [(fragments.count + block % fragments.count, block, None, None, None, part.column("id").to_pylist(), sizes.astype("<u4").tobytes(), digests)]
+                rows = [(fragments.count + block % fragments.count, block, None, None, None, part.column("id").to_pylist(), part.column("key").to_pylist(), sizes.astype("<u4").tobytes(), digests)]
                 keys = fragments.cut(hashes)
                 order = np.argsort(keys)
                 keys, texts = keys[order], np.repeat(np.arange(len(sizes)), sizes)[order].astype("<u2")
@@ -113,7 +113,7 @@ def _sketch(fragments: Fragments, width: int):
                     p, q = slice(one_at[f], one_at[f + 1]), slice(many_at[f], many_at[f + 1])
                     if len(one[p]) or len(many[q]):
                         base = f * fragments.width
-                        rows.append((f, block, packed(one[p], base), of[p].tobytes(), packed(many[q], base), None, None, None))
+                        rows.append((f, block, packed(one[p], base), of[p].tobytes(), packed(many[q], base), None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return run
@@ -124,11 +124,11 @@ def _alone(fragments: Fragments):
 
     def run(table: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in COUNTED.split(", ")]
-        types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         fragment = table.column("fragment")[0].as_py()
         blocks = table.column("block").to_pylist()
         if fragment >= fragments.count:
-            rows = list(zip(blocks, table.column("ids").to_pylist(), table.column("sizes").to_pylist(), table.column("digests").to_pylist(), [None] * len(blocks)))
+            rows = list(zip(blocks, *(table.column(c).to_pylist() for c in names[1:-1]), [None] * len(blocks)))
         else:
             base = fragment * fragments.width
             singles = [unpacked(x, base) for x in table.column("singles").to_pylist()]
@@ -146,7 +146,7 @@ def _alone(fragments: Fragments):
                 at += len(own)
                 kind = 2 if len(mine) < 65536 else 4
                 counts = bytes([kind]) + np.bincount(mine).astype(f"<u{kind}").tobytes() if len(mine) else None
-                rows.append((block, None, None, None, counts))
+                rows.append((block, None, None, None, None, counts))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return run
@@ -154,8 +154,8 @@ def _alone(fragments: Fragments):
 
 def _sum_alone(table: pa.Table) -> pa.Table:
     """Of one piece: its texts, with the counts of all fragments summed."""
-    found = [(i, s, d) for i, s, d in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "digests"))) if s is not None]
-    ids, sizes, digests = found[0]
+    own = next(r for r in table.select(["ids", "keys", "sizes", "digests"]).to_pylist() if r["sizes"] is not None)
+    ids, keys, sizes, digests = own.values()
     sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
     total = np.zeros(len(sizes), np.int64)
     for data in table.column("alone").to_pylist():
@@ -163,16 +163,22 @@ def _sum_alone(table: pa.Table) -> pa.Table:
             counts = np.frombuffer(data, f"<u{data[0]}", offset=1)
             total[: len(counts)] += counts
     nodes = np.frombuffer(digests, "<i8")
-    return pa.table({"id": pa.array(ids, pa.int64()), "node": nodes, "n": sizes, "alone": total})
+    return pa.table({"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "node": nodes, "n": sizes, "alone": total})
+
+
+def text_key(text_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(utf8(text_col))
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, node, n, alone`` per row: the set's digest, its size, and its n-grams in no other row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("content"))
+    """``id, key, node, n, alone`` per row: the text's hash, the set's digest, its size, and its
+    n-grams in no other row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("content"), text_key(text_col).alias("key"))
     size = rows.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
     fragments = Fragments(size // 6 + 1, shuffle_parts(docs.sparkSession))
     counted = rows.mapInArrow(_sketch(fragments, width), FIRST).groupBy("fragment").applyInArrow(_alone(fragments), COUNTED)
-    return counted.groupBy("block").applyInArrow(_sum_alone, "id long, node long, n long, alone long")
+    return counted.groupBy("block").applyInArrow(_sum_alone, "id long, key long, node long, n long, alone long")
 
 
 def _block_counts(fragments: Fragments, width: int):
@@ -313,23 +319,40 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     N-grams are compared by their 64-bit hash. ``docs`` should be read from a table: the
     first step numbers its texts as they are read.
     """
+    rows = _labelled(docs, id_col, text_col, width, percent)
+    firsts = rows.groupBy("component").agg(F.min("id").alias("component_id"))
+    # Sets without n-grams share one digest but are linked with nothing.
+    own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return rows.join(firsts, "component").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, unchanged, but of each component only the one of the smallest id.
+
+    Of rows that repeat that id, one stays; rows without id stay only in a component that
+    has no id, one for all. Rows without n-grams all stay. See ``similar`` for links.
+    """
+    rows = _labelled(docs, id_col, text_col, width, percent).filter("n > 0")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("first.id", "first.key")
+    first = first.toDF("_id", "_key").distinct()
+    has_words = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    kept = docs.filter(has_words).join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key")))
+    return kept.dropDuplicates(["_id", "_key"]).select(*docs.columns).union(docs.filter(~has_words))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """``id, key, n, component`` per row; the component is named by the smallest of its sets' digests."""
     require(docs, id_col, text_col)
-    spark = docs.sparkSession
     rows = saved(classes(docs, id_col, text_col, width), "classes")
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     open_rows = rows.filter((F.col("n") > 0) & (F.col("alone") < most))
     nodes = saved(open_rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
     total, rest = nodes.agg(F.sum("n"), F.count("*")).first()
-    labels = rows.select("node").distinct().withColumn("component", F.col("node"))
-    if rest > 1:
-        links = _links(docs, id_col, text_col, nodes, total, width, percent)
-        labels = labels.drop("component").join(components(links, "x", "y"), "node", "left")
-        labels = labels.withColumn("component", F.coalesce("component", "node"))
-    firsts = rows.join(labels, "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    named = labels.join(firsts, "component").select("node", "component_id")
-    # Sets without n-grams share one digest but are linked with nothing.
-    own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return rows.join(named, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    if rest < 2:
+        return rows.select("id", "key", "n", F.col("node").alias("component"))
+    groups = components(_links(docs, id_col, text_col, nodes, total, width, percent), "x", "y")
+    found = rows.join(groups, "node", "left")
+    return found.select("id", "key", "n", F.coalesce("component", "node").alias("component"))
 
 
 def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, total: int, width: int, percent: int) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linedup, maxent, repair, tokencounts, topk, toxicity, warc
+from . import decontaminate, jaccard, linedup, maxent, nbest, repair, tokencounts, topk, toxicity, warc
 from .common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives with revisit records, and read back."""
     found = warc.archive_pages(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register()
+def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best segmentation of every text into pieces, the scores of the three best, and decoding."""
+    found = nbest.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return found.select(
+        "row.doc_id", "n_pieces", F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_crc32"),
+        F.element_at("scores", 1).alias("best_score"), F.element_at("scores", -1).alias("last_score"), F.size("scores").cast("long").alias("n_best"), "decodes",
+    )
