@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 3 << 20
 _LOCAL: dict[str, str] = {}
 
 
@@ -101,10 +101,10 @@ class Words:
     def __init__(self, lists: list[list[bytes]]):
         codes: dict[bytes, int] = {}
         at = codes.setdefault
-        self.codes = np.array([at(w, len(codes)) for words in lists for w in words], np.int64)
-        self.distinct = list(codes)
         self.lengths = np.array([len(x) for x in lists], np.int64)
         self.starts = lengths_to_starts(self.lengths)
+        self.codes = np.fromiter((at(w, len(codes)) for words in lists for w in words), np.int64, self.starts[-1])
+        self.distinct = list(codes)
 
     def hashes(self) -> np.ndarray:
         """The 64-bit hash of each distinct word."""

@@ -66,7 +66,7 @@ class Fragments:
     """Hashes cut to their upper ``bits``, and the ranges of them that make the fragments."""
 
     def __init__(self, ngrams: int, least: int):
-        self.bits = max(16, min(64, int(ngrams).bit_length() + 8))
+        self.bits = max(16, min(64, int(ngrams).bit_length() + 6))
         self.count = max(least, -(-ngrams // FRAGMENT_NGRAMS))
         self.width = -(-(1 << self.bits) // self.count)
 
