@@ -37,7 +37,9 @@ NGRAM = 5
 PERCENT = 75
 FRAGMENT_NGRAMS = 3_000_000
 BLOCK_NGRAMS = 1_000_000
-PAIR_FRAGMENTS = 8
+PAIR_FRAGMENTS = 4
+# Long words of a set's bitmap.
+BITMAP = 64
 
 
 def ngram_sets(texts: list[bytes], width: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -226,13 +228,20 @@ def _sum_counts(table: pa.Table) -> pa.Table:
     return pa.table({"fragment": table.column("fragment"), "block": table.column("block"), "totals": pa.array(parts, pa.binary())})
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """One bit per n-gram, at its hash. A bit that another set does not have is an n-gram it does not have."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[(hashes % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view("<i8")
+
+
 def _prefixes(width: int, percent: int):
     """For each text of a block: its rare prefix n-grams that other texts have too, their
     positions, and all its n-grams that other texts have, cut into fragments for pairs."""
 
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        names = ["node", "n", "prefix", "parts"]
-        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("ngram", pa.int64()), ("place", pa.int32())])), pa.list_(pa.list_(pa.int64()))]
+        names = ["node", "n", "prefix", "parts", "bits"]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("ngram", pa.int64()), ("place", pa.int32())])), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
         if not texts.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
         nodes, hashes, sizes = _sets(texts, width)
@@ -243,17 +252,18 @@ def _prefixes(width: int, percent: int):
         distinct, at = np.unique(hashes, return_inverse=True)
         of = frequency[at] if len(distinct) else frequency
         ends = lengths_to_starts(sizes)
-        prefixes, parts = [], []
+        prefixes, parts, bits = [], [], []
         for a, b in zip(ends[:-1], ends[1:]):
             own, often = hashes[a:b], of[a:b]
             most = len(own) - int(least_overlap(len(own), percent)) + 1
             rare = np.lexsort((own, often))[:most]
             places = np.flatnonzero(often[rare] > 1)
             prefixes.append([{"ngram": int(h), "place": int(p)} for h, p in zip(own[rare[places]].view(np.int64), places)])
+            bits.append(bitmap(own))
             shared = own[often > 1]
-            cuts = np.searchsorted(shared, (np.arange(1, PAIR_FRAGMENTS, dtype=np.uint64) << np.uint64(61)))
+            cuts = np.searchsorted(shared, np.arange(1, PAIR_FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // PAIR_FRAGMENTS))
             parts.append([p.view(np.int64) for p in np.split(shared, cuts)])
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((nodes, sizes, prefixes, parts), types)], names)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((nodes, sizes, prefixes, parts, bits), types)], names)
 
     return run
 
@@ -266,11 +276,19 @@ def _fits(percent: int):
     return length & ((100 + percent) * possible >= percent * (F.col("n") + F.col("other_n")))
 
 
+def _bitmaps_allow(percent: int):
+    """At most so many n-grams in common as each set has less those whose bit the other lacks."""
+    missing = lambda a, b: sum((F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.bitwise_not(f"{b}{i}"))) for i in range(BITMAP)), F.lit(0))
+    possible = F.least(F.col("n") - missing("b", "o"), F.col("other_n") - missing("o", "b"))
+    return (100 + percent) * possible >= percent * (F.col("n") + F.col("other_n"))
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that are linked: overlaps counted per fragment, then summed per pair."""
     parts = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.posexplode("parts").alias("fragment", f"part_{side}"))
-    left = pairs.join(parts("x"), "x")
-    both = left.join(parts("y"), ["y", "fragment"])
+    # The same plan at every size: pairs and parts meet by shuffle.
+    left = pairs.hint("merge").join(parts("x"), "x")
+    both = left.hint("merge").join(parts("y"), ["y", "fragment"])
     partial = both.select("x", "y", "n_x", "n_y", F.size(F.array_intersect("part_x", "part_y")).alias("overlap"))
     total = partial.groupBy("x", "y", "n_x", "n_y").agg(F.sum("overlap").alias("overlap"))
     return total.filter(100 * F.col("overlap") >= percent * (F.col("n_x") + F.col("n_y") - F.col("overlap"))).select("x", "y")
@@ -287,21 +305,26 @@ def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("node", "best.other").alias("x"), F.greatest("node", "best.other").alias("y")).distinct()
 
 
-def _rest_pairs(members: DataFrame, groups: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(members: DataFrame, sets: DataFrame, groups: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of different components that were not tried yet.
 
     In each n-gram's list the largest component is only met by the others, so a list of
-    near copies that are linked already makes no pair.
+    near copies that are linked already makes no pair. Pairs whose bitmaps rule a link
+    out do not leave the join.
     """
     rows = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = rows.groupBy("ngram", "component").count()
     main = sizes.groupBy("ngram").agg(F.count("*").alias("several"), F.max(F.struct("count", "component")).alias("main"))
     main = main.filter("several > 1").select("ngram", F.col("main.component").alias("main"))
-    rows = saved(rows.join(main, "ngram"), "members")
+    rows = rows.join(main, "ngram").join(sets.select("node", "bits"), "node")
+    rows = saved(rows.select("*", *[F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP)]).drop("bits"), "members")
     few = rows.filter("component <> main")
-    other = rows.select("ngram", *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "component")], F.col("node").alias("other"))
+    other = rows.select(
+        "ngram", *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "component")], F.col("node").alias("other"),
+        *[F.col(f"b{i}").alias(f"o{i}") for i in range(BITMAP)],
+    )
     meets = (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("node") < F.col("other")))
-    pairs = few.join(other, "ngram").filter(meets & _fits(percent))
+    pairs = few.join(other, "ngram").filter(meets & _fits(percent) & _bitmaps_allow(percent))
     pairs = pairs.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
     return pairs.join(tried, ["x", "y"], "left_anti")
 
@@ -360,17 +383,17 @@ def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, total:
     blocks = max(shuffle_parts(spark), -(-total // BLOCK_NGRAMS))
     fragments = Fragments(total, shuffle_parts(spark))
     fragments.bits, fragments.width = 64, -(-(1 << 64) // fragments.count)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("content")).join(nodes.select("id", "node"), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("content")).join(nodes.select("id", "node").hint("merge"), "id")
     texts = saved(texts.select("node", "content", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")), "texts")
     counts = texts.groupBy("block").applyInArrow(_block_counts(fragments, width), "fragment int, block long, ngrams binary, counts binary")
     totals = counts.groupBy("fragment").applyInArrow(_sum_counts, "fragment int, block long, totals binary")
     sets = (
         texts.groupBy("block").cogroup(totals.groupBy("block"))
-        .applyInArrow(_prefixes(width, percent), "node long, n long, prefix array<struct<ngram:long,place:int>>, parts array<array<long>>")
+        .applyInArrow(_prefixes(width, percent), "node long, n long, prefix array<struct<ngram:long,place:int>>, parts array<array<long>>, bits array<long>")
     )
     sets = saved(sets.filter(F.size("prefix") > 0), "sets")
     members = saved(sets.select("node", "n", F.explode("prefix").alias("p")).select("node", "n", "p.ngram", "p.place"), "prefixes")
     tried = saved(_first_pairs(members, percent), "pairs")
     links = saved(_overlaps(tried, sets, percent), "links")
-    rest = saved(_rest_pairs(members, components(links, "x", "y"), tried, percent), "pairs")
+    rest = saved(_rest_pairs(members, sets, components(links, "x", "y"), tried, percent), "pairs")
     return saved(links.union(_overlaps(rest, sets, percent)), "links")
