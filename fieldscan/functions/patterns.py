@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ BANK_WORDS = ["account", "acct", "bank", "iban", "routing", "deposit", "checking
 
 CONTEXT_BOOST = 0.35
 CONTEXT_WORDS = 5
-CONTEXT_CHARS = 256
+# Context is first looked for in so many characters before a hit.
+_NEAR = 256
 
 
 @dataclass(frozen=True)
@@ -89,27 +91,28 @@ HIT = "struct<down:double,start:int,ord:int,stop:int,hit:string,entity_type:stri
 NO_HITS = f"cast(array() AS array<{HIT}>)"
 
 
-def by_entity(patterns: list[Pattern], language: str) -> list[list[Pattern]]:
-    """Rows of one entity type together, best score first, in table order."""
-    groups: dict[tuple[str, int], list[Pattern]] = {}
-    for p in patterns:
+def by_entity(patterns: list[Pattern], language: str) -> list[list[tuple[int, Pattern]]]:
+    """Numbered rows of one entity type and layer together, in table order."""
+    groups: dict[tuple[str, int], list[tuple[int, Pattern]]] = {}
+    for i, p in enumerate(patterns):
         if p.language == language:
-            groups.setdefault((p.entity_type, p.layer), []).append(p)
-    return [sorted(g, key=lambda p: -p.score) for g in groups.values()]
+            groups.setdefault((p.entity_type, p.layer), []).append((i, p))
+    return list(groups.values())
 
 
-def joined_regex(group: list[Pattern]) -> str:
-    """One scan per entity type: alternatives in score order, so where hits of
-    the same entity meet, the leftmost and then the better score is kept."""
-    if len(group) == 1:
-        return group[0].regex
-    return "|".join(f"(?:{p.regex})" for p in group)
+def context_sql(text: str, start: str) -> str:
+    """The five words before a hit, however long they are.
+
+    They nearly always lie in the last few characters; the whole text before the hit is
+    only cut into words where those hold fewer.
+    """
 
+    def words(x: str) -> str:
+        return f"substring_index(translate({x}, '\\t\\n\\r', '   '), ' ', -{CONTEXT_WORDS + 1})"
 
-def context_sql(text: str, start: str) -> str:
-    """The five words before a hit, read from the 256 characters before it."""
-    near = f"substring({text}, greatest({start} - {CONTEXT_CHARS - 1}, 1), least({start}, {CONTEXT_CHARS}))"
-    return f"lower(substring_index(translate({near}, '\\t\\n\\r', '   '), ' ', -{CONTEXT_WORDS + 1}))"
+    near = words(f"substring({text}, greatest({start} - {_NEAR - 1}, 1), least({start}, {_NEAR}))")
+    every = words(f"substring({text}, 1, {start})")
+    return f"lower(transform(array({near}), w -> if({start} <= {_NEAR} OR length(w) < {_NEAR}, w, {every}))[0])"
 
 
 def _hint_sql(value: str, hint: str) -> str:
@@ -118,40 +121,55 @@ def _hint_sql(value: str, hint: str) -> str:
     return "(" + " OR ".join(f"contains({value}, {quoted(w)})" for w in hint.split("|")) + ")"
 
 
-def _score_sql(text: str, group: list[Pattern]) -> str:
-    """Score of hit ``m``: that of the first alternative it fits, boosted by context."""
-
-    def boosted(p: Pattern) -> str:
-        if not p.context:
-            return f"{p.score}D"
-        high = round(min(1.0, p.score + CONTEXT_BOOST), 4)
-        return f"if({context_sql(text, 'm.start')} RLIKE {quoted('|'.join(p.context))}, {high}D, {p.score}D)"
-
-    if len({(p.score, p.context) for p in group}) == 1:
-        return boosted(group[0])
-    branches = " ".join(f"WHEN m.hit RLIKE {quoted(f'^(?:{p.regex})$')} THEN {boosted(p)}" for p in group[:-1])
-    return f"CASE {branches} ELSE {boosted(group[-1])} END"
-
-
-def group_sql(text: str, group: list[Pattern], order: int, extra_tags=None) -> str:
-    """Hits of one entity type in a plain text column."""
-    entity = group[0].entity_type
-    tag = (extra_tags or {}).get(entity, ENTITY_TAG.get(entity, DEFAULT_TAG))
-    spans = spans_sql(text, joined_regex(group))
-    if any(p.check == "luhn" for p in group):
+def row_sql(text: str, p: Pattern, order: int, tag: str) -> str:
+    """Hits of one row in a plain text column."""
+    spans = spans_sql(text, p.regex)
+    if p.check == "luhn":
         spans = f"filter({spans}, m -> luhn_check(regexp_replace(m.hit, '[^0-9]', '')))"
-    score = _score_sql(text, group)
 
     def hit(score: str) -> str:
         return f"""struct(-{score} AS down, m.start AS start, {order} AS ord, m.start + length(m.hit) AS stop,
-            m.hit AS hit, {quoted(entity)} AS entity_type, {quoted(tag)} AS tag, {score} AS score,
-            {group[0].layer} AS layer, {quoted(group[0].source)} AS source)"""
+            m.hit AS hit, {quoted(p.entity_type)} AS entity_type, {quoted(tag)} AS tag, {score} AS score,
+            {p.layer} AS layer, {quoted(p.source)} AS source)"""
 
-    if score == f"{group[0].score}D":
-        return f"transform({spans}, m -> {hit(score)})"
+    if not p.context:
+        return f"transform({spans}, m -> {hit(f'{p.score}D')})"
+    high = round(min(1.0, p.score + CONTEXT_BOOST), 4)
+    score = f"if({context_sql(text, 'm.start')} RLIKE {quoted('|'.join(p.context))}, {high}D, {p.score}D)"
     return f"transform({spans}, m -> transform(array({score}), score -> {hit('score')})[0])"
 
 
+def apart_sql(hits: str) -> str:
+    """``hits`` of one entity type without those that a better one overlaps.
+
+    Better is the higher score, then the longer hit, then the earlier one, then the
+    earlier row.
+    """
+    size = "{0}.stop - {0}.start"
+    better = f"struct(g.score, {size.format('g')}, -g.start, -g.ord) > struct(h.score, {size.format('h')}, -h.start, -h.ord)"
+    kept = f"filter(hs, h -> NOT exists(hs, g -> g.start < h.stop AND h.start < g.stop AND {better}))"
+    return f"transform(array({hits}), hs -> if(size(hs) < 2, hs, {kept}))[0]"
+
+
+@lru_cache(maxsize=64)
+def _hit_parts(patterns: tuple[Pattern, ...], language: str, tags: tuple[tuple[str, str], ...]) -> tuple[dict, dict, str] | None:
+    """Column names of hints and of gates, and the SQL that gathers all hits. Texts only,
+    so they are made once for a table of rows."""
+    groups = by_entity(list(patterns), language)
+    if not groups:
+        return None
+    rows = [p for g in groups for _, p in g]
+    hints = {h: f"_hint{i}" for i, h in enumerate(dict.fromkeys(p.hint for p in rows))}
+    gates = {k: f"_gate{i}" for i, k in enumerate(dict.fromkeys((p.hint, p.gate) for p in rows))}
+    extra, parts = dict(tags), []
+    for group in groups:
+        entity = group[0][1].entity_type
+        tag = extra.get(entity, ENTITY_TAG.get(entity, DEFAULT_TAG))
+        own = [f"CASE WHEN {gates[p.hint, p.gate]} THEN {row_sql('plain', p, i, tag)} ELSE {NO_HITS} END" for i, p in group]
+        parts.append(own[0] if len(own) == 1 else apart_sql(f"concat({', '.join(own)})"))
+    return hints, gates, f"array_sort(concat({', '.join([NO_HITS, *parts])}))"
+
+
 def with_pattern_hits(
     df: DataFrame, value: str = "value", out: str = "hits", patterns=None, language: str = "en", wanted: Column | None = None, extra_tags=None
 ) -> DataFrame:
@@ -160,14 +178,13 @@ def with_pattern_hits(
 
     Tests run from cheap to dear, each its own column: literals and digits in the
     original text, then one short regex per distinct gate, and only then the scan,
-    one per entity type. Most texts of most tables stop at the first.
+    one per row, behind the row's own tests. Most texts of most tables stop at the first.
     """
-    groups = by_entity(PATTERNS if patterns is None else patterns, language)
-    if not groups:
+    parts = _hit_parts(tuple(PATTERNS if patterns is None else patterns), language, tuple(sorted((extra_tags or {}).items())))
+    if parts is None:
         return df.withColumn("plain", F.lit(None).cast("string")).withColumn(out, F.expr(NO_HITS))
+    hints, gates, found = parts
     keep = [c for c in df.columns if c != "plain"]
-    hints = {h: f"_hint{i}" for i, h in enumerate(dict.fromkeys(g[0].hint for g in groups))}
-    gates = {k: f"_gate{i}" for i, k in enumerate(dict.fromkeys((g[0].hint, g[0].gate) for g in groups))}
     first = {c: F.expr(_hint_sql(value, h) if h else f"{value} IS NOT NULL") for h, c in hints.items()}
     if wanted is not None:
         first = {c: wanted & test for c, test in first.items()}
@@ -183,9 +200,4 @@ def with_pattern_hits(
             for (h, g), c in gates.items()
         ],
     )
-    parts = [
-        f"CASE WHEN {gates[(g[0].hint, g[0].gate)]} THEN {group_sql('plain', g, i, extra_tags)} ELSE {NO_HITS} END"
-        for i, g in enumerate(groups)
-    ]
-    found = F.expr(f"array_sort(concat({', '.join([NO_HITS, *parts])}))")
-    return gated.select(*keep, "plain", F.when(F.expr(" OR ".join(gates.values())), found).otherwise(F.expr(NO_HITS)).alias(out))
+    return gated.select(*keep, "plain", F.when(F.expr(" OR ".join(gates.values())), F.expr(found)).otherwise(F.expr(NO_HITS)).alias(out))

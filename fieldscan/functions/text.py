@@ -108,11 +108,3 @@ def qualified_name(cluster: Column, schema_id: Column, qualifier: Column, path:
 
 def subject_of(topic: Column) -> Column:
     return F.concat(topic, F.lit("-value"))
-
-
-def triggers_table(topic: Column) -> Column:
-    return F.concat(topic, F.lit("-scan-triggers"))
-
-
-def results_table(topic: Column) -> Column:
-    return F.concat(topic, F.lit("-scan-results"))

@@ -123,25 +123,27 @@ def _ranked(detections: Column) -> Column:
     )
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_of_each(detections: Column, kind: Callable[[Column], Column]) -> Column:
+    def pick(ranked: Column) -> Column:
+        kinds = F.array_distinct(F.transform(ranked, lambda r: kind(r["d"])))
+        return F.transform(kinds, lambda k: F.get(F.filter(ranked, lambda r: kind(r["d"]) == k), F.lit(0))["d"])
+
+    return F.when(F.size(detections) > 1, _named(_ranked(detections), pick)).otherwise(detections)
+
+
 def best_per_tag(detections: Column) -> Column:
     """Best detection of each tag in one field's list; the first of equals wins."""
-    ranked = _ranked(detections)
-    tags = F.array_distinct(F.transform(ranked, lambda r: r["d"]["tag"]))
-    best = F.transform(tags, lambda t: F.get(F.filter(ranked, lambda r: r["d"]["tag"] == t), F.lit(0))["d"])
-    return F.when(F.size(detections) > 1, best).otherwise(detections)
+    return _first_of_each(detections, lambda d: d["tag"])
 
 
 def best_per_entity(detections: Column) -> Column:
     """Best detection of each (tag, entity type) in one field's list, best first."""
-    ranked = _ranked(detections)
-    kinds = F.array_distinct(F.transform(ranked, lambda r: F.struct(r["d"]["tag"], r["d"]["entity_type"])))
-    return F.transform(
-        kinds,
-        lambda k: F.get(
-            F.filter(ranked, lambda r: (r["d"]["tag"] == k["tag"]) & (r["d"]["entity_type"] == k["entity_type"])),
-            F.lit(0),
-        )["d"],
-    )
+    return _first_of_each(detections, lambda d: F.struct(d["tag"], d["entity_type"]))
 
 
 def classify_names(names: DataFrame, column: str = "field_path", dictionary=None) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscan.functions.dictionary import (
@@ -20,17 +20,14 @@ from fieldscan.functions.taxonomy import literal_map, tag_of
 from fieldscan.functions.text import is_blank, match_spans, plain_text
 
 SPAN = "struct<label:string,start:int,end:int,score:double>"
-PHRASE_LIMIT = 2000
 
 
 def gazetteer_patterns(phrases: list[tuple[str, str]] | None = None, score: float = GAZETTEER_SCORE) -> list[Pattern]:
     """Phrases (phrase, label) as layer-3 pattern rows, one scan per entity type.
 
-    Meant for a vocabulary that fits in a regex; ``gazetteer`` joins larger ones.
+    ``gazetteer`` does the same by a join with a table of phrases.
     """
     phrases = gazetteer_phrases() if phrases is None else phrases
-    if len(phrases) > PHRASE_LIMIT:
-        raise ValueError(f"more than {PHRASE_LIMIT} phrases: use gazetteer() with a phrase table")
     labels = ner_labels()
     by_entity: dict[str, list[str]] = {}
     for phrase, label in phrases:
@@ -50,44 +47,52 @@ def gazetteer_patterns(phrases: list[tuple[str, str]] | None = None, score: floa
     ]
 
 
-def gazetteer(flat: DataFrame, phrases: DataFrame, ids: list[str], small_rows: int = 1_000_000) -> DataFrame:
-    """Phrase table hits ``ids + (field_path, entity_type, tag, score, start, end, text_snippet)``.
+def gazetteer(flat: DataFrame, phrases: DataFrame, ids: list[str]) -> DataFrame:
+    """Detections of a phrase table of any size ``phrases(phrase, label, score)``, as rows like
+    those of ``explode_detections``.
 
-    Word runs of a value, of every length the table ``phrases(phrase, label, score)``
-    has, are looked up without regard to case. Only ids and word runs travel, never
-    the value. The phrase side is broadcast only after its rows were counted to be
-    few; a larger one is joined by shuffle, where AQE splits hot words.
+    Same rules as ``gazetteer_patterns``: a phrase as it is written, letter case and all,
+    between word borders; of overlapping phrases of one entity type the leftmost, then the
+    longest. Phrases start and end with a word character; others are not looked for.
+    Stretches of a value from one word to another, as long as some phrase has words, are
+    joined with the phrases. Only phrases' first words that occur often make a list long;
+    the join deals those over tasks. ``rank`` counts a field's hits by place.
     """
     labels = literal_map(ner_labels())
     known = phrases.select(
-        F.lower(F.trim(F.regexp_replace("phrase", "[^A-Za-z0-9]+", " "))).alias("run"),
-        F.try_element_at(labels, F.col("label")).alias("entity_type"),
-        F.col("score"),
-    ).where(F.col("entity_type").isNotNull() & (F.col("run") != ""))
-    known = known.groupBy("run", "entity_type").agg(F.max("score").alias("score"))
-    sizes = known.groupBy(F.size(F.split("run", " ")).alias("n")).agg(F.count(F.lit(1)).alias("phrases")).collect()
-    if sum(r["phrases"] for r in sizes) <= small_rows:
-        known = F.broadcast(known)
-    lengths = sorted(r["n"] for r in sizes) or [1]
-    words = flat.select(*ids, "field_path", F.lower(plain_text(F.col("value"))).alias("plain")).select(
-        *ids, "field_path", match_spans("plain", "[a-z0-9]+").alias("spans")
+        F.trim("phrase").alias("text"), F.try_element_at(labels, F.col("label")).alias("entity_type"), "score"
+    ).where(F.col("entity_type").isNotNull() & F.col("text").rlike("^[A-Za-z0-9_](.*[A-Za-z0-9_])?$"))
+    known = known.groupBy("text", "entity_type").agg(F.max("score").alias("score"))
+    # How many words phrases have is a handful of numbers, however many phrases there are.
+    counted = known.select(F.size(F.expr("regexp_extract_all(text, '[A-Za-z0-9_]+', 0)")).alias("n"))
+    sizes = counted.agg(F.array_sort(F.collect_set("n"))).scalar()
+    place = Window.partitionBy(*ids, "field_path").orderBy("start", F.desc("end"), "entity_type")
+    words = flat.select(F.struct(*ids, "field_path").alias("field"), "value", plain_text(F.col("value")).alias("plain"))
+    words = words.select("field", "value", "plain", match_spans("plain", "[A-Za-z0-9_]+").alias("w"), sizes.alias("sizes"))
+
+    def run(first: Column, last: Column) -> Column:
+        start, size = first["start"], last["start"] + F.length(last["hit"]) - first["start"]
+        cut = lambda c: F.substring(c, start + 1, size)
+        return F.struct(start.alias("start"), (start + size).alias("end"), cut(F.col("plain")).alias("text"), cut(F.col("value")).alias("text_snippet"))
+
+    def runs_from(first: Column, i: Column) -> Column:
+        return F.transform(F.filter("sizes", lambda n: n + i <= F.size("w")), lambda n: run(first, F.get("w", i + n - 1)))
+
+    runs = words.select("field", F.inline(F.flatten(F.transform("w", runs_from))))
+    hits = runs.join(known, "text")
+    spans = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("down"), "score", "text_snippet")))
+    lists = hits.groupBy("field", "entity_type").agg(spans.alias("hits"))
+    # Leftmost, then longest: a hit stays if it starts where the last one that stayed has ended.
+    kept = F.aggregate(
+        "hits",
+        F.struct(F.lit(-1).alias("end"), F.expr("cast(array() AS array<struct<start:int,down:int,score:double,text_snippet:string>>)").alias("kept")),
+        lambda a, h: F.when(h["start"] >= a["end"], F.struct((-h["down"]).alias("end"), F.concat(a["kept"], F.array(h)).alias("kept"))).otherwise(a),
     )
-    # Row i holds word i and the words after it, side by side.
-    shifted = [F.slice("spans", k + 1, F.size("spans")).alias(f"w{k}") for k in range(lengths[-1])]
-    rows = words.select(*ids, "field_path", *shifted).select(
-        *ids, "field_path", F.inline(F.arrays_zip(*[f"w{k}" for k in range(lengths[-1])]))
-    )
-
-    def run_of(n: int) -> Column:
-        last = F.col(f"w{n - 1}")
-        run = F.when(last.isNotNull(), F.concat_ws(" ", *[F.col(f"w{k}.hit") for k in range(n)]))
-        return F.struct(run.alias("run"), F.col("w0.start").alias("start"), (last["start"] + F.length(last["hit"])).alias("end"))
-
-    runs = rows.select(*ids, "field_path", F.inline(F.array(*[run_of(n) for n in lengths])))
-    return runs.join(known, "run").select(
-        *ids, "field_path", "entity_type", tag_of(F.col("entity_type")).alias("tag"), "score", "start", "end",
-        F.col("run").alias("text_snippet"),
+    rows = lists.select("field.*", "entity_type", F.explode(kept["kept"]).alias("h")).select(
+        *ids, "field_path", "entity_type", tag_of(F.col("entity_type")).alias("tag"), F.round("h.score", 4).alias("score"), "h.start",
+        (-F.col("h.down")).alias("end"), "h.text_snippet", F.lit(3).alias("layer"), F.lit("ai_model").alias("source"),
     )
+    return rows.withColumn("rank", F.row_number().over(place) - 1)
 
 
 def predictor(

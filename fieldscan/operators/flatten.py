@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import sys
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_DEPTH = 6
+# Levels that generators take apart; what lies deeper goes through one Arrow function.
+NATIVE_LEVELS = 6
 FIELD = "struct<field_path:string,value:string>"
 
 
@@ -14,40 +19,78 @@ def flatten_variant(
     records: DataFrame,
     ids: list[str],
     payload: str = "payload",
-    depth: int = DEFAULT_DEPTH,
     keep_nulls: bool = False,
+    levels: int = NATIVE_LEVELS,
 ) -> DataFrame:
-    """Leaves of a VARIANT record as rows ``ids + (field_path, value)``.
+    """Leaves of a VARIANT record as rows ``ids + (field_path, value)``, at any depth.
 
     Each level is one generator over the records' own bytes: no shuffle, works on
     streams. Only ``ids`` travel with a leaf, never the record. Null leaves are
-    dropped (``keep_nulls`` keeps them as ``""``), empty containers vanish, and a
-    container below ``depth`` levels stays whole as one JSON text at its path.
+    dropped (``keep_nulls`` keeps them as ``""``) and empty containers vanish. A
+    container below ``levels`` levels is walked by ``_deep_leaves``, in the row; all
+    other leaves pass that function as nulls.
     """
     children = records.sparkSession.tvf.variant_explode_outer(F.col("node").outer()).alias("c")
     rows = records.select(*ids, F.lit("").alias("field_path"), F.col(payload).alias("node"))
     path = """CASE WHEN c.key IS NOT NULL THEN if(r.field_path = '', c.key, concat(r.field_path, '.', c.key))
         WHEN c.value IS NOT NULL THEN concat(r.field_path, '[', c.pos, ']') ELSE r.field_path END AS field_path"""
     keep = [f"r.`{c}`" for c in ids]
-    for _ in range(depth):
+    for _ in range(levels):
         rows = rows.alias("r").lateralJoin(children).selectExpr(*keep, path, "coalesce(c.value, r.node) AS node")
     leaves = rows.select(*ids, "field_path", "node", F.try_variant_get("node", "$", "string").alias("value"))
-    empty = F.col("value").isin("{}", "[]") & F.schema_of_variant("node").isin("OBJECT<>", "ARRAY<VOID>")
+    kind = F.when(F.substring("value", 1, 1).isin("{", "["), F.schema_of_variant("node"))
+    empty = kind.isin("OBJECT<>", "ARRAY<VOID>") & F.col("value").isin("{}", "[]")
+    container = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
     value = F.coalesce("value", F.when(F.col("node").isNotNull(), F.lit(""))) if keep_nulls else F.col("value")
     # A generator, not a filter: a filter would be pushed down and render every value twice.
-    kept = F.when(value.isNull() | empty, F.array().cast("array<string>")).otherwise(F.array(value))
-    return leaves.select(*ids, "field_path", F.explode(kept).alias("value"))
+    here = F.when(value.isNull() | empty, F.array().cast(f"array<{FIELD}>")).otherwise(
+        F.array(F.struct(F.col("field_path").alias("field_path"), value.alias("value")))
+    )
+    leaves = leaves.withColumn("deep", _deep_leaves(F.when(container & ~empty, F.col("value"))))
+    missing = F.lit("") if keep_nulls else F.lit(None).cast("string")
+    below = F.filter(
+        F.transform(
+            "deep",
+            lambda d: F.struct(
+                F.when((F.col("field_path") == "") & d["under"].startswith("."), F.substring(d["under"], 2, F.length(d["under"])))
+                .otherwise(F.concat("field_path", d["under"])).alias("field_path"),
+                F.coalesce(F.try_variant_get(F.try_parse_json(d["json"]), "$", "string"), missing).alias("value"),
+            ),
+        ),
+        lambda f: f["value"].isNotNull(),
+    )
+    return leaves.select(*ids, F.explode(F.coalesce(below, here)).alias("f")).select(*ids, "f.field_path", "f.value")
 
 
-def deeper_than(records: DataFrame, ids: list[str], payload: str = "payload", depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """Fields whose containers ``depth`` levels did not reach, with their count."""
-    flat = flatten_variant(records, ids, payload, depth)
-    again = F.try_parse_json("value")
-    return (
-        flat.where(F.col("value").rlike(r"^[\[{]") & again.isNotNull())
-        .groupBy("field_path")
-        .agg(F.count(F.lit(1)).alias("n_values"))
-    )
+def deep_leaves(text: str) -> list[dict[str, str]]:
+    """Leaves of a JSON container: the path under it and the leaf as JSON, numbers as written.
+
+    Walks with a list of its own, so no depth is too deep for it.
+    """
+
+    class Number(str):
+        pass
+
+    out = []
+    waiting = [("", json.loads(text, parse_int=Number, parse_float=Number))]
+    while waiting:
+        under, node = waiting.pop()
+        if isinstance(node, dict):
+            waiting += [(f"{under}.{k}", v) for k, v in reversed(node.items())]
+        elif isinstance(node, list):
+            waiting += [(f"{under}[{i}]", v) for i, v in reversed(list(enumerate(node)))]
+        else:
+            out.append({"under": under, "json": str(node) if isinstance(node, Number) else json.dumps(node, ensure_ascii=False)})
+    return out
+
+
+_LEAVES = T.ArrayType(T.StructType().add("under", "string").add("json", "string"))
+
+
+@F.pandas_udf(_LEAVES)
+def _deep_leaves(containers: pd.Series) -> pd.Series:
+    sys.setrecursionlimit(20_000)
+    return containers.map(deep_leaves, na_action="ignore")
 
 
 def schema_leaves(schema: T.StructType) -> list[str]:

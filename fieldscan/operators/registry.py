@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldscan.functions.taxonomy import tag_definitions
@@ -199,8 +199,9 @@ def apply_tags(schemas: DataFrame, approvals: DataFrame) -> DataFrame:
     current = _walked(newest)
     wanted = approvals.groupBy("subject", "field_path").agg(F.array_sort(F.collect_set("tag")).alias("new_tags"))
     merged = current.join(wanted, ["subject", "field_path"], "left").withColumn("after", merged_tags(F.col("tags"), F.col("new_tags")))
-    gains = merged.groupBy("subject").agg(F.max((F.size("after") > F.size("tags")).cast("int")).alias("gains"))
-    return merged.join(gains, "subject").select(
+    # Fields of one subject's newest schema: a window no larger than a schema.
+    gains = F.max((F.size("after") > F.size("tags")).cast("int")).over(Window.partitionBy("subject"))
+    return merged.withColumn("gains", gains).select(
         "subject", (F.col("version") + F.col("gains")).alias("version"), "field_path", F.col("after").alias("tags")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscan.functions.taxonomy import ALERT_SCORE, ALERT_TAGS, TAGS, primary_tag
@@ -18,11 +18,6 @@ def best_per_field_tag(detections: DataFrame, ids: list[str]) -> DataFrame:
     return _best(detections, [*ids, "field_path", "tag"])
 
 
-def best_per_entity(detections: DataFrame, ids: list[str]) -> DataFrame:
-    """Best row per (message, field, tag, entity type)."""
-    return _best(detections, [*ids, "field_path", "tag", "entity_type"])
-
-
 def _best(detections: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in detections.columns if c not in keys]
     order = F.struct((-F.col("score")).alias("down"), F.col("rank"))
@@ -79,10 +74,6 @@ def alerts(rows: DataFrame, tags: list[str] | None = None, min_score: float = AL
     return rows.where(F.col("tag").isin(*(ALERT_TAGS if tags is None else tags)) & (F.col("score") >= min_score))
 
 
-def newest_first(rows: DataFrame, time: str = "event_time") -> DataFrame:
-    return rows.orderBy(F.desc(time), F.desc("confidence"))
-
-
 def latest_batch(results: DataFrame) -> DataFrame:
     """Rows of the newest scan of each source topic.
 
@@ -96,17 +87,30 @@ def latest_batch(results: DataFrame) -> DataFrame:
 def latest_best(results: DataFrame) -> DataFrame:
     """Newest scan, best confidence per (topic, field, tag), best first."""
     keys = ["source_topic", "field_path", "tag"]
-    rest = [c for c in results.columns if c not in keys]
+    rest = [c for c in results.columns if c not in (*keys, "scanned_at")]
     order = F.struct((-F.col("confidence")).alias("down"), "layer", "source", "example")
-    best = latest_batch(results).groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("b"))
-    return best.select(*keys, "b.*").orderBy(F.desc("confidence"), *keys)
+    # The scan is read once: the best of every scan first, a row per scan, field and tag;
+    # only such rows meet in the window that finds each topic's newest scan.
+    best = results.groupBy(*keys, "scanned_at").agg(F.min_by(F.struct(*rest), order).alias("b"))
+    newest = F.max("scanned_at").over(Window.partitionBy("source_topic"))
+    best = best.withColumn("newest", newest).where(F.col("scanned_at") == F.col("newest"))
+    return best.select(*keys, "b.*", "scanned_at").select(*results.columns).orderBy(F.desc("confidence"), *keys)
 
 
 def split_new(rows: DataFrame, field_tags: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new, already there) by field and tag against the tags a schema carries."""
+    """(new, already there) by field and tag against the tags a schema carries.
+
+    For both at once take ``with_known``, which works the rows out only once.
+    """
+    flagged = with_known(rows, field_tags, extra)
+    return flagged.where(~F.col("known")).drop("known"), flagged.where("known").drop("known")
+
+
+def with_known(rows: DataFrame, field_tags: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``known``: does a schema carry that field's tag already?"""
     keys = [*(extra or []), "field_path", "tag"]
-    known = field_tags.select(*keys).distinct()
-    return rows.join(known, keys, "left_anti"), rows.join(known, keys, "left_semi")
+    there = field_tags.select(*keys).distinct().withColumn("known", F.lit(True))
+    return rows.join(there, keys, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def merged_tags(existing: Column, new: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldscan.functions.taxonomy import clamp_layer_value
 from fieldscan.operators.rollup import tag_list
 from fieldscan.plans.classify import CLASSIFIER_VERSION, classify_fields, detect_messages
 
@@ -46,15 +47,18 @@ def route(messages: DataFrame, ids: list[str], max_layer: int = 3, **options) ->
 
     Detections are shuffled by message id, never the field values; the message
     itself moves only for the join back, and not even then where Spark can
-    broadcast the classes.
+    broadcast the classes. Two messages of one id are told apart by their content,
+    so a redelivery under a used id keeps its own class.
     """
-    classes = message_classes(detect_messages(messages, ids, max_layer, **options), ids)
+    content = F.xxhash64(F.col("value").cast("binary"))
+    keyed, keys = messages.withColumn("_content", content), [*ids, "_content"]
+    classes = message_classes(detect_messages(keyed, keys, max_layer, **options), keys)
     none = F.array().cast("array<string>")
     routed = (
-        messages.join(classes, ids, "left")
+        keyed.join(classes, keys, "left").drop("_content")
         .withColumn("tags", F.coalesce("tags", none))
         .withColumn("entity_types_found", F.coalesce("entity_types_found", none))
-        .withColumn("layers_used", F.sequence(F.lit(1), F.lit(max_layer)))
+        .withColumn("layers_used", F.sequence(F.lit(1), F.lit(clamp_layer_value(max_layer))))
         .withColumn("classified_at", F.current_timestamp())
         .withColumn("classifier_version", F.lit(CLASSIFIER_VERSION))
     )

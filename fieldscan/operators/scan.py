@@ -67,14 +67,14 @@ def scan_keys(triggers: DataFrame, messages: DataFrame, minutes: int, salts: int
     Messages fall into buckets of the look-back length and each trigger visits the
     two it can reach. Messages of one topic and bucket are dealt over ``salts``
     slots, and triggers copied to each, so that a topic with a third of all
-    messages does not land in one task.
+    messages does not land in one task. The slot is that of the message's id.
     """
     width = minutes * 60 * 1_000_000
 
     def bucket(column: str):
         return F.expr(f"unix_micros({column}) div {width}")
 
-    slot = F.pmod(F.xxhash64(*[c for c, t in messages.dtypes if t != "variant"]), F.lit(salts)).cast("int")
+    slot = F.pmod(F.xxhash64("msg_id" if "msg_id" in messages.columns else "event_time"), F.lit(salts)).cast("int")
     m = messages.withColumn("bucket", bucket("event_time")).withColumn("slot", slot)
     at = bucket("triggered_at")
     t = triggers.withColumn("at_bucket", F.explode(F.array(at, at - 1))).withColumn(
@@ -84,21 +84,21 @@ def scan_keys(triggers: DataFrame, messages: DataFrame, minutes: int, salts: int
 
 
 def interval_scan(
-    triggers: DataFrame, messages: DataFrame, minutes: int = SAMPLE_MINUTES, salts: int = 8, small_rows: int = 200_000
+    triggers: DataFrame, messages: DataFrame, minutes: int = SAMPLE_MINUTES, salts: int | None = None
 ) -> DataFrame:
     """Messages of the ``minutes`` before each trigger, both ends included (batch).
 
-    Always an equi join, never a nested loop. When the triggers were counted to be
-    few they are broadcast and no message moves; else both sides shuffle by topic,
-    bucket and slot.
+    Always an equi join by topic, bucket and slot, never a nested loop, and no job runs
+    to plan it: Spark broadcasts the triggers where it finds them small. Unless given,
+    ``salts`` is an eighth of the shuffle partitions, so a hot topic and minute spread
+    over as large a part of the cluster.
     """
-    triggers = triggers.select(*TRIGGER)
-    few = triggers.limit(small_rows + 1).count() <= small_rows
-    t, m = scan_keys(triggers, messages, minutes, 1 if few else salts)
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t, m = scan_keys(triggers.select(*TRIGGER), messages, minutes, salts or max(1, parts // 8))
     near = F.unix_micros("triggered_at") - F.unix_micros("event_time")
     keys = (F.col("topic") == F.col("source_topic")) & (F.col("bucket") == F.col("at_bucket")) & (F.col("slot") == F.col("at_slot"))
     return (
-        m.join(F.broadcast(t) if few else t, keys)
+        m.join(t, keys)
         .where(near.between(0, minutes * 60 * 1_000_000))
         .drop("bucket", "slot", "at_bucket", "at_slot")
     )

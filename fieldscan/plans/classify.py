@@ -6,28 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldscan.functions.taxonomy import clamp_layer_value
 from fieldscan.functions.text import scan_example
 from fieldscan.operators.detect import best_per_tag, classify_names, detect, explode_detections
-from fieldscan.operators.entities import gazetteer_patterns
-from fieldscan.operators.flatten import DEFAULT_DEPTH, flatten_variant, schema_leaves
+from fieldscan.operators.entities import gazetteer, gazetteer_patterns
+from fieldscan.operators.flatten import flatten_variant, schema_leaves
 from fieldscan.sources.messages import decode
 
-CLASSIFIER_VERSION = "3.1.0"
+CLASSIFIER_VERSION = "fieldscan-2"
+# Ranks of phrase-table hits start here, behind every other hit of a field.
+PHRASE_RANK = 1_000_000
 
 
 def detect_messages(
-    messages: DataFrame, ids: list[str], max_layer: int | None = 3, depth: int = DEFAULT_DEPTH, schemas=None, **options
+    messages: DataFrame, ids: list[str], max_layer: int | None = 3, schemas=None, **options
 ) -> DataFrame:
     """Fields of JSON (or wire-format) messages with their detections. Tombstones and
     unreadable messages have no leaves, so they fall out without a filter."""
     options.setdefault("phrases", gazetteer_patterns())
-    flat = flatten_variant(decode(messages, schemas), ids, "payload", depth)
+    flat = flatten_variant(decode(messages, schemas), ids)
     return detect(flat, max_layer, **options)
 
 
-def classify(messages: DataFrame, ids: list[str], max_layer: int | None = 3, **options) -> DataFrame:
-    """One row per detection of each message field."""
-    return explode_detections(detect_messages(messages, ids, max_layer, **options))
+def classify(
+    messages: DataFrame, ids: list[str], max_layer: int | None = 3, phrase_table: DataFrame | None = None, **options
+) -> DataFrame:
+    """One row per detection of each message field.
+
+    ``phrase_table(phrase, label, score)`` adds the phrases of a table of any size to
+    layer 3 (see ``entities.gazetteer``); its hits come after the others of a field.
+    """
+    detected = detect_messages(messages, ids, max_layer, **options)
+    rows = explode_detections(detected)
+    if phrase_table is None or clamp_layer_value(max_layer) < 3:
+        return rows
+    found = gazetteer(detected, phrase_table, [*ids, "is_free_text"])
+    found = found.withColumn("rank", F.col("rank") + F.lit(PHRASE_RANK))
+    return rows.unionByName(found.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]))
 
 
 def best_rows(detected: DataFrame, ids: list[str]) -> DataFrame:

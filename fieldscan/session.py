@@ -46,13 +46,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared)
     return shared
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer partitions than there are cores.
-
-    Only small inputs are moved: a table of many splits already fills the
-    cluster and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

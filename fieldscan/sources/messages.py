@@ -47,7 +47,7 @@ def schema_id(value: Column) -> Column:
 
 
 def wire_body(value: Column) -> Column:
-    return F.when(schema_id(value).isNotNull(), F.expr("substring(value, 6)")).otherwise(value)
+    return F.when(schema_id(value).isNotNull(), F.substring(value, 6, 2**31 - 1)).otherwise(value)
 
 
 def drop_tombstones(messages: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def decode(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
 
         known = schemas.where(F.upper(F.coalesce("schema_type", F.lit("AVRO"))) == "AVRO")
         for row in known.select("id", "schema").distinct().toLocalIterator():
-            record = from_avro(F.expr("substring(value, 6)"), row["schema"], {"mode": "PERMISSIVE"})
+            record = from_avro(F.substring(value, 6, 2**31 - 1), row["schema"], {"mode": "PERMISSIVE"})
             payload = F.when(F.col("schema_id") == row["id"], F.coalesce(F.to_variant_object(record), payload)).otherwise(payload)
     return df.withColumn("payload", payload)
 

@@ -2,8 +2,8 @@ import json
 
 import pytest
 
-from fieldscan.operators.flatten import deeper_than, flatten_columns, flatten_variant, schema_leaves
-from fieldscan.plans.classify import classify_schema
+from fieldscan.operators.flatten import deep_leaves, flatten_columns, flatten_variant, schema_leaves
+from fieldscan.plans.classify import classify, classify_schema
 from fieldscan.sources.messages import decode, drop_tombstones, record_json, schema_id, split_malformed, wire_body
 
 RECORD = {
@@ -29,12 +29,22 @@ def test_nulls_kept_for_reports(spark):
     assert flat(spark, [json.dumps(RECORD)], keep_nulls=True) == {(0, k): v for k, v in {**LEAVES, "a.n": ""}.items()}
 
 
-def test_below_the_depth_nothing_is_lost(spark):
-    value = json.dumps({"a": {"b": {"c": {"d": "x@y.com"}}}, "z": "1"})
-    assert flat(spark, [value], depth=2) == {(0, "a.b"): '{"c":{"d":"x@y.com"}}', (0, "z"): "1"}
-    df = decode(spark.createDataFrame([(0, value)], "id int, value string"))
-    assert [tuple(r) for r in deeper_than(df, ["id"], depth=2).collect()] == [("a.b", 1)]
-    assert deeper_than(df, ["id"], depth=4).count() == 0
+def test_any_depth_gives_the_same_leaves(spark):
+    deep = json.dumps({"a": [{"b": {"c": RECORD}}], "z": 1.50, "big": 12345678901234567890123, "e": 1e3, "q": 'a "b" \\ \n ü'})
+    expected = flat(spark, [deep], levels=12)
+    assert expected[(0, "a[0].b.c.deep[0][0][0]")] == "y"
+    for levels in (0, 1, 2, 6):
+        assert flat(spark, [deep], levels=levels) == expected
+        assert flat(spark, [deep, None, "[]"], levels=levels, keep_nulls=True) == flat(spark, [deep, None, "[]"], levels=12, keep_nulls=True)
+
+
+def test_a_secret_far_down_is_found(spark):
+    value: object = {"ssn": "1", "password": "x"}
+    for i in range(200):
+        value = {f"l{i}": value} if i % 3 else [value]
+    got = classify(spark.createDataFrame([("1", json.dumps(value))], "msg_id string, value string"), ["msg_id"], 1).collect()
+    assert {r["tag"] for r in got} == {"GOVERNMENT_ID", "CREDENTIALS"}
+    assert len(deep_leaves("[" * 900 + "1" + "]" * 900)) == 1
 
 
 def test_unreadable_messages_are_set_aside(spark):

@@ -30,8 +30,8 @@ def test_interval_scan_against_all_pairs(spark):
         (m[0], t[2]) for m in messages for t in trigs if m[1] == t[1] and t[2] - dt.timedelta(minutes=2) <= m[4] <= t[2]
     )
     t = spark.createDataFrame(trigs, "trigger_type string, source_topic string, triggered_at timestamp")
-    for small in (200_000, 0):
-        got = scan.interval_scan(t, spark.createDataFrame(messages, MESSAGE), small_rows=small)
+    for salts in (None, 1, 8):
+        got = scan.interval_scan(t, spark.createDataFrame(messages, MESSAGE), salts=salts)
         assert sorted((r["msg_id"], r["triggered_at"]) for r in got.collect()) == want and want
 
 

@@ -7,10 +7,10 @@ from fieldscan.operators import registry
 from fieldscan.sources import synth
 
 SHAPE = {
-    "ssn": r"\d{3}-\d{2}-\d{4}", "phone_number": r"\+1-\d{3}-\d{3}-\d{4}", "iban": r"GB\d{2}NWBK\d{12}", "api_key": r"sk-[a-z0-9]{40}",
-    "aws_access_key_id": r"AKIA[A-Z0-9]{16}", "session_token": r"eyJ\w{20}\.eyJ\w{20}\.\w{20}", "dna_sequence": r"[ACGT]{40}",
-    "fingerprint_hash": r"[0-9a-f]{64}", "gps_coordinates": r"-?\d+\.\d{6},-?\d+\.\d{6}", "swift_code": r"[A-Z]{6}[US]\d{2}",
-    "email": r"[a-z]+\.[a-z]+@[a-z.]+", "crypto_wallet": r"\w{34}", "date_of_birth": r"(19|20)\d\d-\d\d-\d\d", "credit_card_number": r"4\d{15}",
+    "ssn": r"\d{3}-\d{2}-\d{4}", "phone_number": r"\(\d{3}\) \d{3}-\d{4}", "iban": r"NL\d{2}[A-Z]{4}\d{10}", "api_key": r"pk_live_[a-z0-9]{24}",
+    "aws_access_key_id": r"AKIA[A-Z0-9]{16}", "session_token": r"eyJ\w{17}\.\w{31}\.\w{43}", "dna_sequence": r"[ACGT]{60}",
+    "fingerprint_hash": r"[0-9a-f]{48}", "gps_coordinates": r"-?\d+\.\d{5} -?\d+\.\d{5}", "swift_code": r"[A-Z]{6}[A-Z0-9]{2}",
+    "email": r"[a-z]+_\d+@[a-z.]+", "crypto_wallet": r"0x[0-9a-f]{40}", "date_of_birth": r"(19|20)\d\d-\d\d-\d\d", "credit_card_number": r"5\d{15}",
 }
 
 

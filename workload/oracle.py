@@ -6,14 +6,7 @@ import re
 
 from fieldscan.functions.dictionary import FREE_TEXT_MIN_WORDS, FREE_TEXT_NAMES
 from fieldscan.functions.names import keyword_rows
-from fieldscan.functions.patterns import (
-    CONTEXT_BOOST,
-    CONTEXT_CHARS,
-    CONTEXT_WORDS,
-    PATTERNS,
-    by_entity,
-    joined_regex,
-)
+from fieldscan.functions.patterns import CONTEXT_BOOST, CONTEXT_WORDS, PATTERNS, Pattern
 from fieldscan.functions.taxonomy import ALERT_TAGS, ENTITY_TAG, TAG_PRIORITY, TAGS
 from fieldscan.functions.text import BLANK
 from fieldscan.operators.entities import gazetteer_patterns
@@ -77,28 +70,19 @@ def luhn(hit: str) -> str:
     return f"({total} % 10 = 0)"
 
 
-def group_hits(group, order: int) -> str:
-    rx = q(joined_regex(group))
-    entity = group[0].entity_type
-    near = (
-        f"substring(plain, greatest(start - {CONTEXT_CHARS - 1}, 1)::INT, least(start, {CONTEXT_CHARS})::INT)"
-    )
-    near = f"lower(array_to_string(string_split(translate({near}, chr(9) || chr(10) || chr(13), '   '), ' ')[-{CONTEXT_WORDS + 1}:], ' '))"
-
-    def boosted(p) -> str:
-        if not p.context:
-            return f"{p.score}::DOUBLE"
-        cue = "|".join(p.context)
-        return f"CASE WHEN regexp_matches({near}, {q(cue)}) THEN {round(min(1.0, p.score + CONTEXT_BOOST), 4)}::DOUBLE ELSE {p.score}::DOUBLE END"
-
-    score = boosted(group[-1])
-    for p in reversed(group[:-1]):
-        score = f"CASE WHEN regexp_full_match(hit, {q(p.regex)}) THEN {boosted(p)} ELSE {score} END"
-    check = f"WHERE {luhn('hit')}" if group[0].check == "luhn" else ""
+def row_hits(p: Pattern, order: int) -> str:
+    """Every match of one pattern row, with the score its context gives it."""
+    rx = q(p.regex)
+    score = f"{p.score}::DOUBLE"
+    if p.context:
+        before = "string_split(translate(left(plain, start::INT), chr(9) || chr(10) || chr(13), '   '), ' ')"
+        cue = f"regexp_matches(lower(array_to_string({before}[-{CONTEXT_WORDS + 1}:], ' ')), {q('|'.join(p.context))})"
+        score = f"CASE WHEN {cue} THEN {round(min(1.0, p.score + CONTEXT_BOOST), 4)}::DOUBLE ELSE {score} END"
+    check = f"WHERE {luhn('hit')}" if p.check == "luhn" else ""
     return f"""
-      SELECT msg_id, topic, event_time, field_path, value, {q(entity)} AS entity_type, {q(ENTITY_TAG[entity])} AS tag,
-             {score} AS score, start, start + length(hit) AS "end", hit, {group[0].layer} AS layer,
-             {q(group[0].source)} AS source, {order} AS ord
+      SELECT msg_id, topic, event_time, field_path, value, {q(p.entity_type)} AS entity_type, {q(ENTITY_TAG[p.entity_type])} AS tag,
+             {score} AS score, start, start + length(hit) AS "end", hit, {p.layer} AS layer,
+             {q(p.source)} AS source, {order} AS ord
       FROM (SELECT *, ms[j] AS hit,
                    coalesce(list_sum(list_transform(gaps[1:j], lambda g: length(g))), 0)
                    + coalesce(list_sum(list_transform(ms[1:j-1], lambda g: length(g))), 0) AS start
@@ -107,16 +91,28 @@ def group_hits(group, order: int) -> str:
                         FROM plains WHERE regexp_matches(plain, {rx})))) {check}"""
 
 
-def detections(kind: str, layers: int = 2, source: str | None = None, only: list[str] | None = None) -> str:
+# A hit goes if a better one of its entity type overlaps it.
+APART = """
+      SELECT h.* FROM hits h WHERE NOT EXISTS (
+        SELECT 1 FROM hits g WHERE g.msg_id = h.msg_id AND g.field_path = h.field_path AND g.entity_type = h.entity_type AND g.layer = h.layer
+        AND g.start < h."end" AND h.start < g."end"
+        AND (g.score > h.score OR (g.score = h.score AND (length(g.hit) > length(h.hit) OR (length(g.hit) = length(h.hit)
+             AND (g.start < h.start OR (g.start = h.start AND g.ord < h.ord)))))))"""
+
+
+def detections(
+    kind: str, layers: int = 2, source: str | None = None, only: list[str] | None = None, patterns: list[Pattern] | None = None
+) -> str:
     """CTE list ending in ``det``: every detection with its rank in its field."""
-    groups = by_entity([p for p in PATTERNS if only is None or p.entity_type in only], "en") if layers >= 2 else []
-    l2 = [group_hits(g, i) for i, g in enumerate(groups)]
-    l3 = [group_hits(g, i) for i, g in enumerate(by_entity(gazetteer_patterns(), "en"))] if layers >= 3 else []
+    own = PATTERNS if patterns is None else patterns
+    rows = [p for p in own if only is None or p.entity_type in only] if layers >= 2 else []
+    matches = [row_hits(p, i) for some in (rows, gazetteer_patterns() if layers >= 3 else []) for i, p in enumerate(some)]
     l1 = f"""
       SELECT f.msg_id, f.topic, f.event_time, f.field_path, f.value, n.entity_type, n.tag, n.score, 0 AS start,
              length(f.value) AS "end", f.value AS hit, 1 AS layer, 'field_name' AS source, n.ord
       FROM named f JOIN names n ON n.field_path = f.field_path"""
-    every = "\nUNION ALL BY NAME ".join([l1, *l2, *l3])
+    every = "\nUNION ALL BY NAME ".join([l1, *([APART] if matches else [])])
+    hits = f"hits AS ({' UNION ALL '.join(matches)})," if matches else ""
     return f"""
     flat AS ({source or flat(kind)}),
     named AS (SELECT *, {words(leaf('field_path'))} AS words FROM flat),
@@ -125,6 +121,7 @@ def detections(kind: str, layers: int = 2, source: str | None = None, only: list
               FROM paths p JOIN {dictionary()} ON contains(' ' || p.words || ' ', ' ' || d.run || ' ')
               GROUP BY ALL),
     plains AS (SELECT msg_id, topic, event_time, field_path, value, {plain('value')} AS plain FROM flat),
+    {hits}
     found AS ({every}),
     det AS (SELECT x.*, row_number() OVER (PARTITION BY x.msg_id, x.field_path
                      ORDER BY layer, -score, CASE WHEN layer = 1 THEN ord ELSE start END, ord) - 1 AS rank,
