@@ -32,7 +32,7 @@ END_ID = 1
 SHARD_BYTES = 32 << 20
 BLOCK_BYTES = 6 << 20
 LEAST_COUNT = 8
-ROUNDS = 10
+ROUNDS = 8
 MEMO_WORDS = 300_000
 # Number of terminals, rules, documents, symbols, bytes per symbol.
 HEAD = "<IIIQB"
@@ -57,23 +57,45 @@ class Encoder:
         self.whole.no_padding()
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         with open(path, encoding="utf-8") as f:
             self.by_word = word_by_word(json.load(f))
         self.model = self.whole.model
 
+    def part(self, part: str) -> tuple[int, ...]:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.parts[part] = tuple([t.id for t in self.model.tokenize(part)])
+        return found
+
     def words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        memo = self.memo
+        memo, part = self.memo, self.part
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        new = [w for w in words if w not in memo]
-        hard = []
-        for w in new:
-            if _PLAIN.fullmatch(w):
-                memo[w] = tuple(t.id for part in _PARTS.findall(w.lower().decode()) for t in self.model.tokenize(part))
+            self.parts.clear()
+        hard: dict[str, list[tuple[bytes, tuple[int, ...]]]] = {}
+        for w in words:
+            if w in memo:
+                continue
+            stem = w.rstrip(b".,!?")
+            if stem.isalpha():
+                # ASCII letters, then perhaps marks.
+                memo[w] = part(stem.lower().decode()) + (part(w[len(stem) :].decode()) if len(stem) < len(w) else ())
+            elif _PLAIN.fullmatch(w):
+                parts = _PARTS.findall(w.lower().decode())
+                memo[w] = part(parts[0]) if len(parts) == 1 else sum(map(part, parts), ())
             else:
-                hard.append(w)
-        found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in hard], add_special_tokens=False)
-        memo.update((w, tuple(x.ids)) for w, x in zip(hard, found))
+                # A last letter and the ASCII marks after it are always parted.
+                text = w.decode("utf-8", "replace")
+                base = text.rstrip(".,!?")
+                if base == text or not base[-1:].isalpha():
+                    hard.setdefault(text, []).append((w, ()))
+                else:
+                    hard.setdefault(base, []).append((w, part(text[len(base) :])))
+        for uses, found in zip(hard.values(), self.whole.encode_batch_fast(list(hard), add_special_tokens=False)):
+            ids = tuple(found.ids)
+            for w, end in uses:
+                memo[w] = ids + end
         return [memo[w] for w in words]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,37 +160,52 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int, least: int =
     Nonterminals are numbered from ``terminals`` on, and no further than two bytes hold if
     the terminals leave room there. Pairs of equal ids are not replaced.
     """
-    symbols, lengths = ids.astype(np.int64), lengths.copy()
+    symbols = ids.astype(np.uint32)
     room = (65536 if terminals < 65536 else 2**32) - terminals
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
-    doc = np.repeat(np.arange(len(lengths)), lengths)
     rules: list[tuple[int, int]] = []
+    place = np.empty(_SLOTS, np.int64)
     for _ in range(rounds):
         if len(symbols) < 2 or len(rules) >= room:
             break
-        pairs = (symbols[:-1] << 32) | symbols[1:]
-        free = ~last[:-1]
-        # Rare pairs go by a table of hashed counts; the others are counted exactly.
-        slot = (pairs * 0x9E3779B1 >> 17) & 0xFFFFF
-        often = free & (np.bincount(slot[free], minlength=1 << 20)[slot] >= least)
-        distinct, counts = np.unique(pairs[often], return_counts=True)
+        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+        # A table of hashed counts tells which pairs can be among the frequent ones; only
+        # those are counted exactly.
+        slot = _slots(pairs)
+        counted = np.bincount(slot, minlength=_SLOTS)
+        often = np.flatnonzero((counted >= max(least, counted.max() // 16))[slot] & ~last[:-1])
+        found = pairs[often]
+        distinct, counts = np.unique(found, return_counts=True)
         distinct, counts = distinct[counts >= least], counts[counts >= least]
         picked = _chosen(distinct, counts, room - len(rules))
         if not picked:
             break
-        names = np.arange(len(picked)) + terminals + len(rules)
-        rules += [(int(distinct[i]) >> 32, int(distinct[i]) & 0xFFFFFFFF) for i in picked]
-        order = np.argsort(distinct[picked])
-        keys, names = distinct[picked][order], names[order]
-        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        hit = np.flatnonzero(often & (keys[at] == pairs))
-        symbols[hit] = names[at[hit]]
+        # Of chosen pairs that share a slot one is replaced now, the others have their turn later.
+        keys = distinct[picked]
+        place[:] = -1
+        place[_slots(keys)] = np.arange(len(keys))
+        keys = keys[np.unique(place[_slots(keys)])]
+        place[_slots(keys)] = np.arange(len(keys))
+        at = place[slot[often]]
+        known = (at >= 0) & (keys[at] == found)
+        hit = often[known]
+        symbols[hit] = (at[known] + terminals + len(rules)).astype(np.uint32)
+        rules += [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in keys]
         last[hit] = last[hit + 1]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        symbols, last, doc = symbols[keep], last[keep], doc[keep]
-    return np.array(rules, np.int64).reshape(-1, 2), symbols, np.bincount(doc, minlength=len(lengths))
+        symbols, last = symbols[keep], last[keep]
+    per_doc = np.zeros(len(lengths), np.int64)
+    per_doc[lengths > 0] = np.diff(np.flatnonzero(last), prepend=-1)
+    return np.array(rules, np.int64).reshape(-1, 2), symbols.astype(np.int64), per_doc
+
+
+_SLOTS = 1 << 20
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
 
 def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
