@@ -328,6 +328,28 @@ def flatten_deep(spark, sf):
     return flatten.flatten_variant(src.decode(rows.select("msg_id", body.alias("value"))), ["msg_id"])
 
 
+def _letters():
+    """A stand-in for a model: words of a capital and seven letters are persons, and
+    digits in threes diseases, but those of a score under the threshold."""
+    import re
+
+    def spans(text):
+        found = [("person", 0.91, m) for m in re.finditer("[A-Z][a-z]{7}", text)] + [("disease", 0.39, m) for m in re.finditer("[0-9]{3}", text)]
+        return [{"label": label, "start": m.start(), "end": m.end(), "score": score} for label, score, m in found]
+
+    return lambda texts: [spans(t) for t in texts]
+
+
+@query("""SELECT cast(doc_id AS VARCHAR) AS msg_id, 'PERSON' AS entity_type, 'PII' AS tag, 0.91::DOUBLE AS score, hit AS text_snippet, count(*) AS n
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{7}')) AS hit FROM documents) GROUP BY ALL""")
+def model_hook(spark, sf):
+    rows = spread(table(spark, sf, "documents")).select(
+        F.col("doc_id").cast("string").alias("msg_id"), F.lit("q").alias("field_path"), F.col("text").alias("value")
+    )
+    found = detect.explode_detections(detect.detect(rows, 3, patterns=[], recognizers=[entities.predictor(_letters)])).where("layer = 3")
+    return found.groupBy("msg_id", "entity_type", "tag", "score", "text_snippet").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- roll-ups ---------------------------------------------------------------
 
 _BEST = f"""SELECT msg_id, topic, field_path, tag, round(score, 4) AS score, layer, source, {example('text_snippet')} AS sample_value FROM best"""
@@ -393,6 +415,20 @@ def route_counts(spark, sf):
     return routing.route(messages(spark, sf, "documents"), IDS, 2).groupBy("topic", "sink_topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {detections('events')}, tagged AS (SELECT DISTINCT msg_id FROM det)
+SELECT '1,2,3' AS layers_used, sink_topic, count(*) AS n FROM (
+  SELECT CASE WHEN t.msg_id IS NULL THEN 'classified-safe' ELSE 'classified-messages' END AS sink_topic
+  FROM events e LEFT JOIN tagged t ON t.msg_id = cast(e.event_id AS VARCHAR)
+  UNION ALL SELECT 'classified-safe' FROM events) GROUP BY ALL""")
+def route_repeated_ids(spark, sf):
+    """Every id comes twice, once with a value that holds nothing; a depth beyond 3 is 3."""
+    first = messages(spark, sf, "events")
+    again = first.withColumn("value", F.lit('{"n":1}'))
+    routed = routing.route(first.unionByName(again), IDS, 5)
+    counted = routed.groupBy(F.array_join(F.col("layers_used").cast("array<string>"), ",").alias("layers_used"), "sink_topic").agg(F.count(F.lit(1)).alias("n"))
+    return counted
+
+
 @query(f"""WITH {detections('customers')}, per AS (SELECT msg_id, list_sort(list_distinct(list(tag))) AS tags, count(*) AS n FROM det GROUP BY msg_id)
 SELECT array_to_string(tags, ',') AS tags, n AS n_detections, 'classified-messages' AS sink, (SELECT first(c_name) FROM customer WHERE cast(c_custkey AS VARCHAR) = msg_id) AS full_name FROM per""")
 def route_envelopes(spark, sf):
@@ -526,6 +562,16 @@ def _checks(spark, sf):
     )
 
 
+@query(f"""{_RESULTS} SELECT msg_id, field_path, tag, trigger_type, count(*) AS n FROM results
+WHERE source_topic = 'click' AND scanned_at::DATE > (SELECT max(ts)::DATE FROM events) - INTERVAL 7 DAY GROUP BY ALL""")
+def results_written_and_read(spark, sf):
+    """Results appended to a partitioned table and one topic's last week read back."""
+    path, today = f"{_scratch(spark)}/results", table(spark, sf, "events").agg(F.to_date(F.max("ts"))).first()[0]
+    scan.append_results(_results(spark, sf), path)
+    read = scan.read_results(spark, path, "click", today=str(today))
+    return read.groupBy("msg_id", "field_path", "tag", "trigger_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- registry ---------------------------------------------------------------
 
 @query(f"WITH {registry_ctes()} SELECT DISTINCT subject, version, field_path FROM fields")
@@ -823,7 +869,17 @@ def stream_interval_scan(spark, sf):
     return _finished(spark, rows.select(*IDS, "triggered_at")).withColumn("triggered_at", when("triggered_at"))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS MATERIALIZED (
+  SELECT event_type AS subject, date_trunc('second', ts) AS sec, max(event_id // 50 + 1) AS version FROM events GROUP BY ALL),
+following AS MATERIALIZED (
+  SELECT a.subject, a.sec, b.sec AS later, b.version
+  FROM (SELECT *, sec + INTERVAL 60 SECOND AS due FROM c) a ASOF JOIN c b ON a.subject = b.subject AND a.due <= b.sec),
+walk AS (
+  SELECT subject, sec, version AS known, false AS fired FROM c WHERE (subject, sec) IN (SELECT (subject, min(sec)) FROM c GROUP BY subject)
+  UNION ALL
+  SELECT w.subject, f.later, greatest(w.known, f.version), f.version > w.known
+  FROM walk w JOIN following f ON f.subject = w.subject AND f.sec = w.sec)
+SELECT 'schema_evolution' AS trigger_type, subject AS source_topic, {stamp('sec')} AS triggered_at FROM walk WHERE fired""")
 def stream_schema_watch(spark, sf):
     raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     checks = raw.select(
