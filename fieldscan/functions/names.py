@@ -45,15 +45,21 @@ def word_runs(words: Column, longest: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.size(tokens)), runs_from))
 
 
+def keyword_lookup(dictionary=None) -> dict[str, list[dict]]:
+    """Hits of each word run that is a keyword."""
+    by_words = defaultdict(list)
+    for o, entity, tag, score, _, _, kw in keyword_rows(dictionary):
+        by_words[kw].append({"down": -score, "ord": o, "entity_type": entity, "tag": tag, "score": score})
+    return by_words
+
+
 def name_hits(words: Column, dictionary=None) -> Column:
     """Dictionary hits of a name's words, best score first, one per entity type.
 
     A single alternation decides whether any keyword occurs; only names that
     pass look their word runs up in the keyword map.
     """
-    by_words = defaultdict(list)
-    for o, entity, tag, score, _, _, kw in keyword_rows(dictionary):
-        by_words[kw].append({"down": -score, "ord": o, "entity_type": entity, "tag": tag, "score": score})
+    by_words = keyword_lookup(dictionary)
     # One literal, folded into a map when the plan is made.
     lookup = F.from_json(F.lit(json.dumps(by_words)), f"map<string,array<{NAME_HIT}>>")
     any_keyword = "(?:^| )(?:" + "|".join(by_words) + ")(?: |$)"

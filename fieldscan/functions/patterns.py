@@ -115,7 +115,7 @@ def context_sql(text: str, start: str) -> str:
     return f"lower(transform(array({near}), w -> if({start} <= {_NEAR} OR length(w) < {_NEAR}, w, {every}))[0])"
 
 
-def _hint_sql(value: str, hint: str) -> str:
+def hint_sql(value: str, hint: str) -> str:
     if hint in _HINT_REGEX:
         return f"{value} RLIKE {quoted(_HINT_REGEX[hint])}"
     return "(" + " OR ".join(f"contains({value}, {quoted(w)})" for w in hint.split("|")) + ")"
@@ -152,7 +152,7 @@ def apart_sql(hits: str) -> str:
 
 
 @lru_cache(maxsize=64)
-def _hit_parts(patterns: tuple[Pattern, ...], language: str, tags: tuple[tuple[str, str], ...]) -> tuple[dict, dict, str] | None:
+def hit_parts(patterns: tuple[Pattern, ...], language: str, tags: tuple[tuple[str, str], ...]) -> tuple[dict, dict, str] | None:
     """Column names of hints and of gates, and the SQL that gathers all hits. Texts only,
     so they are made once for a table of rows."""
     groups = by_entity(list(patterns), language)
@@ -180,12 +180,12 @@ def with_pattern_hits(
     original text, then one short regex per distinct gate, and only then the scan,
     one per row, behind the row's own tests. Most texts of most tables stop at the first.
     """
-    parts = _hit_parts(tuple(PATTERNS if patterns is None else patterns), language, tuple(sorted((extra_tags or {}).items())))
+    parts = hit_parts(tuple(PATTERNS if patterns is None else patterns), language, tuple(sorted((extra_tags or {}).items())))
     if parts is None:
         return df.withColumn("plain", F.lit(None).cast("string")).withColumn(out, F.expr(NO_HITS))
     hints, gates, found = parts
     keep = [c for c in df.columns if c != "plain"]
-    first = {c: F.expr(_hint_sql(value, h) if h else f"{value} IS NOT NULL") for h, c in hints.items()}
+    first = {c: F.expr(hint_sql(value, h) if h else f"{value} IS NOT NULL") for h, c in hints.items()}
     if wanted is not None:
         first = {c: wanted & test for c, test in first.items()}
     hinted = df.select(*keep, *[test.alias(c) for c, test in first.items()])

@@ -7,7 +7,7 @@ from fieldscan.operators import rollup, routing
 from fieldscan.operators.detect import detect, explode_detections
 from fieldscan.operators.entities import available, filter_entities, gazetteer, gazetteer_patterns, predictor
 from fieldscan.plans.classify import classify, classify_fields
-from fieldscan.plans.sql import create_detection_view
+from fieldscan.plans.sql import create_classify_function, create_detection_view
 
 # A record, the depth it is classified to, and a tag it must get (none: no tag at all).
 CASES = [
@@ -78,6 +78,17 @@ def test_view_for_sql(spark, verticals):
     assert spark.sql("SELECT tag FROM detections WHERE msg_id = 'ops' AND field_path = 'jwt'").first()[0] == "CREDENTIALS"
 
 
+def test_table_function_for_sql(spark, verticals):
+    verticals.createOrReplaceTempView("raw_messages")
+    create_classify_function(spark, "tags_of")
+    for depth in ("0", "2", "NULL"):
+        found = spark.sql(f"SELECT m.msg_id, f.* FROM raw_messages m, LATERAL tags_of({depth}, m.value) AS f")
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        same = classify_fields(verticals, ["msg_id"], None if depth == "NULL" else int(depth)).select(*found.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, same.collect()))
+    assert spark.sql("SELECT * FROM tags_of(3, 'no json')").collect() == [] == spark.sql("SELECT * FROM tags_of(3, NULL)").collect()
+
+
 def test_routing_keeps_every_readable_message(spark):
     df = spark.createDataFrame(
         [("1", "t", "k", '{"email":"a@b.com","x":{"ssn":"1"}}'), ("2", "t", "k", '{"n":1}'), ("3", "t", None, "oops")],

@@ -13,6 +13,7 @@ from fieldscan.functions.patterns import PATTERNS, Pattern
 from fieldscan.functions.taxonomy import confidence_tier, primary_tag
 from fieldscan.operators import detect, entities, flatten, registry, review, rollup, routing, scan
 from fieldscan.plans.classify import best_rows, classify, classify_fields, detect_messages
+from fieldscan.plans.sql import create_classify_function
 from fieldscan.session import configure, ensure_checkpoint_dir
 from fieldscan.sources import messages as src
 from fieldscan.sources import sinks, synth
@@ -370,6 +371,14 @@ def best_per_field_tag(spark, sf):
     return rollup.best_per_field_tag(rows, IDS).select(*IDS, "field_path", "tag", "entity_type", "score", "layer")
 
 
+@query(f"WITH {detections('customers', 3)} {_BEST}")
+def sql_classify_fields(spark, sf):
+    """The table function under LATERAL: no Python in its plan."""
+    create_classify_function(spark, "classify_message")
+    messages(spark, sf, "customers").createOrReplaceTempView("customer_messages")
+    return spark.sql("SELECT m.msg_id, m.topic, f.* FROM customer_messages m, LATERAL classify_message(3, m.value) AS f")
+
+
 @query(f"""WITH {detections('customers')}
 SELECT msg_id, topic, field_path, tag, entity_type, max(round(score, 4)) AS score FROM det GROUP BY ALL""")
 def best_per_entity(spark, sf):
