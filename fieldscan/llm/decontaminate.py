@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, alnum_words, gather, lengths_to_starts, merged, require, rolling, saved, utf8
+from .common import Words, alnum_words, gather, merged, require, rolling, utf8
 
 WINDOW = 10
 SHINGLE = 3
@@ -155,7 +155,7 @@ def find_items(
 
 
 def _passes(benchmark: DataFrame, item_id: str, item_text: str, per_pass: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in groups of at most ``per_pass`` bytes / 8 or one item: words are longer than that on average.
+    """The items in groups of about ``8 * per_pass`` bytes; a word with its blank rarely has fewer than eight.
 
     Groups are dealt by hash, so each is fetched alone and nothing else is held. At least
     one group comes, empty if there is no item, since texts are counted in any case.

@@ -151,7 +151,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     text = lambda name: f[name].decode().strip("<>") if name in f else None
                     page = text(b"x-page-id")
                     full = kind == "response"
-                    rows.append((text(b"warc-record-id"), kind, None if page is None else int(page), text(b"warc-target-uri"), text(b"warc-refers-to"), digest, len(payload) if full else None, payload if full and payloads else None))
+                    size, kept = (len(payload) if full else None), (payload if full and payloads else None)
+                    heads = text(b"warc-record-id"), kind, None if page is None else int(page), text(b"warc-target-uri"), text(b"warc-refers-to")
+                    rows.append((*heads, digest, size, kept))
                     held += len(payload) if payloads else 256
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
