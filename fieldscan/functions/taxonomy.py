@@ -83,10 +83,6 @@ def clamp_layer_value(max_layer: int | None) -> int:
     return 3 if max_layer is None else max(1, min(3, int(max_layer)))
 
 
-def entity_tags(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ENTITY_TAG.items()), "entity_type string, tag string")
-
-
 def tag_definitions(spark: SparkSession) -> DataFrame:
     """One row per tag, as a catalog registers it."""
     rows = [(t, d, ["sr_field"], ["entity_types", "classified_by"]) for t, d in TAG_DESCRIPTIONS.items()]
