@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import Words, gather, lengths_to_starts, merged, require, utf8
 
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 5_000
 STEPS = 200
+# Texts that training takes apart at a time.
+FIT_CHUNK = 256
 # A word's features: its first letters (bytes) up to these lengths, and the word.
 PREFIXES = (3, 4, 5, 6, 7)
 # Features that training looks at: in so many texts at least, and tied to the label at
@@ -93,16 +95,42 @@ def lengths_to_starts_float(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(values)])
 
 
-def informative(of_text: np.ndarray, feature: np.ndarray, y: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+def _chunks(rows: list[tuple[bytes, int]]) -> Iterator[tuple[Sentences, np.ndarray]]:
+    """A few texts at a time, with the text (within them) of each word."""
+    for a in range(0, len(rows), FIT_CHUNK):
+        view = Sentences([t for t, _ in rows[a : a + FIT_CHUNK]])
+        text = np.repeat(np.arange(len(view.per_text)), view.per_text)
+        yield view, np.repeat(text, view.words.lengths)
+
+
+def _spread(view: Sentences, owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner of a word as the owner of the word's features."""
+    many = np.diff(view.features_at)[code]
+    return np.repeat(owner, many), view.features[gather(view.features_at[code], many)]
+
+
+def informative(rows: list[tuple[bytes, int]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features in ``LEAST_TEXTS`` texts or more whose share of toxic texts is far from the
-    mean, and of all features the log odds of toxic against other texts."""
-    pairs = np.unique(feature * len(y) + of_text)
-    texts = np.bincount(pairs // len(y), minlength=n_features)
-    toxic = np.bincount(pairs // len(y), weights=y[pairs % len(y)], minlength=n_features)
+    mean, and the log odds of toxic against other texts of each."""
+    found, labels, start = [np.zeros(0, np.uint32)], [np.zeros(0, bool)], 0
+    for view, text in _chunks(rows):
+        distinct = max(1, len(view.words.distinct))
+        words = np.unique(text * distinct + view.words.codes)
+        owner, feature = _spread(view, words // distinct, words % distinct)
+        pairs = np.unique(owner << 32 | feature)
+        found.append((pairs & 0xFFFFFFFF).astype(np.uint32))
+        labels.append(y[start + (pairs >> 32)] > 0)
+        start += len(view.per_text)
+    features, toxic_text = np.concatenate(found), np.concatenate(labels)
+    known, texts = np.unique(features, return_counts=True)
+    toxic = np.zeros(len(known))
+    in_toxic, count = np.unique(features[toxic_text], return_counts=True)
+    toxic[np.searchsorted(known, in_toxic)] = count
     mean = y.mean()
     away = (toxic - texts * mean) / np.sqrt(np.maximum(texts * mean * (1 - mean), 1e-9))
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((texts - toxic + 0.5) / (len(y) - y.sum() + 1))
-    return (texts >= LEAST_TEXTS) & (np.abs(away) >= LEAST_DEVIATIONS), odds
+    chosen = (texts >= LEAST_TEXTS) & (np.abs(away) >= LEAST_DEVIATIONS)
+    return known[chosen].astype(np.int64), odds[chosen]
 
 
 def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, rate: float = 1.0, l1: float = 1e-6) -> Model:
@@ -112,36 +140,35 @@ def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, rate: float = 1.0, l1
     those of features that labels do not speak of at zero, so that long texts are not
     toxic for their length.
     """
-    view = Sentences([t for t, _ in rows])
     y = np.array([label for _, label in rows], np.float64)
     none = np.zeros(0)
-    if not view.words.lengths.size or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return Model(none, none, -30.0, float(y.mean()) if len(y) else 0.0)
-    known, compact = np.unique(view.features, return_inverse=True)
-    text_of = np.repeat(np.arange(len(y)), view.per_text)
-    sentence = np.repeat(np.arange(len(view.words.lengths)), view.words.lengths)
-    distinct, many = len(view.words.distinct), np.diff(view.features_at)
-
-    def spread(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(owner, many[code]), compact[gather(view.features_at[code], many[code])]
-
-    in_text = np.unique(text_of[sentence] * distinct + view.words.codes)
-    chosen, odds = informative(*spread(in_text // distinct, in_text % distinct), y, len(known))
-    # Only words with a chosen feature go on; a word counts once per sentence.
-    speaks = np.add.reduceat(chosen[compact], view.features_at[:-1]) > 0
-    heard = speaks[view.words.codes]
-    once = np.unique(sentence[heard] * distinct + view.words.codes[heard])
-    sentence, feature = spread(once // distinct, once % distinct)
-    sentence, feature = sentence[chosen[feature]], (np.cumsum(chosen) - 1)[feature[chosen[feature]]]
-    known = known[chosen]
+    known, odds = informative(rows, y)
+    # Of all texts only this stays: which sentence has which of the features, once each.
+    per_text, pairs, before = [], [], 0
+    for view, _ in _chunks(rows):
+        lookup = Model(known, np.arange(1, len(known) + 1), 0.0, 0.0)
+        heard = np.add.reduceat(lookup.of(view.features), view.features_at[:-1])[view.words.codes] > 0 if len(view.features) else np.zeros(0, bool)
+        sentence = np.repeat(np.arange(len(view.words.lengths)), view.words.lengths)
+        distinct = max(1, len(view.words.distinct))
+        once = np.unique(sentence[heard] * distinct + view.words.codes[heard])
+        owner, raw = _spread(view, once // distinct, once % distinct)
+        place = lookup.of(raw).astype(np.int64)
+        pairs.append(np.stack([owner[place > 0] + before, place[place > 0] - 1]))
+        before += len(view.words.lengths)
+        per_text.append(view.per_text)
+    per_text = np.concatenate(per_text)
+    sentence, feature = np.concatenate(pairs, axis=1)
+    text_of = np.repeat(np.arange(len(y)), per_text)
     n, total = len(y), len(text_of)
     # Each feature starts with half of what it says alone.
-    weights, bias, leak_logit = np.maximum(odds[chosen] / 2, 0), -6.0, -4.0
+    weights, bias, leak_logit = np.maximum(odds / 2, 0), -6.0, -4.0
     squares, bias_squares, leak_squares = np.full(len(known), 1e-8), 1e-8, 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sentence, weights=weights[feature], minlength=total), -30, 30)))
         leak = 1 / (1 + np.exp(-leak_logit))
-        doc = np.clip(noisy_or(p, view.per_text, leak), 1e-9, 1 - 1e-9)
+        doc = np.clip(noisy_or(p, per_text, leak), 1e-9, 1 - 1e-9)
         # d(-log likelihood)/dz: p_s for label 0, -p_s (1 - p) / p for label 1.
         pull = np.where(y > 0, -(1 - doc) / doc, 1.0)
         slope = p * pull[text_of] / n
