@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +101,11 @@ class Words:
     """The words of several texts, end to end, as codes into a list of distinct words."""
 
     def __init__(self, lists: list[list[bytes]]):
-        codes: dict[bytes, int] = {}
-        at = codes.setdefault
+        codes: defaultdict[bytes, int] = defaultdict()
+        codes.default_factory = codes.__len__
         self.lengths = np.array([len(x) for x in lists], np.int64)
         self.starts = lengths_to_starts(self.lengths)
-        self.codes = np.fromiter((at(w, len(codes)) for words in lists for w in words), np.int64, self.starts[-1])
+        self.codes = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int64, self.starts[-1])
         self.distinct = list(codes)
 
     def hashes(self) -> np.ndarray:
@@ -126,7 +128,10 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions of several slices, end to end."""
     offsets = lengths_to_starts(lengths)
-    return np.arange(offsets[-1], dtype=np.int64) + np.repeat(starts - offsets[:-1], lengths)
+    kind = np.int32 if max(offsets[-1], starts.max(initial=0)) < 2**31 else np.int64
+    out = np.repeat((starts - offsets[:-1]).astype(kind), lengths)
+    out += np.arange(offsets[-1], dtype=kind)
+    return out
 
 
 def words_of(text: bytes) -> list[bytes]:

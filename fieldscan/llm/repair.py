@@ -17,6 +17,7 @@ import itertools
 import json
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, gather, lengths_to_starts, merged, require, shuffle_parts, utf8
+from .common import Words, gather, lengths_to_starts, merged, require, utf8
 
 END_ID = 1
 SHARD_BYTES = 32 << 20
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 LEAST_COUNT = 8
 ROUNDS = 8
-MEMO_WORDS = 300_000
+MEMO_WORDS = 450_000
 # Number of terminals, rules, documents, symbols, bytes per symbol.
 HEAD = "<IIIQB"
 
@@ -42,8 +43,8 @@ class Encoder:
     """Ids as the tokenizers library gives them, without added special tokens.
 
     For a tokenizer whose words never reach over white space, each distinct word is
-    encoded once: plain words by the library's model, all others by its whole chain.
-    Any other tokenizer encodes whole texts.
+    encoded once: plain words and words of letters by the library's model, all others by
+    its whole chain. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -88,7 +89,9 @@ class Encoder:
                 # A last letter and the ASCII marks after it are always parted.
                 text = w.decode("utf-8", "replace")
                 base = text.rstrip(".,!?")
-                if base == text or not base[-1:].isalpha():
+                if of_letters(base):
+                    memo[w] = part(byte_letters(base.lower())) + (part(text[len(base) :]) if base != text else ())
+                elif base == text or not base[-1:].isalpha():
                     hard.setdefault(text, []).append((w, ()))
                 else:
                     hard.setdefault(base, []).append((w, part(text[len(base) :])))
@@ -98,19 +101,26 @@ class Encoder:
                 memo[w] = ids + end
         return [memo[w] for w in words]
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, end to end, and how many each text has."""
+    def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, each followed by ``end_id`` if given, and how many each text has."""
         if not self.by_word:
-            found = [x.ids for x in self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            end = [] if end_id is None else [end_id]
+            found = [x.ids + end for x in self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
             return np.fromiter(itertools.chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
         view = Words([t.split() for t in texts])
-        per_word = self.words(view.distinct)
+        per_word, codes, starts = self.words(view.distinct), view.codes, view.starts
+        if end_id is not None:
+            # The end is one more word.
+            per_word, codes = [*per_word, (end_id,)], np.insert(codes, starts[1:], len(per_word))
+            starts = starts + np.arange(len(starts))
         sizes = np.array([len(x) for x in per_word], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(per_word), np.int64)
-        of_code = sizes[view.codes] if len(sizes) else np.zeros(0, np.int64)
-        ids = flat[gather(lengths_to_starts(sizes)[:-1][view.codes], of_code)] if len(of_code) else flat
+        flat = np.fromiter(itertools.chain.from_iterable(per_word), np.int32)
+        if not len(codes):
+            return flat[:0], np.zeros(len(texts), np.int64)
+        of_code = sizes[codes]
         totals = lengths_to_starts(of_code)
-        return ids, totals[view.starts[1:]] - totals[view.starts[:-1]]
+        ids = flat[gather(lengths_to_starts(sizes)[:-1][codes], of_code)]
+        return ids, totals[starts[1:]] - totals[starts[:-1]]
 
 
 # Printable ASCII without ' (contractions) and without <| (special tokens).
@@ -120,6 +130,21 @@ _PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+# How byte-level tokenizers spell bytes: printable ones of Latin-1 as themselves, the others
+# in order from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def byte_letters(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_SPELLED)
+
+
+def of_letters(text: str) -> bool:
+    """Letters only, composed, and with a lower case that does not depend on where they stand."""
+    return text.isalpha() and "Σ" not in text and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)
+
+
 def word_by_word(spec: dict) -> bool:
     """Lower case after NFC, parted by ``WORD_PATTERN``, byte-level: no word holds white space, and
     what a plain word becomes is known."""
@@ -290,17 +315,16 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
     require(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("content"))
     size = rows.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
-    shards = max(shuffle_parts(docs.sparkSession), -(-size // SHARD_BYTES))
+    # Large shards: a task encodes each distinct word once.
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     dealt = rows.withColumn("salt", F.xxhash64("content")).repartitionByRange(shards, "id", "salt").sortWithinPartitions("id", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
         for block, table in enumerate(merged(batches, "content", BLOCK_BYTES)):
-            ids, lengths = encoder.encode(table.column("content").to_pylist())
-            with_end = np.full(len(ids) + len(lengths), end_id, np.int64)
-            with_end[gather(lengths_to_starts(lengths + 1)[:-1], lengths)] = ids
-            content = pack_block(table.column("id").to_pylist(), with_end, lengths + 1, max(encoder.size, end_id + 1))
-            columns = [[shard], [block], [len(lengths)], [len(with_end)], [content]]
+            ids, lengths = encoder.encode(table.column("content").to_pylist(), end_id)
+            content = pack_block(table.column("id").to_pylist(), ids, lengths, max(encoder.size, end_id + 1))
+            columns = [[shard], [block], [len(lengths)], [len(ids)], [content]]
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["shard", "block", "n_docs", "n_ids", "content"])
 

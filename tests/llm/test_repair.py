@@ -13,7 +13,7 @@ from tests.llm.conftest import EDGES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["It's 5 o'clock <|endoftext|>x", "a\x1cb\x85c d e", "ÄÖ Ü ß é é q́ ́", "don't WE'LL ''s 's", "!!«»!! a-b_c 12345 １２", "​﻿ x\x00y", "İstanbul ΑΣ ΣΑΣ", "<|startoftext|><|"]
+ODD = ["Öung. ÄÖÜ ǅungla Ǆ ẞß ſt ﬁn ªº ЖИЗНЬ, ΣΑΣ ΑΣ. İI ıi 漢字", "It's 5 o'clock <|endoftext|>x", "a\x1cb\x85c d e", "ÄÖ Ü ß é é q́ ́", "don't WE'LL ''s 's", "!!«»!! a-b_c 12345 １２", "​﻿ x\x00y", "İstanbul ΑΣ ΣΑΣ", "<|startoftext|><|"]
 
 
 def test_words_encode_as_whole_texts():
