@@ -34,7 +34,7 @@ SHARD_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
 LEAST_COUNT = 8
 ROUNDS = 8
-MEMO_WORDS = 450_000
+MEMO_WORDS = 250_000
 # Number of terminals, rules, documents, symbols, bytes per symbol.
 HEAD = "<IIIQB"
 
