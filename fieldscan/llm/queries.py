@@ -75,7 +75,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup takes out of every text and what it leaves, as size and digest."""
-    found = linedup.dedup_lines(table(spark, sf_dir, "documents"))
+    found = linedup.dedup_lines(table(spark, sf_dir, "documents"), passages=True)
     lines = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
     return found.select(
         "doc_id", "n_lines", F.size("removed").cast("long").alias("n_chunks_removed"), lines.alias("n_lines_removed"),

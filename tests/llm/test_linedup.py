@@ -58,3 +58,59 @@ def test_the_repeated_passage_goes_and_own_lines_stay(docs):
     rows = [(i, f"only {i}\n{passage}\nend {i}") for i in range(5)]
     got = {r["doc_id"]: r["text"] for r in dedup_lines(docs(rows)).collect()}
     assert got[0] == rows[0][1] and all(got[i] == f"only {i}\nend {i}" for i in range(1, 5))
+
+
+def brute_runs(rows, least):
+    """Lines of all runs that begin and end with words, have ``least`` of them, and occur in a
+    smaller id or earlier in the text without overlap. Each row's marked line numbers."""
+    texts = [(i, t.split("\n")) for i, t in rows]
+    runs = {}
+    for i, lines in texts:
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if lines[a].strip() and lines[b - 1].strip() and sum(len(x.split()) for x in lines[a:b]) >= least:
+                    runs.setdefault(tuple(lines[a:b]), []).append((i, a, b))
+    gone = {i: set() for i, _ in texts}
+    for places in runs.values():
+        for i, a, b in places:
+            if any(j < i or j == i and d <= a for j, _, d in places):
+                gone[i] |= set(range(a, b))
+    return gone
+
+
+def test_passages_of_short_lines_go_whole(docs):
+    rng = random.Random(5)
+    line = lambda: " ".join(str(rng.random()) for _ in range(rng.randrange(1, 6)))
+    shared = [[rng.choice([line(), line(), "", "x"]) for _ in range(rng.randrange(4, 14))] for _ in range(5)]
+    rows = []
+    for i in range(30):
+        lines = [line() for _ in range(rng.randrange(6))]
+        for _ in range(rng.randrange(3)):
+            part, at = rng.choice(shared), rng.randrange(len(lines) + 1)
+            lines[at:at] = part[rng.randrange(2) : len(part) - rng.randrange(2)]
+        rows.append((i, "\n".join(lines)))
+    rows += [(40, "\n".join(["y"] * 45)), (41, rows[4][1] + "\n" + rows[4][1] + "\n\n" + rows[7][1])]
+    df = docs(rows)
+    # No chunk is cut but the last, so that chunks alone find whole texts only.
+    got = {r["doc_id"]: r for r in dedup_lines(df, divisor=1 << 40, long_words=12, passages=True).collect()}
+    chunks = {r["doc_id"]: r for r in dedup_lines(df, divisor=1 << 40, long_words=12).collect()}
+    of = lambda r: {k for x in r["removed"] for k in range(x["first"], x["end"])}
+    expected = brute_runs(rows, 12)
+    assert {i: of(r) for i, r in got.items()} == {i: expected[i] | of(chunks[i]) for i in got}
+    assert any(of(got[i]) > of(chunks[i]) for i in got)
+    for i, t in rows:
+        left = [x for k, x in enumerate(t.split("\n")) if k not in of(got[i])]
+        assert got[i]["text"] == "\n".join(left)
+        assert sum(x["end"] - x["first"] for x in got[i]["removed"]) == len(of(got[i]))
+
+
+def test_the_query_takes_out_a_passage_of_four_lines(docs, monkeypatch):
+    from fieldscan.llm import queries
+
+    rows = []
+    for k in range(12):
+        passage = "\n".join(" ".join(f"k{k}p{n}w{j}" for j in range(15)) for n in range(4))
+        rows += [(2 * k + m, f"before {k} {m}\n{passage}\nafter {k} {m}") for m in range(2)]
+    monkeypatch.setattr(queries, "table", lambda *_: docs(rows))
+    got = {r["doc_id"]: r["n_lines_removed"] for r in queries.op3_line_dedup(None, "").collect()}
+    assert got == {i: 4 * (i % 2) for i in got} and len(got) == 24
