@@ -2,7 +2,7 @@
 
 Texts are dealt to shards in ascending order of their ids, encoded, and cut into blocks.
 In each block frequent pairs of ids are replaced by nonterminals, round by round, most
-frequent pairs first; a block keeps the rules, how many ids each nonterminal stands for,
+frequent pairs first, until none is left; a block keeps the rules, how many ids each nonterminal stands for,
 and where each document starts, so one document is decoded without the others.
 
 The files are a Parquet table of blocks (``shard, block, n_docs, n_ids, content``). ``content``
@@ -33,7 +33,6 @@ END_ID = 1
 SHARD_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
 LEAST_COUNT = 8
-ROUNDS = 8
 MEMO_WORDS = 250_000
 # Number of terminals, rules, documents, symbols, bytes per symbol.
 HEAD = "<IIIQB"
@@ -164,7 +163,8 @@ def _chosen(pairs: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
     """The pairs of one round, most frequent first, and none under an eighth of the first.
 
     A symbol is the left one of chosen pairs or the right one, never both, so occurrences
-    cannot overlap; pairs left out have their turn in a later round.
+    cannot overlap; a pair of equal symbols has its symbol to itself. Pairs left out have
+    their turn in a later round.
     """
     order = np.lexsort((pairs, -counts))
     left, right, out = set(), set(), []
@@ -172,37 +172,69 @@ def _chosen(pairs: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
         if counts[i] * 8 < counts[order[0]] or len(out) >= most:
             break
         a, b = int(pairs[i]) >> 32, int(pairs[i]) & 0xFFFFFFFF
-        if a != b and a not in right and b not in left:
+        if a not in right and b not in left and (a != b or a not in left and a not in right):
             left.add(a)
             right.add(b)
             out.append(int(i))
     return out
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int, least: int = LEAST_COUNT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _second_of_equals(at: np.ndarray, following: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Which of the ascending places are the second, fourth … of a run of pairs of equal symbols."""
+    k = np.flatnonzero(equal)
+    goes_on = np.zeros(len(k), bool)
+    goes_on[1:] = (k[1:] == k[:-1] + 1) & (at[k[1:]] == following[k[:-1]])
+    number = np.arange(len(k))
+    out = np.zeros(len(at), bool)
+    out[k] = (number - np.maximum.accumulate(np.where(goes_on, 0, number))) % 2 == 1
+    return out
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules, symbols, and symbols per document. Pairs do not reach over documents.
 
-    Nonterminals are numbered from ``terminals`` on, and no further than two bytes hold if
-    the terminals leave room there. Pairs of equal ids are not replaced.
+    Goes on until no pair occurs ``least`` times without overlap, or the nonterminals are
+    used up: they are numbered from ``terminals`` on, and no further than two bytes hold if
+    the terminals leave room there.
     """
-    symbols = ids.astype(np.uint32)
+    n = len(ids)
     room = (65536 if terminals < 65536 else 2**32) - terminals
-    last = np.zeros(len(symbols), bool)
-    last[np.cumsum(lengths)[lengths > 0] - 1] = True
+    kind = np.int32 if n < 2**31 - 1 else np.int64
+    symbols = ids.astype(np.uint32)
+    # Places keep their numbers; n stands for none.
+    after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
+    starts = lengths_to_starts(lengths)
+    after[starts[1:][lengths > 0] - 1] = n
+    before[starts[:-1][lengths > 0]] = n
+    held = np.ones(n, bool)
+    # A pair that is rare stays rare, since replacing makes no new pairs of old symbols:
+    # only places of other pairs are looked at again.
+    active = after != n
+    active[n] = False
     rules: list[tuple[int, int]] = []
-    place = np.empty(_SLOTS, np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2 or len(rules) >= room:
-            break
-        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+    place = np.empty(_SLOTS, np.int32)
+    while len(rules) < room:
+        at = np.flatnonzero(active)
+        following = after[at]
+        left, right = symbols[at], symbols[following]
+        pairs = left.astype(np.uint64) << np.uint64(32) | right
+        once = ~_second_of_equals(at, following, left == right)
         # A table of hashed counts tells which pairs can be among the frequent ones; only
         # those are counted exactly.
         slot = _slots(pairs)
-        counted = np.bincount(slot, minlength=_SLOTS)
-        often = np.flatnonzero((counted >= max(least, counted.max() // 16))[slot] & ~last[:-1])
-        found = pairs[often]
-        distinct, counts = np.unique(found, return_counts=True)
-        distinct, counts = distinct[counts >= least], counts[counts >= least]
+        counted = np.bincount(slot[once], minlength=_SLOTS)
+        in_slot = counted[slot]
+        active[at[in_slot < least]] = False
+        bar = max(least, int(counted.max()) // 16)
+        while True:
+            often = np.flatnonzero(once & (in_slot >= bar))
+            distinct, counts = np.unique(pairs[often], return_counts=True)
+            enough = counts >= max(least, bar)
+            distinct, counts = distinct[enough], counts[enough]
+            if len(distinct) or bar == least:
+                break
+            # Slots shared by many rare pairs: look at all that can be frequent.
+            bar = least
         picked = _chosen(distinct, counts, room - len(rules))
         if not picked:
             break
@@ -212,18 +244,21 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int, least: int =
         place[_slots(keys)] = np.arange(len(keys))
         keys = keys[np.unique(place[_slots(keys)])]
         place[_slots(keys)] = np.arange(len(keys))
-        at = place[slot[often]]
-        known = (at >= 0) & (keys[at] == found)
-        hit = often[known]
-        symbols[hit] = (at[known] + terminals + len(rules)).astype(np.uint32)
+        found = place[slot[often]]
+        known = (found >= 0) & (keys[found] == pairs[often])
+        hit = at[often[known]]
+        symbols[hit] = (found[known] + (terminals + len(rules))).astype(np.uint32)
         rules += [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in keys]
-        last[hit] = last[hit + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[hit + 1] = False
-        symbols, last = symbols[keep], last[keep]
-    per_doc = np.zeros(len(lengths), np.int64)
-    per_doc[lengths > 0] = np.diff(np.flatnonzero(last), prepend=-1)
-    return np.array(rules, np.int64).reshape(-1, 2), symbols.astype(np.int64), per_doc
+        gone = after[hit]
+        held[gone] = False
+        active[gone] = False
+        after[hit] = after[gone]
+        before[after[hit]] = hit
+        active[before[hit]] = True
+        active[hit] = after[hit] != n
+        active[n] = False
+    per_doc = np.diff(lengths_to_starts(held)[starts])
+    return np.array(rules, np.int64).reshape(-1, 2), symbols[held].astype(np.int64), per_doc
 
 
 _SLOTS = 1 << 20
@@ -251,10 +286,12 @@ def expanded(symbols: np.ndarray, terminals: int, flat: np.ndarray, starts: np.n
 
 def pack_block(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray, terminals: int) -> bytes:
     rules, symbols, per_doc = compress(ids, lengths, terminals)
-    _, starts = expansions(rules, terminals)
+    sizes: list[int] = []
+    for a, b in rules.tolist():
+        sizes.append((sizes[a - terminals] if a >= terminals else 1) + (sizes[b - terminals] if b >= terminals else 1))
     width = 2 if terminals + len(rules) <= 65536 else 4
     parts = [
-        rules.astype("<u4"), np.diff(starts).astype("<u4"), np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"),
+        rules.astype("<u4"), np.array(sizes, "<u4"), np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"),
         lengths_to_starts(per_doc).astype("<u8"), lengths_to_starts(lengths).astype("<u8"), symbols.astype(f"<u{width}"),
     ]
     return struct.pack(HEAD, terminals, len(rules), len(doc_ids), len(symbols), width) + b"".join(p.tobytes() for p in parts)

@@ -65,3 +65,36 @@ def test_files_hold_every_text_in_order(spark, docs):
     empty = new_folder(spark, "test-ids")
     repair.write_ids(docs([]), WORDS, empty)
     assert repair.digests(repair.read_blocks(spark, empty)).collect() == []
+
+
+def most_frequent(symbols, per_doc):
+    """How often the most frequent pair occurs without overlap."""
+    counts, at = {}, 0
+    for n in per_doc:
+        ends = {}
+        for i in range(at, at + n - 1):
+            pair = (symbols[i], symbols[i + 1])
+            if ends.get(pair, -1) != i:
+                ends[pair] = i + 1
+                counts[pair] = counts.get(pair, 0) + 1
+        at += n
+    return max(counts.values(), default=0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 30), st.integers(1, 9), st.integers(2, 8))
+def test_no_frequent_pair_is_left(seed, n_docs, alphabet, least):
+    rng = random.Random(seed)
+    lists = [[min(rng.randrange(alphabet), rng.randrange(alphabet)) for _ in range(rng.randrange(200))] for _ in range(n_docs)]
+    ids, lengths = np.array(sum(lists, []), np.int64), np.array([len(x) for x in lists])
+    rules, symbols, per_doc = repair.compress(ids, lengths, alphabet, least=least)
+    assert most_frequent(symbols.tolist(), per_doc.tolist()) < least
+    assert repair.expanded(symbols, alphabet, *repair.expansions(rules, alphabet)).tolist() == ids.tolist()
+
+
+def test_a_repeated_id_does_not_bar_other_pairs():
+    ids = np.array([3] * 100_001 + [4, 5, 6, 7, 8, 9] * 50)
+    rules, symbols, per_doc = repair.compress(ids, np.array([100_001, 300]), 10)
+    assert len(symbols) < 40 and most_frequent(symbols.tolist(), per_doc.tolist()) < repair.LEAST_COUNT
+    block = repair.Block(repair.pack_block([1, 2], ids, np.array([100_001, 300]), 10))
+    assert block.all_ids().tolist() == ids.tolist() and block.ids_at(1, 3, 9) == [7, 8, 9, 4, 5, 6]
