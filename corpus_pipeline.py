@@ -35,9 +35,9 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document's best segmentation, and whether they decode to its text."""
+    """The ids of each document's best segmentation, whether they decode to its text, and the n best ones."""
     found = nbest.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
-    return found.select("row.doc_id", "n_pieces", F.element_at("scores", 1).alias("best_score"), "decodes", "ids")
+    return found.select("row.doc_id", "n_pieces", F.element_at("scores", 1).alias("best_score"), "decodes", "ids", "n_best")
 
 
 STAGES = [

@@ -208,6 +208,17 @@ def _best_of_length(pieces: Pieces, units: list[str], members: list[int], length
         out[i] = (float(into[row, length]), ids[row], float(loss[row]))
 
 
+def _swapped(ids: np.ndarray, starts: np.ndarray, changes: tuple) -> np.ndarray:
+    """The ids of a text, whose units begin at ``starts``, with those of some units changed."""
+    if not changes:
+        return ids
+    parts, at = [], 0
+    for unit, new in sorted(changes):
+        parts += [ids[at : starts[unit]], np.array(new, np.int32)]
+        at = starts[unit + 1]
+    return np.concatenate([*parts, ids[at:]])
+
+
 class Encoder:
     """Encodes texts by their distinct units and remembers them for the task."""
 
@@ -232,6 +243,11 @@ class Encoder:
 
     def encode(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, list[float]]]:
         """For each text the ids of its best segmentation and the scores of its ``n`` best ones."""
+        for found in self.encode_all(texts, n):
+            yield found[0][1], [s for s, _ in found]
+
+    def encode_all(self, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """For each text its ``n`` best segmentations, best first, as score and ids."""
         codes: dict[str, int] = {}
         split = [[codes.setdefault(u, len(codes)) for u in self.pieces.unit.findall(self.pieces.marked(t))] for t in texts]
         units = list(codes)
@@ -244,21 +260,26 @@ class Encoder:
         for text in split:
             at = np.array(text, np.int64)
             if not len(at):
-                yield np.zeros(0, np.int32), [0.0]
+                yield [(0.0, np.zeros(0, np.int32))]
                 continue
-            ids = flat[gather(starts[at], sizes[at])]
-            yield ids, self._scores(units, at, float(best[at].sum()), loss[at], n)
-
-    def _scores(self, units: list[str], at: np.ndarray, best: float, loss: np.ndarray, n: int) -> list[float]:
-        """Of the n best, each differs from the best in one of the n - 1 units that lose least, or more of them."""
-        losses = [0.0]
+            ids, total = flat[gather(starts[at], sizes[at])], float(best[at].sum())
+            ends = lengths_to_starts(sizes[at])
+            yield [(total - x, _swapped(ids, ends, changes)) for x, changes in self._changes(units, found, at, loss[at], n)]
+
+    def _changes(self, units: list[str], found: list, at: np.ndarray, loss: np.ndarray, n: int) -> list[tuple[float, tuple]]:
+        """Of the n best, each differs from the best in one of the n - 1 units that lose least, or more
+        of them: what it loses, and the places and ids of its changed units. The best comes first."""
+        lists: list[tuple[float, tuple]] = [(0.0, ())]
         if n > 1:
             few = np.argpartition(loss, n - 2)[: n - 1] if len(loss) >= n else np.arange(len(loss))
             for i in few:
                 if np.isfinite(loss[i]):
                     own = self.alternatives(units[at[i]], n)
-                    losses = heapq.nsmallest(n, (a + own[0][0] - s for a in losses for s, _ in own))
-        return [best - x for x in losses]
+                    # Of equally good ones the search may meet another first.
+                    others = [(max(own[0][0] - s, 0.0), ((int(i), ids),)) for s, ids in own if ids != found[at[i]][1]]
+                    ways = [(0.0, ()), *others[: n - 1]]
+                    lists = heapq.nsmallest(n, ((a + x, c + more) for a, c in lists for x, more in ways), key=lambda x: x[0])
+        return lists
 
     def n_best(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a text with their ids, best first; equals in any order."""
@@ -275,13 +296,25 @@ class Encoder:
         return text[1:] if self.pieces.dummy_prefix and text.startswith(" ") else text
 
 
-ENCODED = "ids array<int>, n_pieces long, scores array<double>, decodes boolean"
+ENCODED = "ids array<int>, n_pieces long, scores array<double>, decodes boolean, n_best array<struct<score:double,ids:array<int>>>"
+
+
+def _listed(found: list[list[tuple[float, np.ndarray]]]) -> pa.ListArray:
+    """The segmentations of several texts as a column ``n_best``."""
+    every = [x for text in found for x in text]
+    sizes = np.array([len(ids) for _, ids in every], np.int64)
+    flat = np.concatenate([ids for _, ids in every]) if every else np.zeros(0, np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(lengths_to_starts(sizes), pa.int32()), pa.array(flat, pa.int32()))
+    rows = pa.StructArray.from_arrays([pa.array([s for s, _ in every], pa.float64()), ids], ["score", "ids"])
+    return pa.ListArray.from_arrays(pa.array(lengths_to_starts(np.array([len(x) for x in found], np.int64)), pa.int32()), rows)
+
 
 
 def encode(docs: DataFrame, model: str, keep: list[str], text_col: str = "text", n: int = N_BEST, with_ids: bool = True) -> DataFrame:
     """The columns ``keep`` as the struct ``row``, and for each text: the ``ids`` of its best
     segmentation (null unless ``with_ids``), ``n_pieces``, the ``scores`` of its ``n`` best ones,
-    and whether decoding the ids gives the text back.
+    whether decoding the ids gives the text back, and ``n_best``: score and ids of each of the
+    ``n`` best, best first (null unless ``with_ids``).
 
     ``model`` is a sentencepiece file whose normaliser leaves characters as they are. Empty
     and null texts have no pieces and the one score 0. A text with fewer segmentations
@@ -296,14 +329,19 @@ def encode(docs: DataFrame, model: str, keep: list[str], text_col: str = "text",
         encoder = Encoder(model)
         for table in merged(batches, "content"):
             texts = [t.decode("utf-8", "replace") for t in table.column("content").to_pylist()]
-            every, counts, scores, same = [], [], [], []
-            for text, (ids, found) in zip(texts, encoder.encode(texts, n)):
+            every, counts, scores, same, lists = [], [], [], [], []
+            for text, found in zip(texts, encoder.encode_all(texts, n)):
+                ids = found[0][1]
                 every.append(ids if with_ids else None)
                 counts.append(len(ids))
-                scores.append(found)
+                scores.append([s for s, _ in found])
+                if with_ids:
+                    lists.append(found)
                 same.append(encoder.decode(ids.tolist()) == text.replace(MARK, " "))
             columns = [table.column("row"), pa.array(every, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same)]
-            yield from pa.Table.from_arrays(columns, ["row", "ids", "n_pieces", "scores", "decodes"]).to_batches()
+            empty = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
+            columns.append(_listed(lists) if with_ids else pa.nulls(len(texts), empty))
+            yield from pa.Table.from_arrays(columns, ["row", "ids", "n_pieces", "scores", "decodes", "n_best"]).to_batches()
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {ENCODED}")
 

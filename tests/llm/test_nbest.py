@@ -66,3 +66,33 @@ def test_rows_and_decoding(docs):
     back = nbest.decode(found.select("row.doc_id", "ids", F.lit(3).alias("text")), MODEL)
     assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=str) == sorted(((i, t or "") for i, t in EDGES), key=str)
     assert nbest.encode(docs([]), MODEL, ["doc_id"]).collect() == []
+
+
+def test_all_of_the_n_best_come_out(spark, docs, encoder, monkeypatch):
+    from fieldscan.llm import queries
+
+    texts = ["", "a", "the er", "x  ing é", "ererer the", "漢 a", "xx\nthe"]
+    got = nbest.encode(docs(list(enumerate(texts))), MODEL, ["doc_id"]).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r["row"]["doc_id"]]
+        every = brute(encoder.pieces, encoder.pieces.marked(text))
+        listed = [(x["score"], x["ids"]) for x in r["n_best"]]
+        assert [s for s, _ in listed] == pytest.approx([s for s, _ in every[:3]]) == r["scores"] and listed[0][1] == r["ids"]
+        assert len({tuple(ids) for _, ids in listed}) == len(listed) == min(3, len(every))
+        for score, ids in listed:
+            assert any(ids == x and score == pytest.approx(s) for s, x in every) and encoder.decode(ids) == text
+    assert nbest.encode(docs([(1, "a")]), MODEL, ["doc_id"], with_ids=False).first()["n_best"] is None
+    monkeypatch.setattr(queries, "table", lambda *_: docs([(1, "the er")]))
+    row = queries.op10_nbest_pieces(spark, "").first()
+    assert len({row["ids_crc32"], row["second_ids_crc32"], row["third_ids_crc32"], 0}) == 4
+
+
+def test_listed_segmentations_with_ties(encoder):
+    texts = ["aaaa aaaa", "ababab abab xyxyxy", "▁▁▁ ▁▁", "the the the the", "      x"]
+    for n in (1, 2, 3, 5, 9):
+        for text, found in zip(texts, encoder.encode_all(texts, n)):
+            assert len({tuple(ids.tolist()) for _, ids in found}) == len(found)
+            assert [s for s, _ in found] == pytest.approx([s for s, _ in encoder.n_best(text, n)])
+            for _, ids in found:
+                assert encoder.decode(ids.tolist()) == text.replace("▁", " ")
