@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linedup, maxent, nbest, repair, tokencounts, topk, toxicity, warc
+from . import decontaminate, jaccard, linedup, maxent, nbest, repair, simhash, tokencounts, topk, toxicity, warc
 from .common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,9 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_pieces", digest(0).alias("ids_crc32"), digest(1).alias("second_ids_crc32"), digest(2).alias("third_ids_crc32"),
         F.element_at("scores", 1).alias("best_score"), F.element_at("scores", -1).alias("last_score"), F.size("scores").cast("long").alias("n_best"), "decodes",
     )
+
+
+@register()
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every text and its component: fingerprints of at most three differing bits link."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
