@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linedup, maxent, nbest, repair, simhash, tokencounts, topk, toxicity, warc
+from . import decontaminate, jaccard, linedup, maxent, nbest, repair, simhash, tokencounts, topk, toxicity, trie, warc
 from .common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,41 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The checksum of a decimal id, bit by bit: eight steps a character.
+_STEP = "(CASE WHEN i % 8 = 0 THEN xor(crc, ascii(substr(id, i // 8 + 1, 1))) ELSE crc END)"
+_CRC32 = f"""xor(4294967295, list_reduce(range(0, 8 * length(id)),
+  lambda crc, i: xor({_STEP} >> 1, CASE WHEN ({_STEP} & 1) = 1 THEN 3988292384 ELSE 0 END), 4294967295))"""
+
+
+@register(f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS id, list(turn ORDER BY i) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, {_CRC32} % 6 AS h FROM c),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(c.own[1 : h], []), h.own[h + 1 :]) AS turns
+  FROM h LEFT JOIN c ON c.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d AS depth, turns[1 : d] AS pre, len(turns) = d AS ends FROM r, unnest(range(0, len(turns) + 1)) u(d)),
+n AS (
+  SELECT depth, pre, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(length(pre[depth].text), 0) AS points,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids
+  FROM p GROUP BY depth, pre),
+k AS (SELECT depth - 1 AS depth, pre[1 : depth - 1] AS pre, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, pre)),
+s AS (
+  SELECT p.depth, p.pre, sum((f.n_convs - 1) * f.points) AS saved_tokens, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves
+  FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.depth, p.pre)
+SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(f.ids, '')) AS ends_sha256
+FROM f JOIN s USING (depth, pre) LEFT JOIN n up ON up.depth = f.depth - 1 AND up.pre = f.pre[1 : f.depth - 1]
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 @register()
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every text and its component: fingerprints of at most three differing bits link."""
