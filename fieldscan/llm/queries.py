@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linedup, maxent, nbest, repair, simhash, tokencounts, topk, toxicity, trie, warc
+from . import decontaminate, gnat, jaccard, linedup, maxent, nbest, repair, simhash, tokencounts, topk, toxicity, trie, warc
 from .common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,32 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rows of another label for each of the five best positives of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return gnat.hard_negatives(vectors, F.col("vec_id") % 50 == 0, gnat.changed_label(F.col("vec_id"), F.col("label")))
+
+
 # The checksum of a decimal id, bit by bit: eight steps a character.
 _STEP = "(CASE WHEN i % 8 = 0 THEN xor(crc, ascii(substr(id, i // 8 + 1, 1))) ELSE crc END)"
 _CRC32 = f"""xor(4294967295, list_reduce(range(0, 8 * length(id)),
