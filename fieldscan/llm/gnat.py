@@ -340,7 +340,8 @@ def hard_negatives(
     component, take no part. A vector meets vectors of its own length only. Rows that
     repeat an id are rows of their own, but not candidates of an anchor of that id; a
     repeated anchor is asked once, with its smallest label and vector, and a repeated
-    positive id gives the negatives of each of its scores once. Tables may be empty.
+    positive id gives the negatives of each of its scores once. Scores beyond a long stop
+    at its ends. Tables may be empty.
     """
     require(vectors, id_col, vector_col)
     base = (

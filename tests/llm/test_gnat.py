@@ -47,7 +47,7 @@ def test_equals_brute_force(spark, options):
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0], 1), (1, None, 1), (2, [None, 1.0], 1), (3, [nan, 1.0], 1), (4, [inf, 0.0], 2), (None, [1.0, 1.0], 1), (6, [1.0, 1.0], None)]
-    rows += [(8, [1.0, 1.5], 1), (9, [1.0, 1.0], 2), (9, [1.0, 1.0], 2), (11, [0.5, 1.0], 3), (5, [3e7, 3e7], 4), (12, [2e7, 2e7], 4), (13, [1.2e7, 1.2e7], 5)]
+    rows += [(8, [1.0, 1.5], 1), (9, [1.0, 1.0], 2), (9, [1.0, 1.0], 2), (11, [0.5, 1.0], 3), (5, [3e6, 3e6], 4), (12, [2e6, 2e6], 4), (13, [1.2e6, 1.2e6], 5)]
     rows += [(10, [1.0], 2), (15, [], 2), (16, [], 3), (20, [-1.0, 0.0], 6), (17, [1.0, 0.0], 6), (30, [0.0, 0.0], 9), (18, [0.0, 0.0], 9)]
     # Of a table this small every leaf is met; the repeated row is a candidate twice.
     expected = brute(rows)
