@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldscan.functions.fold import gather_sql
 from fieldscan.functions.taxonomy import DEFAULT_TAG, ENTITY_TAG
 from fieldscan.functions.text import plain_text, quoted, spans_sql
 
@@ -140,21 +141,37 @@ def row_sql(text: str, p: Pattern, order: int, tag: str) -> str:
 
 
 def apart_sql(hits: str) -> str:
-    """``hits`` of one entity type without those that a better one overlaps.
+    """``hits`` of one entity type, best first, each only if no hit that stays overlaps it.
 
     Better is the higher score, then the longer hit, then the earlier one, then the
-    earlier row.
+    earlier row. So of a chain in which A is better than B and B better than C, where only
+    neighbours overlap, A and C stay. Hits are sorted by place and swept once into groups
+    that hang together; only a group is gone through best first.
     """
-    size = "{0}.stop - {0}.start"
-    better = f"struct(g.score, {size.format('g')}, -g.start, -g.ord) > struct(h.score, {size.format('h')}, -h.start, -h.ord)"
-    kept = f"filter(hs, h -> NOT exists(hs, g -> g.start < h.stop AND h.start < g.stop AND {better}))"
-    return f"transform(array({hits}), hs -> if(size(hs) < 2, hs, {kept}))[0]"
+    none = f"cast(array() AS array<{HIT}>)"
+    rank = "named_struct('down', -h.score, 'short', h.start - h.stop, 'start', h.start, 'ord', h.ord, 'hit', h)"
+    free = "NOT exists(kept, k -> k.start < r.hit.stop AND r.hit.start < k.stop)"
+
+    def best(group: str) -> str:
+        fold = f"aggregate(sort_array(transform({group}, h -> {rank})), {none}, (kept, r) -> if({free}, concat(kept, array(r.hit)), kept))"
+        return f"if(size({group}) < 2, {group}, {fold})"
+
+    def sweep(state) -> str:
+        joins = state(reach="greatest(s.reach, x.hit.stop)", group="concat(s.group, array(x.hit))")
+        return f"if(x.start < s.reach, {joins}, {state(best('s.group'), reach='x.hit.stop', group='array(x.hit)')})"
+
+    swept = gather_sql("xs", {"reach": "-1", "group": none}, HIT, sweep, best("e.group"))
+    placed = "sort_array(transform(hs, h -> named_struct('start', h.start, 'hit', h)))"
+    return f"transform(array({hits}), hs -> if(size(hs) < 2, hs, transform(array({placed}), xs -> {swept})[0]))[0]"
 
 
 @lru_cache(maxsize=64)
-def hit_parts(patterns: tuple[Pattern, ...], language: str, tags: tuple[tuple[str, str], ...]) -> tuple[dict, dict, str] | None:
+def hit_parts(
+    patterns: tuple[Pattern, ...], language: str, tags: tuple[tuple[str, str], ...], holder: str = ""
+) -> tuple[dict, dict, str] | None:
     """Column names of hints and of gates, and the SQL that gathers all hits. Texts only,
-    so they are made once for a table of rows."""
+    so they are made once for a table of rows. ``holder`` names a struct whose fields the
+    gates are, for use in a lambda."""
     groups = by_entity(list(patterns), language)
     if not groups:
         return None
@@ -165,9 +182,9 @@ def hit_parts(patterns: tuple[Pattern, ...], language: str, tags: tuple[tuple[st
     for group in groups:
         entity = group[0][1].entity_type
         tag = extra.get(entity, ENTITY_TAG.get(entity, DEFAULT_TAG))
-        own = [f"CASE WHEN {gates[p.hint, p.gate]} THEN {row_sql('plain', p, i, tag)} ELSE {NO_HITS} END" for i, p in group]
+        own = [f"CASE WHEN {holder}{gates[p.hint, p.gate]} THEN {row_sql('plain', p, i, tag)} ELSE {NO_HITS} END" for i, p in group]
         parts.append(own[0] if len(own) == 1 else apart_sql(f"concat({', '.join(own)})"))
-    return hints, gates, f"array_sort(concat({', '.join([NO_HITS, *parts])}))"
+    return hints, gates, f"sort_array(concat({', '.join([NO_HITS, *parts])}))"
 
 
 def with_pattern_hits(

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldscan.functions.fold import gather_sql
+
 # Fixed value: the characters a whitespace split treats as blank.
 BLANK = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
-# Running sums are taken over blocks of this many terms (see ``spans_sql``).
-_BLOCK = 64
-
 
 def leaf_name(path: Column) -> Column:
     """Last dotted segment without list indices or edge digits."""
@@ -73,27 +72,17 @@ def spans_sql(text: str, regex: str) -> str:
     """SQL for all matches of ``regex`` in column ``text`` as
     ``array<struct<start:int, hit:string>>`` (0-based).
 
-    ``start`` is the running sum of the gaps and matches before it. The sum runs
-    over blocks of 64 so that a text with very many matches does not cost the
-    square of their number; a lone match needs no sum. Each
-    ``transform(array(x), v -> ...)[0]`` names a value that is used more than once.
+    ``start`` is the running sum of the gaps and matches before it; a lone match needs no sum. Each ``transform(array(x), v -> ...)[0]`` names a value that is used
+    more than once.
     """
     rx = quoted(regex)
-    gaps = f"transform(split({text}, {rx}, -1), g -> length(g))"
-    widths = "transform(s.hits, (h, i) -> s.gaps[i] + length(h))"
-    blocks = f"""transform(sequence(0, cast(size(w) div {_BLOCK} AS int)),
-        k -> aggregate(slice(w, k * {_BLOCK} + 1, {_BLOCK}), 0, (a, x) -> a + x))"""
-    place = f"""transform(s.hits, (h, i) -> struct(
-        aggregate(slice(b, 1, cast(i div {_BLOCK} AS int)), 0, (a, x) -> a + x)
-        + aggregate(slice(w, cast(i div {_BLOCK} AS int) * {_BLOCK} + 1, i % {_BLOCK}), 0, (a, x) -> a + x)
-        + s.gaps[i] AS start, h AS hit))"""
-    many = f"""transform(array(struct(hits, {gaps} AS gaps)),
-        s -> transform(array({widths}),
-        w -> transform(array({blocks}),
-        b -> {place})[0])[0])[0]"""
+    kind = "struct<start:int,hit:string>"
+    pairs = f"slice(zip_with(transform(split({text}, {rx}, -1), g -> length(g)), hits, (g, h) -> named_struct('gap', g, 'hit', h)), 1, size(hits))"
+    placed = "array(named_struct('start', s.at + x.gap, 'hit', x.hit))"
+    folded = gather_sql("ps", {"at": "0"}, kind, lambda state: state(placed, at="s.at + x.gap + length(x.hit)"))
     one = f"array(struct(regexp_instr({text}, {rx}) - 1 AS start, hits[0] AS hit))"
     return f"""transform(array(regexp_extract_all({text}, {rx}, 0)), hits -> CASE size(hits)
-        WHEN 0 THEN cast(array() AS array<struct<start:int,hit:string>>) WHEN 1 THEN {one} ELSE {many} END)[0]"""
+        WHEN 0 THEN cast(array() AS array<{kind}>) WHEN 1 THEN {one} ELSE transform(array({pairs}), ps -> {folded})[0] END)[0]"""
 
 
 def match_spans(text: str, regex: str) -> Column:

@@ -118,7 +118,7 @@ def explode_detections(detected: DataFrame) -> DataFrame:
 
 
 def _ranked(detections: Column) -> Column:
-    return F.array_sort(
+    return F.sort_array(
         F.transform(detections, lambda d, i: F.struct((-d["score"]).alias("down"), i.alias("rank"), d.alias("d")))
     )
 

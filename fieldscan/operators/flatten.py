@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import sys
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Levels that generators take apart; what lies deeper goes through one Arrow function.
+from fieldscan.functions.tree import leaves_sql
+
+# Levels that generators take apart; what lies deeper is folded in the row.
 NATIVE_LEVELS = 6
 FIELD = "struct<field_path:string,value:string>"
 
@@ -27,8 +25,8 @@ def flatten_variant(
     Each level is one generator over the records' own bytes: no shuffle, works on
     streams. Only ``ids`` travel with a leaf, never the record. Null leaves are
     dropped (``keep_nulls`` keeps them as ``""``) and empty containers vanish. A
-    container below ``levels`` levels is walked by ``_deep_leaves``, in the row; all
-    other leaves pass that function as nulls.
+    container below ``levels`` levels is taken apart by a fold over its text, which is
+    worked out for such a leaf only. Everything is built-in expressions.
     """
     children = records.sparkSession.tvf.variant_explode_outer(F.col("node").outer()).alias("c")
     rows = records.select(*ids, F.lit("").alias("field_path"), F.col(payload).alias("node"))
@@ -46,7 +44,7 @@ def flatten_variant(
     here = F.when(value.isNull() | empty, F.array().cast(f"array<{FIELD}>")).otherwise(
         F.array(F.struct(F.col("field_path").alias("field_path"), value.alias("value")))
     )
-    leaves = leaves.withColumn("deep", _deep_leaves(F.when(container & ~empty, F.col("value"))))
+    leaves = leaves.withColumn("deep", F.when(container & ~empty, F.expr(leaves_sql("value"))))
     missing = F.lit("") if keep_nulls else F.lit(None).cast("string")
     below = F.filter(
         F.transform(
@@ -62,37 +60,6 @@ def flatten_variant(
     return leaves.select(*ids, F.explode(F.coalesce(below, here)).alias("f")).select(*ids, "f.field_path", "f.value")
 
 
-def deep_leaves(text: str) -> list[dict[str, str]]:
-    """Leaves of a JSON container: the path under it and the leaf as JSON, numbers as written.
-
-    Walks with a list of its own, so no depth is too deep for it.
-    """
-
-    class Number(str):
-        pass
-
-    out = []
-    waiting = [("", json.loads(text, parse_int=Number, parse_float=Number))]
-    while waiting:
-        under, node = waiting.pop()
-        if isinstance(node, dict):
-            waiting += [(f"{under}.{k}", v) for k, v in reversed(node.items())]
-        elif isinstance(node, list):
-            waiting += [(f"{under}[{i}]", v) for i, v in reversed(list(enumerate(node)))]
-        else:
-            out.append({"under": under, "json": str(node) if isinstance(node, Number) else json.dumps(node, ensure_ascii=False)})
-    return out
-
-
-_LEAVES = T.ArrayType(T.StructType().add("under", "string").add("json", "string"))
-
-
-@F.pandas_udf(_LEAVES)
-def _deep_leaves(containers: pd.Series) -> pd.Series:
-    sys.setrecursionlimit(20_000)
-    return containers.map(deep_leaves, na_action="ignore")
-
-
 def schema_leaves(schema: T.StructType) -> list[str]:
     """Dotted paths of every field of a Spark schema, containers included."""
 

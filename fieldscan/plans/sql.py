@@ -9,12 +9,13 @@ from pyspark.sql import SparkSession
 from fieldscan.functions.names import NAME_HIT, keyword_lookup, longest_keyword
 from fieldscan.functions.patterns import PATTERNS, Pattern, hint_sql, hit_parts
 from fieldscan.functions.text import quoted
+from fieldscan.functions.tree import leaves_sql
 from fieldscan.operators.entities import gazetteer_patterns
 from fieldscan.plans.classify import classify_fields
 
-# Levels that the table function takes apart.
-FUNCTION_LEVELS = 10
 _FOUND = "struct<down:double,rank:int,tag:string,score:double,layer:int,source:string,snippet:string>"
+_TREE = "tree"
+_BEST = "array<struct<field_path:string,tag:string,score:double,layer:int,source:string,snippet:string>>"
 
 
 def create_detection_view(
@@ -24,23 +25,21 @@ def create_detection_view(
     view ``source`` (column ``value`` holds the message).
 
     It is planned with the query that reads it, so columns not asked for are pruned, and
-    a view over a stream is a stream. Unlike the table function it takes fields at any
-    depth apart.
+    a view over a stream is a stream.
     """
     classify_fields(spark.table(source), ids, max_layer, **options).createOrReplaceTempView(view)
 
 
-def _leaves_sql(message: str) -> str:
-    """Rows (field_path, value) of a JSON message."""
-    text = f"if({message} RLIKE '^[ \\\\t\\\\r\\\\n]*\\\\{{', {message}, NULL)"
-    rows = f"SELECT '' AS field_path, try_parse_json({text}) AS node"
-    for _ in range(FUNCTION_LEVELS):
-        rows = f"""SELECT CASE WHEN c.key IS NOT NULL THEN if(r.field_path = '', c.key, concat(r.field_path, '.', c.key))
-            WHEN c.value IS NOT NULL THEN concat(r.field_path, '[', c.pos, ']') ELSE r.field_path END AS field_path,
-            coalesce(c.value, r.node) AS node FROM ({rows}) r, LATERAL variant_explode_outer(r.node) AS c"""
-    value = "try_variant_get(node, '$', 'string')"
-    empty = "value IN ('{}', '[]') AND schema_of_variant(node) IN ('OBJECT<>', 'ARRAY<VOID>')"
-    return f"SELECT field_path, value FROM (SELECT field_path, node, {value} AS value FROM ({rows})) WHERE value IS NOT NULL AND NOT ({empty})"
+def _let(name: str, value: str, use: str) -> str:
+    """``use``, an expression of ``name``, with ``value`` worked out once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
+
+def _fields_sql(message: str) -> str:
+    """Fields (field_path, value) of a JSON message, as an array."""
+    text = f"if({message} RLIKE '^[ \\\\t\\\\r\\\\n]*\\\\{{', try_variant_get(try_parse_json({message}), '$', 'string'), NULL)"
+    leaf = "named_struct('field_path', substring(l.under, 2), 'value', try_variant_get(try_parse_json(l.json), '$', 'string'))"
+    return f"filter(transform({_let(_TREE, text, f'CASE WHEN {_TREE} IS NOT NULL THEN {leaves_sql(_TREE)} END')}, l -> {leaf}), l -> l.value IS NOT NULL)"
 
 
 def _words_sql(path: str) -> str:
@@ -51,7 +50,7 @@ def _words_sql(path: str) -> str:
 
 
 def _names_sql() -> str:
-    """Layer-1 hits of column ``words``."""
+    """Layer-1 hits of ``words``."""
     lookup = f"from_json({quoted(json.dumps(keyword_lookup()))}, 'map<string,array<{NAME_HIT}>>')"
     any_keyword = "(?:^| )(?:" + "|".join(keyword_lookup()) + ")(?: |$)"
     nothing = f"cast(array() AS array<{NAME_HIT}>)"
@@ -66,41 +65,43 @@ def _plain_sql(value: str) -> str:
     return f"if(octet_length({value}) = length({value}), {value}, regexp_replace({marks}, '[^\\\\x00-\\\\x7F]', '_'))"
 
 
-def _with_hits(rows: str, patterns: list[Pattern], out: str, wanted: str) -> str:
-    """``rows`` with the pattern hits of column ``value``, cheap tests first."""
-    hints, gates, found = hit_parts(tuple(patterns), "en", ())
-    tests = ", ".join(f"{wanted} AND {hint_sql('value', h) if h else 'value IS NOT NULL'} AS {c}" for h, c in hints.items())
-    plain = f"CASE WHEN {' OR '.join(hints.values())} THEN {_plain_sql('value')} END"
-    gated = ", ".join((f"{hints[h]} AND plain RLIKE {quoted(g)}" if g else hints[h]) + f" AS {c}" for (h, g), c in gates.items())
-    helpers = ", ".join(["plain", *hints.values(), *gates.values()])
-    rows = f"SELECT *, {tests} FROM ({rows})"
-    rows = f"SELECT *, {plain} AS plain FROM ({rows})"
-    rows = f"SELECT *, {gated} FROM ({rows})"
-    snippet = "substring(value, h.start + 1, h.stop - h.start)"
+def _hits_sql(patterns: list[Pattern], wanted: str) -> str:
+    """Hits of ``f.value``, cheap tests first: literals and digits, then gates, then the scans."""
+    hints, gates, found = hit_parts(tuple(patterns), "en", (), "gated.")
+    hinted = ", ".join(f"'{c}', {wanted} AND {hint_sql('f.value', h) if h else 'f.value IS NOT NULL'}" for h, c in hints.items())
+    tests = ", ".join(f"'{c}', hinted.{hints[h]}" + (f" AND plain RLIKE {quoted(g)}" if g else "") for (h, g), c in gates.items())
+    any_of = lambda holder, names: " OR ".join(f"{holder}.{c}" for c in names)
+    snippet = "substring(f.value, h.start + 1, h.stop - h.start)"
     listed = f"transform({found}, (h, i) -> struct(h.down, i AS rank, h.tag, h.score, h.layer, h.source, {snippet} AS snippet))"
-    return f"SELECT * EXCEPT ({helpers}), CASE WHEN {' OR '.join(gates.values())} THEN {listed} ELSE cast(array() AS array<{_FOUND}>) END AS {out} FROM ({rows})"
+    nothing = f"cast(array() AS array<{_FOUND}>)"
+    scanned = _let("gated", f"named_struct({tests})", f"CASE WHEN {any_of('gated', gates.values())} THEN {listed} ELSE {nothing} END")
+    scanned = _let("plain", _plain_sql("f.value"), scanned)
+    return _let("hinted", f"named_struct({hinted})", f"CASE WHEN {any_of('hinted', hints.values())} THEN {scanned} ELSE {nothing} END")
+
+
+def best_hits_sql(max_layer: str = "max_layer", message: str = "message") -> str:
+    """The best detection per field and tag of one message as an array, in one expression."""
+    depth = f"greatest(1, least(3, coalesce({max_layer}, 3)))"
+    names = "transform(names, (h, i) -> struct(h.down, i AS rank, h.tag, h.score, 1 AS layer, 'field_name' AS source, substring(f.value, 1, 80) AS snippet))"
+    names = _let("words", _words_sql("f.field_path"), _let("names", _names_sql(), f"cast({names} AS array<{_FOUND}>)"))
+    parts = [names, *(f"cast({_hits_sql(rows, f'{depth} >= {layer}')} AS array<{_FOUND}>)" for layer, rows in ((2, PATTERNS), (3, gazetteer_patterns())))]
+    ranked = f"array_sort(transform(concat({', '.join(parts)}), (d, i) -> struct(round(d.score, 4) * -1 AS down, i AS rank, d.tag, round(d.score, 4) AS score, d.layer, d.source, d.snippet)))"
+    first = "filter(r, d -> d.tag = t)[0]"
+    row = _let("d", first, "named_struct('field_path', f.field_path, 'tag', d.tag, 'score', d.score, 'layer', d.layer, 'source', d.source, 'snippet', d.snippet)")
+    best = _let("r", ranked, f"transform(array_distinct(transform(r, d -> d.tag)), t -> {row})")
+    return f"flatten(transform({_fields_sql(message)}, f -> cast({best} AS {_BEST})))"
 
 
 def create_classify_function(spark: SparkSession, name: str = "classify_fields") -> None:
     """Temporary SQL table function ``name(max_layer, message)``, to be used under LATERAL.
 
     It returns ``field_path, tag, score, layer, source, sample_value``: the best detection per
-    field and tag of one JSON message, as ``classify_fields`` does, all in built-in
-    expressions. A null depth means all layers and others are clamped to 1..3. Null or
-    unreadable messages have no rows. A container below ``FUNCTION_LEVELS`` levels is
-    scanned as one text; the view and the DataFrame call take it apart.
+    field and tag of one JSON message, fields at any depth, as ``classify_fields`` does. A
+    null depth means all layers and others are clamped to 1..3. Null or unreadable
+    messages have no rows. The body is one array expression that is exploded once, so
+    messages are neither joined nor shuffled.
     """
-    depth = "greatest(1, least(3, coalesce(max_layer, 3)))"
-    rows = f"SELECT field_path, value, {_words_sql('field_path')} AS words FROM ({_leaves_sql('message')})"
-    rows = f"SELECT field_path, value, {_names_sql()} AS names FROM ({rows})"
-    rows = _with_hits(rows, PATTERNS, "hits2", f"{depth} >= 2")
-    rows = _with_hits(rows, gazetteer_patterns(), "hits3", f"{depth} >= 3")
-    names = "transform(names, (h, i) -> struct(h.down, i AS rank, h.tag, h.score, 1 AS layer, 'field_name' AS source, substring(value, 1, 80) AS snippet))"
-    every = f"concat(cast({names} AS array<{_FOUND}>), cast(hits2 AS array<{_FOUND}>), cast(hits3 AS array<{_FOUND}>))"
-    ranked = f"array_sort(transform({every}, (d, i) -> struct(round(d.score, 4) * -1 AS down, i AS rank, d.tag, round(d.score, 4) AS score, d.layer, d.source, d.snippet)))"
-    best = f"transform(array({ranked}), r -> transform(array_distinct(transform(r, d -> d.tag)), t -> filter(r, d -> d.tag = t)[0]))[0]"
     sample = "if(length(d.snippet) > 50, concat(substring(d.snippet, 1, 47), '...'), d.snippet)"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(max_layer INT, message STRING)
         RETURNS TABLE (field_path STRING, tag STRING, score DOUBLE, layer INT, source STRING, sample_value STRING)
-        RETURN SELECT field_path, d.tag, d.score, d.layer, d.source, {sample}
-        FROM (SELECT field_path, explode({best}) AS d FROM ({rows}))""")
+        RETURN SELECT d.field_path, d.tag, d.score, d.layer, d.source, {sample} FROM explode({best_hits_sql()}) AS e(d)""")

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from fieldscan.operators.flatten import deep_leaves, flatten_columns, flatten_variant, schema_leaves
+from fieldscan.operators.flatten import flatten_columns, flatten_variant, schema_leaves
 from fieldscan.plans.classify import classify, classify_schema
 from fieldscan.sources.messages import decode, drop_tombstones, record_json, schema_id, split_malformed, wire_body
 
@@ -44,7 +44,14 @@ def test_a_secret_far_down_is_found(spark):
         value = {f"l{i}": value} if i % 3 else [value]
     got = classify(spark.createDataFrame([("1", json.dumps(value))], "msg_id string, value string"), ["msg_id"], 1).collect()
     assert {r["tag"] for r in got} == {"GOVERNMENT_ID", "CREDENTIALS"}
-    assert len(deep_leaves("[" * 900 + "1" + "]" * 900)) == 1
+
+
+def test_a_container_of_very_many_leaves_is_taken_apart_natively(spark):
+    value = {"n": [{"k": i, 'odd "name" \\ {}': [None, [], "a, b: [c]"]} for i in range(20_000)]}
+    rows = flat(spark, [json.dumps(value)], levels=0)
+    assert rows == {(0, f"n[{i}].k"): str(i) for i in range(20_000)} | {(0, f'n[{i}].odd "name" \\ {{}}[2]'): "a, b: [c]" for i in range(20_000)}
+    plan = flatten_variant(decode(spark.createDataFrame([(1, "{}")], "id int, value string")), ["id"])._jdf.queryExecution().toString()
+    assert "Python" not in plan
 
 
 def test_unreadable_messages_are_set_aside(spark):

@@ -164,3 +164,35 @@ def test_best_per_tag_takes_the_first_of_equals(texts):
     found = detect(texts(["a@b.com c@d.com 415-555-0192"], path="email"), 2)
     best = found.select(F.explode(best_per_tag(F.col("detections"))).alias("d")).select("d.*").collect()
     assert [(b["tag"], b["entity_type"], b["start"], b["layer"]) for b in best] == [("PII", "EMAIL_ADDRESS", 0, 2)]
+
+
+def _best_first(hits):
+    """Hits (score, start, stop, row) that stay: each, best first, if it overlaps none that stays."""
+    kept = []
+    for h in sorted(hits, key=lambda h: (-h[0], h[1] - h[2], h[1], h[3])):
+        if all(k[1] >= h[2] or h[1] >= k[2] for k in kept):
+            kept.append(h)
+    return sorted((h[1], h[2]) for h in kept)
+
+
+CHAIN = [Pattern("PERSON", "ab+c", 0.5), Pattern("PERSON", "cb*a", 0.6), Pattern("PERSON", "a[abc]c", 0.6), Pattern("PERSON", "xy", 0.5), Pattern("PERSON", "yx", 0.5)]
+
+
+def test_of_overlapping_hits_the_best_stay_and_chains_are_settled(texts):
+    import random
+    import re
+
+    rng = random.Random(8)
+    values = ["".join(rng.choice("abbc ") for _ in range(rng.randrange(1, 400))) for _ in range(60)] + ["xyxyxyx", "cabcab", ""]
+    found = {i: [] for i in range(len(values))}
+    for r in explode_detections(detect(texts(values), 2, patterns=CHAIN)).where("layer = 2").collect():
+        found[r["id"]].append((r["start"], r["end"]))
+    for i, value in enumerate(values):
+        hits = [(p.score, m.start(), m.end(), k) for k, p in enumerate(CHAIN) for m in re.finditer(p.regex, value)]
+        assert sorted(found[i]) == _best_first(hits)
+
+
+def test_a_text_of_a_hundred_thousand_hits(texts):
+    value = "abc xy cba " * 25_000
+    rows = explode_detections(detect(texts([value]), 2, patterns=CHAIN)).where("layer = 2")
+    assert rows.count() == 75_000

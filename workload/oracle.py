@@ -91,13 +91,15 @@ def row_hits(p: Pattern, order: int) -> str:
                         FROM plains WHERE regexp_matches(plain, {rx})))) {check}"""
 
 
-# A hit goes if a better one of its entity type overlaps it.
-APART = """
-      SELECT h.* FROM hits h WHERE NOT EXISTS (
-        SELECT 1 FROM hits g WHERE g.msg_id = h.msg_id AND g.field_path = h.field_path AND g.entity_type = h.entity_type AND g.layer = h.layer
-        AND g.start < h."end" AND h.start < g."end"
-        AND (g.score > h.score OR (g.score = h.score AND (length(g.hit) > length(h.hit) OR (length(g.hit) = length(h.hit)
-             AND (g.start < h.start OR (g.start = h.start AND g.ord < h.ord)))))))"""
+# Best first, a hit stays if it overlaps none that stays: a fold over each field's ranked hits.
+_RANKED = """list({'start': start, 'stop': "end", 'ord': ord} ORDER BY score DESC, length(hit) DESC, start, ord)"""
+APART = f"""
+      SELECT h.* FROM hits h JOIN (
+        SELECT msg_id, field_path, entity_type, layer, unnest(list_reduce(list_transform(hs, lambda x: [x]), lambda kept, x:
+          CASE WHEN len(list_filter(kept, lambda k: k.start < x[1].stop AND x[1].start < k.stop)) = 0 THEN list_concat(kept, x) ELSE kept END)) AS k
+        FROM (SELECT msg_id, field_path, entity_type, layer, {_RANKED} AS hs FROM hits GROUP BY ALL)) s
+      ON s.msg_id = h.msg_id AND s.field_path = h.field_path AND s.entity_type = h.entity_type AND s.layer = h.layer
+        AND s.k.start = h.start AND s.k.stop = h."end" AND s.k.ord = h.ord"""
 
 
 def detections(

@@ -312,6 +312,21 @@ def pattern_cases(spark, sf):
     return found.select(*IDS, "entity_type", "tag", "score", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "text_snippet")
 
 
+# Rows of one entity type whose hits overlap in chains: a capital and the word after it, a
+# word and the one after its comma, and pairs of words.
+_CHAINS = [
+    Pattern("PERSON", r"[A-Z][a-z]+ [a-z]+", 0.6), Pattern("PERSON", r"[a-z]+, [a-z]+", 0.7), Pattern("PERSON", r"\b[a-z]{2,5} [a-z]{7,9}\b", 0.6),
+]
+
+
+@query(f"""WITH {detections('documents', 2, patterns=_CHAINS)}
+SELECT msg_id, field_path, start AS span_start, "end" AS span_end, score, text_snippet FROM det WHERE layer = 2""")
+def pattern_overlap(spark, sf):
+    """Overlapping hits of three pattern rows in whole texts."""
+    rows = classify(messages(spark, sf, "documents"), IDS, 2, patterns=_CHAINS).where("layer = 2")
+    return rows.select("msg_id", "field_path", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "score", "text_snippet")
+
+
 _DEEP = ["l0", "l1", "l2", "l3", "l4", "l5", "l6", "l7", "l8", "l9"]
 
 
@@ -379,6 +394,21 @@ def sql_classify_fields(spark, sf):
     return spark.sql("SELECT m.msg_id, m.topic, f.* FROM customer_messages m, LATERAL classify_message(3, m.value) AS f")
 
 
+@query("""
+SELECT cast(doc_id AS VARCHAR) AS msg_id, '""" + ".".join(f"l{i}" for i in range(13)) + """[0]' || k AS field_path, tag, score, 'field_name' AS source, v AS sample_value FROM (
+  SELECT doc_id, unnest(['.ssn', '.password']) AS k, unnest(['GOVERNMENT_ID', 'CREDENTIALS']) AS tag, unnest([0.92, 0.95]::DOUBLE[]) AS score, unnest([source, lang]) AS v
+  FROM documents)""")
+def sql_classify_deep(spark, sf):
+    """The table function on records fourteen levels deep."""
+    create_classify_function(spark, "classify_deep_message")
+    configure(spark)
+    record = "to_json(named_struct('ssn', source, 'password', lang))"
+    opened, closed = "".join(f'{{"l{i}":' for i in range(13)) + "[", "]" + "}" * 13
+    rows = table(spark, sf, "documents").selectExpr("cast(doc_id AS string) AS msg_id", f"concat('{opened}', {record}, '{closed}') AS value")
+    rows.createOrReplaceTempView("deep_messages")
+    return spark.sql("SELECT m.msg_id, f.field_path, f.tag, f.score, f.source, f.sample_value FROM deep_messages m, LATERAL classify_deep_message(1, m.value) AS f")
+
+
 @query(f"""WITH {detections('customers')}
 SELECT msg_id, topic, field_path, tag, entity_type, max(round(score, 4)) AS score FROM det GROUP BY ALL""")
 def best_per_entity(spark, sf):
