@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from fieldscan.functions.taxonomy import clamp_layer_value
 from fieldscan.functions.text import scan_example
 from fieldscan.operators.detect import best_per_tag, classify_names, detect, explode_detections
-from fieldscan.operators.entities import gazetteer, gazetteer_patterns
+from fieldscan.operators.entities import gazetteer, gazetteer_patterns, phrase_recognizer
 from fieldscan.operators.flatten import flatten_variant, schema_leaves
 from fieldscan.sources.messages import decode
 
@@ -34,15 +34,20 @@ def classify(
     """One row per detection of each message field.
 
     ``phrase_table(phrase, label, score)`` adds the phrases of a table of any size to
-    layer 3 (see ``entities.gazetteer``); its hits come after the others of a field.
+    layer 3 (see ``entities.gazetteer``); its hits come after the others of a field. Unless
+    the table is too large for the row, messages are read once.
     """
+    layers = clamp_layer_value(max_layer)
+    found = phrase_recognizer(phrase_table) if phrase_table is not None and layers >= 3 else None
+    if found is not None:
+        options["recognizers"] = [*(options.get("recognizers") or []), found]
     detected = detect_messages(messages, ids, max_layer, **options)
     rows = explode_detections(detected)
-    if phrase_table is None or clamp_layer_value(max_layer) < 3:
+    if phrase_table is None or layers < 3 or found is not None:
         return rows
-    found = gazetteer(detected, phrase_table, [*ids, "is_free_text"])
-    found = found.withColumn("rank", F.col("rank") + F.lit(PHRASE_RANK))
-    return rows.unionByName(found.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]))
+    hits = gazetteer(detected, phrase_table, [*ids, "is_free_text"])
+    hits = hits.withColumn("rank", F.col("rank") + F.lit(PHRASE_RANK))
+    return rows.unionByName(hits.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]))
 
 
 def best_rows(detected: DataFrame, ids: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from fieldscan.operators import rollup, routing
 from fieldscan.operators.detect import detect, explode_detections
-from fieldscan.operators.entities import available, filter_entities, gazetteer, gazetteer_patterns, predictor
+from fieldscan.operators.entities import available, filter_entities, gazetteer, gazetteer_patterns, predictor, rejected_phrases
+from fieldscan.operators.members import bloom_bits, maybe_in, reference_hits, value_digest
 from fieldscan.plans.classify import classify, classify_fields
 from fieldscan.plans.sql import create_classify_function, create_detection_view
 
@@ -156,11 +157,39 @@ def test_phrases_by_join_and_by_regex_agree(spark, texts):
     df = texts(["é Hanna: Sleep Apnea Clinic", "sleep", "Hanna Hannah", "", "in New-Ghent or New Ghent", "Sleep  Apnea", "aSleep Sleep"])
     table = spark.createDataFrame([(p, la, 0.85) for p, la in phrases], "phrase string, label string, score double")
     columns = ["id", "field_path", "entity_type", "tag", "score", "start", "end", "text_snippet", "layer", "source"]
-    joined = gazetteer(df, table, ["id"]).select(*columns).collect()
+    joined = gazetteer(df, table, ["id"], most_bytes=0).select(*columns).collect()
+    assert sorted(map(tuple, gazetteer(df, table, ["id"]).select(*columns).collect())) == sorted(map(tuple, joined))
     inside = explode_detections(detect(df, 3, phrases=gazetteer_patterns(phrases))).where("layer = 3").select(*columns).collect()
     assert sorted(map(tuple, joined)) == sorted(map(tuple, inside)) and len(joined) == 6
 
 
+def test_phrases_with_marks_at_their_edges(spark, texts):
+    phrases = [("C++", "disease", 0.7), ("C", "disease", 0.6), (".NET", "disease", 0.8), ("Müller", "person", 0.9), ("Müller & Söhne", "person", 0.9), ("++", "disease", 0.5), ("a", "no label", 0.5)]
+    table = spark.createDataFrame(phrases, "phrase string, label string, score double")
+    df = texts(["in C++ and C, not C++x", "use .NET or NET", "by Müller & Söhne, Müller, Müllers", None, "C"])
+    found = [gazetteer(df, table, ["id"], most_bytes=m) for m in (0, 1 << 20)]
+    rows = [sorted((r["id"], r["rank"], r["text_snippet"], r["start"], r["end"], r["score"]) for r in f.collect()) for f in found]
+    assert rows[0] == rows[1] == [
+        (0, 0, "C++", 3, 6, 0.7), (0, 1, "C", 11, 12, 0.6), (0, 2, "C++", 18, 21, 0.7), (1, 0, ".NET", 4, 8, 0.8),
+        (2, 0, "Müller & Söhne", 3, 17, 0.9), (2, 1, "Müller", 19, 25, 0.9), (4, 0, "C", 0, 1, 0.6),
+    ]
+    assert sorted(r["phrase"] for r in rejected_phrases(table).collect()) == ["++", "a"]
+
+
+def test_a_filter_loses_no_key_and_reference_hits_are_exact(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    test = maybe_in(spark, bloom_bits(keys, "key"))
+    asked = spark.range(9000).select("id", F.get(test(F.array(F.xxhash64("id"))), F.lit(0)).alias("in"))
+    passed = {r["id"] for r in asked.where("in").collect()}
+    assert set(range(3000)) <= passed and len(passed) < 3300
+    flat = spark.createDataFrame([(1, "a", " Alpha "), (1, "b", None), (2, "a", "beta"), (3, "a", "")], "id int, field_path string, value string")
+    known = spark.createDataFrame([("x", "alpha"), ("y", "ALPHA"), ("y", ""), ("z", None)], "set_name string, v string")
+    for most in (64, 1 << 20):
+        hits = reference_hits(flat, known.select("set_name", value_digest(F.col("v")).alias("digest")), ["id"], most)
+        assert sorted(map(tuple, hits.collect())) == [(1, "a", "x"), (1, "a", "y"), (3, "a", "y")]
+    assert reference_hits(flat, known.limit(0).select("set_name", F.col("v").alias("digest")), ["id"]).collect() == []
+
+
 def test_a_phrase_table_in_classify(spark):
     df = spark.createDataFrame([("1", '{"note":"Hanna has a Sleep Apnea","email":"x"}'), ("2", '{"n":1}')], "msg_id string, value string")
     table = spark.createDataFrame([("Sleep Apnea", "disease", 0.9)], "phrase string, label string, score double")

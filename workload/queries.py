@@ -9,9 +9,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldscan.functions import text
 from fieldscan.functions.patterns import PATTERNS, Pattern
 from fieldscan.functions.taxonomy import confidence_tier, primary_tag
-from fieldscan.operators import detect, entities, flatten, registry, review, rollup, routing, scan
+from fieldscan.operators import detect, entities, flatten, members, registry, review, rollup, routing, scan
 from fieldscan.plans.classify import best_rows, classify, classify_fields, detect_messages
 from fieldscan.plans.sql import create_classify_function
 from fieldscan.session import configure, ensure_checkpoint_dir
@@ -251,36 +252,77 @@ def entity_filter(spark, sf):
 
 
 def _phrases(spark, sf):
-    """All words of nine letters or more of the whole benchmark texts."""
-    words_ = table(spark, sf, "benchmark").select(F.explode(F.expr("regexp_extract_all(text, '[A-Za-z]{9,}', 0)")).alias("phrase"))
-    return words_.distinct().withColumns({"label": F.lit("disease"), "score": F.lit(0.8)})
+    """Phrases of one to four words of the whole benchmark texts, by turns; single ones of nine letters or more."""
+    texts = table(spark, sf, "benchmark").select("text", text.match_spans("text", _UNICODE_WORD).alias("w"))
+    n = lambda i: i % 4 + 1
+    cut = lambda x, last: F.substring(F.col("text"), x["start"] + 1, last["start"] + F.length(last["hit"]) - x["start"])
+    runs = F.transform("w", lambda x, i: F.when((n(i) > 1) | (F.length(x["hit"]) >= 9), cut(x, F.get("w", i + n(i) - 1))))
+    phrases = texts.select(F.explode(runs).alias("phrase")).where("phrase IS NOT NULL").distinct()
+    return phrases.withColumns({"label": F.lit("disease"), "score": F.lit(0.8)})
+
+
+_UNICODE_WORD = r"[\p{L}\p{N}_]+"
+_BY_DOC = "PARTITION BY id ORDER BY j"
+_RUNS = ", ".join(
+    "word" + "".join(f" || lead(gap, {k - 1}) OVER w || lead(word, {k}) OVER w" if k > 1 else " || gap || lead(word, 1) OVER w" for k in range(1, n)) + f" AS run{n}" for n in (1, 2, 3, 4)
+)
 
 
-_PHRASES = "phrases AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS run FROM benchmark)"
+def _runs(name: str, rows: str) -> str:
+    """Runs of one to four words of texts (id, value) with their places, as CTEs ending in ``name``."""
+    return f"""{name}_words AS (
+      SELECT id, unnest(range(1, len(ms) + 1)) AS j, unnest(ms) AS word, unnest(gaps[1:len(ms)]) AS before, unnest(gaps[2:len(ms) + 1]) AS gap
+      FROM (SELECT id, regexp_extract_all(value, '{_UNICODE_WORD}') AS ms, string_split_regex(value, '{_UNICODE_WORD}') AS gaps FROM ({rows}))),
+    {name} AS (SELECT id, j, word, {_RUNS}, sum(length(before) + length(word)) OVER w - length(word) AS start FROM {name}_words WINDOW w AS ({_BY_DOC}))"""
 
 
-@query(f"""
-WITH {_PHRASES},
-tokens AS (SELECT cast(doc_id AS VARCHAR) AS msg_id, unnest(regexp_extract_all({plain('text')}, '[A-Za-z0-9_]+')) AS run FROM documents)
-SELECT msg_id, 'comment' AS field_path, 'MEDICAL_CONDITION' AS entity_type, 'PHI' AS tag, run AS text_snippet, count(*) AS n
-FROM tokens JOIN phrases USING (run) GROUP BY ALL""")
+def _phrase_hits(rows: str) -> str:
+    """CTEs ending in ``kept`` (id, hit): the leftmost, then longest phrases of texts (id, value)."""
+    phrases = "SELECT run1 AS run FROM items WHERE (j - 1) % 4 = 0 AND length(word) >= 9" + "".join(f" UNION SELECT run{n} FROM items WHERE (j - 1) % 4 = {n - 1}" for n in (2, 3, 4))
+    hits = " UNION ALL ".join(f"SELECT id, start, start + length(run) AS stop, run FROM texts JOIN phrases ON run = run{n}" for n in (1, 2, 3, 4))
+    return f"""{_runs('items', "SELECT item_id AS id, text AS value FROM benchmark")}, phrases AS ({phrases}),
+    {_runs('texts', rows)}, hits AS ({hits}),
+    kept AS (SELECT id, unnest(list_reduce(list_transform(list({{'start': start, 'stop': stop, 'run': run}} ORDER BY start, stop DESC), lambda x: [x]),
+      lambda done, x: CASE WHEN x[1].start >= done[-1].stop THEN list_concat(done, x) ELSE done END)) AS hit FROM hits GROUP BY id)"""
+
+
+@query(f"""WITH {_phrase_hits("SELECT doc_id AS id, text AS value FROM documents")}
+SELECT cast(id AS VARCHAR) AS msg_id, 'comment' AS field_path, 'MEDICAL_CONDITION' AS entity_type, 'PHI' AS tag, hit.run AS text_snippet,
+min(hit.start) AS first_start, count(*) AS n FROM kept GROUP BY ALL""")
 def gazetteer_entities(spark, sf):
     flat_rows = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").cast("string").alias("msg_id"), F.lit("comment").alias("field_path"), F.col("text").alias("value")
     )
     hits = entities.gazetteer(flat_rows, _phrases(spark, sf), ["msg_id"])
-    return hits.groupBy("msg_id", "field_path", "entity_type", "tag", "text_snippet").agg(F.count(F.lit(1)).alias("n"))
+    return hits.groupBy("msg_id", "field_path", "entity_type", "tag", "text_snippet").agg(F.min("start").alias("first_start"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH f AS ({flat('documents')}), {_PHRASES},
-tokens AS (SELECT msg_id, topic, field_path, unnest(regexp_extract_all({plain('value')}, '[A-Za-z0-9_]+')) AS run FROM f)
-SELECT msg_id, topic, field_path, 3 AS layer, 'PHI' AS tag, 0.8::DOUBLE AS score, run AS text_snippet, count(*) AS n
-FROM tokens JOIN phrases USING (run) GROUP BY ALL""")
+@query(f"""WITH {_phrase_hits("SELECT msg_id || '|' || topic AS id, value FROM (" + flat('documents') + ") WHERE field_path = 'comment'")}
+SELECT split_part(id, '|', 1) AS msg_id, split_part(id, '|', 2) AS topic, 'comment' AS field_path, 3 AS layer, 'PHI' AS tag, 0.8::DOUBLE AS score,
+hit.run AS text_snippet, count(*) AS n FROM kept GROUP BY ALL""")
 def gazetteer_classify(spark, sf):
     rows = classify(messages(spark, sf, "documents"), IDS, 3, phrase_table=_phrases(spark, sf), phrases=[]).where("layer = 3")
     return rows.groupBy(*IDS, "field_path", "layer", "tag", "score", "text_snippet").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH known AS (SELECT lower(trim(c_name)) AS v, 'customers' AS set_name FROM customer UNION SELECT lower(trim(lang)), 'languages' FROM documents)
+SELECT cast(c_custkey AS VARCHAR) AS msg_id, k AS field_path, set_name FROM (
+  SELECT c_custkey, unnest(['customer.full_name', 'nation', 'segment']) AS k, unnest([upper(c_name), cast(c_nationkey AS VARCHAR), c_mktsegment]) AS v FROM customer) f
+JOIN known ON known.v = lower(trim(f.v))
+UNION ALL SELECT cast(doc_id AS VARCHAR), 'lang', 'languages' FROM documents""")
+def reference_hits(spark, sf):
+    """Values of customers and documents that are in a set of digests of names and languages."""
+    customers, documents = table(spark, sf, "customer"), table(spark, sf, "documents")
+    known = customers.select(F.lit("customers").alias("set_name"), members.value_digest(F.col("c_name")).alias("digest")).unionByName(
+        documents.select(F.lit("languages").alias("set_name"), members.value_digest(F.col("lang")).alias("digest"))
+    )
+    named = F.explode(F.create_map(F.lit("customer.full_name"), F.upper("c_name"), F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("segment"), F.col("c_mktsegment")))
+    flat_rows = spread(customers).select(F.col("c_custkey").cast("string").alias("msg_id"), named.alias("field_path", "value")).unionByName(
+        spread(documents).select(F.col("doc_id").cast("string").alias("msg_id"), F.explode(F.create_map(F.lit("lang"), "lang", F.lit("comment"), "text")).alias("field_path", "value"))
+    )
+    return members.reference_hits(flat_rows, known, ["msg_id"])
+
+
 # Every pattern row hits here: its number of rows, texts made onto table rows.
 _CASES = {
     "IBAN_CODE": "pay NL91ABNA0417164300 now", "SWIFT_CODE": "via NDEAFIHHXXX now", "CRYPTO_WALLET": "0x52908400098527886E0F7030069857D2E4169EE7",
