@@ -16,6 +16,8 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,12 @@ N_BEST = 3
 UNKNOWN_PENALTY = 10.0
 USER_PENALTY = 0.1
 LONG_UNIT = 64
+# Units remembered by a task, and their characters at most; cells of a batch of lattices.
 MEMO_UNITS = 300_000
+MEMO_CHARS = 4_000_000
+CELLS = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_BITS = 20
 
 
 class Pieces:
@@ -74,6 +80,12 @@ class Pieces:
         self.hashes = np.array(sorted(hashes), np.uint64)
         self.hash_scores = np.array([hashes[h][0] for h in sorted(hashes)])
         self.hash_ids = np.array([hashes[h][1] for h in sorted(hashes)], np.int64)
+        # Spellings by the upper bits of their hash; what finds its slot taken is searched for.
+        self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
+        slot = (self.hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        self.slots[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.shared = np.zeros(1 << _SLOT_BITS, bool)
+        self.shared[slot[1:][slot[1:] == slot[:-1]]] = True
 
     def marked(self, text: str) -> str:
         text = text.replace(" ", MARK)
@@ -81,8 +93,14 @@ class Pieces:
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each spelling among the pieces, -1 for none."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        slot = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        at = self.slots[slot]
+        at[self.hashes[at] != hashes] = -1
+        unsure = np.flatnonzero(self.shared[slot])
+        if len(unsure):
+            near = np.minimum(np.searchsorted(self.hashes, hashes[unsure]), len(self.hashes) - 1)
+            at[unsure] = np.where(self.hashes[near] == hashes[unsure], near, -1)
+        return at
 
     def unknown(self, char: str) -> list[int]:
         """A character without a piece, as byte pieces if the model has them."""
@@ -141,71 +159,124 @@ def search(pieces: Pieces, unit: str, n: int) -> list[tuple[float, list[int]]]:
     return out
 
 
-def best_of(pieces: Pieces, units: list[str]) -> list[tuple[float, list[int], float]]:
+class Best:
+    """Of several units, end to end: best scores, what the second best loses, and the best ids."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        kinds = (np.float64, np.float64, np.int64, np.int32)
+        self.score, self.loss, self.sizes, self.ids = (np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds))
+        self.starts = lengths_to_starts(self.sizes)
+
+    def part(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return self.score, self.loss, self.sizes, self.ids
+
+    def ids_of(self, k: int) -> np.ndarray:
+        return self.ids[self.starts[k] : self.starts[k + 1]]
+
+
+def best_all(pieces: Pieces, units: list[str]) -> Best:
     """For each unit, the best score and segmentation, and how much the second best loses.
 
-    All units of one length at once: scores of the best way to each place and from each
-    place to the end. A second-best way uses some arc that the best one does not.
+    Units of one length at once, in batches of bounded size: scores of the best way to each
+    place and from each place to the end. A second-best way uses some arc that the best one
+    does not.
     """
-    out: list = [None] * len(units)
     by_length: dict[int, list[int]] = {}
     for i, u in enumerate(units):
         by_length.setdefault(len(u), []).append(i)
+    order, parts = [], []
     for length, members in by_length.items():
+        order += members
         if length > LONG_UNIT:
             for i in members:
                 found = search(pieces, units[i], 2)
-                out[i] = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+                loss = found[0][0] - found[1][0] if len(found) > 1 else np.inf
+                parts.append((np.array([found[0][0]]), np.array([loss]), np.array([len(found[0][1])]), np.array(found[0][1], np.int32)))
             continue
-        for a in range(0, len(members), 20_000):
-            _best_of_length(pieces, units, members[a : a + 20_000], length, out)
-    return out
+        step = max(1, CELLS // (length * min(length, pieces.longest)))
+        for a in range(0, len(members), step):
+            parts.append(_best_of_length(pieces, [units[i] for i in members[a : a + step]], length))
+    found = Best(parts)
+    # Back into the order of the units.
+    back = np.empty(len(order), np.int64)
+    back[np.array(order, np.int64)] = np.arange(len(order))
+    ids = found.ids[gather(found.starts[back], found.sizes[back])]
+    return Best([(found.score[back], found.loss[back], found.sizes[back], ids)])
+
+
+def best_of(pieces: Pieces, units: list[str]) -> list[tuple[float, list[int], float]]:
+    """``best_all`` as a list of (score, ids, loss)."""
+    found = best_all(pieces, units)
+    return [(float(found.score[k]), found.ids_of(k).tolist(), float(found.loss[k])) for k in range(len(units))]
 
 
-def _best_of_length(pieces: Pieces, units: list[str], members: list[int], length: int, out: list) -> None:
-    n = len(members)
-    chars = np.frombuffer("".join(units[i] for i in members).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).astype(np.uint64)
-    into = np.full((n, length + 1), -np.inf)
-    into[:, 0] = 0
-    back = np.zeros((n, length + 1), np.int64)
+def _best_of_length(pieces: Pieces, units: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(units)
+    chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).T.astype(np.uint64)
+    into = np.full((length + 1, n), -np.inf)
+    into[0] = 0
+    back = np.zeros((length + 1, n), np.int16)
     found: dict[tuple[int, int], np.ndarray] = {}
-    score_of: dict[tuple[int, int], np.ndarray] = {}
+    scores = np.append(pieces.hash_scores, -np.inf)
     for start in range(length):
         h = np.zeros(n, np.uint64)
         for end in range(start + 1, min(length, start + pieces.longest) + 1):
-            h = _step(h, chars[:, end - 1])
+            h = _step(h, chars[end - 1])
             at = pieces.lookup(h)
-            score = np.where(at >= 0, pieces.hash_scores[at], pieces.unknown_score if end == start + 1 else -np.inf)
-            if end > start + 1 and not (at >= 0).any():
+            single = end == start + 1
+            if not single and not (at >= 0).any():
                 continue
-            found[start, end], score_of[start, end] = at, score
-            way = into[:, start] + score
-            better = way > into[:, end]
-            into[better, end] = way[better]
-            back[better, end] = start
-    onward = np.full((n, length + 1), -np.inf)
-    onward[:, length] = 0
-    for (start, end), score in sorted(score_of.items(), key=lambda x: -x[0][0]):
-        onward[:, start] = np.maximum(onward[:, start], score + onward[:, end])
+            found[start, end] = at
+            score = scores[at]
+            if single:
+                score[at < 0] = pieces.unknown_score
+            way = into[start] + score
+            better = way > into[end]
+            into[end][better] = way[better]
+            back[end][better] = start
+
+    def score_of(start: int, end: int) -> np.ndarray:
+        score = scores[found[start, end]]
+        if end == start + 1:
+            score[found[start, end] < 0] = pieces.unknown_score
+        return score
+
     # The best way, from its end.
     rows, place = np.arange(n), np.full(n, length)
-    taken = np.zeros((n, length + 1), bool)
+    taken = np.zeros((length + 1, n), bool)
     while (place > 0).any():
-        taken[rows, place] = True
-        place = np.where(place > 0, back[rows, place], 0)
+        taken[place, rows] = True
+        place = np.where(place > 0, back[place, rows], 0)
+    onward = np.full((length + 1, n), -np.inf)
+    onward[length] = 0
     second = np.full(n, -np.inf)
-    for (start, end), score in score_of.items():
-        on_best = taken[:, end] & (back[:, end] == start)
-        second = np.maximum(second, np.where(on_best, -np.inf, into[:, start] + score + onward[:, end]))
+    hits = []
+    for start, end in sorted(found, key=lambda x: -x[0]):
+        rest = score_of(start, end) + onward[end]
+        np.maximum(onward[start], rest, out=onward[start])
+        on_best = taken[end] & (back[end] == start)
+        whole = into[start] + rest
+        whole[on_best] = -np.inf
+        np.maximum(second, whole, out=second)
+        own = np.flatnonzero(on_best)
+        hits.append((own, np.full(len(own), start), found[start, end][own]))
+    row, start, at = (np.concatenate(x) for x in zip(*hits))
+    order = np.lexsort((start, row))
+    row, start, at = row[order], start[order], at[order]
+    sizes, ids = np.ones(len(row), np.int64), pieces.hash_ids[at]
+    for k in np.flatnonzero(at < 0):
+        more = pieces.unknown(units[row[k]][start[k]])
+        sizes[k], ids[k] = len(more), more[0]
+    if (sizes > 1).any():
+        # Characters without a piece that are several bytes.
+        wide = np.repeat(ids, sizes)
+        at_ = lengths_to_starts(sizes)
+        for k in np.flatnonzero(sizes > 1):
+            wide[at_[k] : at_[k + 1]] = pieces.unknown(units[row[k]][start[k]])
+        ids = wide
     # Rounding may not make the second best better than the best.
-    loss = np.maximum(into[:, length] - second, 0.0)
-    ids: list[list[int]] = [[] for _ in range(n)]
-    for (start, end), at in sorted(found.items()):
-        for row in np.flatnonzero(taken[:, end] & (back[:, end] == start)):
-            k = at[row]
-            ids[row] += [int(pieces.hash_ids[k])] if k >= 0 else pieces.unknown(units[members[row]][start])
-    for row, i in enumerate(members):
-        out[i] = (float(into[row, length]), ids[row], float(loss[row]))
+    loss = np.maximum(into[length] - second, 0.0)
+    return into[length].copy(), loss, np.bincount(row, sizes, n).astype(np.int64), ids.astype(np.int32)
 
 
 def _swapped(ids: np.ndarray, starts: np.ndarray, changes: tuple) -> np.ndarray:
@@ -224,17 +295,27 @@ class Encoder:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.memo: dict[str, tuple[float, list[int], float]] = {}
         self.lists: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
-
-    def learn(self, units: list[str]) -> None:
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
-        new = [u for u in units if u not in self.memo]
-        self.memo.update(zip(new, best_of(self.pieces, new)))
+        self.forget()
+
+    def forget(self) -> None:
+        """The units met so far, numbered in the order they came, and what is known of them."""
+        self.codes: defaultdict[str, int] = defaultdict()
+        self.codes.default_factory = self.codes.__len__
+        self.units: list[str] = []
+        self.chars = 0
+        self.best = Best([])
+
+    def learn(self) -> None:
+        """Works out the units that have come since it was called last."""
+        new = list(itertools.islice(self.codes, len(self.units), None))
+        if new:
+            self.units += new
+            self.chars += sum(map(len, new))
+            self.best = Best([self.best.part(), best_all(self.pieces, new).part()])
 
     def alternatives(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
-        if len(self.lists) > MEMO_UNITS // 10:
+        if len(self.lists) > MEMO_UNITS // 30:
             self.lists.clear()
         key = (unit, n)
         if key not in self.lists:
@@ -248,25 +329,22 @@ class Encoder:
 
     def encode_all(self, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
         """For each text its ``n`` best segmentations, best first, as score and ids."""
-        codes: dict[str, int] = {}
-        split = [[codes.setdefault(u, len(codes)) for u in self.pieces.unit.findall(self.pieces.marked(t))] for t in texts]
-        units = list(codes)
-        self.learn(units)
-        found = [self.memo[u] for u in units]
-        best, loss = np.array([x[0] for x in found]), np.array([x[2] for x in found])
-        sizes = np.array([len(x[1]) for x in found], np.int64)
-        starts = lengths_to_starts(sizes)[:-1]
-        flat = np.fromiter(itertools.chain.from_iterable(x[1] for x in found), np.int32)
-        for text in split:
-            at = np.array(text, np.int64)
+        if len(self.units) > MEMO_UNITS or self.chars > MEMO_CHARS:
+            self.forget()
+        cut, code = self.pieces.unit.findall, self.codes.__getitem__
+        split = [np.fromiter(map(code, cut(self.pieces.marked(t))), np.int32) for t in texts]
+        self.learn()
+        best = self.best
+        for at in split:
             if not len(at):
                 yield [(0.0, np.zeros(0, np.int32))]
                 continue
-            ids, total = flat[gather(starts[at], sizes[at])], float(best[at].sum())
-            ends = lengths_to_starts(sizes[at])
-            yield [(total - x, _swapped(ids, ends, changes)) for x, changes in self._changes(units, found, at, loss[at], n)]
+            sizes = best.sizes[at]
+            ids, total = best.ids[gather(best.starts[at], sizes)], float(best.score[at].sum())
+            ends = lengths_to_starts(sizes)
+            yield [(total - x, _swapped(ids, ends, changes)) for x, changes in self._changes(at, best.loss[at], n)]
 
-    def _changes(self, units: list[str], found: list, at: np.ndarray, loss: np.ndarray, n: int) -> list[tuple[float, tuple]]:
+    def _changes(self, at: np.ndarray, loss: np.ndarray, n: int) -> list[tuple[float, tuple]]:
         """Of the n best, each differs from the best in one of the n - 1 units that lose least, or more
         of them: what it loses, and the places and ids of its changed units. The best comes first."""
         lists: list[tuple[float, tuple]] = [(0.0, ())]
@@ -274,9 +352,9 @@ class Encoder:
             few = np.argpartition(loss, n - 2)[: n - 1] if len(loss) >= n else np.arange(len(loss))
             for i in few:
                 if np.isfinite(loss[i]):
-                    own = self.alternatives(units[at[i]], n)
+                    own, first = self.alternatives(self.units[at[i]], n), self.best.ids_of(at[i]).tolist()
                     # Of equally good ones the search may meet another first.
-                    others = [(max(own[0][0] - s, 0.0), ((int(i), ids),)) for s, ids in own if ids != found[at[i]][1]]
+                    others = [(max(own[0][0] - s, 0.0), ((int(i), ids),)) for s, ids in own if ids != first]
                     ways = [(0.0, ()), *others[: n - 1]]
                     lists = heapq.nsmallest(n, ((a + x, c + more) for a, c in lists for x, more in ways), key=lambda x: x[0])
         return lists
@@ -296,7 +374,7 @@ class Encoder:
         return text[1:] if self.pieces.dummy_prefix and text.startswith(" ") else text
 
 
-ENCODED = "ids array<int>, n_pieces long, scores array<double>, decodes boolean, n_best array<struct<score:double,ids:array<int>>>"
+ENCODED = "ids array<int>, n_pieces long, scores array<double>, decodes boolean, digests array<long>, n_best array<struct<score:double,ids:array<int>>>"
 
 
 def _listed(found: list[list[tuple[float, np.ndarray]]]) -> pa.ListArray:
@@ -313,8 +391,9 @@ def _listed(found: list[list[tuple[float, np.ndarray]]]) -> pa.ListArray:
 def encode(docs: DataFrame, model: str, keep: list[str], text_col: str = "text", n: int = N_BEST, with_ids: bool = True) -> DataFrame:
     """The columns ``keep`` as the struct ``row``, and for each text: the ``ids`` of its best
     segmentation (null unless ``with_ids``), ``n_pieces``, the ``scores`` of its ``n`` best ones,
-    whether decoding the ids gives the text back, and ``n_best``: score and ids of each of the
-    ``n`` best, best first (null unless ``with_ids``).
+    whether decoding the ids gives the text back, ``digests`` (of each of the ``n`` best, the
+    unsigned CRC-32 of its ids as little-endian 32-bit integers) and ``n_best``: score and
+    ids of each of the ``n`` best, best first (null unless ``with_ids``).
 
     ``model`` is a sentencepiece file whose normaliser leaves characters as they are. Empty
     and null texts have no pieces and the one score 0. A text with fewer segmentations
@@ -329,7 +408,7 @@ def encode(docs: DataFrame, model: str, keep: list[str], text_col: str = "text",
         encoder = Encoder(model)
         for table in merged(batches, "content"):
             texts = [t.decode("utf-8", "replace") for t in table.column("content").to_pylist()]
-            every, counts, scores, same, lists = [], [], [], [], []
+            every, counts, scores, same, digests, lists = [], [], [], [], [], []
             for text, found in zip(texts, encoder.encode_all(texts, n)):
                 ids = found[0][1]
                 every.append(ids if with_ids else None)
@@ -337,11 +416,12 @@ def encode(docs: DataFrame, model: str, keep: list[str], text_col: str = "text",
                 scores.append([s for s, _ in found])
                 if with_ids:
                     lists.append(found)
+                digests.append([zlib.crc32(i.astype("<u4").tobytes()) for _, i in found])
                 same.append(encoder.decode(ids.tolist()) == text.replace(MARK, " "))
-            columns = [table.column("row"), pa.array(every, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same)]
+            columns = [table.column("row"), pa.array(every, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same), pa.array(digests, pa.list_(pa.int64()))]
             empty = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
             columns.append(_listed(lists) if with_ids else pa.nulls(len(texts), empty))
-            yield from pa.Table.from_arrays(columns, ["row", "ids", "n_pieces", "scores", "decodes", "n_best"]).to_batches()
+            yield from pa.Table.from_arrays(columns, ["row", "ids", "n_pieces", "scores", "decodes", "digests", "n_best"]).to_batches()
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {ENCODED}")
 

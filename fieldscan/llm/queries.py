@@ -154,9 +154,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best segmentations of every text into pieces, each as a digest (0 for none), their scores, and decoding."""
-    found = nbest.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
-    digest = lambda k: F.crc32(F.concat_ws(",", F.get("n_best", F.lit(k))["ids"].cast("array<string>")))
+    """The three best segmentations of every text into pieces, each as a digest (null for none), their scores, and decoding."""
+    found = nbest.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], with_ids=False)
+    digest = lambda k: F.get("digests", F.lit(k))
     return found.select(
         "row.doc_id", "n_pieces", digest(0).alias("ids_crc32"), digest(1).alias("second_ids_crc32"), digest(2).alias("third_ids_crc32"),
         F.element_at("scores", 1).alias("best_score"), F.element_at("scores", -1).alias("last_score"), F.size("scores").cast("long").alias("n_best"), "decodes",
