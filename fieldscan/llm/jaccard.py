@@ -14,8 +14,10 @@ the fragments:
 
 Texts of one class are not paired with each other. A first round tries one partner per
 text, the one it shares most prefix n-grams with; after it, only pairs of different
-components are left to try, all of them, so nothing is lost and a group of thousands of
-near copies costs as many pairs as it has members.
+components are left to try, all of them, so nothing is lost. Prefix n-grams that would still
+make many pairs (thousands of texts near the threshold) make none: the texts that
+they hang together are dealt to blocks by size, and each two blocks are one task that counts
+overlaps as a matrix, fragment by fragment, and puts out a spanning forest of links.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, gather, lengths_to_starts, merged, packed, require, rolling, saved, shuffle_parts, unpacked, utf8, words_of
 from .components import components
+from .simhash import join_labels
 
 NGRAM = 5
 # A pair is linked if 100 * intersection >= PERCENT * union.
@@ -40,6 +43,12 @@ BLOCK_NGRAMS = 1_000_000
 PAIR_FRAGMENTS = 4
 # Long words of a set's bitmap.
 BITMAP = 64
+# An n-gram that would make more pairs than this is counted in tiles; n-grams and sets of a
+# block of a tile, and n-grams that are counted at a time.
+LIST_PAIRS = 4_096
+TILE_NGRAMS = 500_000
+TILE_SETS = 1_024
+TILE_COLUMNS = 2_048
 
 
 def ngram_sets(texts: list[bytes], width: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -305,6 +314,89 @@ def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("node", "best.other").alias("x"), F.greatest("node", "best.other").alias("y")).distinct()
 
 
+def _hot_ngrams(members: DataFrame, groups: DataFrame, list_pairs: int) -> DataFrame:
+    """``ngram``: those whose list would make more than ``list_pairs`` pairs of different components."""
+    rows = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = rows.groupBy("ngram", "component").agg(F.count("*").alias("n"))
+    lists = sizes.groupBy("ngram").agg(F.sum("n").alias("total"), F.max("n").alias("main"))
+    return lists.filter(F.col("total") * (F.col("total") - F.col("main")) > list_pairs).select("ngram")
+
+
+def _tiled_links(members: DataFrame, hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``x, y``: links between texts that hot n-grams hang together, as a forest per tile.
+
+    Sizes of linked texts differ by at most a class (a step of just over 100 / ``percent``), so a block
+    of one class meets blocks of its own and of the next class only.
+    """
+    own = saved(members.join(hot, "ngram").select("ngram", "node"), "hot")
+    leads = own.groupBy("ngram").agg(F.min("node").alias("lead"))
+    clusters = components(own.join(leads.hint("merge"), "ngram"), "node", "lead").toDF("node", "cluster")
+    held = sets.join(clusters.hint("merge"), "node").select(
+        "node", "n", "cluster", "parts", F.floor(F.log(F.col("n")) / F.log(F.lit(100.1 / percent))).cast("int").alias("size_class")
+    )
+    held = saved(held, "held")
+    kind = ["cluster", "size_class"]
+    blocks = held.groupBy(*kind).agg(F.greatest(F.ceil(F.sum("n") / TILE_NGRAMS), F.ceil(F.count("*") / TILE_SETS)).cast("int").alias("blocks"))
+    held = saved(held.join(blocks.hint("merge"), kind).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "blocks")
+    # Every block is the left one of tiles with itself, later blocks of its class, and all of the next class.
+    to = blocks.select("cluster", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)).alias("size_class"), F.col("size_class").alias("to_class"), F.col("blocks").alias("to_blocks"))
+    tiles = blocks.join(to, kind).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.withColumn("to_block", F.explode(F.sequence(F.lit(0), F.col("to_blocks") - 1)))
+    tiles = tiles.filter((F.col("to_class") > F.col("size_class")) | (F.col("to_block") >= F.col("block")))
+    tiles = saved(tiles.select(*kind, "block", "to_class", "to_block", F.monotonically_increasing_id().alias("tile")), "tiles")
+    side = held.select(*kind, "block", "node", "n", "parts")
+    left = side.join(tiles.select(*kind, "block", "tile").hint("merge"), [*kind, "block"]).select("tile", "node", "n", "parts")
+    right = side.join(
+        tiles.select("cluster", F.col("to_class").alias("size_class"), F.col("to_block").alias("block"), F.col("tile").alias("to_tile")).hint("merge"), [*kind, "block"]
+    ).select("to_tile", F.col("node").alias("to_node"), F.col("n").alias("to_n"), F.col("parts").alias("to_parts"))
+    found = left.groupBy("tile").cogroup(right.groupBy("to_tile")).applyInArrow(_tile_links(percent), "x long, y long")
+    return saved(found, "links")
+
+
+def _incidence(hashes: np.ndarray, sizes: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Which set has which of the ascending n-grams, as ones and zeros."""
+    out = np.zeros((len(sizes), len(columns)), np.float32)
+    at = np.searchsorted(columns, hashes)
+    at[at == len(columns)] = 0
+    known = columns[at] == hashes if len(columns) else np.zeros(len(hashes), bool)
+    out[np.repeat(np.arange(len(sizes)), sizes)[known], at[known]] = 1
+    return out
+
+
+def _fragment_sets(parts: list, fragment: int) -> tuple[np.ndarray, np.ndarray]:
+    own = [np.array(p[fragment], np.int64) for p in parts]
+    return np.concatenate([np.zeros(0, np.int64), *own]), np.array([len(p) for p in own], np.int64)
+
+
+def overlaps(left: list, right: list) -> np.ndarray:
+    """How many n-grams each two sets share, counted per fragment and summed."""
+    total = np.zeros((len(left), len(right)), np.float32)
+    for fragment in range(len(left[0]) if left else 0):
+        (a, sizes), (b, other) = _fragment_sets(left, fragment), _fragment_sets(right, fragment)
+        both = np.intersect1d(a, b)
+        for k in range(0, len(both), TILE_COLUMNS):
+            columns = both[k : k + TILE_COLUMNS]
+            total += _incidence(a, sizes, columns) @ _incidence(b, other, columns).T
+    return total.astype(np.int64)
+
+
+def _tile_links(percent: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"x": none, "y": none})
+        a, b = left.column("node").to_numpy(), right.column("to_node").to_numpy()
+        total = left.column("n").to_numpy()[:, None] + right.column("to_n").to_numpy()[None, :]
+        shared = overlaps(left.column("parts").to_pylist(), right.column("to_parts").to_pylist())
+        x, y = np.nonzero((100 * shared >= percent * (total - shared)) & (a[:, None] != b[None, :]))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        labels = join_labels(np.arange(len(nodes)), at[x], at[len(a) + y])
+        some = np.flatnonzero(labels != np.arange(len(nodes)))
+        return pa.table({"x": nodes[labels[some]], "y": nodes[some]})
+
+    return run
+
+
 def _rest_pairs(members: DataFrame, sets: DataFrame, groups: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of different components that were not tried yet.
 
@@ -329,7 +421,9 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, groups: DataFrame, tried: D
     return pairs.join(tried, ["x", "y"], "left_anti")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NGRAM, percent: int = PERCENT, list_pairs: int = LIST_PAIRS
+) -> DataFrame:
     """``id, n_shingles, component_id`` per row of ``docs``.
 
     Two rows link when 100 * intersection >= percent * union of their n-gram sets (n-grams of
@@ -342,11 +436,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     N-grams are compared by their 64-bit hash. ``docs`` should be read from a table: the
     first step numbers its texts as they are read.
     """
-    rows = _labelled(docs, id_col, text_col, width, percent)
-    firsts = rows.groupBy("component").agg(F.min("id").alias("component_id"))
+    rows = saved(_labelled(docs, id_col, text_col, width, percent, list_pairs), "labelled")
+    firsts = saved(rows.groupBy("component").agg(F.min("id").alias("component_id")), "firsts")
     # Sets without n-grams share one digest but are linked with nothing.
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return rows.join(firsts, "component").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    # Both sides are tables: Spark can split the rows of a large component.
+    return rows.join(firsts.hint("merge"), "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -355,35 +450,41 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat that id, one stays; rows without id stay only in a component that
     has no id, one for all. Rows without n-grams all stay. See ``similar`` for links.
     """
-    rows = _labelled(docs, id_col, text_col, width, percent).filter("n > 0")
+    rows = _labelled(docs, id_col, text_col, width, percent, LIST_PAIRS).filter("n > 0")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("first.id", "first.key")
-    first = first.toDF("_id", "_key").distinct()
+    first = first.toDF("first_id", "first_key").distinct()
     has_words = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    kept = docs.filter(has_words).join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key")))
-    return kept.dropDuplicates(["_id", "_key"]).select(*docs.columns).union(docs.filter(~has_words))
+    packed_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), has_words.alias("has_words"))
+    kept = packed_rows.filter("has_words").join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+    return kept.dropDuplicates(["id", "key"]).select("row.*").union(packed_rows.filter("not has_words").select("row.*"))
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, list_pairs: int) -> DataFrame:
     """``id, key, n, component`` per row; the component is named by the smallest of its sets' digests."""
     require(docs, id_col, text_col)
     rows = saved(classes(docs, id_col, text_col, width), "classes")
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     open_rows = rows.filter((F.col("n") > 0) & (F.col("alone") < most))
-    nodes = saved(open_rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
+    # A set is fetched by one of its rows, with an id if there is one.
+    row = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("row")
+    nodes = open_rows.groupBy("node").agg(row, F.first("n").alias("n")).select("node", "n", "row.id", "row.key")
+    nodes = saved(nodes, "nodes")
     total, rest = nodes.agg(F.sum("n"), F.count("*")).first()
     if rest < 2:
         return rows.select("id", "key", "n", F.col("node").alias("component"))
-    groups = components(_links(docs, id_col, text_col, nodes, total, width, percent), "x", "y")
+    groups = components(_links(docs, id_col, text_col, nodes, total, width, percent, list_pairs), "x", "y")
     found = rows.join(groups, "node", "left")
     return found.select("id", "key", "n", F.coalesce("component", "node").alias("component"))
 
 
-def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, total: int, width: int, percent: int, list_pairs: int) -> DataFrame:
     spark = docs.sparkSession
     blocks = max(shuffle_parts(spark), -(-total // BLOCK_NGRAMS))
     fragments = Fragments(total, shuffle_parts(spark))
     fragments.bits, fragments.width = 64, -(-(1 << 64) // fragments.count)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("content")).join(nodes.select("id", "node").hint("merge"), "id")
+    found = nodes.select(F.col("id").alias("of_id"), F.col("key").alias("of_key"), "node").hint("merge")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("content"), text_key(text_col).alias("key"))
+    texts = texts.join(found, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")))
     texts = saved(texts.select("node", "content", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")), "texts")
     counts = texts.groupBy("block").applyInArrow(_block_counts(fragments, width), "fragment int, block long, ngrams binary, counts binary")
     totals = counts.groupBy("fragment").applyInArrow(_sum_counts, "fragment int, block long, totals binary")
@@ -395,5 +496,12 @@ def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, total:
     members = saved(sets.select("node", "n", F.explode("prefix").alias("p")).select("node", "n", "p.ngram", "p.place"), "prefixes")
     tried = saved(_first_pairs(members, percent), "pairs")
     links = saved(_overlaps(tried, sets, percent), "links")
-    rest = saved(_rest_pairs(members, sets, components(links, "x", "y"), tried, percent), "pairs")
+    groups = saved(components(links, "x", "y"), "groups")
+    hot = saved(_hot_ngrams(members, groups, list_pairs), "hot")
+    if not hot.isEmpty():
+        # Hot n-grams first: what they link is not paired any more.
+        links = links.union(_tiled_links(members, hot, sets, percent))
+        members = members.join(hot.hint("merge"), "ngram", "left_anti")
+        groups = saved(components(links, "x", "y"), "groups")
+    rest = saved(_rest_pairs(members, sets, groups, tried, percent), "pairs")
     return saved(links.union(_overlaps(rest, sets, percent)), "links")

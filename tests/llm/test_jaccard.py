@@ -78,3 +78,40 @@ def test_gaps_come_back(values, base):
     assert unpacked(packed(ascending, base), base).tolist() == ascending.tolist()
     dense = np.array(sorted(base + v % 500_000 for v in values), np.uint64)
     assert unpacked(packed(dense, base), base).tolist() == dense.tolist()
+
+
+def test_a_chain_through_a_row_without_an_id(docs):
+    words = [f"w{i}" for i in range(140)]
+    texts = [" ".join(words[4 * k : 4 * k + 60]) for k in range(3)]
+    rows = [(1, texts[0]), (None, texts[1]), (2, texts[2])]
+    got = sorted((tuple(r) for r in jaccard.similar(docs(rows)).collect()), key=str)
+    assert got == brute(rows) and {r[2] for r in got} == {1}
+    df = docs(rows).selectExpr("*", "1 AS _id", "2 AS _key", "3 AS id2")
+    assert [r["doc_id"] for r in jaccard.one_of_each(df).collect()] == [1]
+
+
+def test_hot_ngrams_in_tiles(docs, monkeypatch):
+    """Hundreds of texts around the threshold, whose n-grams make tiles in place of pairs."""
+    rng = random.Random(3)
+    texts = []
+    for words in (90, 130):
+        base = [f"b{words}w{i}" for i in range(words)]
+        for k in range(130):
+            own = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                own[rng.randrange(words)] = f"x{rng.random()}"
+            texts.append(" ".join(own[: words - rng.randrange(30)]))
+    rows = list(enumerate(texts + near_copies(rng, 6, 5, 60)))
+    rng.shuffle(rows)
+    monkeypatch.setattr(jaccard, "TILE_SETS", 23)
+    expected = brute(rows)
+    assert 20 < len({r[2] for r in expected}) < 200
+    for list_pairs in (8, jaccard.LIST_PAIRS):
+        assert sorted((tuple(r) for r in jaccard.similar(docs(rows), list_pairs=list_pairs).collect()), key=str) == expected
+
+
+def test_overlaps_by_fragment():
+    rng = random.Random(1)
+    sets = [[sorted(rng.sample(range(10 * f, 10 * f + 9), rng.randrange(6))) for f in range(4)] for _ in range(30)]
+    whole = [set(sum(s, [])) for s in sets]
+    assert jaccard.overlaps(sets[:12], sets[12:]).tolist() == [[len(a & b) for b in whole[12:]] for a in whole[:12]]
