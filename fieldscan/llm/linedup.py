@@ -5,9 +5,9 @@ same lines are cut the same way wherever they stand, and lines added before them
 shift the cuts. A line as long as a paragraph is a chunk of its own. Chunks that occur
 more than once are grouped by their hash and their bytes; one occurrence stays.
 
-Chunks miss what is repeated in part of a chunk only. ``passages`` therefore looks at all
-runs of lines that hold ``long_words`` words: the shortest such runs from each line on
-and up to each line, which together cover every longer run, are joined by their digest.
+Chunks miss what is repeated in part of a chunk only. Therefore all runs of lines that
+hold ``long_words`` words are looked at, too: the shortest such runs from each line on and
+up to each line, which together cover every longer run, are joined by their digest.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def _removed(divisor: int, long_words: int, names: list[str], types: list[pa.Dat
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS, passages: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS
 ) -> DataFrame:
     """``docs`` with ``text_col`` freed of repeated chunks, and ``n_lines`` and ``removed`` besides.
 
@@ -197,19 +197,18 @@ def dedup_lines(
     rows that repeat an id all keep what that id keeps. Columns of ``docs`` that are
     called like the new ones are replaced by them; all others are kept as they are.
 
-    With ``passages`` every run of lines goes, too, that begins and ends with words, has
-    ``long_words`` of them, and occurs in a text of a smaller id, or earlier in the same
-    text without overlap. Runs are compared by 128-bit digests.
+    Every run of lines goes, too, that begins and ends with words, has ``long_words`` of
+    them, and occurs in a text of a smaller id, or earlier in the same text without
+    overlap. Runs are compared by 128-bit digests.
     """
     require(docs, id_col, text_col)
     repeated = repeated_chunks(docs, id_col, text_col, divisor, long_words)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_col, "UTF-8").alias("content")).dropna()
     chunks = rows.mapInArrow(_chunk_rows(divisor, long_words, False), "id long, hash long").distinct()
     found = chunks.join(repeated, "hash").select("id", "keeper", "hash", F.lit(None).cast("binary").alias("digest"))
-    if passages:
-        runs = rows.mapInArrow(_window_rows(long_words), "id long, digest binary")
-        same = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).filter("n > 1").select("digest", "keeper")
-        found = found.union(runs.join(same, "digest").select("id", "keeper", F.lit(None).cast("long"), "digest").distinct())
+    runs = rows.mapInArrow(_window_rows(long_words), "id long, digest binary")
+    same = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).filter("n > 1").select("digest", "keeper")
+    found = found.union(runs.join(same, "digest").select("id", "keeper", F.lit(None).cast("long"), "digest").distinct())
     is_own = F.col("id") == F.col("keeper")
     lists = [
         F.collect_list(F.when(is_own == mine, F.col(c))).alias(name)

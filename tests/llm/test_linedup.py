@@ -1,28 +1,56 @@
 import random
+from collections import Counter
 
-from fieldscan.llm.linedup import counted_chunks, cut_lines, dedup_lines
+import xxhash
+
+from fieldscan.llm.linedup import cut_lines, dedup_lines
 from tests.llm.conftest import EDGES
 
 
-def brute(rows):
-    """Chunks by their bytes: the first one in the smallest id stays."""
+def own_chunks(lines, divisor, least):
+    """The cutting rule once more: after a line of ``least`` words, before one, or where the mixed
+    hashes of a line and the one before it are divisible."""
+    mix, out, first = 0, [], 0
+    big = [len(x.split()) >= least and len(x) > 2 * least - 2 for x in lines]
+    for i, line in enumerate(lines):
+        h = xxhash.xxh64(line).intdigest()
+        rolled = (mix * 11400714819323198485 + h) % 2**64
+        mix = h
+        if i == len(lines) - 1 or big[i] or big[i + 1] or (rolled ^ rolled >> 29) % divisor == 0:
+            if i > first or len(lines[first].split()) >= least:
+                out.append((first, i + 1))
+            first = i + 1
+    return [(a, b) for a, b in out if b"\n".join(lines[a:b]).strip()]
+
+
+def brute_lines(rows, divisor=4, least=50):
+    """The lines that go, per row: repeated chunks by their bytes, and repeated runs of lines."""
+    told = [(i, t) for i, t in rows if i is not None and t is not None]
     held = {}
+    for i, t in told:
+        lines = t.encode().split(b"\n")
+        for a, b in own_chunks(lines, divisor, least):
+            held.setdefault(b"\n".join(lines[a:b]), []).append(i)
+    runs, out = brute_runs(told, least), []
     for i, t in rows:
+        gone = set()
         if i is not None and t is not None:
-            for *_, chunk in counted_chunks(t.encode(), 4, 50):
-                held.setdefault(chunk, []).append(i)
-    out = []
-    for i, t in rows:
-        if i is None or t is None:
-            out.append((i, t))
-            continue
-        lines, seen, gone = t.encode().split(b"\n"), set(), set()
-        for a, b, _, chunk in counted_chunks(t.encode(), 4, 50):
-            if min(held[chunk]) < i or chunk in seen:
-                gone |= set(range(a, b))
-            seen.add(chunk)
-        out.append((i, b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode()))
-    return sorted(out, key=str)
+            lines, seen = t.encode().split(b"\n"), set()
+            gone = set(runs[i])
+            for a, b in own_chunks(lines, divisor, least):
+                chunk = b"\n".join(lines[a:b])
+                if min(held[chunk]) < i or chunk in seen:
+                    gone |= set(range(a, b))
+                seen.add(chunk)
+        out.append(gone)
+    return out
+
+
+def brute(rows):
+    left = []
+    for (i, t), gone in zip(rows, brute_lines(rows)):
+        left.append((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
+    return sorted(left, key=str)
 
 
 def test_equals_brute_force_and_keeps_columns(docs):
@@ -64,10 +92,13 @@ def brute_runs(rows, least):
     """Lines of all runs that begin and end with words, have ``least`` of them, and occur in a
     smaller id or earlier in the text without overlap. Each row's marked line numbers."""
     texts = [(i, t.split("\n")) for i, t in rows]
+    times = Counter(x for _, lines in texts for x in lines)
     runs = {}
     for i, lines in texts:
         for a in range(len(lines)):
             for b in range(a + 1, len(lines) + 1):
+                if times[lines[b - 1]] < 2:
+                    break  # so is no run with this line
                 if lines[a].strip() and lines[b - 1].strip() and sum(len(x.split()) for x in lines[a:b]) >= least:
                     runs.setdefault(tuple(lines[a:b]), []).append((i, a, b))
     gone = {i: set() for i, _ in texts}
@@ -92,12 +123,11 @@ def test_passages_of_short_lines_go_whole(docs):
     rows += [(40, "\n".join(["y"] * 45)), (41, rows[4][1] + "\n" + rows[4][1] + "\n\n" + rows[7][1])]
     df = docs(rows)
     # No chunk is cut but the last, so that chunks alone find whole texts only.
-    got = {r["doc_id"]: r for r in dedup_lines(df, divisor=1 << 40, long_words=12, passages=True).collect()}
-    chunks = {r["doc_id"]: r for r in dedup_lines(df, divisor=1 << 40, long_words=12).collect()}
+    got = {r["doc_id"]: r for r in dedup_lines(df, divisor=1 << 40, long_words=12).collect()}
     of = lambda r: {k for x in r["removed"] for k in range(x["first"], x["end"])}
-    expected = brute_runs(rows, 12)
-    assert {i: of(r) for i, r in got.items()} == {i: expected[i] | of(chunks[i]) for i in got}
-    assert any(of(got[i]) > of(chunks[i]) for i in got)
+    runs = brute_runs(rows, 12)
+    assert {i: of(r) for i, r in got.items()} == {i: gone for (i, _), gone in zip(rows, brute_lines(rows, 1 << 40, 12))}
+    assert sum(map(len, runs.values())) > 100
     for i, t in rows:
         left = [x for k, x in enumerate(t.split("\n")) if k not in of(got[i])]
         assert got[i]["text"] == "\n".join(left)
