@@ -1,14 +1,14 @@
 """Folds over arrays that gather a list, as SQL text.
 
 Spark copies a fold's state at every step. A list in the state is therefore kept short:
-items are folded in blocks of 32, blocks in blocks of 32 again, and only then on the whole.
+items are folded in blocks of 16, blocks in blocks of 16 again, and only then on the whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-_BLOCK = 32
+_BLOCK = 16
 
 
 def gather_sql(

@@ -5,59 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscan.functions.taxonomy import clamp_layer_value
-from fieldscan.operators.rollup import tag_list
-from fieldscan.plans.classify import CLASSIFIER_VERSION, classify_fields, detect_messages
+from fieldscan.functions.taxonomy import clamp_layer_value, primary_tag
+from fieldscan.operators.detect import DETECTION
+from fieldscan.operators.inrow import message_sql
+from fieldscan.plans.classify import CLASSIFIER_VERSION
+from fieldscan.sources.messages import decode
 
+_FIELD = f"struct<field_path:string,es:array<{DETECTION[:-1]},is_free_text:boolean>>>"
 # Names of the sinks.
 CLASSIFIED, SAFE, AUDIT = "classified-messages", "classified-safe", "classification-audit"
 
 
-def message_classes(detected: DataFrame, ids: list[str]) -> DataFrame:
-    """Per message: sorted tags, entity types and the map of field to detections.
+def with_classes(messages: DataFrame, max_layer: int | None = 3, schemas: DataFrame | None = None, **options) -> DataFrame:
+    """Every message with its sorted ``tags``, ``entity_types_found`` and ``detected_entities``,
+    the map of field to detections; empty where nothing is found.
 
-    Takes ``detect``'s rows, lists and all. The leaves of a message lie in one
-    partition, so the partial aggregate leaves one row per message to shuffle.
+    All of it is worked out in the message's row (see ``operators.inrow`` for the
+    ``options``): nothing is joined, shuffled or read twice.
     """
-    field = F.struct(
-        "field_path",
-        F.transform("detections", lambda d: d.withField("is_free_text", F.col("is_free_text"))).alias("es"),
+    found = message_sql("try_variant_get(payload, '$', 'string')", max_layer, **options)
+    field = lambda x: F.struct(
+        x["field_path"].alias("field_path"), F.transform(x["es"], lambda d: d.withField("is_free_text", x["is_free_text"])).alias("es")
     )
-    found = F.array_sort(F.collect_list(F.when(F.size("detections") > 0, field)))
-    per_message = detected.groupBy(*ids).agg(found.alias("found"))
-    paths = F.array_distinct(F.transform("found", lambda f: f["field_path"]))
+    keep = [F.col(f"`{c}`") for c in messages.columns]
+    rows = decode(messages, schemas).select(*keep, F.expr(found).alias("_fields"))
+    rows = rows.select(*keep, F.coalesce(F.sort_array(F.transform("_fields", field)), F.array().cast(f"array<{_FIELD}>")).alias("_found"))
+    paths = F.array_distinct(F.transform("_found", lambda f: f["field_path"]))
     # Two spellings can flatten to one path; their lists are then joined.
     joined = F.map_from_arrays(
         paths,
         F.transform(
-            paths, lambda p: F.flatten(F.transform(F.filter("found", lambda f: f["field_path"] == p), lambda f: f["es"]))
+            paths, lambda p: F.flatten(F.transform(F.filter("_found", lambda f: f["field_path"] == p), lambda f: f["es"]))
         ),
     )
-    entities = F.flatten(F.transform("found", lambda f: f["es"]))
-    return per_message.select(
-        *ids,
+    entities = F.flatten(F.transform("_found", lambda f: f["es"]))
+    return rows.select(
+        *keep,
         F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["tag"]))).alias("tags"),
         F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["entity_type"]))).alias("entity_types_found"),
-        F.when(F.size(paths) == F.size("found"), F.map_from_entries("found")).otherwise(joined).alias("detected_entities"),
+        F.when(F.size(paths) == F.size("_found"), F.map_from_entries("_found")).otherwise(joined).alias("detected_entities"),
+        F.flatten(F.transform("_found", lambda f: F.array_distinct(F.transform(f["es"], lambda e: e["tag"])))).alias("field_tags"),
     )
 
 
+def message_tags(messages: DataFrame, ids: list[str], max_layer: int | None = 3, **options) -> DataFrame:
+    """Sorted distinct tags and entity types of each message that has any, and its primary tag."""
+    rows = with_classes(messages, max_layer, **options)
+    return _tagged(rows, *ids, "tags", "entity_types_found").withColumn("primary_tag", primary_tag(F.col("tags")))
+
+
+def _tagged(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the rows that have tags. By a generator: a filter would be pushed down and
+    work everything out once more."""
+    return rows.select(F.inline(F.when(F.size("tags") > 0, F.array(F.struct(*columns)))))
+
+
 def route(messages: DataFrame, ids: list[str], max_layer: int = 3, **options) -> DataFrame:
-    """Every readable message with its class, its sink and its envelope.
+    """Every message with its class and its sink; ``envelopes`` makes the rows to send.
 
-    Detections are shuffled by message id, never the field values; the message
-    itself moves only for the join back, and not even then where Spark can
-    broadcast the classes. Two messages of one id are told apart by their content,
-    so a redelivery under a used id keeps its own class.
+    A message's class comes from its own value, so a redelivery under a used id keeps its own.
     """
-    content = F.xxhash64(F.col("value").cast("binary"))
-    keyed, keys = messages.withColumn("_content", content), [*ids, "_content"]
-    classes = message_classes(detect_messages(keyed, keys, max_layer, **options), keys)
-    none = F.array().cast("array<string>")
     routed = (
-        keyed.join(classes, keys, "left").drop("_content")
-        .withColumn("tags", F.coalesce("tags", none))
-        .withColumn("entity_types_found", F.coalesce("entity_types_found", none))
+        with_classes(messages, max_layer, **options).drop("field_tags")
         .withColumn("layers_used", F.sequence(F.lit(1), F.lit(clamp_layer_value(max_layer))))
         .withColumn("classified_at", F.current_timestamp())
         .withColumn("classifier_version", F.lit(CLASSIFIER_VERSION))
@@ -72,7 +81,7 @@ def envelopes(routed: DataFrame) -> DataFrame:
         payload.alias("payload"),
         F.struct(
             "tags",
-            F.coalesce("detected_entities", F.create_map().cast(routed.schema["detected_entities"].dataType)).alias("detected_entities"),
+                "detected_entities",
             "classified_at",
             "classifier_version",
         ).alias("classification"),
@@ -90,15 +99,20 @@ def audit_rows(routed: DataFrame, ids: list[str]) -> DataFrame:
 def route_by_sql_map(messages: DataFrame, ids: list[str], max_layer: int = 3, **options) -> DataFrame:
     """Tagged messages only, as ``{payload, tags, classified_at}`` with a comma list.
 
-    Messages with the same key and value share one row, as a GROUP BY on both
-    does; ``digest`` of the pair stands for it in the shuffles.
+    Messages with the same key and value share one row, as a GROUP BY on both does; its
+    list names a tag for each field of each of them. ``digest`` of the pair stands for it
+    in the grouping, and copies are counted before they are shuffled.
     """
-    keyed = messages.withColumn("digest", F.sha2(F.to_json(F.struct("key", "value")), 256))
-    lists = tag_list(classify_fields(keyed, ["digest", *ids], max_layer, **options), ["digest"])
-    payload = keyed.groupBy("digest").agg(F.first("key").alias("key"), F.first("value").alias("payload"))
+    digest = F.sha2(F.to_json(F.struct("key", "value")), 256)
+    rows = _tagged(with_classes(messages, max_layer, **options), "key", "value", "field_tags").withColumn("digest", digest)
+    same = rows.groupBy("digest").agg(
+        F.count("*").alias("n"), F.first("key").alias("key"), F.first("value").alias("payload"), F.first("field_tags").alias("own")
+    )
+    every = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.col("n")), lambda _: F.col("own"))))
+    lists = same.withColumn("tags", F.array_join(every, ","))
     fields = F.create_map(
         F.lit("payload"), F.col("payload").cast("string"),
         F.lit("tags"), F.col("tags"),
         F.lit("classified_at"), F.current_timestamp().cast("string"),
     )
-    return lists.join(payload, "digest").select("digest", "key", "tags", F.to_json(fields).alias("value"))
+    return lists.select("digest", "key", "tags", F.to_json(fields).alias("value"))

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import SparkSession
 
-from fieldscan.functions.names import NAME_HIT, keyword_lookup, longest_keyword
-from fieldscan.functions.patterns import PATTERNS, Pattern, hint_sql, hit_parts
-from fieldscan.functions.text import quoted
-from fieldscan.functions.tree import leaves_sql
-from fieldscan.operators.entities import gazetteer_patterns
+from fieldscan.operators.inrow import best_sql, detections_sql, fields_sql, json_text, let
 from fieldscan.plans.classify import classify_fields
 
-_FOUND = "struct<down:double,rank:int,tag:string,score:double,layer:int,source:string,snippet:string>"
-_TREE = "tree"
 _BEST = "array<struct<field_path:string,tag:string,score:double,layer:int,source:string,snippet:string>>"
 
 
@@ -30,66 +22,12 @@ def create_detection_view(
     classify_fields(spark.table(source), ids, max_layer, **options).createOrReplaceTempView(view)
 
 
-def _let(name: str, value: str, use: str) -> str:
-    """``use``, an expression of ``name``, with ``value`` worked out once."""
-    return f"transform(array({value}), {name} -> {use})[0]"
-
-
-def _fields_sql(message: str) -> str:
-    """Fields (field_path, value) of a JSON message, as an array."""
-    text = f"if({message} RLIKE '^[ \\\\t\\\\r\\\\n]*\\\\{{', try_variant_get(try_parse_json({message}), '$', 'string'), NULL)"
-    leaf = "named_struct('field_path', substring(l.under, 2), 'value', try_variant_get(try_parse_json(l.json), '$', 'string'))"
-    return f"filter(transform({_let(_TREE, text, f'CASE WHEN {_TREE} IS NOT NULL THEN {leaves_sql(_TREE)} END')}, l -> {leaf}), l -> l.value IS NOT NULL)"
-
-
-def _words_sql(path: str) -> str:
-    leaf = f"regexp_replace(element_at(split({path}, '\\\\.'), -1), '^[\\\\[\\\\]0-9]+|[\\\\[\\\\]0-9]+$', '')"
-    parted = f"regexp_replace({leaf}, '([A-Z]+)([A-Z][a-z])', '$1 $2')"
-    parted = f"regexp_replace({parted}, '([a-z0-9])([A-Z])', '$1 $2')"
-    return f"lower(trim(regexp_replace({parted}, '[^a-zA-Z0-9]+', ' ')))"
-
-
-def _names_sql() -> str:
-    """Layer-1 hits of ``words``."""
-    lookup = f"from_json({quoted(json.dumps(keyword_lookup()))}, 'map<string,array<{NAME_HIT}>>')"
-    any_keyword = "(?:^| )(?:" + "|".join(keyword_lookup()) + ")(?: |$)"
-    nothing = f"cast(array() AS array<{NAME_HIT}>)"
-    runs = f"""flatten(transform(sequence(1, size(split(words, ' '))), i -> transform(
-        sequence(1, least({longest_keyword()}, size(split(words, ' ')) - i + 1)), n -> array_join(slice(split(words, ' '), i, n), ' '))))"""
-    found = f"array_sort(array_distinct(flatten(transform({runs}, w -> coalesce(try_element_at({lookup}, w), {nothing})))))"
-    return f"CASE WHEN words RLIKE {quoted(any_keyword)} THEN {found} ELSE {nothing} END"
-
-
-def _plain_sql(value: str) -> str:
-    marks = f"regexp_replace({value}, '[^\\\\x00-\\\\x7F\\\\p{{L}}\\\\p{{N}}]', ' ')"
-    return f"if(octet_length({value}) = length({value}), {value}, regexp_replace({marks}, '[^\\\\x00-\\\\x7F]', '_'))"
-
-
-def _hits_sql(patterns: list[Pattern], wanted: str) -> str:
-    """Hits of ``f.value``, cheap tests first: literals and digits, then gates, then the scans."""
-    hints, gates, found = hit_parts(tuple(patterns), "en", (), "gated.")
-    hinted = ", ".join(f"'{c}', {wanted} AND {hint_sql('f.value', h) if h else 'f.value IS NOT NULL'}" for h, c in hints.items())
-    tests = ", ".join(f"'{c}', hinted.{hints[h]}" + (f" AND plain RLIKE {quoted(g)}" if g else "") for (h, g), c in gates.items())
-    any_of = lambda holder, names: " OR ".join(f"{holder}.{c}" for c in names)
-    snippet = "substring(f.value, h.start + 1, h.stop - h.start)"
-    listed = f"transform({found}, (h, i) -> struct(h.down, i AS rank, h.tag, h.score, h.layer, h.source, {snippet} AS snippet))"
-    nothing = f"cast(array() AS array<{_FOUND}>)"
-    scanned = _let("gated", f"named_struct({tests})", f"CASE WHEN {any_of('gated', gates.values())} THEN {listed} ELSE {nothing} END")
-    scanned = _let("plain", _plain_sql("f.value"), scanned)
-    return _let("hinted", f"named_struct({hinted})", f"CASE WHEN {any_of('hinted', hints.values())} THEN {scanned} ELSE {nothing} END")
-
-
 def best_hits_sql(max_layer: str = "max_layer", message: str = "message") -> str:
     """The best detection per field and tag of one message as an array, in one expression."""
-    depth = f"greatest(1, least(3, coalesce({max_layer}, 3)))"
-    names = "transform(names, (h, i) -> struct(h.down, i AS rank, h.tag, h.score, 1 AS layer, 'field_name' AS source, substring(f.value, 1, 80) AS snippet))"
-    names = _let("words", _words_sql("f.field_path"), _let("names", _names_sql(), f"cast({names} AS array<{_FOUND}>)"))
-    parts = [names, *(f"cast({_hits_sql(rows, f'{depth} >= {layer}')} AS array<{_FOUND}>)" for layer, rows in ((2, PATTERNS), (3, gazetteer_patterns())))]
-    ranked = f"array_sort(transform(concat({', '.join(parts)}), (d, i) -> struct(round(d.score, 4) * -1 AS down, i AS rank, d.tag, round(d.score, 4) AS score, d.layer, d.source, d.snippet)))"
-    first = "filter(r, d -> d.tag = t)[0]"
-    row = _let("d", first, "named_struct('field_path', f.field_path, 'tag', d.tag, 'score', d.score, 'layer', d.layer, 'source', d.source, 'snippet', d.snippet)")
-    best = _let("r", ranked, f"transform(array_distinct(transform(r, d -> d.tag)), t -> {row})")
-    return f"flatten(transform({_fields_sql(message)}, f -> cast({best} AS {_BEST})))"
+    found = detections_sql(f"greatest(1, least(3, coalesce({max_layer}, 3)))")
+    row = "named_struct('field_path', x.field_path, 'tag', d.tag, 'score', d.score, 'layer', d.layer, 'source', d.source, 'snippet', d.text_snippet)"
+    best = let("x", found, f"cast(transform({best_sql('x.es')}, d -> {row}) AS {_BEST})")
+    return f"flatten(transform({fields_sql(json_text(message))}, f -> {best}))"
 
 
 def create_classify_function(spark: SparkSession, name: str = "classify_fields") -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldscan.functions import text
 from fieldscan.functions.patterns import PATTERNS, Pattern
-from fieldscan.functions.taxonomy import confidence_tier, primary_tag
+from fieldscan.functions.taxonomy import confidence_tier
 from fieldscan.operators import detect, entities, flatten, members, registry, review, rollup, routing, scan
 from fieldscan.plans.classify import best_rows, classify, classify_fields, detect_messages
 from fieldscan.plans.sql import create_classify_function
@@ -463,15 +463,14 @@ def best_per_entity(spark, sf):
 @query(f"""WITH {detections('customers')}, {SUMMARY}
 SELECT msg_id, topic, array_to_string(tags, ',') AS tags, array_to_string(entities, ',') AS entity_types, {primary('tags')} AS primary_tag FROM summary""")
 def message_tags(spark, sf):
-    rows = rollup.message_summary(classify(messages(spark, sf, "customers"), IDS, 2), IDS)
+    rows = routing.message_tags(messages(spark, sf, "customers"), IDS, 2)
     return rows.select(*IDS, F.array_join("tags", ",").alias("tags"), F.array_join("entity_types_found", ",").alias("entity_types"), "primary_tag")
 
 
 @query(f"""WITH {detections('documents')}, {SUMMARY}
 SELECT {primary('tags')} AS primary_tag, count(*) AS n FROM summary GROUP BY ALL""", "primary_tag")
 def primary_tags(spark, sf):
-    rows = classify(messages(spark, sf, "documents"), IDS, 2).groupBy(*IDS).agg(F.collect_set("tag").alias("tags"))
-    return rows.groupBy(primary_tag(F.col("tags")).alias("primary_tag")).agg(F.count(F.lit(1)).alias("n"))
+    return routing.message_tags(messages(spark, sf, "documents"), IDS, 2).groupBy("primary_tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 _AUDIT = f"""WITH {detections('documents')}, {SUMMARY}
