@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldscan.operators.rollup import alerts
 from fieldscan.operators.routing import audit_rows, envelopes, route
 from fieldscan.plans.classify import classify_fields
+from fieldscan.sources.manifest import Conflict, listed, publish
 from fieldscan.sources.sinks import write_batch
 
 
@@ -32,23 +34,32 @@ def start_routing(
     max_layer: int = 3,
     every: str | None = None,
     also: Callable[[DataFrame, int], None] | None = None,
+    between: Callable[[DataFrame, int], None] | None = None,
     **options,
 ) -> StreamingQuery:
     """Route each micro-batch to ``path/routed`` by sink and audit it to ``path/audit``.
 
     A batch counts as done only when both writes (and ``also``, for instance an
-    upsert of recommendations) succeeded; a replay overwrites what it wrote. With
+    upsert of recommendations, or ``between``, called after the first write) succeeded: then it is entered in a commit log, and
+    ``committed`` reads what is entered there. A replay overwrites what it wrote. With
     ``every`` (say ``1 second``) the query runs on; without, it takes what is there
     and stops.
     """
+    spark = messages.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         routed = route(batch, ids, max_layer, **options).persist()
         try:
             write_batch(envelopes(routed).withColumnRenamed("topic", "sink"), f"{path}/routed", batch_id, ["sink"])
+            if between:
+                between(routed, batch_id)
             write_batch(audit_rows(routed, ids), f"{path}/audit", batch_id)
             if also:
                 also(routed, batch_id)
+            try:
+                publish(spark, f"{path}/commits/{batch_id:012d}.json", json.dumps({"batch": batch_id}))
+            except Conflict:
+                pass  # entered by the run that this one replays
         finally:
             routed.unpersist()
 
@@ -57,6 +68,19 @@ def start_routing(
     return writer.start()
 
 
+def committed(spark: SparkSession, path: str, what: str) -> DataFrame:
+    """The rows ``what`` ("routed" or "audit") of all batches whose every write succeeded.
+
+    A batch that failed between its writes has rows in one folder only; they are not
+    read until its replay has finished.
+    """
+    batches = [n for n in listed(spark, f"{path}/commits") if n.endswith(".json")]
+    if not batches:
+        raise FileNotFoundError(f"no batch of {path} is finished")
+    folders = [f"{path}/{what}/batch={int(n[:-5])}" for n in sorted(batches)]
+    return spark.read.option("basePath", f"{path}/{what}").parquet(*folders).drop("batch")
+
+
 def start_sink(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append a stream's rows to parquet files."""
     writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)

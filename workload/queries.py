@@ -6,13 +6,14 @@ import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscan.functions import text
 from fieldscan.functions.patterns import PATTERNS, Pattern
 from fieldscan.functions.taxonomy import confidence_tier
-from fieldscan.operators import detect, entities, flatten, members, registry, review, rollup, routing, scan
+from fieldscan.operators import detect, entities, flatten, members, registry, review, rollup, routing, scan, store
 from fieldscan.plans.classify import best_rows, classify, classify_fields, detect_messages
 from fieldscan.plans.sql import create_classify_function
 from fieldscan.session import configure, ensure_checkpoint_dir
@@ -652,6 +653,21 @@ def results_written_and_read(spark, sf):
     return read.groupBy("msg_id", "field_path", "tag", "trigger_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""{_RESULTS}, kept AS (SELECT * FROM results WHERE scanned_at::DATE > (SELECT max(ts)::DATE FROM events) - INTERVAL 7 DAY)
+SELECT source_topic, strftime(scanned_at, '%Y-%m-%d') AS day, count(*) AS n, max(confidence) AS confidence, 1 AS parts FROM kept GROUP BY ALL""")
+def results_expired(spark, sf):
+    """Results of the whole table appended in three parts a day, expired and merged; a part per topic and day is left."""
+    log, today = store.Results(spark, f"{_scratch(spark)}/results"), table(spark, sf, "events").agg(F.to_date(F.max("ts"))).first()[0]
+    rows = _results(spark, sf)
+    for part in range(3):
+        log.append(rows.where(F.pmod(F.hash("msg_id"), F.lit(3)) == part))
+    log.expire(str(today))
+    log.compact(1)
+    day = F.date_format("scanned_at", "yyyy-MM-dd").alias("day")
+    parts = F.count_distinct("file").cast("int").alias("parts")
+    return log.read().withColumn("file", F.input_file_name()).groupBy("source_topic", day).agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), parts)
+
+
 # ---- registry ---------------------------------------------------------------
 
 @query(f"WITH {registry_ctes()} SELECT DISTINCT subject, version, field_path FROM fields")
@@ -765,6 +781,29 @@ def bulk_stage_scoped(spark, sf):
     return review.bulk_stage(recs_of(spark, sf), _now(3), 0.6, "MACHINERY", "PCI").select(*_REC)
 
 
+# What stewards did to the layer-1 rows before the layer-2 scan came.
+_STATES = "CASE proposed_tag WHEN 'PCI' THEN 'REJECTED' WHEN 'PII' THEN 'STAGED' WHEN 'GOVERNMENT_ID' THEN 'APPROVED' ELSE 'PENDING' END"
+
+
+@query(f"""WITH first AS (WITH {detections('customers', 1)}
+  SELECT topic, field_path, tag AS proposed_tag, score, {_STATES.replace('proposed_tag', 'tag')} AS status FROM (
+    SELECT topic, field_path, tag, score, row_number() OVER (PARTITION BY topic, field_path, tag ORDER BY score DESC, layer, source, entity_type) AS p FROM best) WHERE p = 1),
+second AS (WITH {recommendations()} SELECT topic, field_path, proposed_tag, confidence AS score FROM recs)
+SELECT coalesce(f.topic, s.topic) AS topic, coalesce(f.field_path, s.field_path) AS field_path, coalesce(f.proposed_tag, s.proposed_tag) AS proposed_tag,
+coalesce(f.status, 'PENDING') AS status, round(CASE WHEN f.status <> 'PENDING' THEN f.score ELSE greatest(f.score, s.score) END, 4) AS confidence
+FROM first f FULL JOIN second s ON f.topic = s.topic AND f.field_path = s.field_path AND f.proposed_tag = s.proposed_tag""")
+def store_two_writers(spark, sf):
+    """Rows of all four states met by two batches that start from one version of the store."""
+    m = messages(spark, sf, "customers")
+    scans = [review.from_detections(best_rows(detect_messages(m, IDS, layer), IDS)) for layer in (1, 2)]
+    kept = store.Recommendations(spark, f"{_scratch(spark)}/store", 16)
+    kept.upsert(scans[0], _now(1))
+    base = kept.change(kept.snapshot().select("id"), lambda old: old.withColumn("status", F.expr(_STATES)))
+    for low in (True, False):
+        kept.upsert(scans[1].where((F.col("topic") < "FURNITURE") == low), _now(2), base=base)
+    return kept.snapshot().select("topic", "field_path", "proposed_tag", "status", "confidence")
+
+
 # approve all; then unstage PII and reject PCI; then approve all again; one unknown id per topic.
 _DECISIONS = """decided AS (
   SELECT topic, field_path, proposed_tag, action, step,
@@ -940,6 +979,31 @@ def stream_routing_counts(spark, sf):
     return routed.unionByName(spark.read.parquet(f"{where}/audit").agg(F.count(F.lit(1)).alias("n")).select(F.lit("audit").alias("sink"), "n"))
 
 
+@query(f"""WITH {detections('events')}
+SELECT cast(event_id AS VARCHAR) AS msg_id, event_type AS topic,
+CASE WHEN cast(event_id AS VARCHAR) IN (SELECT msg_id FROM det) THEN 'classified-messages' ELSE 'classified-safe' END AS sink_topic,
+(SELECT count(*) FROM events) AS sent FROM events""")
+def stream_committed(spark, sf):
+    """The run fails between its two writes and after them, and is taken up again each time."""
+    configure(spark)
+    where, failures = _scratch(spark), ["between", "after"]
+
+    def fail(point: str) -> None:
+        if failures and failures[0] == point:
+            failures.pop(0)
+            raise RuntimeError(point)
+
+    for _ in range(3):
+        try:
+            stream_routing.start_routing(
+                _event_stream(spark, sf), IDS, where, f"{where}/checkpoint", 2, between=lambda *_: fail("between"), also=lambda *_: fail("after")
+            ).awaitTermination()
+        except StreamingQueryException:
+            pass
+    sent = stream_routing.committed(spark, where, "routed").count()
+    return stream_routing.committed(spark, where, "audit").select(*IDS, "sink_topic", F.lit(sent).alias("sent"))
+
+
 @query(f"""WITH t AS (SELECT DISTINCT event_type AS source_topic, time_bucket(INTERVAL '60 minutes', ts) + INTERVAL '60 minutes' AS ends FROM events)
 SELECT cast(event_id AS VARCHAR) AS msg_id, event_type AS topic, {stamp('ends')} AS triggered_at FROM t JOIN events e ON e.event_type = source_topic
 AND e.ts BETWEEN ends - INTERVAL '2 minutes' AND ends WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL '10 seconds'""")
