@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from fieldscan.operators.rollup import alerts
 from fieldscan.operators.routing import audit_rows, envelopes, route
@@ -15,6 +17,9 @@ from fieldscan.plans.classify import classify_fields
 from fieldscan.sources.manifest import Conflict, listed, publish
 from fieldscan.sources.sinks import write_batch
 
+# Messages of a batch, and how long a partial one waits.
+BATCH_SIZE, IDLE_MS = 50, 1000
+
 
 def detection_view(messages: DataFrame, ids: list[str], max_layer: int = 3, **options) -> DataFrame:
     """Every detection of every message as it arrives; stateless, append mode."""
@@ -86,3 +91,62 @@ def start_sink(rows: DataFrame, path: str, checkpoint: str, every: str | None =
     writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.outputMode("append").start()
+
+
+class _Pending(StatefulProcessor):
+    """Per slot: the messages that wait for their batch to fill, and a timer that lets them go."""
+
+    def __init__(self, size: int, idle_ms: int):
+        self._size, self._idle_ms = size, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", "msg_id string, topic string, key string, value string, event_time timestamp")
+        self._sent = handle.getValueState("sent", "n long")
+
+    def _batch(self, key, rows: list[tuple], reason: str) -> pd.DataFrame:
+        number = self._sent.get()[0] if self._sent.exists() else 0
+        self._sent.update((number + 1,))
+        out = pd.DataFrame(rows, columns=_MESSAGE)
+        return out.assign(slot=key[0], batch=number, reason=reason)[["slot", "batch", "reason", *_MESSAGE]]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self._waiting.get()) if self._waiting.exists() else []
+        for frame in rows:
+            held += list(frame[_MESSAGE].itertuples(index=False, name=None))
+            while len(held) >= self._size:
+                yield self._batch(key, held[: self._size], "full")
+                held = held[self._size :]
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        if held:
+            self._waiting.put(held)
+            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._idle_ms)
+        else:
+            self._waiting.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = list(self._waiting.get()) if self._waiting.exists() else []
+        self._waiting.clear()
+        if held:
+            yield self._batch(key, held, "idle")
+
+    def close(self) -> None:
+        pass
+
+
+_MESSAGE = ["msg_id", "topic", "key", "value", "event_time"]
+
+
+def idle_batches(messages: DataFrame, slot: Column, size: int = BATCH_SIZE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Messages in batches of ``size`` per slot; what is left of one goes once nothing has come for ``idle_ms``.
+
+    Rows are the messages with ``slot``, the number of their ``batch`` and the ``reason`` it
+    went ("full" or "idle"). Slots are dealt over tasks and hold less than a batch each.
+    """
+    rows = messages.select(slot.cast("long").alias("slot"), "msg_id", "topic", "key", F.col("value").cast("string").alias("value"), "event_time")
+    return rows.groupBy("slot").transformWithStateInPandas(
+        statefulProcessor=_Pending(size, idle_ms),
+        outputStructType="slot long, batch long, reason string, msg_id string, topic string, key string, value string, event_time timestamp",
+        outputMode="append", timeMode="ProcessingTime",
+    )

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fieldscan.operators.scan import SAMPLE_MINUTES, SCAN_MINUTES, scan_keys, scheduled_triggers
+from fieldscan.operators.scan import SAMPLE_MINUTES, SCAN_MINUTES, TRIGGER, scan_keys, scheduled_triggers
+from fieldscan.sources.manifest import listed
 
 # How late a trigger may come, and the seconds between two checks.
 TRIGGER_DELAY = "10 seconds"
@@ -29,16 +32,19 @@ def scheduled_trigger_stream(messages: DataFrame, minutes: int = SCAN_MINUTES, d
 
 
 def interval_scan_stream(
-    triggers: DataFrame, messages: DataFrame, minutes: int = SAMPLE_MINUTES, delay: str = TRIGGER_DELAY, salts: int = 8
+    triggers: DataFrame, messages: DataFrame, minutes: int = SAMPLE_MINUTES, delay: str = TRIGGER_DELAY, salts: int | None = None
 ) -> DataFrame:
     """Messages of the look-back before each trigger, both sides streaming.
 
     ``triggers`` carry a watermark already: scheduled ones on ``closes_at``, others on
     ``triggered_at`` from ``with_event_time(triggers, column="triggered_at")``. State
     is spread by topic, time bucket and slot, and the time bound lets Spark drop it
-    as the watermarks pass; a message later than the watermark joins nothing.
+    as the watermarks pass; a message later than the watermark joins nothing. Slots are
+    an eighth of the shuffle partitions unless given, as in the batch form; a stream
+    keeps the number that it started with in its checkpoint.
     """
-    t, m = scan_keys(triggers, with_event_time(messages, delay), minutes, salts)
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t, m = scan_keys(triggers, with_event_time(messages, delay), minutes, salts or max(1, parts // 8))
     # A window's event time is one microsecond before its end.
     at = "(closes_at + INTERVAL 1 MICROSECOND)" if "closes_at" in triggers.columns else "triggered_at"
     keys = "topic = source_topic AND bucket = at_bucket AND slot = at_slot"
@@ -46,6 +52,53 @@ def interval_scan_stream(
     return m.join(t, F.expr(f"{keys} AND {bound}")).drop("bucket", "slot", "at_bucket", "at_slot")
 
 
+def manual_trigger_stream(requests: DataFrame, delay: str = TRIGGER_DELAY) -> DataFrame:
+    """``manual`` triggers from ``requests(topic, requested_at)``, under the same watermark as the others."""
+    rows = requests.select(F.lit("manual").alias("trigger_type"), F.col("topic").alias("source_topic"), F.col("requested_at").cast("timestamp").alias("triggered_at"))
+    return with_event_time(rows, delay, "triggered_at")
+
+
+def start_triggers(triggers: DataFrame, path: str, checkpoint: str, producer: str, every: str | None = None) -> StreamingQuery:
+    """Append one producer's triggers to the trigger log, each (type, topic, time) once.
+
+    A replayed micro-batch replaces itself. A producer that starts anew, without its
+    checkpoint, meets its own triggers in the log and adds none twice; days are folders,
+    so only those of the batch are read.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*TRIGGER).withColumn("day", F.to_date("triggered_at").cast("string")).dropDuplicates(TRIGGER).persist()
+        try:
+            days = {f"day={r['day']}" for r in rows.select("day").distinct().collect()}
+            run = f"run={producer}-{checkpoint_id}-{batch_id}"
+            runs = [n for n in listed(spark, path) if n.startswith(f"run={producer}-") and n != run]
+            known = [f"{path}/{n}/{d}" for n in runs for d in listed(spark, f"{path}/{n}") if d in days]
+            fresh = rows.join(spark.read.schema(_TRIGGER).parquet(*known), TRIGGER, "left_anti") if known else rows
+            fresh.coalesce(1).write.mode("overwrite").partitionBy("day").parquet(f"{path}/{run}")
+        finally:
+            rows.unpersist()
+
+    checkpoint_id = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    writer = triggers.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+_TRIGGER = "trigger_type string, source_topic string, triggered_at timestamp"
+
+
+def trigger_log(spark: SparkSession, path: str) -> DataFrame:
+    """All triggers written, for a batch scan; ``spark.readStream`` of the same folder feeds a stream."""
+    return spark.read.schema(_TRIGGER).option("recursiveFileLookup", "true").parquet(path)
+
+
+def trigger_log_stream(spark: SparkSession, path: str, delay: str = TRIGGER_DELAY) -> DataFrame:
+    """The trigger log as a stream, ready for ``interval_scan_stream``."""
+    rows = spark.readStream.schema(_TRIGGER).option("recursiveFileLookup", "true").parquet(path)
+    return with_event_time(rows, delay, "triggered_at")
+
+
 class _VersionWatch(StatefulProcessor):
     """Per subject: the highest version seen and the time of the last check."""
 

@@ -10,7 +10,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscan.functions import text
+from fieldscan.functions import shape, text
 from fieldscan.functions.patterns import PATTERNS, Pattern
 from fieldscan.functions.taxonomy import confidence_tier
 from fieldscan.operators import detect, entities, flatten, members, registry, review, rollup, routing, scan, store
@@ -18,7 +18,7 @@ from fieldscan.plans.classify import best_rows, classify, classify_fields, detec
 from fieldscan.plans.sql import create_classify_function
 from fieldscan.session import configure, ensure_checkpoint_dir
 from fieldscan.sources import messages as src
-from fieldscan.sources import sinks, synth
+from fieldscan.sources import manifest, sinks, synth
 from fieldscan.streaming import routing as stream_routing
 from fieldscan.streaming import scan as stream_scan
 from workload.inputs import messages, order_messages, records, registry as schemas_of, spread, table
@@ -1032,3 +1032,81 @@ def stream_schema_watch(spark, sf):
         F.col("ts").cast("timestamp").alias("checked_at"),
     )
     return _finished(spark, stream_scan.schema_change_stream(checks)).withColumn("triggered_at", when("triggered_at"))
+
+
+_WATCH_SQL = ORACLE["stream_schema_watch"]
+
+
+@query(f"""WITH watch AS ({_WATCH_SQL}), t AS (SELECT DISTINCT event_type AS source_topic, time_bucket(INTERVAL '60 minutes', ts) + INTERVAL '60 minutes' AS ends FROM events)
+SELECT * FROM watch
+UNION ALL SELECT 'scheduled', source_topic, {stamp('ends')} FROM t WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL '10 seconds'
+UNION ALL SELECT DISTINCT 'manual', event_type, {stamp('ts')} FROM events WHERE event_type = 'click' AND value > 0""")
+def stream_triggers_written(spark, sf):
+    """Three producers write to one trigger log; each is started a second time without its checkpoint and adds nothing."""
+    configure(spark)
+    where = _scratch(spark)
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    checks = raw.select(
+        F.concat("event_type", F.lit("-value")).alias("subject"), (F.floor(F.col("event_id") / 50) + 1).cast("int").alias("version"), F.col("ts").cast("timestamp").alias("checked_at")
+    )
+    requests = raw.where("event_type = 'click' AND value > 0").select(F.col("event_type").alias("topic"), F.col("ts").alias("requested_at"))
+    producers = {
+        "schedule": stream_scan.scheduled_trigger_stream(_event_stream(spark, sf)),
+        "schema": stream_scan.schema_change_stream(checks),
+        "manual": stream_scan.manual_trigger_stream(requests),
+    }
+    with _few_partitions(spark):
+        for attempt in (1, 2):
+            for name, rows in producers.items():
+                stream_scan.start_triggers(rows, f"{where}/log", f"{where}/{name}-{attempt}", name).awaitTermination()
+    return stream_scan.trigger_log(spark, f"{where}/log").withColumn("triggered_at", when("triggered_at"))
+
+
+@query("""WITH n AS (SELECT event_id % 8 AS slot, count(*) AS n FROM events GROUP BY ALL)
+SELECT slot, i AS batch, CASE WHEN (i + 1) * 50 <= n THEN 'full' ELSE 'idle' END AS reason, least(50, n - i * 50) AS messages
+FROM n, unnest(range(0, (n + 49) // 50)) t(i)""")
+def stream_idle_flush(spark, sf):
+    """Events in batches of fifty per slot; the partial ones go when the source has been idle for a second."""
+    configure(spark)
+    where, events = _scratch(spark), table(spark, sf, "events")
+    rows = stream_routing.idle_batches(_event_stream(spark, sf), F.col("msg_id").cast("long") % 8)
+    with _few_partitions(spark):
+        running = stream_routing.start_sink(rows, f"{where}/out", f"{where}/checkpoint", every="1 second")
+        try:
+            # The stream goes on for its timers' sake, so it is watched until all has been let go.
+            for _ in range(60):
+                running.awaitTermination(1)
+                if manifest.listed(spark, f"{where}/out/_spark_metadata") and spark.read.schema(rows.schema).parquet(f"{where}/out").count() == events.count():
+                    break
+        finally:
+            running.stop()
+    found = spark.read.schema(rows.schema).parquet(f"{where}/out")
+    return found.groupBy("slot", "batch", "reason").agg(F.count(F.lit(1)).alias("messages"))
+
+
+# ---- fingerprints and rows of smaller operators -----------------------------
+
+def _classes(value: str) -> str:
+    out = f"regexp_replace({value}, '[^\\x00-\\x7F\\PL]|[^\\x00-\\x7F\\PN]', chr(1), 'g')"
+    for rx, name in shape.CLASSES:
+        out = f"regexp_replace({out}, {q(rx)}, {q(name)}, 'g')"
+    return f"translate({out}, chr(1), 'u')"
+
+
+_SIGN = "'^[^Aa9u? \t\r\n]'"
+_COUNTS = ["length(c) - length(replace(c, '" + k + "', ''))" for k in "Aa9u? "]
+_BITS = " + ".join(f"CASE WHEN ({n}) > 0 THEN -(({n}) / length(c)) * log2(({n}) / length(c)) ELSE 0 END" for n in [*_COUNTS, "length(c)" + "".join(f" - ({n})" for n in _COUNTS)])
+
+
+@query(f"""WITH f AS (SELECT field_path, value, {_classes('value')} AS c FROM (SELECT field_path, value FROM ({flat('customers')}) UNION ALL SELECT field_path, value FROM ({flat('documents')}))),
+r AS (SELECT *, regexp_extract_all(c, '{shape.RUN}') AS runs FROM f),
+s AS (SELECT field_path, length(value) AS chars, CASE WHEN length(value) > 0 THEN {_BITS} ELSE 0 END AS bits,
+  CASE WHEN len(runs) > {shape.MOST_RUNS} THEN 'text' || CAST(floor(log2(length(value))) AS BIGINT)
+  ELSE array_to_string(list_transform(runs, lambda x: CASE WHEN regexp_matches(x, {_SIGN}) THEN x ELSE translate(left(x, 1), chr(9) || chr(10) || chr(13), '   ') || length(x) END), '') END AS shape FROM r),
+n AS (SELECT field_path, shape, count(*) AS n, sum(chars) AS chars, sum(bits) AS bits FROM s GROUP BY ALL)
+SELECT field_path, CAST(sum(n) AS BIGINT) AS n_values, count(*) AS n_shapes, max({{'n': n, 'shape': shape}}).shape AS top_shape,
+round(max(n) / sum(n), 4) AS top_share, round(sum(chars) / sum(n), 2) AS mean_chars, round(sum(bits) / sum(n), 2) AS mean_bits FROM n GROUP BY field_path""")
+def field_shapes(spark, sf):
+    """Shapes of customers' and documents' fields; the two sketches are made apart and added."""
+    parts = [shape.shape_counts(_flat(kind)(spark, sf)) for kind in ("customers", "documents")]
+    return shape.field_shapes(shape.merge_counts(*parts))
