@@ -97,3 +97,11 @@ def qualified_name(cluster: Column, schema_id: Column, qualifier: Column, path:
 
 def subject_of(topic: Column) -> Column:
     return F.concat(topic, F.lit("-value"))
+
+
+def trigger_table(topic: Column) -> Column:
+    return F.concat(topic, F.lit("-scan-triggers"))
+
+
+def result_table(topic: Column) -> Column:
+    return F.concat(topic, F.lit("-scan-results"))

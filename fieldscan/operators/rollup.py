@@ -117,3 +117,11 @@ def merged_tags(existing: Column, new: Column) -> Column:
     """Union of two tag lists: order kept, no doubles."""
     empty = F.array().cast("array<string>")
     return F.array_distinct(F.concat(F.coalesce(existing, empty), F.coalesce(new, empty)))
+
+
+def newest_first(rows: DataFrame, n: int, ids: list[str]) -> DataFrame:
+    """The ``n`` newest detections, the most certain first within one moment, with their ``place``."""
+    order = [F.desc("event_time"), F.desc("score"), *ids, "field_path", "tag"]
+    top = rows.orderBy(*order).limit(n)
+    # The window sees the n rows only.
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from fieldscan.functions import shape, text
 from fieldscan.functions.patterns import PATTERNS, Pattern
-from fieldscan.functions.taxonomy import confidence_tier
+from fieldscan.functions.taxonomy import TAGS, confidence_tier
 from fieldscan.operators import detect, entities, flatten, members, registry, review, rollup, routing, scan, store
-from fieldscan.plans.classify import best_rows, classify, classify_fields, detect_messages
+from fieldscan.plans.classify import best_rows, classify, classify_fields, classify_schema, detect_messages
 from fieldscan.plans.sql import create_classify_function
 from fieldscan.session import configure, ensure_checkpoint_dir
 from fieldscan.sources import messages as src
 from fieldscan.sources import manifest, sinks, synth
 from fieldscan.streaming import routing as stream_routing
 from fieldscan.streaming import scan as stream_scan
-from workload.inputs import messages, order_messages, records, registry as schemas_of, spread, table
+from workload.inputs import KINDS, messages, nested_sql, order_messages, records, registry as schemas_of, spread, table
 from workload.oracle import (
     ALERTS,
     SUMMARY,
@@ -339,17 +339,17 @@ _CASES = {
 }
 _CASE_ROWS = "(VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in _CASES.items()) + ") AS c(name, text)"
 _ADDED = [*PATTERNS, Pattern("IBAN_CODE", r"\bTESTIBAN\b", 0.5), Pattern("CREDIT_CARD", r"\bCARD-[A-Z]{4}\b", 0.6)]
-_CASE_FLAT = f"""SELECT cast(n_nationkey AS VARCHAR) AS msg_id, name AS topic, NULL::TIMESTAMP AS event_time, 'q' || name AS field_path,
-n_name || ' ' || text AS value FROM nation, {_CASE_ROWS}"""
+_CASE_FLAT = f"""SELECT cast(c_custkey AS VARCHAR) AS msg_id, name AS topic, NULL::TIMESTAMP AS event_time, 'q' || name AS field_path,
+c_mktsegment || ' ' || text AS value FROM customer, {_CASE_ROWS}"""
 
 
 @query(f"""WITH {detections('events', 2, source=_CASE_FLAT, patterns=_ADDED)}
 SELECT msg_id, topic, entity_type, tag, round(score, 4) AS score, start AS span_start, "end" AS span_end, text_snippet FROM det WHERE layer = 2""")
 def pattern_cases(spark, sf):
     cases = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in _CASES.items()]))
-    rows = table(spark, sf, "nation").select("n_nationkey", "n_name", cases.alias("c")).select(
-        F.col("n_nationkey").cast("string").alias("msg_id"), F.col("c.name").alias("topic"), F.concat(F.lit("q"), "c.name").alias("field_path"),
-        F.concat_ws(" ", "n_name", "c.text").alias("value"),
+    rows = spread(table(spark, sf, "customer")).select("c_custkey", "c_mktsegment", cases.alias("c")).select(
+        F.col("c_custkey").cast("string").alias("msg_id"), F.col("c.name").alias("topic"), F.concat(F.lit("q"), "c.name").alias("field_path"),
+        F.concat_ws(" ", "c_mktsegment", "c.text").alias("value"),
     )
     found = detect.explode_detections(detect.detect(rows, 2, patterns=_ADDED)).where("layer = 2")
     return found.select(*IDS, "entity_type", "tag", "score", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "text_snippet")
@@ -399,13 +399,19 @@ def _letters():
     return lambda texts: [spans(t) for t in texts]
 
 
+def _no_model():
+    raise OSError("no such model")
+
+
 @query("""SELECT cast(doc_id AS VARCHAR) AS msg_id, 'PERSON' AS entity_type, 'PII' AS tag, 0.91::DOUBLE AS score, hit AS text_snippet, count(*) AS n
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{7}')) AS hit FROM documents) GROUP BY ALL""")
 def model_hook(spark, sf):
     rows = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").cast("string").alias("msg_id"), F.lit("q").alias("field_path"), F.col("text").alias("value")
     )
-    found = detect.explode_detections(detect.detect(rows, 3, patterns=[], recognizers=[entities.predictor(_letters)])).where("layer = 3")
+    ready, missing = entities.available({"letters": _letters, "not here": _no_model})
+    assert missing == ["not here"]
+    found = detect.explode_detections(detect.detect(rows, 3, patterns=[], recognizers=ready)).where("layer = 3")
     return found.groupBy("msg_id", "entity_type", "tag", "score", "text_snippet").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -730,6 +736,20 @@ def apply_tags(spark, sf):
     return after.select("subject", "version", "field_path", F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
+@query(f"""WITH {registry_ctes()}, every AS (SELECT a.subject, a.field_path, v FROM fields a, (VALUES (1), (2)) AS vs(v) WHERE a.version = v)
+SELECT subject, field_path, CASE min(v) WHEN 1 THEN 'added' ELSE 'removed' END AS change FROM every GROUP BY ALL HAVING count(DISTINCT v) = 1""")
+def schema_diff_back(spark, sf):
+    """From the second version back to the first: what was lost is added."""
+    return registry.schema_diff(registry.schema_fields(schemas_of(spark, sf)), 2, 1)
+
+
+@query("SELECT name FROM (VALUES " + ", ".join(f"({q(t)})" for t in TAGS) + ") AS t(name) WHERE name NOT IN (SELECT c_mktsegment FROM customer) AND name NOT IN ('PII', 'PCI')")
+def missing_tag_definitions(spark, sf):
+    """Definitions to be made where two are there already, beside names that are none."""
+    there = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("name")).distinct().unionByName(spark.createDataFrame([("PII",), ("PCI",)], "name string"))
+    return registry.missing_tag_definitions(spark, there).select("name")
+
+
 @query(f"""WITH {registry_ctes()}, latest AS (SELECT subject, max(id) AS id FROM schemas GROUP BY subject)
 SELECT c_mktsegment AS source_topic, c_mktsegment || '-value' AS subject, coalesce(id, -1) AS schema_id, count(*) AS n
 FROM customer LEFT JOIN latest ON subject = c_mktsegment || '-value' GROUP BY ALL""")
@@ -1110,3 +1130,91 @@ def field_shapes(spark, sf):
     """Shapes of customers' and documents' fields; the two sketches are made apart and added."""
     parts = [shape.shape_counts(_flat(kind)(spark, sf)) for kind in ("customers", "documents")]
     return shape.field_shapes(shape.merge_counts(*parts))
+
+
+@query(f"""WITH {detections('customers')} {_ALERT}""")
+def stream_alerts(spark, sf):
+    """Alerts of a stream of customer messages."""
+    name, msg_id, topic, key, _, leaves = KINDS["customers"]
+    raw = spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
+    rows = raw.select(
+        F.expr(msg_id).alias("msg_id"), F.expr(topic).alias("topic"), F.expr(key).alias("key"), F.timestamp_seconds("c_custkey").alias("event_time"),
+        F.to_json(F.expr(nested_sql(leaves))).alias("value"),
+    )
+    found = _finished(spark, stream_routing.alert_stream(rows, IDS, 2))
+    return found.select(*IDS, "field_path", "tag", F.round("score", 2).alias("confidence"), "sample_value")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT event_type AS source, ts AS asked FROM events WHERE event_type = 'click' AND user_id % 5 = 0)
+SELECT cast(event_id AS VARCHAR) AS msg_id, event_type AS topic, 'manual' AS trigger_type, {stamp('asked')} AS triggered_at, count(*) AS n
+FROM t JOIN events ON event_type = source AND ts BETWEEN asked - INTERVAL '2 minutes' AND asked GROUP BY ALL""")
+def stream_manual_scan(spark, sf):
+    """Manual triggers go through the trigger log and scan the two minutes before them; older messages join nothing."""
+    configure(spark)
+    where = _scratch(spark)
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    requests = raw.where("event_type = 'click' AND user_id % 5 = 0").select(F.col("event_type").alias("topic"), F.col("ts").alias("requested_at"))
+    with _few_partitions(spark):
+        stream_scan.start_triggers(stream_scan.manual_trigger_stream(requests), f"{where}/log", f"{where}/checkpoint", "manual").awaitTermination()
+        rows = stream_scan.interval_scan_stream(stream_scan.trigger_log_stream(spark, f"{where}/log"), _event_stream(spark, sf))
+    found = _finished(spark, rows.select(*IDS, "trigger_type", "triggered_at"))
+    return found.groupBy(*IDS, "trigger_type", when("triggered_at").alias("triggered_at")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT cast(doc_id AS VARCHAR) AS msg_id, hit AS text_snippet, count(*) AS n
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'lich[a-z]{2,}')) AS hit FROM documents) GROUP BY ALL""")
+def language_patterns(spark, sf):
+    """Of the rows of two languages, those of the language asked for."""
+    own = [Pattern("PERSON", "lich[a-z]{2,}", 0.6, language="de"), Pattern("PERSON", "[a-z]{2,}ing", 0.6)]
+    rows = spread(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("msg_id"), F.lit("q").alias("field_path"), F.col("text").alias("value"))
+    found = detect.explode_detections(detect.detect(rows, 2, patterns=own, language="de")).where("layer = 2")
+    return found.groupBy("msg_id", "text_snippet").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"' || CASE WHEN c_nationkey % 2 = 0 THEN ',"c_mktsegment":"' || c_mktsegment || '"' ELSE '' END || '}' AS value FROM customer""")
+def record_json(spark, sf):
+    """Rows as JSON objects; null columns are left out."""
+    rows = table(spark, sf, "customer").withColumn("c_mktsegment", F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")))
+    return rows.select("c_custkey", src.record_json(["c_custkey", "c_name", "c_mktsegment"]).alias("value"))
+
+
+@query(f"""WITH f AS ({flat('customers')}), p AS (SELECT DISTINCT regexp_replace(field_path, '\\[[0-9]+\\]', '', 'g') AS path, field_path FROM f),
+w AS (SELECT DISTINCT path, {words(leaf('path'))} AS words FROM p), n AS (SELECT p.path, count(*) AS n FROM f JOIN p USING (field_path) GROUP BY p.path)
+SELECT DISTINCT path AS name, entity_type, tag, score, n AS n_values FROM w JOIN {dictionary()} ON contains(' ' || words || ' ', ' ' || run || ' ') JOIN n USING (path)""")
+def schema_only(spark, sf):
+    """Layer 1 over the fields of the customers' schema, then how many values each such field has."""
+    rows = records(spark, sf, "customers").select("msg_id", "rec.*")
+    found = classify_schema(spark, rows.drop("msg_id").schema)
+    path = F.regexp_replace("field_path", r"\[[0-9]+\]", "").alias("name")
+    counts = flatten.flatten_columns(rows, ["msg_id"]).groupBy(path).agg(F.count(F.lit(1)).alias("n_values"))
+    return found.join(counts, "name").select("name", "entity_type", "tag", "score", "n_values")
+
+
+@query(f"""WITH {detections('events')}
+SELECT msg_id, field_path, tag, {stamp('event_time')} AS event_time, row_number() OVER w AS place
+FROM best WINDOW w AS (ORDER BY event_time DESC, round(score, 4) DESC, msg_id, field_path, tag) QUALIFY row_number() OVER w <= 40""")
+def newest_detections(spark, sf):
+    """The newest forty detections, the most certain first."""
+    rows = classify_fields(messages(spark, sf, "events"), ["msg_id", "event_time"], 2)
+    return rollup.newest_first(rows, 40, ["msg_id"]).select("msg_id", "field_path", "tag", when("event_time").alias("event_time"), "place")
+
+
+@query("SELECT DISTINCT event_type AS topic, event_type || '-value' AS subject, event_type || '-scan-triggers' AS triggers, event_type || '-scan-results' AS results FROM events")
+def derived_names(spark, sf):
+    topic = F.col("event_type")
+    return table(spark, sf, "events").select(
+        topic.alias("topic"), text.subject_of(topic).alias("subject"), text.trigger_table(topic).alias("triggers"), text.result_table(topic).alias("results")
+    ).distinct()
+
+
+@query("SELECT turn, count(*) AS fields, count(DISTINCT category) AS categories, n_orders FROM (VALUES " + ", ".join(f"({k})" for k in range(1, 9)) + """) AS t(turn),
+(SELECT 'x' AS category), (SELECT count(*) AS n_orders FROM orders) GROUP BY turn, n_orders
+UNION ALL SELECT 9, 12, 0, (SELECT count(*) FROM orders)""")
+def balanced_fields(spark, sf):
+    """Twenty field specs for records of the orders: one of each of eight categories first, then twelve more."""
+    chosen = synth.select_fields(spark, 20, seed=3)
+    made = synth.synthetic_records(table(spark, sf, "orders"), "o_orderkey", [tuple(r)[:4] for r in chosen.collect()], seed=3)
+    per_turn = chosen.groupBy("turn").agg(F.count(F.lit(1)).alias("fields"), F.count_distinct("category").alias("categories"))
+    late = F.when(F.col("turn") == 9, 0).otherwise(F.col("categories"))
+    n_orders = made.agg(F.count("o_orderkey")).first()[0]
+    return per_turn.select(F.col("turn").cast("int").alias("turn"), "fields", late.alias("categories"), F.lit(n_orders).alias("n_orders"))
