@@ -367,7 +367,13 @@ def hard_negatives(
     high = F.when(score < 0, F.lit(0)).otherwise(F.expr("(score div 20) * 19 + ((score % 20) * 19) div 20"))
     ranked = best.select("query_id", F.struct("rank", window(low, high).alias("w")).alias("r"))
     windows = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list("r")).alias("r")).select("query_id", F.transform("r", lambda r: r["w"]).alias("windows"))
-    found = index.search(asks.join(windows, "query_id"), negatives, False, False, block_rows)
+    asked = saved(asks.join(windows, "query_id"), "windows")
+    # What the own leaf holds narrows each ring: only rows as good as its last one can still come in.
+    near = index.search(asked, negatives, False, True, block_rows).groupBy("query_id", "window").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    bounds = near.filter(F.col("n") == negatives).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("window", "least"))).alias("bounds"))
+    narrowed = F.transform("windows", lambda w, i: F.struct(F.greatest(w["low"], F.try_element_at("bounds", i)).alias("low"), w["high"].alias("high")))
+    asked = asked.join(bounds, "query_id", "left").withColumn("windows", narrowed)
+    found = index.search(asked, negatives, False, False, block_rows)
     chosen = best.select("query_id", (F.col("rank") - 1).alias("window"), F.col("vec_id").alias("positive_id"), score.alias("positive_score"))
     return found.join(chosen, ["query_id", "window"]).select(
         F.col("query_id").alias("anchor_id"), "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
