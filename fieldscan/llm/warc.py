@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,7 @@ from .common import new_folder, require, saved, utf8
 
 LEAST_BYTES = 1000
 RECORDS_PER_FILE = 20_000
+CHUNK_BYTES = 4 << 20
 # Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -111,21 +112,76 @@ def write_archives(
 _FIELD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)\r\n")
 
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of an archive, payload without its HTTP head. A broken record raises ValueError."""
-    at = 0
-    while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0 or not data.startswith(b"WARC/1.", at):
+def inflated(raw: bytes, most: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """An archive's bytes in chunks, of one or many gzip members or none."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    while raw:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            chunk = member.decompress(raw, most)
+            raw = member.unconsumed_tail
+            if chunk:
+                yield chunk
+            elif not raw and not member.eof:
+                raise ValueError("the archive is cut off")
+        raw = member.unused_data
+
+
+def unpacked(raw: bytes) -> bytes:
+    """An archive's bytes, all at once."""
+    return b"".join(inflated(raw))
+
+
+class _Reader:
+    """Bytes that come in chunks, of which only those not yet taken are held."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.held, self.passed = iter(chunks), bytearray(), 0
+
+    def more(self) -> bool:
+        chunk = next(self.chunks, None)
+        if chunk is None:
+            return False
+        self.held += chunk
+        return True
+
+    def find(self, mark: bytes) -> int:
+        start = 0
+        while True:
+            at = self.held.find(mark, start)
+            if at >= 0:
+                return at
+            start = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return -1
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.passed += len(out)
+        return out
+
+
+def parse_records(data: bytes | Iterable[bytes]) -> Iterator[dict]:
+    """The records of an archive, payload without its HTTP head; ``data`` may come in chunks, and
+    no more than a record and a chunk is held. A broken record raises ValueError."""
+    source = _Reader([data] if isinstance(data, bytes) else data)
+    while source.held or source.more():
+        at = source.passed
+        stop = source.find(END.encode())
+        if stop < 0 or not source.held.startswith(b"WARC/1."):
             raise ValueError(f"no record at byte {at}")
-        fields = {k.lower(): v for k, v in _FIELD.findall(data, data.index(b"\r\n", at) + 2, stop + 2)}
-        start = stop + 4
+        head = source.take(stop + 4)
+        fields = {k.lower(): v for k, v in _FIELD.findall(head, head.index(b"\r\n") + 2, stop + 2)}
         size = int(fields[b"content-length"])
-        block = data[start : start + size]
-        if len(block) < size or data[start + size : start + size + 4] != b"\r\n\r\n":
+        block = source.take(size)
+        if len(block) < size or source.take(4) != END.encode():
             raise ValueError(f"the record at byte {at} is cut off")
-        yield {"fields": fields, "payload": block[block.index(b"\r\n\r\n") + 4 :]}
-        at = start + size + 4
+        yield {"fields": fields, "payload": block[block.index(END.encode()) + 4 :]}
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -143,7 +199,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
             for content in batch.column("content"):
                 raw = content.as_py()
                 rows, held = [], 0
-                for record in parse_records(unpacked(raw)):
+                for record in parse_records(inflated(raw)):
                     f, payload = record["fields"], record["payload"]
                     kind, digest = f[b"warc-type"].decode(), f[b"warc-payload-digest"].decode().removeprefix("sha1:")
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
@@ -165,18 +221,6 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return files.mapInArrow(parse, RECORD_SCHEMA)
 
 
-def unpacked(raw: bytes) -> bytes:
-    """An archive's bytes, of one or many gzip members or none."""
-    if raw[:2] != b"\x1f\x8b":
-        return raw
-    out = []
-    while raw:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(raw))
-        raw = member.unused_data
-    return b"".join(out)
-
-
 def with_payloads(records: DataFrame) -> DataFrame:
     """Revisits joined to the responses they refer to: ``payload_bytes`` and ``refers_to`` page.
 

@@ -55,3 +55,24 @@ def test_broken_archives_raise():
         with pytest.raises(ValueError):
             list(warc.parse_records(broken))
     assert warc.unpacked(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab" and warc.unpacked(b"plain") == b"plain"
+
+
+def test_an_archive_read_in_chunks():
+    import gzip
+
+    from fieldscan.llm.warc import END, HTTP_HEAD, inflated, parse_records
+
+    payloads = [b"", b"a\r\n\r\nb" * 40, bytes(range(256)) * 30]
+    records = [f"WARC/1.1\r\nContent-Length: {len(HTTP_HEAD) + len(p)}\r\nX-N: {k}\r\n\r\n{HTTP_HEAD}".encode() + p + END.encode() for k, p in enumerate(payloads)]
+    whole = b"".join(records)
+    for raw in (whole, gzip.compress(whole), b"".join(map(gzip.compress, records))):
+        for most in (1, 7, 1000):
+            found = list(parse_records(inflated(raw, most) if raw != whole else [whole[i : i + most] for i in range(0, len(whole), most)]))
+            assert [r["payload"] for r in found] == payloads and [r["fields"][b"x-n"] for r in found] == [b"0", b"1", b"2"]
+    assert len(list(parse_records(whole))) == 3
+    for broken in (gzip.compress(whole)[:-40], gzip.compress(whole[:-9]), b"junk" + whole):
+        try:
+            list(parse_records(inflated(broken, 50)))
+        except ValueError:
+            continue
+        raise AssertionError("a broken archive was read")
