@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, gather, lengths_to_starts, merged, require, utf8
 
 TRAIN_DOCS = 5_000
+TRAIN_BYTES = 64 << 20
 STEPS = 200
 # Texts that training takes apart at a time.
 FIT_CHUNK = 256
@@ -186,21 +187,27 @@ def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, rate: float = 1.0, l1
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCS
+    docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCS,
+    most_bytes: int = TRAIN_BYTES,
 ) -> Model:
     """The model from at most about ``most`` labelled documents, chosen by the hash of their id.
 
     ``learn`` is a condition on ``id_col`` that labels must meet. Labels that are neither 0
     nor 1, or whose id is null, are left out; several labels of one id count as toxic if
     one is. Without usable labels the model has no weights. The chosen ids, at most
-    ``most``, are broadcast, so texts are not shuffled; one task fits the model.
+    ``most``, are broadcast, so texts are not shuffled; one task fits the model. It gets one
+    text of an id (the first by its bytes) and ``most_bytes`` of text in all, in the order
+    in which ids are chosen; a text of over a sixteenth of that is not learned from.
     """
     require(labels, id_col, label_col)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & learn)
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("content"))
-    rows = texts.join(F.broadcast(chosen), "id").withColumn("all", F.lit(0))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("content").alias("content"), F.first("label").alias("label"))
+    # A window over at most ``most`` rows.
+    so_far = F.sum(F.octet_length("content").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id"))
+    rows = rows.filter(F.octet_length("content") <= most_bytes // 16).withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes).drop("so_far").withColumn("all", F.lit(0))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("content", "ascending")])
@@ -250,16 +257,19 @@ def not_held_out(id_col: str = "doc_id") -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``id, held_out, score, predicted`` per row.
+    """``id, held_out, score, predicted, n_sentences, sentences_sha256`` per row: the last two are
+    how many sentences offend, and the digest of their numbers and words.
 
     Empty and null texts have the score of the leak; repeated rows and other columns
     change nothing; an empty table has an empty result. A row without id is not held out.
     """
     require(docs, id_col, text_col)
     model = train(docs, labels, not_held_out(id_col), id_col, text_col)
-    rows = score(docs, model, [id_col], text_col).select(F.col("row").getField(id_col).alias(id_col), "score")
+    rows = score(docs, model, [id_col], text_col, spans=True).select(F.col("row").getField(id_col).alias(id_col), "score", "sentences")
+    located = F.array_join(F.transform("sentences", lambda x: F.concat_ws(" ", x["number"].cast("string"), x["words"])), "\n")
     return rows.select(
-        id_col, F.coalesce(~not_held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        id_col, F.coalesce(~not_held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
+        F.size("sentences").cast("long").alias("n_sentences"), F.sha2(located, 256).alias("sentences_sha256"),
     )
 
 

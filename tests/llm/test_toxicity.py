@@ -61,3 +61,15 @@ def test_edges_and_missing_labels(spark, docs):
     assert len(toxicity.toxicity(docs(EDGES), one).collect()) == len(EDGES)
     assert toxicity.toxicity(docs([]), one).collect() == []
     assert toxicity.train(docs(EDGES), labels, F.lit(True)).known.size == 0
+
+
+def test_training_takes_one_text_of_an_id_and_so_many_bytes(spark, docs):
+    rows = [(i, ("vile slur " if i % 2 else "kind word ") * 20) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    learn = toxicity.not_held_out()
+    whole = toxicity.train(docs(rows), labels, learn)
+    again = toxicity.train(docs(rows + [(3, rows[3][1])] * 40 + [(5, "z")] * 5), labels, learn)
+    assert len(whole.known) and set(whole.known.tolist()) == set(again.known.tolist())
+    assert len(toxicity.train(docs(rows), labels, learn, most_bytes=100).known) == 0
+    got = toxicity.toxicity(docs(rows + [(99, "A vile slur here. Kind word there.")]), labels).filter("doc_id = 99").first()
+    assert got["predicted"] == 1 and got["n_sentences"] >= 1
