@@ -19,6 +19,7 @@ def leaf_name(path: Column) -> Column:
 
 def name_words(name: Column) -> Column:
     """Lower-case words of a snake / kebab / camel / Pascal name, single-spaced."""
+    # Where names are split.
     s = F.regexp_replace(name, r"([A-Z]+)([A-Z][a-z])", r"$1 $2")
     s = F.regexp_replace(s, r"([a-z0-9])([A-Z])", r"$1 $2")
     s = F.regexp_replace(s, r"[^a-zA-Z0-9]+", " ")

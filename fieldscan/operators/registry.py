@@ -168,6 +168,7 @@ def validated(recs: DataFrame, schemas: DataFrame, fields: DataFrame, strict_pat
         .join(known, ["subject", "version"], "left")
         .join(paths, ["subject", "version", "clean_path"], "left")
     )
+    # Why a row is dropped.
     reason = (
         F.when(F.col("version").isNull(), "could not resolve schema version in SR")
         .when(F.col("readable").isNull() | F.col("version_id").isNull() | F.col("qualifier").isNull(), "could not fetch/parse SR schema")

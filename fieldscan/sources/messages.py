@@ -67,6 +67,9 @@ def avro_available(spark: SparkSession) -> bool:
 def decode(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """Add ``payload`` (VARIANT object, null if unreadable) and ``schema_id``.
 
+    A message is a record, so only text that begins with a brace (after blanks) is read;
+    a list or a bare value counts as unreadable.
+
     A wire-format value is read with the schema registered under its id when
     ``schemas`` is given and the Avro functions are on the classpath; every other
     value, and every wire value that fails, is tried as JSON. ``schemas`` is the

@@ -172,3 +172,65 @@ def test_snapshots(spark, tmp_path):
     sinks.write_snapshot(spark.range(3), root, 1)
     sinks.write_snapshot(sinks.read_snapshot(spark, root, 1).where("id > 0"), root, 2)
     assert sinks.read_snapshot(spark, root, 2).count() == 2 and sinks.read_snapshot(spark, root, 1).count() == 3
+
+
+def test_a_partial_batch_goes_while_the_source_is_stalled(spark, wave, tmp_path):
+    """Nothing comes after the first seven messages, and still they go."""
+    import time
+
+    wave("m", [message(i, i) for i in range(7)], MESSAGE)
+    rows = stream_routing.idle_batches(stream(spark, tmp_path, "m", MESSAGE), F.lit(0))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    running = rows.writeStream.format("memory").queryName("flushed").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+
+    def flushed(n):
+        for _ in range(120):
+            got = spark.sql("SELECT batch, reason, count(*) AS n FROM flushed GROUP BY ALL ORDER BY batch").collect()
+            if sum(r["n"] for r in got) >= n:
+                return [tuple(r) for r in got]
+            time.sleep(0.5)
+        raise AssertionError(got)
+
+    try:
+        assert flushed(7) == [(0, "idle", 7)]
+        wave("m", [message(100 + i, i % 50) for i in range(60)], MESSAGE)
+        assert flushed(67) == [(0, "idle", 7), (1, "full", 50), (2, "idle", 10)]
+    finally:
+        running.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_only_finished_batches_are_read(spark, wave, tmp_path):
+    out = str(tmp_path / "out")
+    wave("m", [message(1, 1), message(2, 2, value='{"n":1}')], MESSAGE)
+
+    def start(between=None):
+        return stream_routing.start_routing(stream(spark, tmp_path, "m", MESSAGE), ["msg_id"], out, str(tmp_path / "c"), 2, between=between)
+
+    def down(*_):
+        raise RuntimeError("down")
+
+    with pytest.raises(Exception):
+        start(down).awaitTermination()
+    assert spark.read.parquet(f"{out}/routed").count() == 2
+    with pytest.raises(FileNotFoundError):
+        stream_routing.committed(spark, out, "routed")
+    start().awaitTermination()
+    assert stream_routing.committed(spark, out, "routed").count() == stream_routing.committed(spark, out, "audit").count() == 2
+
+
+def test_a_producer_that_starts_anew_adds_no_trigger_twice(spark, wave, tmp_path):
+    schema = "topic string, requested_at timestamp"
+    at = lambda s: f"2024-01-0{1 + s % 2} 00:00:{s:02d}"
+    rows = [("t", at(1)), ("t", at(1)), ("t", at(2)), ("u", at(1))]
+    parsed = lambda rs: spark.createDataFrame(rs, "topic string, at string").selectExpr("topic", "cast(at AS timestamp) AS requested_at").collect()
+    wave("r", parsed(rows), schema)
+    log = str(tmp_path / "log")
+    for attempt in ("a", "a", "b"):
+        triggers = stream_scan.manual_trigger_stream(stream(spark, tmp_path, "r", schema))
+        stream_scan.start_triggers(triggers, log, str(tmp_path / attempt), "manual").awaitTermination()
+    wave("r", parsed([("u", at(3)), ("u", at(1))]), schema)
+    stream_scan.start_triggers(stream_scan.manual_trigger_stream(stream(spark, tmp_path, "r", schema)), log, str(tmp_path / "b"), "manual").awaitTermination()
+    got = sorted((r["trigger_type"], r["source_topic"], str(r["triggered_at"])) for r in stream_scan.trigger_log(spark, log).collect())
+    assert got == sorted(("manual", t, at(s)) for t, s in [("t", 1), ("t", 2), ("u", 1), ("u", 3)])
