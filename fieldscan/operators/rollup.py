@@ -87,14 +87,14 @@ def latest_batch(results: DataFrame) -> DataFrame:
 def latest_best(results: DataFrame) -> DataFrame:
     """Newest scan, best confidence per (topic, field, tag), best first."""
     keys = ["source_topic", "field_path", "tag"]
-    rest = [c for c in results.columns if c not in (*keys, "scanned_at")]
-    order = F.struct((-F.col("confidence")).alias("down"), "layer", "source", "example")
-    # The scan is read once: the best of every scan first, a row per scan, field and tag;
-    # only such rows meet in the window that finds each topic's newest scan.
-    best = results.groupBy(*keys, "scanned_at").agg(F.min_by(F.struct(*rest), order).alias("b"))
+    rest = [c for c in results.columns if c not in keys]
+    order = F.struct((-F.unix_micros("scanned_at")).alias("age"), (-F.col("confidence")).alias("down"), "layer", "source", "example")
+    # One pass: of each field and tag its newest scan's best row, whatever the number of scans;
+    # only those rows, one per field and tag, meet in the window that finds a topic's newest scan.
+    best = results.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("b")).select(*keys, "b.*")
     newest = F.max("scanned_at").over(Window.partitionBy("source_topic"))
     best = best.withColumn("newest", newest).where(F.col("scanned_at") == F.col("newest"))
-    return best.select(*keys, "b.*", "scanned_at").select(*results.columns).orderBy(F.desc("confidence"), *keys)
+    return best.select(*results.columns).orderBy(F.desc("confidence"), *keys)
 
 
 def split_new(rows: DataFrame, field_tags: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

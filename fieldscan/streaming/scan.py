@@ -146,3 +146,61 @@ def schema_change_stream(checks: DataFrame) -> DataFrame:
         F.regexp_replace("subject", "-value$", "").alias("source_topic"),
         "triggered_at",
     )
+
+
+class _TimedWatch(StatefulProcessor):
+    """Per subject: the seconds that were checked and have not yet been passed by the watermark,
+    each with a timer; and the highest version and the last check before them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._due = handle.getMapState("due", "at long", "version int")
+        self._seen = handle.getValueState("seen", "version int, checked_at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            top = batch["version"].groupby(batch["checked_at"].dt.floor("s")).max()
+            for at, version in top.items():
+                at, version = int(at.timestamp() * 1000), int(version)
+                if at <= passed:
+                    continue
+                if not self._due.containsKey((at,)):
+                    self._handle.registerTimer(at)
+                elif self._due.getValue((at,))[0] >= version:
+                    continue
+                self._due.updateValue((at,), (version,))
+        yield _no_triggers()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        version = self._due.getValue((at,))[0]
+        self._due.removeKey((at,))
+        known, last = self._seen.get() if self._seen.exists() else (None, None)
+        if last is not None and at - last < 1000 * CHECK_SECONDS:
+            return
+        self._seen.update((max(version, known or 0), at))
+        if known is not None and version > known:
+            yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="ms"))], columns=["subject", "triggered_at"])
+
+    def close(self) -> None:
+        pass
+
+
+def _no_triggers() -> pd.DataFrame:
+    return pd.DataFrame({"subject": pd.Series([], dtype="str"), "triggered_at": pd.Series([], dtype="datetime64[ns]")})
+
+
+def schema_watch_stream(checks: DataFrame, delay: str = TRIGGER_DELAY) -> DataFrame:
+    """``schema_change_stream`` by event time: checks are looked at in order once the watermark has passed them.
+
+    Checks may come in any order within ``delay``; later ones are left out. A subject's
+    checked seconds wait in the state store and go as their timers fire, so neither memory nor state follows
+    the length of a backlog.
+    """
+    fired = with_event_time(checks, delay, "checked_at").groupBy("subject").transformWithStateInPandas(
+        statefulProcessor=_TimedWatch(), outputStructType="subject string, triggered_at timestamp", outputMode="append", timeMode="EventTime",
+    )
+    return fired.select(
+        F.lit("schema_evolution").alias("trigger_type"), F.regexp_replace("subject", "-value$", "").alias("source_topic"), "triggered_at"
+    )

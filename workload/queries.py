@@ -1218,3 +1218,13 @@ def balanced_fields(spark, sf):
     late = F.when(F.col("turn") == 9, 0).otherwise(F.col("categories"))
     n_orders = made.agg(F.count("o_orderkey")).first()[0]
     return per_turn.select(F.col("turn").cast("int").alias("turn"), "fields", late.alias("categories"), F.lit(n_orders).alias("n_orders"))
+
+
+@query(f"SELECT * FROM ({_WATCH_SQL}) WHERE triggered_at < (SELECT {stamp("max(ts) - INTERVAL '10 seconds'")} FROM events)")
+def stream_schema_watch_timed(spark, sf):
+    """The schema watch by event-time timers: what the watermark has not passed yet is not reported."""
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    checks = raw.select(
+        F.concat("event_type", F.lit("-value")).alias("subject"), (F.floor(F.col("event_id") / 50) + 1).cast("int").alias("version"), F.col("ts").cast("timestamp").alias("checked_at")
+    )
+    return _finished(spark, stream_scan.schema_watch_stream(checks)).withColumn("triggered_at", when("triggered_at"))
