@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscan.functions.taxonomy import ALERT_SCORE, ALERT_TAGS, TAGS, primary_tag
+from fieldscan.functions.taxonomy import ALERT_SCORE, ALERT_TAGS, TAGS
 
 
 def best_per_field_tag(detections: DataFrame, ids: list[str]) -> DataFrame:
@@ -24,14 +24,6 @@ def _best(detections: DataFrame, keys: list[str]) -> DataFrame:
     return detections.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("b")).select(*keys, "b.*")
 
 
-def message_summary(detections: DataFrame, ids: list[str]) -> DataFrame:
-    """Sorted distinct tags and entity types of each message, and its primary tag."""
-    tags = F.array_sort(F.collect_set("tag"))
-    return detections.groupBy(*ids).agg(
-        tags.alias("tags"), F.array_sort(F.collect_set("entity_type")).alias("entity_types_found")
-    ).withColumn("primary_tag", primary_tag(F.col("tags")))
-
-
 def tag_list(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Comma list of the tags of a key, not distinct, in tag order.
 

@@ -103,12 +103,13 @@ APART = f"""
 
 
 def detections(
-    kind: str, layers: int = 2, source: str | None = None, only: list[str] | None = None, patterns: list[Pattern] | None = None
+    kind: str, layers: int = 2, source: str | None = None, only: list[str] | None = None, patterns: list[Pattern] | None = None,
+    phrases: list[Pattern] | None = None,
 ) -> str:
     """CTE list ending in ``det``: every detection with its rank in its field."""
     own = PATTERNS if patterns is None else patterns
     rows = [p for p in own if only is None or p.entity_type in only] if layers >= 2 else []
-    matches = [row_hits(p, i) for some in (rows, gazetteer_patterns() if layers >= 3 else []) for i, p in enumerate(some)]
+    matches = [row_hits(p, i) for some in (rows, (gazetteer_patterns() if phrases is None else phrases) if layers >= 3 else []) for i, p in enumerate(some)]
     l1 = f"""
       SELECT f.msg_id, f.topic, f.event_time, f.field_path, f.value, n.entity_type, n.tag, n.score, 0 AS start,
              length(f.value) AS "end", f.value AS hit, 1 AS layer, 'field_name' AS source, n.ord

@@ -245,11 +245,15 @@ def context_boost(spark, sf):
     return rows.where("layer = 2").groupBy("field_path", "entity_type", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {detections('customers', 3)}
-SELECT entity_type, count(*) AS n FROM det WHERE layer = 3 AND score >= 0.4 AND entity_type IN ('MEDICATION', 'PERSON') GROUP BY ALL""")
+# Phrases that stand in the customers' records, of three entity types and one unknown label.
+_NAMED = entities.gazetteer_patterns([("Metformin", "medication"), ("Type 2 Diabetes", "disease"), ("Asthma", "disease"), ("owner", "person"), ("Wire", "no label")], 0.5)
+
+
+@query(f"""WITH {detections('customers', 3, phrases=_NAMED)}
+SELECT entity_type, tag, text_snippet, count(*) AS n FROM det WHERE layer = 3 AND score >= 0.4 AND entity_type IN ('MEDICATION', 'PERSON') GROUP BY ALL""")
 def entity_filter(spark, sf):
-    rows = classify(messages(spark, sf, "customers"), IDS, 3).where("layer = 3")
-    return entities.filter_entities(rows, ["MEDICATION", "PERSON"]).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = classify(messages(spark, sf, "customers"), IDS, 3, phrases=_NAMED).where("layer = 3")
+    return entities.filter_entities(rows, ["MEDICATION", "PERSON"]).groupBy("entity_type", "tag", "text_snippet").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _phrases(spark, sf):
@@ -770,14 +774,15 @@ def _now(day: int) -> str:
 
 
 def recs_of(spark, sf):
-    """Store after a layer-1 scan of the customer topics and a layer-2 scan after it,
-    each written as a snapshot the next step reads."""
-    m, store = messages(spark, sf, "customers"), f"{_scratch(spark)}/store"
+    """Store after a layer-1 scan of the customer topics and a layer-2 scan after it, written
+    once for all that the next steps read of it."""
+    m, path = messages(spark, sf, "customers"), f"{_scratch(spark)}/store"
+    recs = None
     for version, layer in ((1, 1), (2, 2)):
         scanned = review.from_detections(best_rows(detect_messages(m, IDS, layer), IDS))
-        before = sinks.read_snapshot(spark, store, version - 1) if version > 1 else None
-        sinks.write_snapshot(review.upsert(before, scanned, _now(version)), store, version)
-    return sinks.read_snapshot(spark, store, 2)
+        recs = review.upsert(recs, scanned, _now(version))
+    sinks.write_snapshot(recs, path, 1)
+    return sinks.read_snapshot(spark, path, 1)
 
 
 _REC = ["topic", "field_path", "proposed_tag", "entity_type", "confidence", "confidence_tier", "layer", "source", "status"]
