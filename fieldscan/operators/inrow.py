@@ -18,6 +18,8 @@ from fieldscan.operators.detect import DETECTION
 from fieldscan.operators.entities import gazetteer_patterns
 
 DETECTIONS = f"array<{DETECTION}>"
+LEVELS = 4
+_JSON_VALUE = "try_variant_get(try_parse_json(l.json), '$', 'string')"
 
 
 def let(name: str, value: str, use: str) -> str:
@@ -25,18 +27,38 @@ def let(name: str, value: str, use: str) -> str:
     return f"transform(array({value}), {name} -> {use})[0]"
 
 
-def json_text(message: str) -> str:
-    """A JSON message as Spark renders it (last of equal keys), null if it is none."""
-    return f"if({message} RLIKE '^[ \\\\t\\\\r\\\\n]*\\\\{{', try_variant_get(try_parse_json({message}), '$', 'string'), NULL)"
+def json_tree(message: str) -> str:
+    """A JSON message as VARIANT (last of equal keys), null if it is none."""
+    return f"try_parse_json(if({message} RLIKE '^[ \\\\t\\\\r\\\\n]*\\\\{{', {message}, NULL))"
 
 
-def fields_sql(tree: str) -> str:
-    """Fields (field_path, value) of rendered JSON, as an array; null for null."""
-    leaf = "named_struct('field_path', substring(l.under, 2), 'value', try_variant_get(try_parse_json(l.json), '$', 'string'))"
-    leaves = let("tree", tree, f"CASE WHEN tree IS NOT NULL THEN {leaves_sql('tree')} END")
+def folded_fields_sql(tree: str) -> str:
+    """``fields_sql`` by the fold alone: slower, but nested less deeply, for use in SQL functions,
+    whose expressions Spark resolves a level at a time."""
+    text = f"try_variant_get({tree}, '$', 'string')"
+    leaf = f"named_struct('field_path', substring(l.under, 2), 'value', {_JSON_VALUE})"
+    leaves = let("tree", text, f"CASE WHEN tree IS NOT NULL THEN {leaves_sql('tree')} END")
     return f"filter(transform({leaves}, l -> {leaf}), l -> l.value IS NOT NULL)"
 
 
+def fields_sql(tree: str) -> str:
+    """Fields (field_path, value) of a VARIANT record, as an array; null for null.
+
+    A few levels are taken apart as maps and lists; a container below them is folded.
+    """
+    rows = "array(named_struct('path', '', 'v', tree))"
+    below = """coalesce(
+        transform(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')), e -> named_struct('path', concat(n.path, '.', e.key), 'v', e.value)),
+        transform(try_variant_get(n.v, '$', 'array<variant>'), (x, i) -> named_struct('path', concat(n.path, '[', i, ']'), 'v', x)), array(n))"""
+    for _ in range(LEVELS):
+        rows = f"flatten(transform({rows}, n -> {below}))"
+    field = "named_struct('field_path', substring({}, 2), 'value', {})"
+    deep = f"transform({leaves_sql('text')}, l -> {field.format('concat(n.path, l.under)', _JSON_VALUE)})"
+    is_container = "left(text, 1) IN ('{', '[') AND coalesce(try_variant_get(n.v, '$', 'array<variant>') IS NOT NULL OR try_variant_get(n.v, '$', 'map<string,variant>') IS NOT NULL, false)"
+    leaf = let("text", "try_variant_get(n.v, '$', 'string')", f"CASE WHEN {is_container} THEN {deep} ELSE array({field.format('n.path', 'text')}) END")
+    return let("tree", tree, f"CASE WHEN tree IS NOT NULL THEN filter(flatten(transform({rows}, n -> {leaf})), f -> f.value IS NOT NULL) END")
+
+
 def leaf_sql(path: str) -> str:
     return f"regexp_replace(element_at(split({path}, '\\\\.'), -1), '^[\\\\[\\\\]0-9]+|[\\\\[\\\\]0-9]+$', '')"
 
@@ -102,7 +124,7 @@ def detections_sql(
 
 
 def message_sql(tree: str, max_layer: int | None = 3, exclude_names: tuple[str, ...] = (), **options) -> str:
-    """All fields of rendered JSON that hold something, with their detections, as one array."""
+    """All fields of a VARIANT record that hold something, with their detections, as one array."""
     fields = fields_sql(tree)
     if exclude_names:
         fields = f"filter({fields}, f -> NOT {leaf_sql('f.field_path')} IN ({', '.join(map(quoted, exclude_names))}))"

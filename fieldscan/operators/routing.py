@@ -23,7 +23,7 @@ def with_classes(messages: DataFrame, max_layer: int | None = 3, schemas: DataFr
     All of it is worked out in the message's row (see ``operators.inrow`` for the
     ``options``): nothing is joined, shuffled or read twice.
     """
-    found = message_sql("try_variant_get(payload, '$', 'string')", max_layer, **options)
+    found = message_sql("payload", max_layer, **options)
     field = lambda x: F.struct(
         x["field_path"].alias("field_path"), F.transform(x["es"], lambda d: d.withField("is_free_text", x["is_free_text"])).alias("es")
     )

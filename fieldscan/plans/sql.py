@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from fieldscan.operators.inrow import best_sql, detections_sql, fields_sql, json_text, let
+from fieldscan.operators.inrow import best_sql, detections_sql, folded_fields_sql, json_tree, let
 from fieldscan.plans.classify import classify_fields
 
 _BEST = "array<struct<field_path:string,tag:string,score:double,layer:int,source:string,snippet:string>>"
@@ -27,7 +27,7 @@ def best_hits_sql(max_layer: str = "max_layer", message: str = "message") -> str
     found = detections_sql(f"greatest(1, least(3, coalesce({max_layer}, 3)))")
     row = "named_struct('field_path', x.field_path, 'tag', d.tag, 'score', d.score, 'layer', d.layer, 'source', d.source, 'snippet', d.text_snippet)"
     best = let("x", found, f"cast(transform({best_sql('x.es')}, d -> {row}) AS {_BEST})")
-    return f"flatten(transform({fields_sql(json_text(message))}, f -> {best}))"
+    return f"flatten(transform({folded_fields_sql(json_tree(message))}, f -> {best}))"
 
 
 def create_classify_function(spark: SparkSession, name: str = "classify_fields") -> None:

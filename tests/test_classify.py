@@ -198,3 +198,25 @@ def test_a_phrase_table_in_classify(spark):
         ("1", "email", "PII", 1, "x"), ("1", "note", "PHI", 3, "Sleep Apnea"),
     ]
     assert {r["layer"] for r in classify(df, ["msg_id"], 2, phrase_table=table).collect()} == {1}
+
+
+def test_classes_in_the_row_agree_with_detection(spark):
+    import json
+
+    from fieldscan.operators import routing
+
+    deep: object = {"ssn": "1", "notes": [["call (212) 555-0188", {"email": "a@b.example"}], None, {}, []]}
+    for i in range(12):
+        deep = {f"l{i}": [deep, i]} if i % 2 else {f"l{i}": deep, "password": "x"}
+    values = [json.dumps(deep), '{"email":"a","email":"b"}', "[1]", "no", None, "{}", '{"a":{"ssn":{"x":"2"}},"iban":["NL91ABNA0417164300"]}', '{"note":"Hanna had Asthma","n":1}']
+    messages = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "msg_id string, value string")
+    for layers, options in ((3, {}), (2, {"exclude_names": ("ssn",)}), (3, {"layer3_free_text_only": True})):
+        rows = routing.with_classes(messages, layers, **options)
+        got = sorted(
+            (r["msg_id"], path, d["entity_type"], d["score"], d["start"], d["end"], d["text_snippet"], d["layer"], d["is_free_text"])
+            for r in rows.collect() for path, ds in r["detected_entities"].items() for d in ds
+        )
+        found = classify(messages, ["msg_id"], layers, **options).collect()
+        columns = ["msg_id", "field_path", "entity_type", "score", "start", "end", "text_snippet", "layer", "is_free_text"]
+        assert got == sorted(tuple(r[c] for c in columns) for r in found) and len(got) > 10
+        assert {r["msg_id"]: r["tags"] for r in rows.collect() if r["tags"]} == {i: sorted({r["tag"] for r in found if r["msg_id"] == i}) for i in {r["msg_id"] for r in found}}
