@@ -22,17 +22,20 @@ def classes(value: Column) -> Column:
     return F.translate(out, "\x00", "u")
 
 
-def shape(value: Column) -> Column:
-    """Runs as class and length, say ``A2-94``; of a text, ``text`` and its length as a power of two."""
-    runs = F.regexp_extract_all(classes(value), F.lit(RUN), F.lit(0))
+def shape(value: Column, kinds: Column | None = None) -> Column:
+    """Runs as class and length, say ``A2-94``; of a text, ``text`` and its length as a power of two.
+
+    ``kinds`` are the value's ``classes``, where those are at hand.
+    """
+    runs = F.regexp_extract_all(classes(value) if kinds is None else kinds, F.lit(RUN), F.lit(0))
     told = F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[^Aa9u? \t\r\n]"), r).otherwise(F.concat(F.translate(F.left(r, F.lit(1)), "\t\r\n", "   "), F.length(r).cast("string")))), "")
     size = F.floor(F.log2(F.length(value))).cast("string")
     return F.when(F.size(runs) > MOST_RUNS, F.concat(F.lit("text"), size)).otherwise(told)
 
 
-def entropy(value: Column) -> Column:
+def entropy(value: Column, kinds: Column | None = None) -> Column:
     """Bits per character of the value's classes; 0 for an empty value."""
-    kinds = classes(value)
+    kinds = classes(value) if kinds is None else kinds
     own = [F.length(kinds) - F.length(F.translate(kinds, c, "")) for c in ("A", "a", "9", "u", "?", " ")]
     every = [*own, F.length(kinds) - sum(own, F.lit(0))]
     bits = sum((F.when(n > 0, -(n / F.length(kinds)) * F.log2(n / F.length(kinds))).otherwise(0.0) for n in every), F.lit(0.0))
@@ -45,7 +48,10 @@ def shape_counts(flat: DataFrame, keys: list[str] | None = None) -> DataFrame:
     Sketches are added up by ``merge_counts``, so new days need not read old ones again.
     """
     by = [*(keys or []), "field_path"]
-    rows = flat.where(F.col("value").isNotNull()).select(*by, shape(F.col("value")).alias("shape"), F.length("value").cast("long").alias("chars"), entropy(F.col("value")).alias("bits"))
+    # Classes are a column of their own, so that they are worked out once.
+    rows = flat.where(F.col("value").isNotNull()).select(*by, "value", classes(F.col("value")).alias("kinds"))
+    value, kinds = F.col("value"), F.col("kinds")
+    rows = rows.select(*by, shape(value, kinds).alias("shape"), F.length("value").cast("long").alias("chars"), entropy(value, kinds).alias("bits"))
     return rows.groupBy(*by, "shape").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("bits").alias("bits"))
 
 

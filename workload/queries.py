@@ -1065,7 +1065,7 @@ _WATCH_SQL = ORACLE["stream_schema_watch"]
 @query(f"""WITH watch AS ({_WATCH_SQL}), t AS (SELECT DISTINCT event_type AS source_topic, time_bucket(INTERVAL '60 minutes', ts) + INTERVAL '60 minutes' AS ends FROM events)
 SELECT * FROM watch
 UNION ALL SELECT 'scheduled', source_topic, {stamp('ends')} FROM t WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL '10 seconds'
-UNION ALL SELECT DISTINCT 'manual', event_type, {stamp('ts')} FROM events WHERE event_type = 'click' AND value > 0""")
+UNION ALL SELECT 'manual', event_type, {stamp('ts')} FROM (SELECT DISTINCT event_type, ts FROM events WHERE event_type = 'click' AND value > 0)""")
 def stream_triggers_written(spark, sf):
     """Three producers write to one trigger log; each is started a second time without its checkpoint and adds nothing."""
     configure(spark)
