@@ -7,6 +7,7 @@ of text at a time, so its memory does not follow the size of its partition.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections import defaultdict
@@ -87,6 +88,15 @@ def merged(batches: Iterable[pa.RecordBatch], text: str, most: int = PIECE_BYTES
         yield pa.Table.from_batches(held)
 
 
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system: workers are used again by later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; it keeps what it keeps
+
+
 def lengths_to_starts(lengths: np.ndarray) -> np.ndarray:
     starts = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=starts[1:])
