@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from fieldscan.sources.manifest import listed
 # How late a trigger may come, and the seconds between two checks.
 TRIGGER_DELAY = "10 seconds"
 CHECK_SECONDS = 60
+# Checked seconds wait in the state by the day; so many of one subject are gathered before they go there.
+DAY, HELD_SECONDS = 86_400, 500_000
 
 
 def with_event_time(messages: DataFrame, delay: str = TRIGGER_DELAY, column: str = "event_time") -> DataFrame:
@@ -149,44 +152,92 @@ def schema_change_stream(checks: DataFrame) -> DataFrame:
 
 
 class _TimedWatch(StatefulProcessor):
-    """Per subject: the seconds that were checked and have not yet been passed by the watermark,
-    each with a timer; and the highest version and the last check before them."""
+    """Per subject: the seconds that were checked and have not yet been passed by the watermark, packed
+    by the day, with a timer at a day's first one; and the highest version and the last check before them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._due = handle.getMapState("due", "at long", "version int")
+        self._due = handle.getMapState("days", "day long", "seconds binary, versions binary")
         self._seen = handle.getValueState("seen", "version int, checked_at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
+        held, size = [], 0
         for batch in rows:
-            top = batch["version"].groupby(batch["checked_at"].dt.floor("s")).max()
-            for at, version in top.items():
-                at, version = int(at.timestamp() * 1000), int(version)
-                if at <= passed:
-                    continue
-                if not self._due.containsKey((at,)):
-                    self._handle.registerTimer(at)
-                elif self._due.getValue((at,))[0] >= version:
-                    continue
-                self._due.updateValue((at,), (version,))
+            known = batch[["checked_at", "version"]].dropna()
+            seconds = known["checked_at"].dt.floor("s").to_numpy("datetime64[s]").astype("int64")
+            late = seconds * 1000 <= passed
+            held.append(_newest(seconds[~late], known["version"].to_numpy("int64")[~late]))
+            size += len(held[-1][0])
+            if size > HELD_SECONDS:
+                self._keep(held)
+                held, size = [], 0
+        self._keep(held)
         yield _no_triggers()
 
+    def _keep(self, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Adds checked seconds to their days; a day is read and written once."""
+        if not held:
+            return
+        seconds, versions = _newest(*(np.concatenate(x) for x in zip(*held)))
+        days, first = np.unique(seconds // DAY, return_index=True)
+        for day, a, b in zip(days.tolist(), first, [*first[1:], len(seconds)]):
+            own, timer = (seconds[a:b], versions[a:b]), None
+            if self._due.containsKey((day,)):
+                there = _unpacked(self._due.getValue((day,)))
+                own, timer = _newest(*(np.concatenate(x) for x in zip(there, own))), int(there[0][0])
+            if timer != int(own[0][0]):
+                if timer is not None:
+                    self._handle.deleteTimer(timer * 1000)
+                self._handle.registerTimer(int(own[0][0]) * 1000)
+            self._due.updateValue((day,), _packed(*own))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        version = self._due.getValue((at,))[0]
-        self._due.removeKey((at,))
+        day = at // (1000 * DAY)
+        seconds, versions = _unpacked(self._due.getValue((day,)))
+        passed = int(np.searchsorted(seconds, max(at, timerValues.getCurrentWatermarkInMs()) // 1000, "right"))
+        if passed < len(seconds):
+            self._due.updateValue((day,), _packed(seconds[passed:], versions[passed:]))
+            self._handle.registerTimer(int(seconds[passed]) * 1000)
+        else:
+            self._due.removeKey((day,))
         known, last = self._seen.get() if self._seen.exists() else (None, None)
-        if last is not None and at - last < 1000 * CHECK_SECONDS:
-            return
-        self._seen.update((max(version, known or 0), at))
-        if known is not None and version > known:
-            yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="ms"))], columns=["subject", "triggered_at"])
+        fired, i = [], 0
+        while i < passed:
+            second, version = int(seconds[i]), int(versions[i])
+            if last is not None and 1000 * second - last < 1000 * CHECK_SECONDS:
+                i = int(np.searchsorted(seconds, -(-(last + 1000 * CHECK_SECONDS) // 1000)))
+                continue
+            if known is not None and version > known:
+                fired.append((key[0], pd.Timestamp(second, unit="s")))
+            known, last = max(version, known or 0), 1000 * second
+            i += 1
+        if passed and last is not None:
+            self._seen.update((known, last))
+        if fired:
+            yield pd.DataFrame(fired, columns=["subject", "triggered_at"])
 
     def close(self) -> None:
         pass
 
 
+def _newest(seconds: np.ndarray, versions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each second once, in order, with its highest version."""
+    order = np.lexsort((versions, seconds))
+    seconds, versions = seconds[order], versions[order]
+    last = np.flatnonzero(np.r_[seconds[1:] != seconds[:-1], True][: len(seconds)])
+    return seconds[last], versions[last]
+
+
+def _packed(seconds: np.ndarray, versions: np.ndarray) -> tuple[bytes, bytes]:
+    return seconds.astype("<i8").tobytes(), versions.astype("<i4").tobytes()
+
+
+def _unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(bytes(row[0]), "<i8"), np.frombuffer(bytes(row[1]), "<i4").astype("int64")
+
+
 def _no_triggers() -> pd.DataFrame:
     return pd.DataFrame({"subject": pd.Series([], dtype="str"), "triggered_at": pd.Series([], dtype="datetime64[ns]")})
 
@@ -195,8 +246,8 @@ def schema_watch_stream(checks: DataFrame, delay: str = TRIGGER_DELAY) -> DataFr
     """``schema_change_stream`` by event time: checks are looked at in order once the watermark has passed them.
 
     Checks may come in any order within ``delay``; later ones are left out. A subject's
-    checked seconds wait in the state store and go as their timers fire, so neither memory nor state follows
-    the length of a backlog.
+    checked seconds wait in the state store, an entry and a timer for a day of them, and go as the timers fire;
+    so memory does not follow the length of a backlog, and neither do the calls to the store follow the checks.
     """
     fired = with_event_time(checks, delay, "checked_at").groupBy("subject").transformWithStateInPandas(
         statefulProcessor=_TimedWatch(), outputStructType="subject string, triggered_at timestamp", outputMode="append", timeMode="EventTime",

@@ -139,6 +139,88 @@ def test_schema_watch_keeps_state_between_runs(spark, wave, tmp_path):
     assert fired() == [("a", at(70)), ("a", at(500)), ("b", at(400))]
 
 
+class _Calls:
+    """State of one subject in a dict, with its timers; calls are counted."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return type("V", (), {"exists": lambda _: "seen" in self.rows, "get": lambda _: self.rows["seen"], "update": lambda _, v: self.rows.update(seen=v)})()
+
+    def _counted(self, what):
+        self.calls += 1
+        return what
+
+    def containsKey(self, k):
+        return self._counted(k in self.rows)
+
+    def getValue(self, k):
+        return self._counted(self.rows[k])
+
+    def updateValue(self, k, v):
+        self._counted(self.rows.update({k: v}))
+
+    def removeKey(self, k):
+        self._counted(self.rows.pop(k))
+
+    def registerTimer(self, at):
+        self._counted(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._counted(self.timers.remove(at))
+
+
+def test_timed_watch_asks_the_store_by_the_day_and_fires_like_a_plain_walk():
+    import pandas as pd
+
+    rng, handle, watch = random.Random(5), _Calls(), stream_scan._TimedWatch()
+    watch.init(handle)
+    checks = [(rng.randrange(200_000), rng.randrange(40)) for _ in range(20_000)]
+    clock = lambda s: type("T", (), {"getCurrentWatermarkInMs": lambda _: 1000 * s})()
+    frame = lambda rows: pd.DataFrame({"checked_at": [BASE + dt.timedelta(seconds=s, milliseconds=7) for s, _ in rows], "version": [v for _, v in rows]})
+    start, got, done = int(BASE.replace(tzinfo=dt.timezone.utc).timestamp()), [], 0
+    for upto in (0, 100_000, 150_000):
+        now = clock(start + upto - 1) if upto else clock(0)
+        part = checks[done : done + 8_000]
+        done += len(part)
+        list(watch.handleInputRows(("s",), iter([frame(part[:3_000]), frame(part[3_000:])]), now))
+        for at in sorted(t for t in handle.timers if t <= now.getCurrentWatermarkInMs()):
+            handle.timers.remove(at)
+            for out in watch.handleExpiredTimer(("s",), now, type("E", (), {"getExpiryTimeInMs": lambda _: at})()):
+                got += [round((t - pd.Timestamp(BASE)).total_seconds()) for t in out["triggered_at"]]
+    # What came after its time had been passed is left out, and so is what has not been passed.
+    came = checks[:8_000] + [c for c in checks[8_000:16_000] if c[0] >= 100_000] + [c for c in checks[16_000:] if c[0] >= 150_000]
+    known, last, want = None, None, []
+    top = {}
+    for s, v in came:
+        top[s] = max(v, top.get(s, 0))
+    for s in sorted(x for x in top if x < 150_000):
+        if last is not None and s - last < stream_scan.CHECK_SECONDS:
+            continue
+        if known is not None and top[s] > known:
+            want.append(s)
+        known, last = max(top[s], known or 0), s
+    assert got == want and want and handle.calls < 100
+
+
+def test_timed_watch_stream_keeps_state_between_runs(spark, wave, tmp_path):
+    schema = "subject string, version int, checked_at timestamp"
+    at = lambda s: BASE + dt.timedelta(seconds=s)
+
+    def fired():
+        rows = run(stream_scan.schema_watch_stream(stream(spark, tmp_path, "c", schema)), tmp_path)
+        return sorted((r["source_topic"], r["triggered_at"]) for r in rows)
+
+    wave("c", [("a-value", 3, at(0)), ("a-value", 4, at(30)), ("a-value", 4, at(70)), ("b-value", 1, at(90_000))], schema)
+    assert fired() == [("a", at(70))]
+    wave("c", [("a-value", 5, at(90_300)), ("b-value", 2, at(90_200)), ("b-value", 3, at(180_000))], schema)
+    assert fired() == [("a", at(70)), ("a", at(90_300)), ("b", at(90_200))]
+
+
 def test_routing_stream_is_not_doubled_by_a_replay(spark, wave, tmp_path):
     out, seen = str(tmp_path / "out"), []
     wave("m", [message(1, 1), message(2, 2, value='{"n":1}'), message(3, 3, value="broken"), message(4, 4, value="")], MESSAGE)
