@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Classes: capitals, small letters, digits, letters and digits beyond ASCII, other signs beyond ASCII.
 CLASSES = [("[A-Z]", "A"), ("[a-z]", "a"), ("[0-9]", "9"), (r"[^\x00-\x7F]", "?")]
+_FROM = string.ascii_uppercase + string.ascii_lowercase + string.digits + "\x00"
+_TO = "A" * 26 + "a" * 26 + "9" * 10 + "u"
 # Runs of letters, digits and blanks are counted; every other sign stands for itself.
 RUN = r"A+|a+|9+|u+|\?+|[ \t\r\n]+|[^Aa9u? \t\r\n]"
 # Values of more runs are texts: they are told apart by their size only.
@@ -16,10 +20,10 @@ MOST_RUNS = 24
 def classes(value: Column) -> Column:
     """The value with each character replaced by its class; ASCII signs stay."""
     # Letters beyond ASCII first become a control sign, so that the classes do not meet.
-    out = F.regexp_replace(value, r"(?![\x00-\x7F])[\p{L}\p{N}]", "\x00")
-    for rx, name in CLASSES:
-        out = F.regexp_replace(out, rx, name)
-    return F.translate(out, "\x00", "u")
+    marked = F.regexp_replace(F.regexp_replace(value, r"(?![\x00-\x7F])[\p{L}\p{N}]", "\x00"), r"[^\x00-\x7F]", "?")
+    plain = F.when(F.octet_length(value) == F.length(value), value).otherwise(marked)
+    # The other classes in one pass.
+    return F.translate(plain, _FROM, _TO)
 
 
 def shape(value: Column, kinds: Column | None = None) -> Column:
@@ -36,10 +40,20 @@ def shape(value: Column, kinds: Column | None = None) -> Column:
 def entropy(value: Column, kinds: Column | None = None) -> Column:
     """Bits per character of the value's classes; 0 for an empty value."""
     kinds = classes(value) if kinds is None else kinds
-    own = [F.length(kinds) - F.length(F.translate(kinds, c, "")) for c in ("A", "a", "9", "u", "?", " ")]
-    every = [*own, F.length(kinds) - sum(own, F.lit(0))]
-    bits = sum((F.when(n > 0, -(n / F.length(kinds)) * F.log2(n / F.length(kinds))).otherwise(0.0) for n in every), F.lit(0.0))
-    return F.when(F.length(value) > 0, bits).otherwise(0.0)
+    own = [F.length(kinds) - F.length(F.replace(kinds, F.lit(c), F.lit(""))) for c in ("A", "a", "9", "u", "?", " ")]
+
+    def bits(n: Column, size: Column) -> Column:
+        return F.when(n > 0, -(n / size) * F.log2(n / size)).otherwise(0.0)
+
+    def added(counts: Column) -> Column:
+        """Counts of the classes and, last, the length; what is in no class is the rest."""
+        size, names = counts[len(own)], [counts[i] for i in range(len(own))]
+        every = [*names, size - sum(names, F.lit(0))]
+        return sum((bits(n, size) for n in every), F.lit(0.0))
+
+    # The counts are a list of their own, so that each is worked out once.
+    counted = F.get(F.transform(F.array(F.array(*own, F.length(kinds))), added), F.lit(0))
+    return F.when(F.length(value) > 0, counted).otherwise(0.0)
 
 
 def shape_counts(flat: DataFrame, keys: list[str] | None = None) -> DataFrame:
