@@ -64,9 +64,16 @@ class Recommendations:
         raise Conflict(self.root)
 
     def upsert(self, incoming: DataFrame, now, **options) -> int:
-        """``review.upsert`` of the buckets that the batch's keys fall into."""
-        keys = incoming.select(review.rec_id().alias("id")).distinct()
-        return self.change(keys, lambda old: review.upsert(old, incoming, now), **options)
+        """``review.upsert`` of the buckets that the batch's keys fall into.
+
+        Its best rows per key are kept meanwhile: they are asked for their keys first, and the batch
+        behind them, often a scan of all messages, is worked out once.
+        """
+        best = review.best_incoming(incoming).persist()
+        try:
+            return self.change(best.select(review.rec_id().alias("id")), lambda old: review.upsert(old, best, now), **options)
+        finally:
+            best.unpersist()
 
     def decide(self, decisions: DataFrame, **options) -> int:
         """``review.apply_decisions`` of the buckets that the decisions name."""
