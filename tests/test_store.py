@@ -66,3 +66,23 @@ def test_results_are_appended_merged_and_expired(spark, tmp_path):
     assert log.parts() == 14 and rows() == before and log.read("d", "2024-01-09").count() == 6
     assert manifest.vacuum(spark, log.root, 1) > 20 and rows() == before
     assert log.compact(2) == 0
+
+
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    """Its keys are asked for before its rows."""
+    from fieldscan.operators import review, store
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    kind = "topic string, subject string, schema_id int, field_path string, proposed_tag string, entity_type string, confidence double, layer int, source string, is_free_text boolean"
+    rows = [("t", "t-value", 1, f"f{i % 5}", "PII", "EMAIL_ADDRESS", i / 20, 2, "regex", False) for i in range(20)]
+    kept = store.Recommendations(spark, str(tmp_path / "store"), 4)
+    kept.upsert(spark.createDataFrame(rows, kind).mapInPandas(counted, kind), "2024-01-01 00:00:00")
+    assert seen.value == 20
+    assert sorted((r["field_path"], r["confidence"]) for r in kept.snapshot().collect()) == [(f"f{i}", (15 + i) / 20) for i in range(5)]
+    assert review.best_incoming(spark.createDataFrame(rows, kind)).count() == 5
