@@ -316,3 +316,16 @@ def test_a_producer_that_starts_anew_adds_no_trigger_twice(spark, wave, tmp_path
     stream_scan.start_triggers(stream_scan.manual_trigger_stream(stream(spark, tmp_path, "r", schema)), log, str(tmp_path / "b"), "manual").awaitTermination()
     got = sorted((r["trigger_type"], r["source_topic"], str(r["triggered_at"])) for r in stream_scan.trigger_log(spark, log).collect())
     assert got == sorted(("manual", t, at(s)) for t, s in [("t", 1), ("t", 2), ("u", 1), ("u", 3)])
+
+
+def test_tables_are_dealt_over_more_tasks_as_they_grow(spark, tmp_path):
+    from workload.inputs import parts_of, spread, stream_of
+
+    small, large = spark.range(1000), spark.range(10_000_000)
+    cores = spark.sparkContext.defaultParallelism
+    assert parts_of(small) == cores and parts_of(large) > 4 * cores and spread(large).rdd.getNumPartitions() == parts_of(large)
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    found = []
+    rows = stream_of(spark, str(tmp_path), "t")
+    rows.writeStream.foreachBatch(lambda b, _: found.append((b.rdd.getNumPartitions(), b.count()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert found == [(cores, 100)]
