@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldscan.functions import names
 from fieldscan.functions.dictionary import FREE_TEXT_NAMES, name_dictionary, ner_labels
 from fieldscan.functions.taxonomy import (
     ENTITY_TAG,
@@ -105,3 +106,13 @@ def test_taxonomy(spark):
     assert got == [("PCI", "HIGH", 3), ("PII", "MEDIUM", 3), ("PII", "LOW", 1)]
     tags = spark.sql("SELECT array('PII','PCI','PHI') a, array('MINOR') b, array() c").first()
     assert [spark.createDataFrame([(list(t),)], "t array<string>").select(primary_tag(F.col("t"))).first()[0] for t in tags] == ["PHI", "MINOR", None]
+
+
+def test_keywords_are_looked_up_among_few(spark):
+    words = names.keyword_lookup()
+    parted = names.by_length(words)
+    assert {w: h for few in parted for w, h in few.items()} == words
+    assert all(len(w) == n for n, few in enumerate(parted) for w in few) and max(map(len, parted)) * 4 < len(words)
+    named = spark.createDataFrame([(w,) for w in [*words, "none of these"]], "words string")
+    found = {r["words"]: {h["entity_type"] for h in r["hits"]} for r in named.select("words", names.name_hits(F.col("words")).alias("hits")).collect()}
+    assert all({h["entity_type"] for h in hits} <= found[w] for w, hits in words.items()) and not found["none of these"]

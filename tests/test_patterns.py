@@ -4,8 +4,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fieldscan.functions.patterns import PATTERNS, Pattern, by_entity
-from fieldscan.functions.text import match_spans, plain_text
+from fieldscan.functions.patterns import PATTERNS, Pattern, by_entity, hit_parts
+from fieldscan.functions.text import match_spans, plain_text, quoted
 from fieldscan.operators.detect import best_per_tag, detect, explode_detections
 
 HITS = [
@@ -196,3 +196,13 @@ def test_a_text_of_a_hundred_thousand_hits(texts):
     value = "abc xy cba " * 25_000
     rows = explode_detections(detect(texts([value]), 2, patterns=CHAIN)).where("layer = 2")
     assert rows.count() == 75_000
+
+
+def test_hits_are_taken_only_from_texts_with_a_match(texts):
+    rows = (Pattern("A", r"\bab[0-9]\b", 0.5), Pattern("B", r"\bx[0-9]\b", 0.5), Pattern("B", r"\bx[0-9] y\b", 0.6))
+    found = hit_parts(rows, "en", ())[2]
+    assert all(found.index(f"plain RLIKE {quoted(p.regex)}") < found.index(f"regexp_extract_all(plain, {quoted(p.regex)}") for p in rows)
+    hits = explode_detections(detect(texts(["ab1 x2 y", "abc", "x3 ab1", None]), 2, patterns=list(rows))).where("layer = 2")
+    assert sorted((r["id"], r["entity_type"], r["text_snippet"]) for r in hits.collect()) == [
+        (0, "A", "ab1"), (0, "B", "x2 y"), (2, "A", "ab1"), (2, "B", "x3"),
+    ]
