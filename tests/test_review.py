@@ -139,3 +139,13 @@ def test_bulk_list_summary_sources_delete(store, schemas):
     assert left.count() == 1 and gone.first()["deleted"] == 3
     with pytest.raises(ValueError):
         review.delete_topic(recs, "")
+
+
+def test_alike_detections_are_made_one_by_hash(spark, capsys):
+    rows = [rec("a"), rec("a"), rec("a", confidence=0.95), rec("a", confidence=0.95, schema_id=3), rec(None), rec(None)]
+    best = review.best_incoming(spark.createDataFrame(rows, INCOMING))
+    assert sorted((r["field_path"] or "", r["confidence"], r["schema_id"]) for r in best.collect()) == [("", 0.9, None), ("a", 0.95, None)]
+    best.explain()
+    plan = capsys.readouterr().out
+    # The lowest step over the batch hashes: nothing is sorted by key before it.
+    assert plan.rindex("HashAggregate") > plan.rindex("Sort [")
