@@ -13,16 +13,19 @@ end (u8), ids before each document in the block and the end (u8), symbols (u2 or
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ END_ID = 1
 SHARD_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
 LEAST_COUNT = 8
-MEMO_WORDS = 250_000
+MEMO_WORDS = 600_000
 # Number of terminals, rules, documents, symbols, bytes per symbol.
 HEAD = "<IIIQB"
 
@@ -56,75 +59,148 @@ class Encoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
         with open(path, encoding="utf-8") as f:
             self.by_word = word_by_word(json.load(f))
         self.model = self.whole.model
-
-    def part(self, part: str) -> tuple[int, ...]:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.parts[part] = tuple([t.id for t in self.model.tokenize(part)])
-        return found
-
-    def words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        memo, part = self.memo, self.part
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-            self.parts.clear()
-        hard: dict[str, list[tuple[bytes, tuple[int, ...]]]] = {}
-        for w in words:
-            if w in memo:
-                continue
-            stem = w.rstrip(b".,!?")
-            if stem.isalpha():
-                # ASCII letters, then perhaps marks.
-                memo[w] = part(stem.lower().decode()) + (part(w[len(stem) :].decode()) if len(stem) < len(w) else ())
-            elif _PLAIN.fullmatch(w):
-                parts = _PARTS.findall(w.lower().decode())
-                memo[w] = part(parts[0]) if len(parts) == 1 else sum(map(part, parts), ())
+        # Numbers of words, and the ids of each number; of parts of words alike.
+        self.memo: dict[bytes, int] = {}
+        self.word_ids = _Lists()
+        self.latest: tuple[list[bytes], np.ndarray] = [], np.zeros(0, np.int64)
+        self._forget_parts()
+
+    def _forget_parts(self) -> None:
+        # A line break ends a word's parts.
+        self.parts: dict[str, int] = {"\n": 0}
+        self.part_ids = _Lists()
+        self.part_ids.add(np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def _forget_words(self) -> None:
+        """All words but the latest ones."""
+        words, numbers = self.latest
+        kept = self.word_ids.of(numbers)
+        self.memo, self.word_ids = dict(zip(words, itertools.count())), _Lists()
+        self.word_ids.add(*kept)
+
+    def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words given as their parts, each word with a line break after it, and how many each word has."""
+        fresh = list(set(parts).difference(self.parts))
+        if fresh:
+            self.parts.update(zip(fresh, itertools.count(len(self.parts))))
+            flat, lengths, tokenize = array("i"), array("q"), self.model.tokenize
+            for p in fresh:
+                found = tokenize(p)
+                lengths.append(len(found))
+                flat.extend([t.id for t in found])
+            self.part_ids.add(np.frombuffer(flat, np.int32), np.frombuffer(lengths, np.int64))
+        codes = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        ids, lengths = self.part_ids.of(codes)
+        return ids, np.diff(lengths_to_starts(lengths)[np.flatnonzero(codes == 0)], prepend=0)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Numbers for words that have none."""
+        # ASCII letters, then perhaps marks: as they are in lower case.
+        lower = pc.ascii_lower(pa.array(words, pa.binary()).view(pa.string()))
+        stems = pc.ascii_rtrim(lower, ".,!?")
+        simple = pc.ascii_is_alpha(stems)
+        ends = pc.binary_length(lower).to_numpy() - pc.binary_length(stems).to_numpy()
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        stems = stems.filter(simple).to_numpy(zero_copy_only=False).tolist()
+        first = [w for w, x in zip(words, is_simple.tolist()) if x]
+        parts: list[str] = []
+        for stem, w, n in zip(stems, first, ends[is_simple].tolist()):
+            parts += (stem, w[-n:].decode(), "\n") if n else (stem, "\n")
+        plain, odd = [], []
+        for w, x in zip(words, is_simple.tolist()):
+            if not x:
+                (odd if _ODD.search(w) else plain).append(w)
+        if plain:
+            parts += _PARTS.findall(b"\n".join([*plain, b""]).lower().decode())
+        letters, spelled, marks = [], [], []
+        hard: dict[str, list[tuple[bytes, str]]] = {}
+        for w in odd:
+            # A last letter and the ASCII marks after it are always parted.
+            text = w.decode("utf-8", "replace")
+            base = text.rstrip(".,!?")
+            if of_letters(base):
+                letters.append(w)
+                spelled.append(base.lower())
+                marks.append(text[len(base) :])
+            elif base == text or not base[-1:].isalpha():
+                hard.setdefault(text, []).append((w, ""))
             else:
-                # A last letter and the ASCII marks after it are always parted.
-                text = w.decode("utf-8", "replace")
-                base = text.rstrip(".,!?")
-                if of_letters(base):
-                    memo[w] = part(byte_letters(base.lower())) + (part(text[len(base) :]) if base != text else ())
-                elif base == text or not base[-1:].isalpha():
-                    hard.setdefault(text, []).append((w, ()))
-                else:
-                    hard.setdefault(base, []).append((w, part(text[len(base) :])))
-        for uses, found in zip(hard.values(), self.whole.encode_batch_fast(list(hard), add_special_tokens=False)):
-            ids = tuple(found.ids)
-            for w, end in uses:
-                memo[w] = ids + end
-        return [memo[w] for w in words]
-
-    def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+                hard.setdefault(base, []).append((w, text[len(base) :]))
+        for word, end in zip(byte_letters("\n".join(spelled)).split(byte_letters("\n")), marks):
+            parts += (word, end, "\n") if end else (word, "\n")
+        ids, lengths = self._of_parts(parts)
+        self.memo.update(zip(itertools.chain(first, plain, letters), itertools.count(len(self.memo))))
+        self.word_ids.add(ids, lengths)
+        if hard:
+            found = self.whole.encode_batch_fast(list(hard), add_special_tokens=False)
+            uses = [(w, x.ids, end) for x, uses in zip(found, hard.values()) for w, end in uses]
+            tails, sizes = self._of_parts([p for *_, end in uses for p in ((end, "\n") if end else ("\n",))])
+            starts = lengths_to_starts(sizes)
+            whole = [np.r_[np.array(x, np.int32), tails[a:b]] for (_, x, _), a, b in zip(uses, starts[:-1], starts[1:])]
+            self.memo.update(zip([w for w, *_ in uses], itertools.count(len(self.memo))))
+            self.word_ids.add(np.concatenate(whole), np.array([len(x) for x in whole], np.int64))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word in ``word_ids``; words must be distinct."""
+        if len(self.memo) > MEMO_WORDS:
+            self._forget_words()
+        if len(self.parts) > MEMO_WORDS:
+            self._forget_parts()
+        numbers = np.fromiter(map(self.memo.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            fresh = [words[k] for k in unknown.tolist()]
+            self._learn(fresh)
+            numbers[unknown] = np.fromiter(map(self.memo.__getitem__, fresh), np.int64, len(fresh))
+        self.latest = words, numbers
+        return numbers
+
+    def encode(self, texts: list[bytes] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, each followed by ``end_id`` if given, and how many each text has."""
         if not self.by_word:
             end = [] if end_id is None else [end_id]
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
             found = [x.ids + end for x in self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
             return np.fromiter(itertools.chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
-        view = Words([t.split() for t in texts])
-        per_word, codes, starts = self.words(view.distinct), view.codes, view.starts
+        view = Words.split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        # Before the lists are asked for: they can begin anew.
+        numbers = self.numbers(view.distinct)
+        ids, lengths = self.word_ids.of(numbers[view.codes])
+        stops = lengths_to_starts(lengths)[view.starts]
         if end_id is not None:
-            # The end is one more word.
-            per_word, codes = [*per_word, (end_id,)], np.insert(codes, starts[1:], len(per_word))
-            starts = starts + np.arange(len(starts))
-        sizes = np.array([len(x) for x in per_word], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(per_word), np.int32)
-        if not len(codes):
-            return flat[:0], np.zeros(len(texts), np.int64)
-        of_code = sizes[codes]
-        totals = lengths_to_starts(of_code)
-        ids = flat[gather(lengths_to_starts(sizes)[:-1][codes], of_code)]
-        return ids, totals[starts[1:]] - totals[starts[:-1]]
-
-
-# Printable ASCII without ' (contractions) and without <| (special tokens).
-_PLAIN = re.compile(rb"(?:(?!<\|)[!-&(-~])+")
-_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+            ids = np.insert(ids, stops[1:], end_id)
+            stops += np.arange(len(stops))
+        return ids, np.diff(stops)
+
+
+class _Lists:
+    """Lists of ids by number, end to end."""
+
+    def __init__(self):
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(lengths)]
+        self.flat = np.concatenate([self.flat, flat])
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers, end to end, and how many each has."""
+        lengths = np.diff(self.starts)[numbers]
+        return self.flat[gather(self.starts[numbers], lengths)], lengths
+
+
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, which later tasks use again: words keep their ids."""
+    return Encoder(path)
+
+
+# Plain words are printable ASCII without ' (contractions) and without <| (special tokens).
+_ODD = re.compile(rb"[^!-&(-~]|<\|")
+_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
 # Fixed value: how the tokenizer below parts a text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -132,11 +208,12 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # How byte-level tokenizers spell bytes: printable ones of Latin-1 as themselves, the others
 # in order from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPELLED = np.arange(256, dtype="<u2")
+_SPELLED[[b for b in range(256) if b not in _PRINTABLE]] = np.arange(256, 512 - len(_PRINTABLE))
 
 
 def byte_letters(text: str) -> str:
-    return text.encode().decode("latin-1").translate(_SPELLED)
+    return _SPELLED[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
 
 
 def of_letters(text: str) -> bool:
@@ -159,35 +236,32 @@ def word_by_word(spec: dict) -> bool:
     )
 
 
-def _chosen(pairs: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
-    """The pairs of one round, most frequent first, and none under an eighth of the first.
+def _chosen(left: np.ndarray, right: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
+    """The pairs of one round, most frequent first, and none under a sixteenth of the first.
 
     A symbol is the left one of chosen pairs or the right one, never both, so occurrences
     cannot overlap; a pair of equal symbols has its symbol to itself. Pairs left out have
     their turn in a later round.
     """
-    order = np.lexsort((pairs, -counts))
-    left, right, out = set(), set(), []
-    for i in order:
-        if counts[i] * 8 < counts[order[0]] or len(out) >= most:
-            break
-        a, b = int(pairs[i]) >> 32, int(pairs[i]) & 0xFFFFFFFF
-        if a not in right and b not in left and (a != b or a not in left and a not in right):
-            left.add(a)
-            right.add(b)
-            out.append(int(i))
+    near = np.flatnonzero(counts * 16 >= counts.max(initial=0))
+    order = near[np.lexsort((right[near], left[near], -counts[near]))]
+    lefts, rights, out = set(), set(), []
+    for i, a, b in zip(order.tolist(), left[order].tolist(), right[order].tolist()):
+        if a not in rights and b not in lefts and (a != b or a not in lefts and a not in rights):
+            if len(out) >= most:
+                break
+            lefts.add(a)
+            rights.add(b)
+            out.append(i)
     return out
 
 
-def _second_of_equals(at: np.ndarray, following: np.ndarray, equal: np.ndarray) -> np.ndarray:
-    """Which of the ascending places are the second, fourth … of a run of pairs of equal symbols."""
-    k = np.flatnonzero(equal)
-    goes_on = np.zeros(len(k), bool)
-    goes_on[1:] = (k[1:] == k[:-1] + 1) & (at[k[1:]] == following[k[:-1]])
-    number = np.arange(len(k))
-    out = np.zeros(len(at), bool)
-    out[k] = (number - np.maximum.accumulate(np.where(goes_on, 0, number))) % 2 == 1
-    return out
+def _second_of_equals(at: np.ndarray) -> np.ndarray:
+    """Which of the ascending places of pairs of equal symbols are the second, fourth … of a run."""
+    goes_on = np.zeros(len(at), bool)
+    goes_on[1:] = at[1:] == at[:-1] + 1
+    number = np.arange(len(at))
+    return (number - np.maximum.accumulate(np.where(goes_on, 0, number))) % 2 == 1
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,75 +271,93 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int, least: int =
     used up: they are numbered from ``terminals`` on, and no further than two bytes hold if
     the terminals leave room there.
     """
-    n = len(ids)
-    room = (65536 if terminals < 65536 else 2**32) - terminals
-    kind = np.int32 if n < 2**31 - 1 else np.int64
-    symbols = ids.astype(np.uint32)
-    # Places keep their numbers; n stands for none.
-    after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
+    narrow = terminals < 65536
+    room = (65536 if narrow else 2**32) - terminals
+    # A pair is one number of twice a symbol's width.
+    kind, bits = (np.uint32, 16) if narrow else (np.uint64, 32)
+    symbols = ids.astype(kind)
     starts = lengths_to_starts(lengths)
-    after[starts[1:][lengths > 0] - 1] = n
-    before[starts[:-1][lengths > 0]] = n
-    held = np.ones(n, bool)
-    # A pair that is rare stays rare, since replacing makes no new pairs of old symbols:
-    # only places of other pairs are looked at again.
-    active = after != n
-    active[n] = False
+    # The last symbol of each document that has any.
+    filled = lengths > 0
+    ends = starts[1:][filled] - 1
+    # A table of hashed counts tells which pairs can be among the frequent ones; only
+    # those are counted exactly. The slot at its end is for places without a pair that matters.
+    slot = np.full(len(symbols), _SLOTS, np.int32)
+    slot[:-1] = _slots(symbols[:-1] << kind(bits) | symbols[1:])
+    slot[ends] = _SLOTS
+    counted = np.bincount(slot, minlength=_SLOTS + 1)
     rules: list[tuple[int, int]] = []
-    place = np.empty(_SLOTS, np.int32)
+    place = np.full(_SLOTS + 1, -1, np.int32)
     while len(rules) < room:
-        at = np.flatnonzero(active)
-        following = after[at]
-        left, right = symbols[at], symbols[following]
-        pairs = left.astype(np.uint64) << np.uint64(32) | right
-        once = ~_second_of_equals(at, following, left == right)
-        # A table of hashed counts tells which pairs can be among the frequent ones; only
-        # those are counted exactly.
-        slot = _slots(pairs)
-        counted = np.bincount(slot[once], minlength=_SLOTS)
+        counted[_SLOTS] = 0
         in_slot = counted[slot]
-        active[at[in_slot < least]] = False
-        bar = max(least, int(counted.max()) // 16)
+        # A pair that is rare stays rare, since replacing makes no new pairs of old symbols.
+        np.putmask(slot, in_slot < least, _SLOTS)
+        counted *= counted >= least
+        bar = max(least, int(counted.max()) // 32)
         while True:
-            often = np.flatnonzero(once & (in_slot >= bar))
-            distinct, counts = np.unique(pairs[often], return_counts=True)
-            enough = counts >= max(least, bar)
+            often = np.flatnonzero(in_slot >= bar)
+            pairs, right = symbols[often], symbols[often + 1]
+            equal = np.flatnonzero(pairs == right)
+            pairs <<= kind(bits)
+            pairs |= right
+            if len(equal):
+                second = equal[_second_of_equals(often[equal])]
+                often, pairs = np.delete(often, second), np.delete(pairs, second)
+            distinct, counts = np.unique(pairs, return_counts=True)
+            enough = counts >= bar
             distinct, counts = distinct[enough], counts[enough]
             if len(distinct) or bar == least:
                 break
             # Slots shared by many rare pairs: look at all that can be frequent.
             bar = least
-        picked = _chosen(distinct, counts, room - len(rules))
+        left, right = (distinct >> kind(bits)).astype(np.int64), (distinct & kind((1 << bits) - 1)).astype(np.int64)
+        picked = _chosen(left, right, counts, room - len(rules))
         if not picked:
             break
         # Of chosen pairs that share a slot one is replaced now, the others have their turn later.
+        of_keys = _slots(distinct[picked])
+        place[of_keys] = picked
+        picked = np.unique(place[of_keys])
+        place[of_keys] = -1
         keys = distinct[picked]
-        place[:] = -1
-        place[_slots(keys)] = np.arange(len(keys))
-        keys = keys[np.unique(place[_slots(keys)])]
-        place[_slots(keys)] = np.arange(len(keys))
+        used = _slots(keys)
+        place[used] = np.arange(len(keys))
         found = place[slot[often]]
-        known = (found >= 0) & (keys[found] == pairs[often])
-        hit = at[often[known]]
-        symbols[hit] = (found[known] + (terminals + len(rules))).astype(np.uint32)
-        rules += [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in keys]
-        gone = after[hit]
-        held[gone] = False
-        active[gone] = False
-        after[hit] = after[gone]
-        before[after[hit]] = hit
-        active[before[hit]] = True
-        active[hit] = after[hit] != n
-        active[n] = False
-    per_doc = np.diff(lengths_to_starts(held)[starts])
-    return np.array(rules, np.int64).reshape(-1, 2), symbols[held].astype(np.int64), per_doc
-
-
-_SLOTS = 1 << 20
+        known = np.flatnonzero(found >= 0)
+        known = known[keys[found[known]] == pairs[known]]
+        place[used] = -1
+        hit = often[known]
+        # Pairs at, before and after a hit go; pairs with the new symbol come.
+        touched = np.zeros(len(symbols), bool)
+        touched[hit] = touched[hit + 1] = touched[hit - 1] = True
+        counted -= np.bincount(slot[touched], minlength=_SLOTS + 1)
+        symbols[hit] = found[known].astype(kind) + kind(terminals + len(rules))
+        rules += zip(left[picked].tolist(), right[picked].tolist())
+        held = np.ones(len(symbols), bool)
+        held[hit + 1] = False
+        symbols, slot = symbols[held], slot[held]
+        ends -= np.searchsorted(hit + 1, ends, "right")
+        slot[ends] = _SLOTS
+        hit -= np.arange(len(hit))
+        touched = np.zeros(len(symbols), bool)
+        touched[hit] = touched[hit - 1] = True
+        touched[ends] = False
+        fresh = np.flatnonzero(touched)
+        slot[fresh] = _slots(symbols[fresh] << kind(bits) | symbols[fresh + 1])
+        counted += np.bincount(slot[fresh], minlength=_SLOTS + 1)
+    per_doc = np.zeros(len(lengths), np.int64)
+    per_doc[filled] = np.diff(ends, prepend=-1)
+    return np.array(rules, np.int64).reshape(-1, 2), symbols.astype(np.int64), per_doc
+
+
+_SLOTS = 1 << 19
 
 
 def _slots(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(0x9E3779B1) >> np.uint32(13)).view(np.int32)
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(45)).astype(np.int32)
 
 
 def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,9 +449,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
     dealt = rows.withColumn("salt", F.xxhash64("content")).repartitionByRange(shards, "id", "salt").sortWithinPartitions("id", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(tokenizer), TaskContext.get().partitionId()
         for block, table in enumerate(merged(batches, "content", BLOCK_BYTES)):
-            ids, lengths = encoder.encode(table.column("content").to_pylist(), end_id)
+            ids, lengths = encoder.encode(table.column("content").combine_chunks(), end_id)
             content = pack_block(table.column("id").to_pylist(), ids, lengths, max(encoder.size, end_id + 1))
             columns = [[shard], [block], [len(lengths)], [len(ids)], [content]]
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())

@@ -3,12 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from fieldscan.llm import repair
-from fieldscan.llm.common import new_folder
+from fieldscan.llm.common import Words, new_folder
 from tests.llm.conftest import EDGES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -98,3 +99,28 @@ def test_a_repeated_id_does_not_bar_other_pairs():
     assert len(symbols) < 40 and most_frequent(symbols.tolist(), per_doc.tolist()) < repair.LEAST_COUNT
     block = repair.Block(repair.pack_block([1, 2], ids, np.array([100_001, 300]), 10))
     assert block.all_ids().tolist() == ids.tolist() and block.ids_at(1, 3, 9) == [7, 8, 9, 4, 5, 6]
+
+
+def test_words_forgotten_are_learned_again(monkeypatch):
+    monkeypatch.setattr(repair, "MEMO_WORDS", 5)
+    encoder, whole = repair.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    for k in range(6):
+        texts = [f" One two{k}, thrée{k % 2} Öl. it's <|x ", "", f"two{k} One! \x0b endé.{k}"]
+        ids, lengths = encoder.encode([t.encode() for t in texts], 1)
+        expected = [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert lengths.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, [])
+    assert len(encoder.memo) < 20
+
+
+def test_words_are_split_like_bytes():
+    texts = [b"", b" ", b"a b", b" b\tc\x0b ", b"\x0c\x1c\x85 \xc3\xa9\r\n", b"a"]
+    lists = [t.split() for t in texts]
+    for column in (pa.array(texts, pa.binary()), pa.array([b"x y", *texts], pa.binary())[1:]):
+        view = Words.split(column)
+        assert [[view.distinct[c] for c in view.codes[a:b]] for a, b in zip(view.starts[:-1], view.starts[1:])] == lists
+        assert view.lengths.tolist() == list(map(len, lists)) and len(set(view.distinct)) == len(view.distinct)
+
+
+def test_a_worker_keeps_its_encoder():
+    """Before, each task loaded the tokenizer and learned all words anew."""
+    assert repair.encoder_of(WORDS) is repair.encoder_of(WORDS)
