@@ -370,7 +370,7 @@ def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarra
 
 def expanded(symbols: np.ndarray, terminals: int, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for."""
-    table = np.concatenate([np.arange(terminals), flat])
+    table = np.concatenate([np.arange(terminals, dtype=np.uint32), flat.astype(np.uint32)])
     first = np.concatenate([np.arange(terminals), terminals + starts[:-1]])
     size = np.concatenate([np.ones(terminals, np.int64), np.diff(starts)])
     return table[gather(first[symbols], size[symbols])]
