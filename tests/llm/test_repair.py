@@ -124,3 +124,34 @@ def test_words_are_split_like_bytes():
 def test_a_worker_keeps_its_encoder():
     """Before, each task loaded the tokenizer and learned all words anew."""
     assert repair.encoder_of(WORDS) is repair.encoder_of(WORDS)
+
+
+def test_letters_of_two_bytes_encode_as_whole_texts():
+    encoder, whole = repair.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    chars = [chr(c) for c in (*range(0x3000), 0x1F600, 0xFB01, 0x1E9E) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c} a{c}B É{c}1,{c}" for c in chars[k : k + 256]) for k in range(0, len(chars), 256)]
+    ids, lengths = encoder.encode([t.encode() for t in texts])
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, [])
+
+
+def test_parts_of_new_words_are_not_learned_again(monkeypatch):
+    """Before, each new word was parted and tokenized, and a word with a letter beyond ASCII went through the whole chain."""
+    encoder = repair.Encoder(WORDS)
+    encoder.encode(["été Été voilà 1 2 , ### $$$ жизнь".encode()])
+    learned = []
+    monkeypatch.setattr(encoder, "_learn", lambda parts, kinds: learned.append(parts))
+    text = "Été### voilà,12 Été$$$voilà жизнь2été"
+    assert encoder.encode([text.encode()])[0].tolist() == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+    assert learned == []
+
+
+def test_places_of_rare_pairs_are_left_alone(monkeypatch):
+    """Before, each round went over all symbols and hashed the pairs around each replaced one."""
+    ids = np.array([x for k in range(1000) for x in (10 + 2 * k, 5, 6, 11 + 2 * k)])
+    hashed, slots = [], repair._slots
+    monkeypatch.setattr(repair, "_slots", lambda pairs: hashed.append(len(pairs)) or slots(pairs))
+    rules, symbols, per_doc = repair.compress(ids, np.array([4000]), 3000)
+    assert rules.tolist() == [[5, 6]] and len(symbols) == per_doc.sum() == 3000
+    assert sum(hashed) < 4100
+    assert repair.expanded(symbols, 3000, *repair.expansions(rules, 3000)).tolist() == ids.tolist()
