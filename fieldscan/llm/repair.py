@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import operator
 import re
 import struct
 import zlib
@@ -35,7 +36,7 @@ END_ID = 1
 SHARD_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
 LEAST_COUNT = 8
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_200_000
 # Number of terminals, rules, documents, symbols, bytes per symbol.
 HEAD = "<IIIQB"
 
@@ -61,8 +62,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.by_word = word_by_word(json.load(f))
         self.model = self.whole.model
-        # Known parts, and the ids of each.
+        # Known parts, and the ids of each; their hashes in order, and the part of each.
         self.memo, self.part_ids = pa.array([], pa.binary()), _Lists()
+        self.hashes, self.of_hash = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.latest = np.zeros(0, np.int64)
 
     def _forget(self) -> None:
@@ -70,10 +72,24 @@ class Encoder:
         kept = self.part_ids.of(self.latest)
         self.memo, self.part_ids = self.memo.take(pa.array(self.latest)), _Lists()
         self.part_ids.add(*kept)
+        hashes = _hashes(self.memo)
+        order = np.argsort(hashes)
+        self.hashes, self.of_hash = hashes[order], order.astype(np.int32)
+
+    def _known(self, parts: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The place of each part in ``memo``, -1 if it is not found there. Of parts of one hash the first is found."""
+        if not len(self.hashes):
+            return np.full(len(parts), -1, np.int64)
+        order = np.argsort(hashes)
+        at = np.empty(len(parts), np.int64)
+        at[order] = np.searchsorted(self.hashes, hashes[order])
+        numbers = self.of_hash.take(at, mode="clip").astype(np.int64)
+        alike = pc.equal(parts, self.memo.take(pa.array(numbers)))
+        return np.where(alike.to_numpy(zero_copy_only=False), numbers, -1)
 
     def _learn(self, parts: pa.Array, kinds: np.ndarray) -> None:
         """Ids of parts that are not known."""
-        flat, lengths, tokenize = array("i"), array("q"), self.model.tokenize
+        flat, lengths, tokenize, id_of = array("i"), array("q"), self.model.tokenize, operator.attrgetter("id")
         is_odd = kinds == _ODD
         plain, odd = np.flatnonzero(~is_odd), np.flatnonzero(is_odd)
         if len(plain):
@@ -81,7 +97,7 @@ class Encoder:
             for p in byte_letters(lower).split(byte_letters("\n")):
                 found = tokenize(p)
                 lengths.append(len(found))
-                flat.extend([t.id for t in found])
+                flat.extend(map(id_of, found))
         if len(odd):
             texts = [w.decode("utf-8", "replace") for w in parts.take(pa.array(odd)).to_pylist()]
             for x in self.whole.encode_batch_fast(texts, add_special_tokens=False):
@@ -94,12 +110,18 @@ class Encoder:
         """The place of each part in ``memo``; parts must be distinct."""
         if len(self.memo) > MEMO_WORDS:
             self._forget()
-        numbers = pc.fill_null(pc.index_in(parts, self.memo), -1).to_numpy().astype(np.int64)
+        hashes = _hashes(parts)
+        numbers = self._known(parts, hashes)
         unknown = np.flatnonzero(numbers < 0)
         if len(unknown):
             n, is_odd = len(self.memo), kinds[unknown] == _ODD
             self._learn(parts.take(pa.array(unknown)), kinds[unknown])
-            numbers[np.r_[unknown[~is_odd], unknown[is_odd]]] = np.arange(n, len(self.memo))
+            unknown = np.r_[unknown[~is_odd], unknown[is_odd]]
+            numbers[unknown] = np.arange(n, len(self.memo))
+            fresh = unknown[np.argsort(hashes[unknown], kind="stable")]
+            # After those of the same hash.
+            to = np.searchsorted(self.hashes, hashes[fresh], "right")
+            self.hashes, self.of_hash = np.insert(self.hashes, to, hashes[fresh]), np.insert(self.of_hash, to, numbers[fresh])
         self.latest = numbers
         return numbers
 
@@ -121,6 +143,21 @@ class Encoder:
         return ids, np.diff(stops)
 
 
+def _hashes(parts: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each part, which must not be empty."""
+    offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+    if not len(parts):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(parts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    # A random number for each byte at its place, added up.
+    place = gather(np.zeros(len(parts), np.int64), np.diff(offsets)) & 63
+    return np.add.reduceat(_RANDOM[place.astype(np.uint16) << 8 | data], offsets[:-1])
+
+
+_RANDOM = np.random.default_rng(5).integers(0, 2**64, 64 << 8, np.uint64)
+
+
 class _Lists:
     """Lists of ids by number, end to end."""
 

@@ -155,3 +155,10 @@ def test_places_of_rare_pairs_are_left_alone(monkeypatch):
     assert rules.tolist() == [[5, 6]] and len(symbols) == per_doc.sum() == 3000
     assert sum(hashed) < 4100
     assert repair.expanded(symbols, 3000, *repair.expansions(rules, 3000)).tolist() == ids.tolist()
+
+
+def test_parts_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(repair, "_hashes", lambda parts: np.full(len(parts), 7, np.uint64))
+    encoder, whole = repair.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    for text in ("one two three", "three, one four", "two it's three five one"):
+        assert encoder.encode([text.encode()])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
