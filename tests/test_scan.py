@@ -283,6 +283,81 @@ def test_a_partial_batch_goes_while_the_source_is_stalled(spark, wave, tmp_path)
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_all_that_a_slow_stream_holds_back_is_waited_for(spark, tmp_path, monkeypatch):
+    """Before, what was there after sixty looks was the result; here they are over at once."""
+    from pyspark.sql.streaming.query import StreamingQuery
+    from workload.queries import QUERIES
+
+    rows = spark.range(430).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 5 AS user_id", "'click' AS event_type", "1.0 AS value", "'' AS props")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self, 0.01))
+    got = QUERIES["stream_idle_flush"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((s, b, "idle" if b else "full", 50 if b == 0 else 4 - (s > 5)) for s in range(8) for b in (0, 1))
+
+
+def test_a_stream_that_ends_or_stalls_is_no_result():
+    class Running:
+        def __init__(self, ends):
+            self.ends, self.batch = ends, 0
+
+        def awaitTermination(self, _):
+            self.batch += 1
+            return self.ends
+
+        @property
+        def lastProgress(self):
+            return {"batchId": self.batch, "numInputRows": 7 if self.batch < 300 else 0}
+
+    stalls = Running(False)
+    for running, arrived, why in ((Running(True), 5, "ended"), (stalls, 5, "stalled"), (Running(False), 8, "8 rows of 7")):
+        with pytest.raises(stream_routing.Unfinished, match=why):
+            stream_routing.await_rows(running, lambda: arrived, 7)
+    # It goes on as long as something is read, and ends with the last row.
+    assert stalls.batch >= 300 + stream_routing.STALLED_BATCHES - 1
+    looks = iter([0, 3, 3, 7])
+    stream_routing.await_rows(Running(False), lambda: next(looks), 7)
+
+
+def test_batches_of_a_slot_go_on_across_frames_and_micro_batches():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = {}, set()
+
+        def getListState(self, *_):
+            return type("L", (), {"exists": lambda _: bool(self.state.get("w")), "get": lambda _: iter(self.state["w"]), "put": lambda _, v: self.state.update(w=v), "clear": lambda _: self.state.update(w=[])})()
+
+        def getValueState(self, *_):
+            return type("V", (), {"exists": lambda _: "n" in self.state, "get": lambda _: self.state["n"], "update": lambda _, v: self.state.update(n=v)})()
+
+        def listTimers(self):
+            return list(self.timers)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    handle, pending = Handle(), stream_routing._Pending(50, 1000)
+    pending.init(handle)
+    now = type("T", (), {"getCurrentProcessingTimeInMs": lambda _: 0})()
+    frame = lambda a, b: pd.DataFrame({"msg_id": [str(i) for i in range(a, b)], "topic": None, "key": "k", "value": "v", "event_time": pd.to_datetime(range(a, b), unit="s").where(pd.Series(range(a, b)) % 7 > 0)})
+    out = list(pending.handleInputRows((3,), iter([frame(0, 70), frame(70, 130), frame(130, 340)]), now))
+    out += list(pending.handleInputRows((3,), iter([frame(340, 345)]), now))
+    out += list(pending.handleExpiredTimer((3,), now, None))
+    out += list(pending.handleInputRows((3,), iter([frame(345, 400)]), now))
+    got = pd.concat(out)
+    assert got["msg_id"].tolist() == [str(i) for i in range(395)] and set(got["slot"]) == {3} and len(handle.state["w"]) == 5 and handle.timers
+    assert got["batch"].tolist() == [i // 50 for i in range(345)] + [7] * 50
+    assert got["reason"].tolist() == ["full"] * 300 + ["idle"] * 45 + ["full"] * 50
+    assert got["event_time"].isna().tolist() == [i % 7 == 0 for i in range(395)]
+    # As many frames leave as came, not one for each batch.
+    assert len(out) == 5
+
+
 def test_only_finished_batches_are_read(spark, wave, tmp_path):
     out = str(tmp_path / "out")
     wave("m", [message(1, 1), message(2, 2, value='{"n":1}')], MESSAGE)
