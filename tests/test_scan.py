@@ -377,6 +377,37 @@ def test_only_finished_batches_are_read(spark, wave, tmp_path):
     assert stream_routing.committed(spark, out, "routed").count() == stream_routing.committed(spark, out, "audit").count() == 2
 
 
+def test_a_replay_does_not_classify_again(spark, wave, tmp_path):
+    """Before, every replay worked all of its batch out once more."""
+    out = str(tmp_path / "out")
+    wave("m", [message(1, 1), message(2, 2, value='{"ssn":"1"}'), message(3, 3, value="broken"), message(4, 4, value=None)], MESSAGE)
+
+    def start(check, fails=None, layer=2):
+        def stop(*_):
+            raise RuntimeError("down")
+
+        return stream_routing.start_routing(stream(spark, tmp_path, "m", MESSAGE), ["msg_id"], out, str(tmp_path / check), layer, **({fails: stop} if fails else {})).awaitTermination()
+
+    # Sent rows hold the time at which their message was classified.
+    sent = lambda: sorted(map(tuple, spark.read.parquet(f"{out}/routed").collect()))
+    with pytest.raises(Exception):
+        start("c", "between")
+    first = sent()
+    with pytest.raises(Exception):
+        start("c", "also")
+    assert sent() == first
+    with pytest.raises(Exception):
+        start("c", "also", 1)
+    assert sent() != first
+    start("c")
+    assert sent() == first and spark.read.parquet(f"{out}/audit").count() == 4
+    # What another query of the same path left is none of its business.
+    start("d")
+    assert len(sent()) == len(first) and sent() != first
+    kept = [f.name for d in (tmp_path / "out" / "classified").iterdir() for f in d.iterdir()]
+    assert kept == ["000000000000"], "only of the settings that never came to an end"
+
+
 def test_a_producer_that_starts_anew_adds_no_trigger_twice(spark, wave, tmp_path):
     schema = "topic string, requested_at timestamp"
     at = lambda s: f"2024-01-0{1 + s % 2} 00:00:{s:02d}"
