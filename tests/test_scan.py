@@ -35,6 +35,30 @@ def test_interval_scan_against_all_pairs(spark):
         assert sorted((r["msg_id"], r["triggered_at"]) for r in got.collect()) == want and want
 
 
+def test_messages_in_reach_come_once_and_are_classified_before_they_meet_triggers(spark, tmp_path):
+    """Before, a message was classified for each trigger that reaches it."""
+    from workload import queries
+
+    rng = random.Random(7)
+    # Around 1970, where whole-number division turns; copies, and rows without a topic or a time.
+    at = lambda s: dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s, microseconds=rng.choice([0, 1, 999_999]))
+    messages = [(str(i), rng.choice("ab"), f"k{i}", VALUE, at(rng.randrange(-900, 900))) for i in range(300)]
+    messages += messages[:20] + [("x", None, "k", VALUE, at(0)), ("y", "a", "k", VALUE, None)]
+    trigs = [("manual", rng.choice("aab"), at(rng.randrange(-900, 900))) for _ in range(4)] * 2 + [("manual", "a", None)]
+    m, t = spark.createDataFrame(messages, MESSAGE), spark.createDataFrame(trigs, "trigger_type string, source_topic string, triggered_at timestamp")
+    reaches = lambda x, y: x[1] == y[1] and x[4] is not None and y[2] is not None and y[2] - dt.timedelta(minutes=2) <= x[4] <= y[2]
+    want = sorted(x[0] for x in messages if any(reaches(x, y) for y in trigs))
+    assert sorted(r["msg_id"] for r in scan.in_reach(t, m).collect()) == want and 10 < len(want) < 290
+    each = scan.scan_results(scan.interval_scan(t, m), ["msg_id"], 2)
+    once = scan.scan_results(scan.interval_scan(t, scan.scan_rows(scan.in_reach(t, m), ["msg_id"], 2)), ["msg_id"], 2)
+    assert once.columns == each.columns and once.dtypes == each.dtypes
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, each.collect())) and each.count() > len(want)
+
+    spark.range(40).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 5 AS user_id", "'click' AS event_type", "1.0 AS value", "'' AS props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    plan = queries._results(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Generate")
+
+
 def test_results_latest_batch_and_retention(spark, tmp_path):
     messages = spark.createDataFrame([message(1, 30), message(2, 90, value='{"ssn":"1"}'), message(3, 4000), message(4, 30, "u")], MESSAGE)
     trigs = scan.all_triggers(scan.scheduled_triggers(messages), scan.scheduled_triggers(messages, 1))
